@@ -1,0 +1,2 @@
+"""No stream operators: every input of the domain is a complete table, so the
+package has batch queries only."""
