@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from cellmosaic.plans import annotation_queries  # noqa: F401
-from cellmosaic.plans import registry
+from cellmosaic.plans import (  # noqa: F401
+    annotation_queries,
+    metric_queries,
+    model_queries,
+    registry,
+)
 
 
 def queries():
