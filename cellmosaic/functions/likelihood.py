@@ -1,63 +1,67 @@
-"""Beta-Binomial and Negative-Binomial log-probabilities as column expressions."""
+"""Beta-Binomial and Negative-Binomial log-probabilities as SQL text.
 
-from __future__ import annotations
+Arguments are SQL text too, best plain column names: an argument occurs many times
+in the result.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from cellmosaic.functions.special import clip, lgamma
+from cellmosaic.functions.special import lgamma
 
-EPS = 1e-12
+EPS = "1e-12D"
 
 
-def bb_constant(b: Column, n: Column) -> Column:
+def bb_constant(b: str, n: str) -> str:
     """log binomial coefficient; depends on data only, so it is computed once."""
-    return lgamma(n + 1.0) - lgamma(b + 1.0) - lgamma(n - b + 1.0)
+    return f"({lgamma(f'{n} + 1D')} - {lgamma(f'{b} + 1D')} - {lgamma(f'{n} - {b} + 1D')})"
 
 
-def bb_offset(tau: Column, p: Column) -> Column:
+def bb_offset(tau: str, p: str) -> str:
     """Part of the Beta-Binomial that depends on parameters only."""
-    return lgamma(tau) - lgamma(tau * p) - lgamma(tau * (1.0 - p))
+    return f"({lgamma(tau)} - {lgamma(f'{tau} * {p}')} - {lgamma(f'{tau} * (1D - {p})')})"
 
 
-def bb_data_term(b: Column, n: Column, tau: Column, p: Column) -> Column:
-    return lgamma(b + tau * p) + lgamma(n - b + tau * (1.0 - p)) - lgamma(n + tau)
+def bb_data_term(b: str, n: str, tau: str, p: str) -> str:
+    heads, tails = lgamma(f"{b} + {tau} * {p}"), lgamma(f"{n} - {b} + {tau} * (1D - {p})")
+    return f"({heads} + {tails} - {lgamma(f'{n} + {tau}')})"
 
 
-def bb_logpmf(b: Column, n: Column, tau: Column, p: Column) -> Column:
-    return bb_constant(b, n) + bb_data_term(b, n, tau, p) + bb_offset(tau, p)
+def bb_logpmf(b: str, n: str, tau: str, p: str) -> str:
+    return f"({bb_constant(b, n)} + {bb_data_term(b, n, tau, p)} + {bb_offset(tau, p)})"
 
 
-def nb_constant(x: Column) -> Column:
-    return -lgamma(x + 1.0)
+def nb_constant(x: str) -> str:
+    return f"(-{lgamma(f'{x} + 1D')})"
 
 
-def nb_offset(size: Column) -> Column:
-    return -lgamma(size)
+def nb_offset(size: str) -> str:
+    return f"(-{lgamma(size)})"
 
 
-def nb_data_term(x: Column, mu: Column, size: Column) -> Column:
-    total = F.log(size + mu)
-    return lgamma(x + size) + size * (F.log(size) - total) + x * (F.log(mu) - total)
+def nb_data_term(x: str, mu: str, size: str) -> str:
+    log_total = f"ln({size} + {mu})"
+    return (
+        f"({lgamma(f'{x} + {size}')} + {size} * (ln({size}) - {log_total})"
+        f" + {x} * (ln({mu}) - {log_total}))"
+    )
 
 
-def nb_mean(expected: Column) -> Column:
-    return F.greatest(expected, F.lit(EPS))
+def nb_mean(expected: str) -> str:
+    return f"greatest({expected}, {EPS})"
 
 
-def nb_logpmf(x: Column, mu: Column, size: Column) -> Column:
-    """``mu`` is floored at 1e-12; ``size`` is the inverse dispersion."""
-    floored = nb_mean(mu)
-    return nb_constant(x) + nb_offset(size) + nb_data_term(x, floored, size)
+def nb_logpmf(x: str, mu: str, size: str) -> str:
+    """``mu`` must be floored by :func:`nb_mean`; ``size`` is the inverse dispersion."""
+    return f"({nb_constant(x)} + {nb_offset(size)} + {nb_data_term(x, mu, size)})"
 
 
-def purity_baf(baf: Column, rdr: Column, theta: Column) -> Column:
+def purity_baf(baf: str, rdr: str, theta: str) -> str:
     """Expected B-allele fraction of a mixture of tumour (theta) and normal cells."""
-    mixed = baf * rdr * theta + 0.5 * (1.0 - theta)
-    depth = F.greatest(rdr * theta + (1.0 - theta), F.lit(EPS))
-    return clip(mixed / depth, EPS, 1.0 - EPS)
+    mixed = f"({baf} * {rdr} * {theta} + 0.5D * (1D - {theta}))"
+    depth = f"greatest({rdr} * {theta} + (1D - {theta}), {EPS})"
+    return f"greatest({EPS}, least(1D - {EPS}, {mixed} / {depth}))"
 
 
-def purity_mean(total: Column, base: Column, rdr: Column, theta: Column) -> Column:
+def purity_mean(total: str, base: str, rdr: str, theta: str) -> str:
     """Expected depth of the same mixture."""
-    return total * base * (theta * rdr + (1.0 - theta))
+    return f"({total} * {base} * ({theta} * {rdr} + (1D - {theta})))"

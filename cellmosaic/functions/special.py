@@ -1,10 +1,8 @@
-"""Special functions as column expressions (Spark SQL has no log-gamma)."""
+"""Special functions (Spark SQL has no log-gamma) and guarded arithmetic."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import mul
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,24 +11,27 @@ _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 _SHIFT = 8
 
 
-def lgamma(x: Column) -> Column:
-    """log Gamma(x) for x > 0, NULL otherwise.
+def lgamma(x: str) -> str:
+    """log Gamma(x) for x > 0 as SQL text, NULL otherwise.
 
-    The argument is moved up by eight with the recurrence, where four terms of the
-    asymptotic series reach double precision. There is no branch on the size of x,
-    so the shared subexpressions are computed once.
+    ``x`` is SQL text. The argument is moved up by eight with the recurrence, where
+    four terms of the asymptotic series reach double precision. There is no branch,
+    so the generated code computes shared parts once; the logarithm of x itself is
+    NULL for x <= 0. Text is parsed in one step, which is far cheaper than building
+    the same tree from column objects.
     """
-    y = x + F.lit(float(_SHIFT))
-    inv = F.lit(1.0) / y
-    inv2 = inv * inv
-    series = inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 * (1 / 1680))))
-    rising = reduce(mul, [x + F.lit(float(i)) for i in range(1, _SHIFT)], x)
-    value = (y - 0.5) * F.log(y) - y + _HALF_LOG_2PI + series - F.log(rising)
-    return F.when(x > 0, value)
+    x = f"({x})"
+    y = f"({x} + {_SHIFT}D)"
+    inv2 = f"(1D / ({y} * {y}))"
+    series = f"(1D/12 - {inv2} * (1D/360 - {inv2} * (1D/1260 - {inv2} * (1D/1680)))) / {y}"
+    rising = " * ".join(f"({x} + {i}D)" for i in range(1, _SHIFT))
+    return (
+        f"(({y} - 0.5D) * ln({y}) - {y} + {_HALF_LOG_2PI!r}D + {series} - ln({x}) - ln({rising}))"
+    )
 
 
-def lbeta(a: Column, b: Column) -> Column:
-    return lgamma(a) + lgamma(b) - lgamma(a + b)
+def lbeta(a: str, b: str) -> str:
+    return f"({lgamma(a)} + {lgamma(b)} - {lgamma(f'({a}) + ({b})')})"
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import likelihood
@@ -87,23 +87,25 @@ def with_dispersion(groups: DataFrame, dispersion: DataFrame, settings: FitSetti
     size = F.coalesce("inv_phi", F.lit(settings.invphi_bounds[1]))
     filled = joined.withColumns({"tau": tau, "inv_phi": size})
     return filled.withColumns({
-        "bb_offset": likelihood.bb_offset(F.col("tau"), F.col("baf")),
-        "nb_offset": likelihood.nb_offset(F.col("inv_phi")),
+        "bb_offset": F.expr(likelihood.bb_offset("tau", "baf")),
+        "nb_offset": F.expr(likelihood.nb_offset("inv_phi")),
     })
 
 
-def row_loglik() -> tuple[Column, Column]:
-    """Allele and depth log-likelihood of a count row joined with its parameters."""
-    c = F.col
-    allele = c("bb_const") + c("bb_offset") + likelihood.bb_data_term(c("b"), c("n"), c("tau"), c("baf"))
-    mean = likelihood.nb_mean(c("total") * c("props"))
-    total = c("nb_const") + c("nb_offset") + likelihood.nb_data_term(c("x"), mean, c("inv_phi"))
-    zero = F.lit(0.0)
-    # no allele coverage has probability one, so its terms need not be computed
-    return (
-        F.when(c("use_allele") & (c("n") > 0), allele).otherwise(zero),
-        F.when(c("use_total"), total).otherwise(zero),
-    )
+def with_loglik(rows: DataFrame) -> DataFrame:
+    """Count rows joined with their parameters: add the log-likelihood ``ll``.
+
+    Terms are switched off by a factor of 0 and not by a condition, because the code
+    generator shares subexpressions only outside of conditions. A row without allele
+    coverage has probability one.
+    """
+    allele = f"bb_const + bb_offset + {likelihood.bb_data_term('b', 'n', 'tau', 'baf')}"
+    total = f"nb_const + nb_offset + {likelihood.nb_data_term('x', 'mu', 'inv_phi')}"
+    staged = rows.withColumn("mu", F.expr(likelihood.nb_mean("total * props")))
+    return staged.withColumn("ll", F.expr(
+        f"coalesce({allele}, 0D) * CAST(use_allele AND n > 0 AS INT)"
+        f" + coalesce({total}, 0D) * CAST(use_total AS INT)"
+    ))
 
 
 def attach_groups(obs: DataFrame, params: DataFrame) -> DataFrame:
@@ -119,8 +121,7 @@ def loglik_sums(obs: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFr
         "use_allele", "use_total",
     ]
     rows = attach_groups(obs, params.select(*wanted))
-    allele, total = row_loglik()
-    sums = rows.groupBy(*CELL, "k").agg(F.sum(allele + total).alias("ll"))
+    sums = with_loglik(rows).groupBy(*CELL, "k").agg(F.sum("ll").alias("ll"))
     return sums.join(F.broadcast(mixture), [*RUN, "k"]).select(
         *CELL, "k", (F.col("ll") + F.col("log_pi")).alias("ll")
     )
@@ -151,10 +152,9 @@ def tau_statistics(rows: DataFrame, settings: FitSettings) -> DataFrame:
     )
 
 
-def tau_loglik(tau: Column) -> Column:
-    c = F.col
-    core = likelihood.bb_data_term(c("b"), c("n"), tau, c("p")) + likelihood.bb_offset(tau, c("p"))
-    return c("cnt") * F.when(c("n") > 0, core).otherwise(0.0)
+def tau_score(rows: DataFrame) -> DataFrame:
+    core = f"{likelihood.bb_data_term('b', 'n', '_value', 'p')} + {likelihood.bb_offset('_value', 'p')}"
+    return rows.withColumn("_ll", F.expr(f"cnt * CAST(n > 0 AS INT) * ({core})"))
 
 
 def invphi_statistics(rows: DataFrame, settings: FitSettings) -> DataFrame:
@@ -162,12 +162,13 @@ def invphi_statistics(rows: DataFrame, settings: FitSettings) -> DataFrame:
     if settings.share_dispersion:
         kept = kept.filter(F.col(settings.total_mask))
     state = F.lit("*") if settings.share_dispersion else F.concat_ws("|", "cn_a", "cn_b")
-    mean = likelihood.nb_mean(F.col("total") * F.col("props"))
+    mean = F.expr(likelihood.nb_mean("total * props"))
     return kept.select(*ASSAY, state.alias("state"), "x", mean.alias("mu"))
 
 
-def invphi_loglik(size: Column) -> Column:
-    return likelihood.nb_offset(size) + likelihood.nb_data_term(F.col("x"), F.col("mu"), size)
+def invphi_score(rows: DataFrame) -> DataFrame:
+    core = f"{likelihood.nb_offset('_value')} + {likelihood.nb_data_term('x', 'mu', '_value')}"
+    return rows.withColumn("_ll", F.expr(core))
 
 
 def _dispersion_table(spark, tau: list[dict], phi: list[dict]) -> DataFrame:
@@ -191,13 +192,13 @@ def m_step(
     if settings.uses_allele and settings.update_tau:
         stats = tau_statistics(rows, settings).persist()
         tau = solver.maximise(
-            stats, [*ASSAY, "state"], tau_loglik, settings.tau_bounds, settings.grid_rounds
+            stats, [*ASSAY, "state"], tau_score, settings.tau_bounds, settings.grid_rounds
         )
         stats.unpersist()
     if settings.uses_total and settings.update_invphi:
         stats = invphi_statistics(rows, settings).persist()
         phi = solver.maximise(
-            stats, [*ASSAY, "state"], invphi_loglik, settings.invphi_bounds, settings.grid_rounds
+            stats, [*ASSAY, "state"], invphi_score, settings.invphi_bounds, settings.grid_rounds
         )
         stats.unpersist()
     return tau, phi
@@ -372,8 +373,7 @@ def loglik_by_state(obs: DataFrame, params: DataFrame, calls: DataFrame) -> Data
     from cellmosaic.functions.labels import clone_name
 
     rows = assigned_rows(obs, calls, params).filter(F.col("use_allele") | F.col("use_total"))
-    allele, total = row_loglik()
-    per_group = rows.groupBy(*GROUP, "k", "cn_a", "cn_b").agg(F.sum(allele + total).alias("ll"))
+    per_group = with_loglik(rows).groupBy(*GROUP, "k", "cn_a", "cn_b").agg(F.sum("ll").alias("ll"))
     return per_group.filter("ll <> 0").groupBy(*RUN, clone_name(F.col("k")).alias("clone"), "cn_a", "cn_b").agg(
         F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n_groups")
     )

@@ -85,15 +85,17 @@ def prepare_observations(counts: DataFrame, partitions: int | None = None) -> Da
     n = partition_count(spark, partitions)
     per_cell = Window.partitionBy(*CELL, "assay")
     total = F.sum("x").over(per_cell)
-    b, tot = F.col("b"), F.col("a") + F.col("b")
+    tot = F.col("a") + F.col("b")
     base = durable(counts.select(*GROUP, "cell_id", "x", "a", "b")).repartition(n, *CELL)
-    return base.withColumns({
+    typed = base.withColumns({
         "n": tot.cast("double"),
-        "b": b.cast("double"),
+        "b": F.col("b").cast("double"),
         "x": F.col("x").cast("double"),
         "total": total.cast("double"),
-        "bb_const": likelihood.bb_constant(b, tot),
-        "nb_const": likelihood.nb_constant(F.col("x")),
+    })
+    return typed.withColumns({
+        "bb_const": F.expr(likelihood.bb_constant("b", "n")),
+        "nb_const": F.expr(likelihood.nb_constant("x")),
     }).select(*GROUP, "cell_id", "x", "b", "n", "total", "bb_const", "nb_const").persist()
 
 

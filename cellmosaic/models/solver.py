@@ -28,19 +28,19 @@ def evaluate_grid(
     data: DataFrame,
     bounds: DataFrame,
     keys: Sequence[str],
-    loglik: Callable[[Column], Column],
+    score: Callable[[DataFrame], DataFrame],
     log_scale: bool,
     points: int = POINTS,
 ) -> DataFrame:
     """Summed log-likelihood per key and grid point: ``(.., i, at, ll)``.
 
-    ``bounds`` has ``lo``/``hi`` per key on the search scale and few rows.
+    ``score`` adds ``_ll`` from the parameter column ``_value``. ``bounds`` has ``lo``/``hi`` per key on the search scale and few rows.
     """
     grid = bounds.select(*keys, F.explode(grid_rows(F.col("lo"), F.col("hi"), points)).alias("_g"))
     grid = grid.select(*keys, F.col("_g.i").alias("i"), F.col("_g.at").alias("at"))
     value = F.exp(F.col("at")) if log_scale else F.col("at")
     rows = data.join(grid, list(keys)).withColumn("_value", value)
-    return rows.groupBy(*keys, "i", "at").agg(F.sum(loglik(F.col("_value"))).alias("ll"))
+    return score(rows).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
 
 
 def narrow(scores: DataFrame, bounds: DataFrame, keys: Sequence[str], points: int = POINTS) -> DataFrame:
@@ -61,7 +61,7 @@ def narrow(scores: DataFrame, bounds: DataFrame, keys: Sequence[str], points: in
 def maximise(
     data: DataFrame,
     keys: Sequence[str],
-    loglik: Callable[[Column], Column],
+    score: Callable[[DataFrame], DataFrame],
     bounds: tuple[float, float],
     rounds: int,
     points: int = POINTS,
@@ -82,7 +82,7 @@ def maximise(
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["lo double", "hi double"])
     for _ in range(rounds):
         table = spark.createDataFrame([tuple(r[k] for k in [*keys, "lo", "hi"]) for r in current], schema)
-        scores = evaluate_grid(data, F.broadcast(table), keys, loglik, True, points)
+        scores = evaluate_grid(data, F.broadcast(table), keys, score, True, points)
         current = [r.asDict() for r in narrow(scores, table, keys, points).collect()]
     return [
         {**{k: r[k] for k in keys}, "value": math.exp(min(max(r["best"], lo), hi)), "ll": r["ll"]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import likelihood
@@ -27,22 +27,23 @@ PURITY_RANGE = (1e-4, 1.0 - 1e-4)
 PURITY_ROUNDS = 5
 
 
-def mixed_loglik(theta: Column, settings: FitSettings) -> tuple[Column, Column]:
-    """Allele and depth log-likelihood of a row under purity ``theta``.
+def with_mixed_loglik(rows: DataFrame, theta: str, settings: FitSettings, name: str) -> DataFrame:
+    """Add the log-likelihood of a row under the purity column ``theta``.
 
-    Dispersions stay at their upper bounds in this model.
+    Dispersions stay at their upper bounds in this model. See
+    :func:`cell_model.with_loglik` for the form of the switches.
     """
-    c = F.col
-    tau, size = F.lit(settings.tau_bounds[1]), F.lit(settings.invphi_bounds[1])
-    p = likelihood.purity_baf(c("baf"), c("rdr"), theta)
-    allele = c("bb_const") + likelihood.bb_offset(tau, p) + likelihood.bb_data_term(c("b"), c("n"), tau, p)
-    mean = likelihood.nb_mean(likelihood.purity_mean(c("total"), c("lambda"), c("rdr"), theta))
-    total = c("nb_const") + likelihood.nb_offset(size) + likelihood.nb_data_term(c("x"), mean, size)
-    zero = F.lit(0.0)
-    return (
-        F.when(c("use_allele") & (c("n") > 0), allele).otherwise(zero),
-        F.when(c("use_total"), total).otherwise(zero),
-    )
+    tau, size = f"{settings.tau_bounds[1]!r}D", f"{settings.invphi_bounds[1]!r}D"
+    staged = rows.withColumns({
+        "_p": F.expr(likelihood.purity_baf("baf", "rdr", theta)),
+        "_mu": F.expr(likelihood.nb_mean(likelihood.purity_mean("total", "lambda", "rdr", theta))),
+    })
+    allele = f"bb_const + {likelihood.bb_offset(tau, '_p')} + {likelihood.bb_data_term('b', 'n', tau, '_p')}"
+    total = f"nb_const + {likelihood.nb_offset(size)} + {likelihood.nb_data_term('x', '_mu', size)}"
+    return staged.withColumn(name, F.expr(
+        f"coalesce({allele}, 0D) * CAST(use_allele AND n > 0 AS INT)"
+        f" + coalesce({total}, 0D) * CAST(use_total AS INT)"
+    ))
 
 
 def spot_groups(obs: DataFrame, profile: DataFrame, lam: DataFrame, settings: FitSettings) -> DataFrame:
@@ -64,11 +65,10 @@ def purity_rows(obs: DataFrame, groups: DataFrame) -> DataFrame:
 def purity_scores(rows: DataFrame, bounds: DataFrame, settings: FitSettings) -> DataFrame:
     """One grid round: summed log-likelihood per spot and grid point."""
 
-    def both(theta: Column) -> Column:
-        allele, total = mixed_loglik(theta, settings)
-        return allele + total
+    def score(df: DataFrame) -> DataFrame:
+        return with_mixed_loglik(df, "_value", settings, "_ll")
 
-    return solver.evaluate_grid(rows, bounds, SPOT, both, log_scale=False)
+    return solver.evaluate_grid(rows, bounds, SPOT, score, log_scale=False)
 
 
 def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) -> DataFrame:
@@ -90,12 +90,12 @@ def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) ->
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
     side = groups.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total")
     rows = obs.join(theta, SPOT).join(F.broadcast(side) if is_small(side) else side, GROUP)
-    allele, total = mixed_loglik(F.col("theta"), settings)
-    sums = rows.groupBy(*CELL, "k").agg(F.sum(allele + total).alias("ll"))
-    scored = sums.join(F.broadcast(mixture), [*RUN, "k"]).select(
+    scored = with_mixed_loglik(rows, "theta", settings, "ll")
+    sums = scored.groupBy(*CELL, "k").agg(F.sum("ll").alias("ll"))
+    total = sums.join(F.broadcast(mixture), [*RUN, "k"]).select(
         *CELL, "k", (F.col("ll") + F.col("log_pi")).alias("ll")
     )
-    return cell_posteriors(scored)
+    return cell_posteriors(total)
 
 
 def fit_spots(

@@ -65,27 +65,26 @@ def _fixed(t: Inputs, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
 
 @query(f"SELECT p_partkey, round(lgamma(p_retailprice / 1000.0 + p_size), 6) + 0.0 AS lg, round(lgamma(p_size + 0.5) + lgamma(p_retailprice) - lgamma(p_size + 0.5 + p_retailprice), 6) + 0.0 AS lb FROM part")
 def log_gamma(t: Inputs) -> DataFrame:
-    p = t.raw("part")
-    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
-    return p.select(
-        "p_partkey", r6(special.lgamma(price / 1000.0 + size)).alias("lg"),
-        r6(special.lbeta(size + 0.5, price)).alias("lb"),
+    return t.raw("part").select(
+        "p_partkey", r6(F.expr(special.lgamma("p_retailprice / 1000D + p_size"))).alias("lg"),
+        r6(F.expr(special.lbeta("p_size + 0.5D", "p_retailprice"))).alias("lb"),
     )
 
 
-@query(_OBS + f"SELECT cell_id, group_id, k, round({_bb('50.0', 'baf')}, 6) + 0.0 AS ll FROM full_obs WHERE imbalanced")
+@query(_OBS + f"SELECT cell_id, group_id, k, round({_bb('50.0', 'baf')}, 4) + 0.0 AS ll FROM full_obs WHERE imbalanced")
 def bb_loglik(t: Inputs) -> DataFrame:
     rows = t.dense.join(F.broadcast(t.clones_long.filter("imbalanced")), "group_id")
-    b, n = F.col("b").cast("double"), (F.col("a") + F.col("b")).cast("double")
-    ll = likelihood.bb_logpmf(b, n, F.lit(TAU), F.col("baf"))
-    return rows.select("cell_id", F.col("group_id").cast("bigint").alias("group_id"), "k", r6(ll).alias("ll"))
+    rows = rows.withColumns({"n": (F.col("a") + F.col("b")).cast("double"), "b": F.col("b").cast("double")})
+    ll = F.expr(likelihood.bb_logpmf("b", "n", f"{TAU}D", "baf"))
+    return rows.select("cell_id", F.col("group_id").cast("bigint").alias("group_id"), "k", r6(ll, 4).alias("ll"))
 
 
 @query(_OBS + f"SELECT cell_id, group_id, k, round({_nb('30.0', 'greatest(total * props, 1e-12)')}, 6) + 0.0 AS ll FROM full_obs WHERE aneuploid AND lam_g > 0")
 def nb_loglik(t: Inputs) -> DataFrame:
     side = t.clone_depth.filter("aneuploid AND lambda > 0").select("group_id", "k", "props")
     rows = t.dense_depth.join(F.broadcast(side), "group_id")
-    ll = likelihood.nb_logpmf(F.col("x").cast("double"), F.col("total") * F.col("props"), F.lit(SIZE))
+    rows = rows.withColumns({"x": F.col("x").cast("double"), "mu": F.expr(likelihood.nb_mean("total * props"))})
+    ll = F.expr(likelihood.nb_logpmf("x", "mu", f"{SIZE}D"))
     return rows.select("cell_id", F.col("group_id").cast("bigint").alias("group_id"), "k", r6(ll).alias("ll"))
 
 
@@ -94,19 +93,20 @@ _PHAT = f"greatest(1e-12, least(1 - 1e-12, (baf * rdr * {_THETA} + 0.5 * (1 - {_
 _MHAT = f"greatest(total * lam_g * ({_THETA} * rdr + 1 - {_THETA}), 1e-12)"
 
 
-@query(_OBS + f", p AS (SELECT *, {_PHAT} AS ph, {_MHAT} AS mh FROM full_obs WHERE k >= 1) SELECT cell_id, group_id, k, round({_bb('50.0', 'ph')}, 6) + 0.0 AS ll_allele, round({_nb('30.0', 'mh')}, 6) + 0.0 AS ll_total FROM p")
+@query(_OBS + f", p AS (SELECT *, {_PHAT} AS ph, {_MHAT} AS mh FROM full_obs WHERE k >= 1) SELECT cell_id, group_id, k, round({_bb('50.0', 'ph')}, 5) + 0.0 AS ll_allele, round({_nb('30.0', 'mh')}, 5) + 0.0 AS ll_total FROM p")
 def purity_loglik(t: Inputs) -> DataFrame:
     theta = 0.05 + (F.col("cell_id") % 10) / 11.0
     side = t.clone_depth.filter("k >= 1").select("group_id", "k", "baf", "rdr")
-    rows = t.dense_depth.join(F.broadcast(side), "group_id").withColumns({
-        "p": likelihood.purity_baf(F.col("baf"), F.col("rdr"), theta),
-        "mu": likelihood.purity_mean(F.col("total"), F.col("lambda"), F.col("rdr"), theta),
+    rows = t.dense_depth.withColumn("theta", theta).join(F.broadcast(side), "group_id").withColumns({
+        "n": (F.col("a") + F.col("b")).cast("double"), "b": F.col("b").cast("double"),
+        "x": F.col("x").cast("double"),
+        "p": F.expr(likelihood.purity_baf("baf", "rdr", "theta")),
+        "mu": F.expr(likelihood.nb_mean(likelihood.purity_mean("total", "lambda", "rdr", "theta"))),
     })
-    b, n = F.col("b").cast("double"), (F.col("a") + F.col("b")).cast("double")
     return rows.select(
         "cell_id", F.col("group_id").cast("bigint").alias("group_id"), "k",
-        r6(likelihood.bb_logpmf(b, n, F.lit(TAU), F.col("p"))).alias("ll_allele"),
-        r6(likelihood.nb_logpmf(F.col("x").cast("double"), F.col("mu"), F.lit(SIZE))).alias("ll_total"),
+        r6(F.expr(likelihood.bb_logpmf("b", "n", f"{TAU}D", "p")), 5).alias("ll_allele"),
+        r6(F.expr(likelihood.nb_logpmf("x", "mu", f"{SIZE}D")), 5).alias("ll_total"),
     )
 
 
@@ -169,7 +169,7 @@ def assignment_entropy(t: Inputs) -> DataFrame:
 
 
 # the grid of one round: even in log scale between the default bounds
-_GRID = "grid AS (SELECT i, ln(1e-6) + (ln(1e6) - ln(1e-6)) * i / 32.0 AS at FROM range(33) r(i))"
+_GRID = "grid AS (SELECT i, ln(1e-6) + (ln(1e6) - ln(1e-6)) * i / 32.0 AS pt FROM range(33) r(i))"
 
 
 def _assigned(t: Inputs, settings: FitSettings) -> DataFrame:
@@ -192,8 +192,8 @@ def _grid_round(data: DataFrame, loglik) -> DataFrame:
 
 _ASSIGNED = """, mine AS (SELECT f.* FROM full_obs f JOIN cells c USING (cell_id) WHERE f.clone = c.label)"""
 # the offset part of the log-probability is left out of the sums on both sides where it is constant
-_TAU_TERM = "(CASE WHEN n > 0 THEN lgamma(b + exp(at) * baf) + lgamma(n - b + exp(at) * (1 - baf)) - lgamma(n + exp(at)) + lgamma(exp(at)) - lgamma(exp(at) * baf) - lgamma(exp(at) * (1 - baf)) ELSE 0 END)"
-_PHI_TERM = "(lgamma(x + exp(at)) - lgamma(exp(at)) + exp(at) * ln(exp(at) / (exp(at) + greatest(total * props, 1e-12))) + x * ln(greatest(total * props, 1e-12) / (exp(at) + greatest(total * props, 1e-12))))"
+_TAU_TERM = "(CASE WHEN n > 0 THEN lgamma(b + exp(pt) * baf) + lgamma(n - b + exp(pt) * (1 - baf)) - lgamma(n + exp(pt)) + lgamma(exp(pt)) - lgamma(exp(pt) * baf) - lgamma(exp(pt) * (1 - baf)) ELSE 0 END)"
+_PHI_TERM = "(lgamma(x + exp(pt)) - lgamma(exp(pt)) + exp(pt) * ln(exp(pt) / (exp(pt) + greatest(total * props, 1e-12))) + x * ln(greatest(total * props, 1e-12) / (exp(pt) + greatest(total * props, 1e-12))))"
 
 
 def _grid_sql(state: str, where: str, term: str) -> str:
@@ -210,33 +210,32 @@ def _grid_query(t: Inputs, settings: FitSettings, stats, loglik) -> DataFrame:
 
 @query(_grid_sql("'*'", "imbalanced", _TAU_TERM))
 def tau_grid_round(t: Inputs) -> DataFrame:
-    return _grid_query(t, FitSettings(), cell_model.tau_statistics, cell_model.tau_loglik)
+    return _grid_query(t, FitSettings(), cell_model.tau_statistics, cell_model.tau_score)
 
 
 @query(_grid_sql("cn_a || '|' || cn_b", "true", _TAU_TERM))
 def tau_grid_by_state(t: Inputs) -> DataFrame:
     settings = FitSettings(share_dispersion=False)
-    return _grid_query(t, settings, cell_model.tau_statistics, cell_model.tau_loglik)
+    return _grid_query(t, settings, cell_model.tau_statistics, cell_model.tau_score)
 
 
 @query(_grid_sql("'*'", "aneuploid AND lam_g > 0", _PHI_TERM))
 def invphi_grid_round(t: Inputs) -> DataFrame:
-    return _grid_query(t, FitSettings(), cell_model.invphi_statistics, cell_model.invphi_loglik)
+    return _grid_query(t, FitSettings(), cell_model.invphi_statistics, cell_model.invphi_score)
 
 
 @query(_grid_sql("cn_a || '|' || cn_b", "lam_g > 0", _PHI_TERM))
 def invphi_grid_by_state(t: Inputs) -> DataFrame:
     settings = FitSettings(share_dispersion=False)
-    return _grid_query(t, settings, cell_model.invphi_statistics, cell_model.invphi_loglik)
+    return _grid_query(t, settings, cell_model.invphi_statistics, cell_model.invphi_score)
 
 
-_TH = "at"
-_PHAT2 = "greatest(1e-12, least(1 - 1e-12, (baf * rdr * at + 0.5 * (1 - at)) / greatest(rdr * at + 1 - at, 1e-12)))"
-_MHAT2 = "greatest(total * lam_g * (at * rdr + 1 - at), 1e-12)"
+_PHAT2 = "greatest(1e-12, least(1 - 1e-12, (baf * rdr * pt + 0.5 * (1 - pt)) / greatest(rdr * pt + 1 - pt, 1e-12)))"
+_MHAT2 = "greatest(total * lam_g * (pt * rdr + 1 - pt), 1e-12)"
 
 
-@query(_OBS + f""", grid AS (SELECT i, 1e-4 + (1.0 - 2e-4) * i / 32.0 AS at FROM range(33) r(i)),
-  p AS (SELECT cell_id, i, at, x, b, n, imbalanced, aneuploid, {_PHAT2} AS ph, {_MHAT2} AS mh FROM full_obs CROSS JOIN grid
+@query(_OBS + f""", grid AS (SELECT i, 1e-4 + (1.0 - 2e-4) * i / 32.0 AS pt FROM range(33) r(i)),
+  p AS (SELECT cell_id, i, pt, x, b, n, imbalanced, aneuploid, {_PHAT2} AS ph, {_MHAT2} AS mh FROM full_obs CROSS JOIN grid
     WHERE k = 1 AND NOT subclonal AND (imbalanced OR aneuploid) AND lam_g > 0)
   SELECT cell_id, CAST(i AS INTEGER) AS i, round(sum(CASE WHEN imbalanced AND n > 0 THEN {_bb('50.0', 'ph')} ELSE 0 END + CASE WHEN aneuploid THEN {_nb('30.0', 'mh')} ELSE 0 END), 5) + 0.0 AS ll
   FROM p GROUP BY 1, 2""")
