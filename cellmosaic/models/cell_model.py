@@ -23,6 +23,7 @@ from cellmosaic.models.common import (
     FitSettings,
     cell_posteriors,
     em_clones,
+    clone_sets,
     mixture_table,
     posterior_of,
     prepare_observations,
@@ -118,13 +119,11 @@ def loglik_sums(obs: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFr
     """Score of every cell and clone: likelihood over informative groups plus log pi."""
     wanted = [
         *GROUP, "k", "baf", "props", "tau", "inv_phi", "bb_offset", "nb_offset",
-        "use_allele", "use_total",
+        "use_allele", "use_total", "log_pi",
     ]
-    rows = attach_groups(obs, params.select(*wanted))
-    sums = with_loglik(rows).groupBy(*CELL, "k").agg(F.sum("ll").alias("ll"))
-    return sums.join(F.broadcast(mixture), [*RUN, "k"]).select(
-        *CELL, "k", (F.col("ll") + F.col("log_pi")).alias("ll")
-    )
+    tagged = params.join(F.broadcast(mixture), [*RUN, "k"])
+    rows = attach_groups(obs, tagged.select(*wanted))
+    return with_loglik(rows).groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
 
 
 def posteriors(obs: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -192,32 +191,32 @@ def m_step(
     if settings.uses_allele and settings.update_tau:
         stats = tau_statistics(rows, settings).persist()
         tau = solver.maximise(
-            stats, [*ASSAY, "state"], tau_score, settings.tau_bounds, settings.grid_rounds
+            stats, [*ASSAY, "state"], tau_score, settings.tau_bounds,
+            settings.grid_rounds, settings.grid_points,
         )
         stats.unpersist()
     if settings.uses_total and settings.update_invphi:
         stats = invphi_statistics(rows, settings).persist()
         phi = solver.maximise(
-            stats, [*ASSAY, "state"], invphi_score, settings.invphi_bounds, settings.grid_rounds
+            stats, [*ASSAY, "state"], invphi_score, settings.invphi_bounds,
+            settings.grid_rounds, settings.grid_points,
         )
         stats.unpersist()
     return tau, phi
 
 
-def mixture_weights(calls: DataFrame, groups: DataFrame) -> dict[tuple[str, int], float]:
+def mixture_weights(calls: DataFrame, clones: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
     """Share of cells per clone, uniform for a run without cells."""
-    counts = calls.groupBy(*RUN, F.col("z").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    ks = groups.select(*RUN, "k").distinct()
-    rows = ks.join(counts, [*RUN, "k"], "left").collect()
+    rows = calls.groupBy(*RUN, "z").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {(r["run_id"], r["z"]): r["n"] for r in rows}
     totals: dict[str, list[int]] = {}
-    for r in rows:
-        entry = totals.setdefault(r["run_id"], [0, 0])
-        entry[0] += r["n"] or 0
+    for run, k in clones:
+        entry = totals.setdefault(run, [0, 0])
+        entry[0] += sizes.get((run, k), 0)
         entry[1] += 1
     return {
-        (r["run_id"], r["k"]): (r["n"] or 0) / totals[r["run_id"]][0]
-        if totals[r["run_id"]][0] else 1.0 / totals[r["run_id"]][1]
-        for r in rows
+        (run, k): sizes.get((run, k), 0) / totals[run][0] if totals[run][0] else 1.0 / totals[run][1]
+        for run, k in clones
     }
 
 
@@ -286,13 +285,14 @@ def _fit_loop(
     spark = obs.sparkSession
     groups = durable(static_groups(obs, profile, settings, lam))
     check_informative(groups, settings)
+    clones = clone_sets(groups)
     tau: list[dict] = []
     phi: list[dict] = []
     weights: dict | None = None
 
     def e_step() -> tuple[DataFrame, dict[str, float]]:
         table = with_dispersion(groups, _dispersion_table(spark, tau, phi), settings)
-        calls = posteriors(obs, table, mixture_table(spark, weights, groups)).persist()
+        calls = posteriors(obs, table, mixture_table(spark, clones, weights)).persist()
         rows = calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")).collect()
         return calls, {r["run_id"]: r["ll"] for r in rows}
 
@@ -307,8 +307,8 @@ def _fit_loop(
         live = F.col("run_id").isin(sorted(active))
         rows, called = (obs.filter(live), calls.filter(live)) if some else (obs, calls)
         if settings.update_pi:
-            fresh = mixture_weights(called, groups.filter(live))
-            weights = {**(weights or mixture_weights(calls, groups)), **fresh}
+            fresh = mixture_weights(called, [c for c in clones if c[0] in active])
+            weights = {**(weights or mixture_weights(calls, clones)), **fresh}
         new_tau, new_phi = m_step(rows, called, groups, settings, (tau, phi))
         tau, phi = _merge(tau, new_tau, active), _merge(phi, new_phi, active)
         after, score = e_step()

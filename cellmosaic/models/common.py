@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -33,7 +34,8 @@ class FitSettings:
     share_dispersion: bool = True
     allele_mask: str = "imbalanced"
     total_mask: str = "aneuploid"
-    grid_rounds: int = 6
+    grid_rounds: int = 3
+    grid_points: int = 65
     assays: tuple[str, ...] = ("gex", "atac")
 
     def with_(self, **changes) -> FitSettings:
@@ -145,13 +147,17 @@ def wide_annotations(fit: Fit, clones: Sequence[str], label: str = "label") -> D
     )
 
 
-def mixture_table(spark, weights: dict[tuple[str, int], float] | None, long: DataFrame) -> DataFrame:
+def clone_sets(groups: DataFrame) -> list[tuple[str, int]]:
+    """The EM clones of every run; a few rows."""
+    return [(r["run_id"], r["k"]) for r in groups.select(*RUN, "k").distinct().collect()]
+
+
+def mixture_table(spark, clones: Sequence[tuple[str, int]], weights: dict[tuple[str, int], float] | None) -> DataFrame:
     """``log_pi`` per run and clone; uniform without weights."""
-    ks = long.select(*RUN, "k").distinct()
-    if weights is None:
-        sizes = ks.groupBy(*RUN).agg(F.count(F.lit(1)).alias("_n"))
-        pi = ks.join(sizes, RUN).withColumn("pi", 1.0 / F.col("_n"))
-    else:
-        rows = [(run, k, float(v)) for (run, k), v in weights.items()]
-        pi = spark.createDataFrame(rows, "run_id string, k int, pi double")
-    return pi.select(*RUN, "k", F.log(F.greatest("pi", F.lit(1e-30))).alias("log_pi"))
+    sizes: dict[str, int] = {}
+    for run, _ in clones:
+        sizes[run] = sizes.get(run, 0) + 1
+    rows = [
+        (run, k, math.log(max(weights[run, k] if weights else 1.0 / sizes[run], 1e-30))) for run, k in clones
+    ]
+    return spark.createDataFrame(rows, "run_id string, k int, log_pi double")

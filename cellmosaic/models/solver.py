@@ -1,8 +1,9 @@
 """One-dimensional maximum likelihood for many keys at once.
 
-Each round evaluates a small grid for every key in one distributed aggregate and
-then narrows each key's interval around its best point. Grids are spaced evenly in
-log scale for dispersions and evenly for purities.
+Each round evaluates a grid for every key in one distributed aggregate and then
+narrows each key's interval around its best point; a parabola through the last
+three points ends the search. Grids are even in log scale for dispersions and even
+for purities.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-POINTS = 33
+Score = Callable[[DataFrame], DataFrame]
 
 
-def grid_rows(lo: Column, hi: Column, points: int = POINTS) -> Column:
+def grid_rows(lo: Column, hi: Column, points: int) -> Column:
     """``(i, at)`` structs of an even grid on [lo, hi]."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(points - 1)),
@@ -25,46 +26,64 @@ def grid_rows(lo: Column, hi: Column, points: int = POINTS) -> Column:
 
 
 def evaluate_grid(
-    data: DataFrame,
-    bounds: DataFrame,
-    keys: Sequence[str],
-    score: Callable[[DataFrame], DataFrame],
-    log_scale: bool,
-    points: int = POINTS,
+    data: DataFrame, bounds: DataFrame, keys: Sequence[str], score: Score, log_scale: bool, points: int
 ) -> DataFrame:
     """Summed log-likelihood per key and grid point: ``(.., i, at, ll)``.
 
-    ``score`` adds ``_ll`` from the parameter column ``_value``. ``bounds`` has ``lo``/``hi`` per key on the search scale and few rows.
+    ``score`` adds ``_ll`` from the parameter column ``_value``. ``bounds`` has
+    ``lo`` and ``hi`` per key on the search scale.
     """
     grid = bounds.select(*keys, F.explode(grid_rows(F.col("lo"), F.col("hi"), points)).alias("_g"))
     grid = grid.select(*keys, F.col("_g.i").alias("i"), F.col("_g.at").alias("at"))
-    value = F.exp(F.col("at")) if log_scale else F.col("at")
+    value = F.exp("at") if log_scale else F.col("at")
     rows = data.join(grid, list(keys)).withColumn("_value", value)
     return score(rows).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
 
 
-def narrow(scores: DataFrame, bounds: DataFrame, keys: Sequence[str], points: int = POINTS) -> DataFrame:
-    """Bounds one grid step around the best point (the first on ties)."""
-    best = scores.groupBy(*keys).agg(
-        F.max_by("at", F.struct(F.col("ll"), -F.col("i"))).alias("best"), F.max("ll").alias("ll")
+def best_point(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best grid point per key (the first on ties) with its neighbours: ``(.., best,
+    step, left, ll, right)``; a neighbour outside the grid is NULL."""
+    packed = F.array_sort(F.collect_list(F.struct("i", "at", "ll"))).alias("_g")
+    top = scores.groupBy(*keys).agg(
+        packed, F.max_by("i", F.struct(F.col("ll"), -F.col("i"))).alias("_i")
     )
-    step = (F.col("hi") - F.col("lo")) / F.lit(points - 1.0)
-    joined = bounds.select(*keys, "lo", "hi").join(best, list(keys))
+
+    def at(shift: int) -> Column:
+        return F.get("_g", F.col("_i") + shift)
+
+    return top.select(
+        *keys, at(0)["at"].alias("best"), (F.get("_g", F.lit(1))["at"] - F.get("_g", F.lit(0))["at"]).alias("step"),
+        at(-1)["ll"].alias("left"), at(0)["ll"].alias("ll"), at(1)["ll"].alias("right"),
+    )
+
+
+def narrow(scores: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bounds one grid step around the best point, inside the old bounds."""
+    joined = bounds.select(*keys, "lo", "hi").join(best_point(scores, keys), list(keys))
     return joined.select(
         *keys,
-        F.greatest("lo", F.col("best") - step).alias("lo"),
-        F.least("hi", F.col("best") + step).alias("hi"),
-        "best", "ll",
+        F.greatest("lo", F.col("best") - F.col("step")).alias("lo"),
+        F.least("hi", F.col("best") + F.col("step")).alias("hi"),
+        "best", "step", "left", "ll", "right",
     )
 
 
+def vertex(best: Column, step: Column, left: Column, mid: Column, right: Column) -> Column:
+    """Maximum of the parabola through three even points; the middle one if it is flat."""
+    bend = left - 2 * mid + right
+    moved = best + step * (left - right) / (2 * bend)
+    return F.when(bend < 0, moved).otherwise(best)
+
+
+def _vertex(r: dict) -> float:
+    left, mid, right = r["left"], r["ll"], r["right"]
+    if left is None or right is None or not left - 2 * mid + right < 0:
+        return r["best"]
+    return r["best"] + r["step"] * (left - right) / (2 * (left - 2 * mid + right))
+
+
 def maximise(
-    data: DataFrame,
-    keys: Sequence[str],
-    score: Callable[[DataFrame], DataFrame],
-    bounds: tuple[float, float],
-    rounds: int,
-    points: int = POINTS,
+    data: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], rounds: int, points: int
 ) -> list[dict]:
     """Best parameter per key, as rows with the keys, ``value`` and ``ll``.
 
@@ -74,17 +93,25 @@ def maximise(
     keys = list(keys)
     spark = data.sparkSession
     lo, hi = math.log(bounds[0]), math.log(bounds[1])
-    found = data.select(*keys).distinct().collect()
-    current = [{**r.asDict(), "lo": lo, "hi": hi} for r in found]
+    # the first grid is the same for all keys, so the keys need not be known yet
+    first = [(i, lo + (hi - lo) * i / (points - 1)) for i in range(points)]
+    literal = F.expr("explode(array(" + ", ".join(f"struct({i} AS i, {at!r}D AS at)" for i, at in first) + "))")
+    rows = data.withColumn("_g", literal).withColumns({"i": F.col("_g.i"), "at": F.col("_g.at")}).drop("_g")
+    scores = score(rows.withColumn("_value", F.exp("at"))).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
+    current = [r.asDict() for r in best_point(scores, keys).collect()]
     if not current:
         return []
     types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["lo double", "hi double"])
-    for _ in range(rounds):
-        table = spark.createDataFrame([tuple(r[k] for k in [*keys, "lo", "hi"]) for r in current], schema)
+    for _ in range(rounds - 1):
+        ends = [
+            (*[r[k] for k in keys], max(lo, r["best"] - r["step"]), min(hi, r["best"] + r["step"]))
+            for r in current
+        ]
+        table = spark.createDataFrame(ends, schema)
         scores = evaluate_grid(data, F.broadcast(table), keys, score, True, points)
-        current = [r.asDict() for r in narrow(scores, table, keys, points).collect()]
+        current = [r.asDict() for r in best_point(scores, keys).collect()]
     return [
-        {**{k: r[k] for k in keys}, "value": math.exp(min(max(r["best"], lo), hi)), "ll": r["ll"]}
+        {**{k: r[k] for k in keys}, "value": math.exp(min(max(_vertex(r), lo), hi)), "ll": r["ll"]}
         for r in current
     ]

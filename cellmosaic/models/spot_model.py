@@ -14,6 +14,7 @@ from cellmosaic.models.common import (
     Fit,
     FitSettings,
     cell_posteriors,
+    clone_sets,
     mixture_table,
     partition_count,
     prepare_observations,
@@ -24,7 +25,8 @@ from cellmosaic.session import durable
 ASSAY = ["run_id", "assay"]
 SPOT = ["run_id", "assay", "cell_id"]
 PURITY_RANGE = (1e-4, 1.0 - 1e-4)
-PURITY_ROUNDS = 5
+PURITY_ROUNDS = 3
+PURITY_POINTS = 33
 
 
 def with_mixed_loglik(rows: DataFrame, theta: str, settings: FitSettings, name: str) -> DataFrame:
@@ -68,7 +70,7 @@ def purity_scores(rows: DataFrame, bounds: DataFrame, settings: FitSettings) ->
     def score(df: DataFrame) -> DataFrame:
         return with_mixed_loglik(df, "_value", settings, "_ll")
 
-    return solver.evaluate_grid(rows, bounds, SPOT, score, log_scale=False)
+    return solver.evaluate_grid(rows, bounds, SPOT, score, False, PURITY_POINTS)
 
 
 def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) -> DataFrame:
@@ -83,19 +85,18 @@ def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) ->
     bounds = rows.select(*SPOT).distinct().withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
     for _ in range(PURITY_ROUNDS):
         bounds = solver.narrow(purity_scores(rows, bounds, settings), bounds, SPOT)
-    found = bounds.select(*SPOT, F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("best"))).alias("theta"))
+    peak = solver.vertex(*[F.col(c) for c in ("best", "step", "left", "ll", "right")])
+    found = bounds.select(*SPOT, F.greatest(F.lit(lo), F.least(F.lit(hi), peak)).alias("theta"))
     return spots.join(found, SPOT, "left").withColumn("theta", F.coalesce("theta", F.lit(0.5)))
 
 
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
-    side = groups.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total")
+    tagged = groups.join(F.broadcast(mixture), [*RUN, "k"])
+    side = tagged.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total", "log_pi")
     rows = obs.join(theta, SPOT).join(F.broadcast(side) if is_small(side) else side, GROUP)
     scored = with_mixed_loglik(rows, "theta", settings, "ll")
-    sums = scored.groupBy(*CELL, "k").agg(F.sum("ll").alias("ll"))
-    total = sums.join(F.broadcast(mixture), [*RUN, "k"]).select(
-        *CELL, "k", (F.col("ll") + F.col("log_pi")).alias("ll")
-    )
-    return cell_posteriors(total)
+    sums = scored.groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
+    return cell_posteriors(sums)
 
 
 def fit_spots(
@@ -118,11 +119,12 @@ def fit_spots(
     cell_model.check_informative(groups, settings)
     theta = durable(estimate_purity(obs, groups, settings))
     theta = theta.repartition(partition_count(spark, partitions), *CELL).persist()
+    clones = clone_sets(groups)
     weights: dict | None = None
     trace: list[dict] = []
 
     def e_step() -> tuple[DataFrame, dict[str, float]]:
-        calls = spot_posteriors(obs, groups, theta, mixture_table(spark, weights, groups), settings).persist()
+        calls = spot_posteriors(obs, groups, theta, mixture_table(spark, clones, weights), settings).persist()
         rows = calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")).collect()
         return calls, {r["run_id"]: r["ll"] for r in rows}
 
@@ -131,7 +133,7 @@ def fit_spots(
     trace.extend({"iter": 1, "run_id": r, "ll": v} for r, v in score.items())
     last = score
     for t in range(2, settings.niters if settings.update_pi else 2):
-        weights = cell_model.mixture_weights(calls, groups)
+        weights = cell_model.mixture_weights(calls, clones)
         after, score = e_step()
         calls.unpersist()
         calls = after

@@ -63,6 +63,10 @@ def _fixed(t: Inputs, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
     return obs, cell_model.with_dispersion(groups, table, settings)
 
 
+def _uniform(t: Inputs, groups: DataFrame) -> DataFrame:
+    return common.mixture_table(t.spark, common.clone_sets(groups), None)
+
+
 @query(f"SELECT p_partkey, round(lgamma(p_retailprice / 1000.0 + p_size), 6) + 0.0 AS lg, round(lgamma(p_size + 0.5) + lgamma(p_retailprice) - lgamma(p_size + 0.5 + p_retailprice), 6) + 0.0 AS lb FROM part")
 def log_gamma(t: Inputs) -> DataFrame:
     return t.raw("part").select(
@@ -124,7 +128,7 @@ _LL = f"""ll AS (SELECT cell_id, k, sum(CASE WHEN imbalanced AND n > 0 THEN {_bb
 def posterior_fixed_params(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, common.mixture_table(t.spark, None, params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params))
     return calls.select(
         "cell_id", *[r6(common.posterior_of(k)).alias(c) for k, c in enumerate(CLONES)],
         r6(F.col("max_posterior")).alias("max_posterior"),
@@ -140,7 +144,7 @@ def spot_posterior_fixed(t: Inputs) -> DataFrame:
     obs = _observations(t)
     groups = spot_model.spot_groups(obs, _profile(t), _baseline(t), settings)
     theta = obs.select("run_id", "assay", "cell_id").distinct().withColumn("theta", 0.05 + (F.col("cell_id") % 10) / 11.0)
-    calls = spot_model.spot_posteriors(obs, groups, theta, common.mixture_table(t.spark, None, groups), settings)
+    calls = spot_model.spot_posteriors(obs, groups, theta, _uniform(t, groups), settings)
     return calls.select("cell_id", r6(common.posterior_of(1)).alias("clone1"), r6(F.col("best_ll"), 5).alias("best_ll"))
 
 
@@ -151,7 +155,7 @@ def spot_posterior_fixed(t: Inputs) -> DataFrame:
 def loglik_by_state(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, common.mixture_table(t.spark, None, params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params))
     out = cell_model.loglik_by_state(obs, params, calls)
     return out.select("clone", "cn_a", "cn_b", r6(F.col("ll"), 3).alias("ll"), "n_groups")
 
@@ -161,7 +165,7 @@ def loglik_by_state(t: Inputs) -> DataFrame:
 def assignment_entropy(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, common.mixture_table(t.spark, None, params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params))
     return calls.agg(
         r6(F.avg(special.entropy(F.col("clone_post")))).alias("mean_entropy"),
         r6(F.sum("best_ll"), 3).alias("objective"),
@@ -187,7 +191,7 @@ def _grid_round(data: DataFrame, loglik) -> DataFrame:
     keys = ["run_id", "assay", "state"]
     ends = {"lo": F.lit(math.log(1e-6)), "hi": F.lit(math.log(1e6))}
     bounds = data.select(*keys).distinct().withColumns(ends)
-    return solver.evaluate_grid(data, bounds, keys, loglik, log_scale=True)
+    return solver.evaluate_grid(data, bounds, keys, loglik, True, 33)
 
 
 _ASSIGNED = """, mine AS (SELECT f.* FROM full_obs f JOIN cells c USING (cell_id) WHERE f.clone = c.label)"""
