@@ -117,12 +117,13 @@ def chromosome_gaps(regions: DataFrame, offsets: DataFrame, by: Sequence[str] =
     """Uncovered stretches: before, between and after the regions of a chromosome."""
     key = [*by, "chrom"]
     w = Window.partitionBy(*key).orderBy("start_bp", "end_bp")
-    joined = regions.join(offsets.select(*key, "size_bp", "offset"), key)
-    previous = F.coalesce(F.lag("end_bp").over(w), F.lit(0))
-    tail = F.when(F.lead("start_bp").over(w).isNull(), F.struct(
+    joined = regions.join(offsets.select(*key, "size_bp", "offset"), key).withColumns({
+        "_before": F.coalesce(F.lag("end_bp").over(w), F.lit(0)), "_next": F.lead("start_bp").over(w),
+    })
+    tail = F.when(F.col("_next").isNull(), F.struct(
         F.col("end_bp").alias("lo"), F.col("size_bp").alias("hi")
     ))
-    head = F.struct(previous.alias("lo"), F.col("start_bp").alias("hi"))
+    head = F.struct(F.col("_before").alias("lo"), F.col("start_bp").alias("hi"))
     spans = joined.select(*key, "offset", F.explode(F.array_compact(F.array(head, tail))).alias("_g"))
     return spans.filter(F.col("_g.lo") < F.col("_g.hi")).select(
         *key, (F.col("_g.lo") + F.col("offset")).alias("gap_start"),

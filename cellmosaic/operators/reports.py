@@ -22,7 +22,11 @@ def histogram(
     by = list(by)
     width = (hi - lo) / bins
     inside = df.withColumn("_v", value).filter((F.col("_v") >= lo) & (F.col("_v") <= hi))
-    index = F.least(F.floor((F.col("_v") - lo) / width), F.lit(bins - 1)).cast("int")
+    guess = F.floor((F.col("_v") - lo) / width)
+    # the division can miss an edge by one rounding step; the edges decide
+    up = (F.col("_v") >= F.lit(lo) + (guess + 1) * F.lit(width)).cast("int")
+    down = (F.col("_v") < F.lit(lo) + guess * F.lit(width)).cast("int")
+    index = F.least(guess + up - down, F.lit(bins - 1)).cast("int")
     counts = inside.groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     if by:
@@ -275,11 +279,11 @@ def label_slots(columns: Sequence[tuple[DataFrame, str, bool]], palette: int = 1
     """
     seen = None
     for i, (df, name, primary) in enumerate(columns):
-        value = F.col(name)
+        value = F.col("label")
         order = labels.clone_order(value) if primary else F.struct(
             F.lit(0).alias("kind"), F.lit(0).alias("number"), value.alias("text")
         )
-        part = df.select(value.alias("label")).distinct().select(
+        part = df.select(F.col(name).alias("label")).distinct().select(
             "label", F.struct(F.lit(i).alias("column"), order.alias("order")).alias("_at")
         )
         seen = part if seen is None else seen.unionByName(part)

@@ -7,6 +7,8 @@ from cellmosaic.plans import (  # noqa: F401
     metric_queries,
     model_queries,
     registry,
+    report_queries,
+    spatial_queries,
 )
 
 
