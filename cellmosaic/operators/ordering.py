@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellmosaic.session import durable
+
 BUCKETS = 64
 
 
@@ -38,14 +40,17 @@ def running_totals(
     prefix: Sequence[str] = (),
     ties: Sequence[str] = (),
     buckets: int = BUCKETS,
+    stored: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums in the order ``prefix``, ``value``, ``ties``.
 
     ``sums`` maps new column -> summed column. ``prefix`` are columns with few
     values, ``value`` is numeric, and all order columns together must be unique
-    within ``by``.
+    within ``by``. The input is read three times, so it is written out first unless
+    it is ``stored`` already.
     """
     by, prefix, ties = list(by), list(prefix), list(ties)
+    df = df if stored else durable(df)
     tagged = _with_bucket(df, by, value, buckets)
     group = [*by, *prefix, "_bucket"]
     totals = tagged.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -101,10 +106,10 @@ def exact_quantiles(
     to each quantile reach the last aggregate.
     """
     by = list(by)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("_n")
+    counted = durable(
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counted, value, {"_upto": "_n"}, by)
+    ranked = running_totals(counted, value, {"_upto": "_n"}, by, stored=True)
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
     ranked = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
     aggregates = []

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import labels
 from cellmosaic.operators import annotate, cells as cell_ops, depth, grouping, profile
 from cellmosaic.operators.joins import join_dim
+from cellmosaic.session import durable
 
 # fixed values: profile of a segment by (3 * chromosome + segment) modulo 5
 PROFILES = ["1|1;1|1;1|1", "1|1;1|0;1|0", "1|1;2|1;1|1", "1|1;2|0;2|0", "1|1;2|2;3|1"]
@@ -148,8 +149,12 @@ class Inputs:
 
     @cached_property
     def cluster_sums(self) -> DataFrame:
-        """Counts per copy-number cluster and cell."""
-        return grouping.sum_counts(self.lines, self.cluster_bins, ["cell_id"], bound=self.bins)
+        """Counts per copy-number cluster and cell.
+
+        The raw counts shrink to cells x clusters here; the sums are written out once
+        because later steps read them several times.
+        """
+        return durable(grouping.sum_counts(self.lines, self.cluster_bins, ["cell_id"], bound=self.bins))
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -176,13 +181,14 @@ class Inputs:
         return depth.clone_depth(self.clones_long, self.baseline)
 
     @cached_property
-    def dense_depth(self) -> DataFrame:
-        """Dense cluster counts with library size ``total`` and ``lambda``."""
-        from pyspark.sql import Window
+    def dense_total(self) -> DataFrame:
+        """Dense cluster counts with the library size ``total``."""
+        return self.dense.withColumn("total", F.sum("x").over(Window.partitionBy("cell_id")))
 
-        total = F.sum("x").over(Window.partitionBy("cell_id"))
-        tagged = self.dense.withColumn("total", total)
-        return join_dim(tagged, self.baseline, ["group_id"], ["cell_id"], bound=self.bins)
+    @cached_property
+    def dense_depth(self) -> DataFrame:
+        """Dense cluster counts with ``total`` and ``lambda``."""
+        return join_dim(self.dense_total, self.baseline, ["group_id"], ["cell_id"], bound=self.bins)
 
     @cached_property
     def excluded_cells(self) -> DataFrame:

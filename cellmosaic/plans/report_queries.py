@@ -108,7 +108,7 @@ def _labelled(t: Inputs) -> DataFrame:
     lam = share.join(F.broadcast(whole)).select("group_id", (F.col("_x") / F.col("_all")).alias("share"))
     masks = t.clusters.filter("imbalanced OR aneuploid").select("group_id", "imbalanced", "aneuploid")
     side = masks.join(lam, "group_id")
-    rows = join_dim(t.dense_depth.drop("lambda"), side, ["group_id"], ["cell_id"], bound=t.bins)
+    rows = join_dim(t.dense_total, side, ["group_id"], ["cell_id"], bound=t.bins)
     joined = join_dim(rows, tags, ["cell_id"], ["group_id"], bound=t.raw("customer"))
     return joined.withColumns({
         "n": F.col("a") + F.col("b"), "expected": F.col("total") * F.col("share"),
@@ -176,8 +176,8 @@ def label_shares(t: Inputs) -> DataFrame:
 
 
 @query("""v AS (SELECT label AS l, 0 AS c, CASE WHEN label = 'normal' THEN 0 WHEN label LIKE 'clone%' THEN 1 ELSE 2 END AS o FROM cells UNION SELECT cell_type, 1, 0 FROM cells UNION SELECT rep_id, 2, 0 FROM cells),
-  f AS (SELECT l, min((c, o, l)) AS at FROM v WHERE l NOT IN ('Doublet', 'doublet', 'Unknown', 'NA') AND lower(l) NOT LIKE 'normal%' GROUP BY l)
-  SELECT l AS label, CAST((row_number() OVER (ORDER BY at) - 1) % 10 AS INTEGER) AS slot FROM f""")
+  f AS (SELECT l, min((c, o, l)) AS first_at FROM v WHERE l NOT IN ('Doublet', 'doublet', 'Unknown', 'NA') AND lower(l) NOT LIKE 'normal%' GROUP BY l)
+  SELECT l AS label, CAST((row_number() OVER (ORDER BY first_at) - 1) % 10 AS INTEGER) AS slot FROM f""")
 def label_slots(t: Inputs) -> DataFrame:
     c = t.cells
     return reports.label_slots([(c, "label", True), (c, "cell_type", False), (c, "rep_id", False)])
