@@ -15,7 +15,7 @@ def lgamma(x: str) -> str:
     """log Gamma(x) for x > 0 as SQL text, NULL otherwise.
 
     ``x`` is SQL text. The argument is moved up by eight with the recurrence, where
-    four terms of the asymptotic series reach double precision. There is no branch,
+    five terms of the asymptotic series reach double precision. There is no branch,
     so the generated code computes shared parts once; the logarithm of x itself is
     NULL for x <= 0. Text is parsed in one step, which is far cheaper than building
     the same tree from column objects.
@@ -23,7 +23,7 @@ def lgamma(x: str) -> str:
     x = f"({x})"
     y = f"({x} + {_SHIFT}D)"
     inv2 = f"(1D / ({y} * {y}))"
-    series = f"(1D/12 - {inv2} * (1D/360 - {inv2} * (1D/1260 - {inv2} * (1D/1680)))) / {y}"
+    series = f"(1D/12 - {inv2} * (1D/360 - {inv2} * (1D/1260 - {inv2} * (1D/1680 - {inv2} * (1D/1188))))) / {y}"
     rising = " * ".join(f"({x} + {i}D)" for i in range(1, _SHIFT))
     return (
         f"(({y} - 0.5D) * ln({y}) - {y} + {_HALF_LOG_2PI!r}D + {series} - ln({x}) - ln({rising}))"
