@@ -61,7 +61,10 @@ def _all_positive(values: Column) -> Column:
 
 
 def masks(cn_a: Column, cn_b: Column, and_mask: Column | None = None) -> dict[str, Column]:
-    """Informative-row masks of a profile row; arrays run over clones, normal first."""
+    """Informative-row masks of a profile row; arrays run over clones, normal first.
+
+    Pass plain columns: the arrays are used inside lambdas, which must not nest.
+    """
     imbalanced = F.exists(F.zip_with(cn_a, cn_b, lambda a, b: a != b), lambda v: v)
     aneuploid = F.exists(F.zip_with(cn_a, cn_b, lambda a, b: (a + b) != 2), lambda v: v)
     ta, tb = _tumor(cn_a), _tumor(cn_b)

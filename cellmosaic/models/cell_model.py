@@ -29,7 +29,7 @@ from cellmosaic.models.common import (
     prepare_observations,
 )
 from cellmosaic.operators import depth
-from cellmosaic.operators.joins import is_small, join_dim
+from cellmosaic.operators.joins import few_rows, is_small, join_dim
 from cellmosaic.session import durable
 
 ASSAY = ["run_id", "assay"]
@@ -109,33 +109,36 @@ def with_loglik(rows: DataFrame) -> DataFrame:
     ))
 
 
-def attach_groups(obs: DataFrame, params: DataFrame) -> DataFrame:
-    """Counts with one row per clone; the parameter table is small unless proven not."""
-    side = F.broadcast(params) if is_small(params) else params
-    return obs.join(side, GROUP)
+def attach_groups(obs: DataFrame, params: DataFrame, on: list[str], small: bool | None = None) -> DataFrame:
+    """Join counts with a group table; broadcast if it is ``small``.
+
+    A broadcast keeps the counts partitioned by cell. Without a verdict the size
+    estimate decides.
+    """
+    fits = is_small(params) if small is None else small
+    return obs.join(F.broadcast(params) if fits else params, on)
 
 
-def loglik_sums(obs: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFrame:
+def loglik_sums(obs: DataFrame, params: DataFrame, mixture: DataFrame, small: bool | None = None) -> DataFrame:
     """Score of every cell and clone: likelihood over informative groups plus log pi."""
     wanted = [
         *GROUP, "k", "baf", "props", "tau", "inv_phi", "bb_offset", "nb_offset",
         "use_allele", "use_total", "log_pi",
     ]
     tagged = params.join(F.broadcast(mixture), [*RUN, "k"])
-    rows = attach_groups(obs, tagged.select(*wanted))
+    rows = attach_groups(obs, tagged.select(*wanted), GROUP, small)
     return with_loglik(rows).groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
 
 
-def posteriors(obs: DataFrame, params: DataFrame, mixture: DataFrame) -> DataFrame:
+def posteriors(obs: DataFrame, params: DataFrame, mixture: DataFrame, small: bool | None = None) -> DataFrame:
     """E-step."""
-    return cell_posteriors(loglik_sums(obs, params, mixture))
+    return cell_posteriors(loglik_sums(obs, params, mixture, small))
 
 
-def assigned_rows(obs: DataFrame, calls: DataFrame, groups: DataFrame) -> DataFrame:
+def assigned_rows(obs: DataFrame, calls: DataFrame, groups: DataFrame, small: bool | None = None) -> DataFrame:
     """Count rows with the parameters of the clone each cell is assigned to."""
     mine = obs.join(calls.select(*CELL, F.col("z").alias("k")), CELL)
-    side = F.broadcast(groups) if is_small(groups) else groups
-    return mine.join(side, [*GROUP, "k"])
+    return attach_groups(mine, groups, [*GROUP, "k"], small)
 
 
 def tau_statistics(rows: DataFrame, settings: FitSettings) -> DataFrame:
@@ -183,11 +186,11 @@ def _dispersion_table(spark, tau: list[dict], phi: list[dict]) -> DataFrame:
 
 def m_step(
     obs: DataFrame, calls: DataFrame, groups: DataFrame, settings: FitSettings,
-    previous: tuple[list[dict], list[dict]],
+    previous: tuple[list[dict], list[dict]], small: bool | None = None,
 ) -> tuple[list[dict], list[dict]]:
     """Dispersions of the assigned clones; a parameter not updated keeps its value."""
     tau, phi = previous
-    rows = assigned_rows(obs, calls, groups)
+    rows = assigned_rows(obs, calls, groups, small)
     if settings.uses_allele and settings.update_tau:
         stats = tau_statistics(rows, settings).persist()
         tau = solver.maximise(
@@ -285,6 +288,7 @@ def _fit_loop(
     spark = obs.sparkSession
     groups = durable(static_groups(obs, profile, settings, lam))
     check_informative(groups, settings)
+    small = few_rows(groups)
     clones = clone_sets(groups)
     tau: list[dict] = []
     phi: list[dict] = []
@@ -292,7 +296,7 @@ def _fit_loop(
 
     def e_step() -> tuple[DataFrame, dict[str, float]]:
         table = with_dispersion(groups, _dispersion_table(spark, tau, phi), settings)
-        calls = posteriors(obs, table, mixture_table(spark, clones, weights)).persist()
+        calls = posteriors(obs, table, mixture_table(spark, clones, weights), small).persist()
         rows = calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")).collect()
         return calls, {r["run_id"]: r["ll"] for r in rows}
 
@@ -309,7 +313,7 @@ def _fit_loop(
         if settings.update_pi:
             fresh = mixture_weights(called, [c for c in clones if c[0] in active])
             weights = {**(weights or mixture_weights(calls, clones)), **fresh}
-        new_tau, new_phi = m_step(rows, called, groups, settings, (tau, phi))
+        new_tau, new_phi = m_step(rows, called, groups, settings, (tau, phi), small)
         tau, phi = _merge(tau, new_tau, active), _merge(phi, new_phi, active)
         after, score = e_step()
         calls.unpersist()
@@ -368,11 +372,11 @@ def fit_cells(
     return fit
 
 
-def loglik_by_state(obs: DataFrame, params: DataFrame, calls: DataFrame) -> DataFrame:
+def loglik_by_state(obs: DataFrame, params: DataFrame, calls: DataFrame, small: bool | None = None) -> DataFrame:
     """Log-likelihood of the assigned clone, summed by clone and copy-number state."""
     from cellmosaic.functions.labels import clone_name
 
-    rows = assigned_rows(obs, calls, params).filter(F.col("use_allele") | F.col("use_total"))
+    rows = assigned_rows(obs, calls, params, small).filter(F.col("use_allele") | F.col("use_total"))
     per_group = with_loglik(rows).groupBy(*GROUP, "k", "cn_a", "cn_b").agg(F.sum("ll").alias("ll"))
     return per_group.filter("ll <> 0").groupBy(*RUN, clone_name(F.col("k")).alias("clone"), "cn_a", "cn_b").agg(
         F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n_groups")

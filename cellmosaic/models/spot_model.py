@@ -19,7 +19,7 @@ from cellmosaic.models.common import (
     partition_count,
     prepare_observations,
 )
-from cellmosaic.operators.joins import is_small
+from cellmosaic.operators.joins import few_rows
 from cellmosaic.session import durable
 
 ASSAY = ["run_id", "assay"]
@@ -61,7 +61,7 @@ def purity_rows(obs: DataFrame, groups: DataFrame) -> DataFrame:
     """Counts on clonal informative groups; all tumour clones agree there, so clone 1."""
     clonal = groups.filter((F.col("k") == 1) & ~F.col("subclonal") & (F.col("use_allele") | F.col("use_total")))
     side = clonal.select(*GROUP, "baf", "rdr", "lambda", "use_allele", "use_total")
-    return obs.join(F.broadcast(side) if is_small(side) else side, GROUP)
+    return cell_model.attach_groups(obs, side, GROUP, few_rows(side))
 
 
 def purity_scores(rows: DataFrame, bounds: DataFrame, settings: FitSettings) -> DataFrame:
@@ -93,7 +93,7 @@ def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) ->
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
     tagged = groups.join(F.broadcast(mixture), [*RUN, "k"])
     side = tagged.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total", "log_pi")
-    rows = obs.join(theta, SPOT).join(F.broadcast(side) if is_small(side) else side, GROUP)
+    rows = cell_model.attach_groups(obs.join(theta, SPOT), side, GROUP, few_rows(groups))
     scored = with_mixed_loglik(rows, "theta", settings, "ll")
     sums = scored.groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
     return cell_posteriors(sums)

@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmosaic.session import durable
+
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 250_000
 SALTS = 8
 
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan; None where it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a remote session has no JVM handle
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a remote session has no JVM handle
         return None
 
 
@@ -24,6 +27,11 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return size is not None and size <= limit
 
 
+def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Size check by counting, for a stored table whose estimate is loose."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def join_dim(
     fact: DataFrame,
     dim: DataFrame,
@@ -35,14 +43,19 @@ def join_dim(
 ) -> DataFrame:
     """Join ``fact`` with ``dim`` (at most one row per key).
 
-    ``dim`` is broadcast only when its size estimate is within the limit. ``bound``
-    may name the source table that ``dim`` was derived from without adding rows,
-    since the estimate of a join result is loose. Beyond the limit the key is
+    ``dim`` is broadcast only when its size is proven. ``bound`` may name the source
+    table that ``dim`` was derived from without adding rows: its estimate is that of
+    a scan, while the estimate of a join result is loose. Without it a ``dim`` whose
+    estimate is too large is written out and counted. Beyond the limit the key is
     salted: a hot key is spread over ``salts`` tasks by a hash of ``salt_by``
     (columns of ``fact``), and each row of ``dim`` is repeated once per salt.
     """
     on = list(on)
-    if is_small(bound if bound is not None else dim):
+    small = is_small(bound if bound is not None else dim)
+    if not small and bound is None:
+        dim = durable(dim)
+        small = few_rows(dim)
+    if small:
         return fact.join(F.broadcast(dim), on, how)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

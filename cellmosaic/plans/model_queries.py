@@ -11,8 +11,10 @@ from cellmosaic.functions import labels, likelihood, special
 from cellmosaic.models import cell_model, common, solver, spot_model
 from cellmosaic.models.common import FitSettings
 from cellmosaic.operators import metrics
+from cellmosaic.operators.joins import few_rows
 from cellmosaic.plans.inputs import CLONES, Inputs
 from cellmosaic.plans.registry import query, r6
+from cellmosaic.session import durable
 
 TAU, SIZE = 50.0, 30.0
 
@@ -56,7 +58,7 @@ def _baseline(t: Inputs) -> DataFrame:
 def _fixed(t: Inputs, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
     """Observations and group parameters at fixed dispersions."""
     obs = _observations(t)
-    groups = cell_model.static_groups(obs, _profile(t), settings, _baseline(t))
+    groups = durable(cell_model.static_groups(obs, _profile(t), settings, _baseline(t)))
     table = t.spark.createDataFrame(
         [("run", "all", "*", TAU, SIZE)], "run_id string, assay string, state string, tau double, inv_phi double"
     )
@@ -128,7 +130,7 @@ _LL = f"""ll AS (SELECT cell_id, k, sum(CASE WHEN imbalanced AND n > 0 THEN {_bb
 def posterior_fixed_params(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
     return calls.select(
         "cell_id", *[r6(common.posterior_of(k)).alias(c) for k, c in enumerate(CLONES)],
         r6(F.col("max_posterior")).alias("max_posterior"),
@@ -142,7 +144,7 @@ def posterior_fixed_params(t: Inputs) -> DataFrame:
 def spot_posterior_fixed(t: Inputs) -> DataFrame:
     settings = FitSettings(tau_bounds=(1e-6, TAU), invphi_bounds=(1e-6, SIZE))
     obs = _observations(t)
-    groups = spot_model.spot_groups(obs, _profile(t), _baseline(t), settings)
+    groups = durable(spot_model.spot_groups(obs, _profile(t), _baseline(t), settings))
     theta = obs.select("run_id", "assay", "cell_id").distinct().withColumn("theta", 0.05 + (F.col("cell_id") % 10) / 11.0)
     calls = spot_model.spot_posteriors(obs, groups, theta, _uniform(t, groups), settings)
     return calls.select("cell_id", r6(common.posterior_of(1)).alias("clone1"), r6(F.col("best_ll"), 5).alias("best_ll"))
@@ -155,8 +157,8 @@ def spot_posterior_fixed(t: Inputs) -> DataFrame:
 def loglik_by_state(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params))
-    out = cell_model.loglik_by_state(obs, params, calls)
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
+    out = cell_model.loglik_by_state(obs, params, calls, few_rows(params))
     return out.select("clone", "cn_a", "cn_b", r6(F.col("ll"), 3).alias("ll"), "n_groups")
 
 
@@ -165,7 +167,7 @@ def loglik_by_state(t: Inputs) -> DataFrame:
 def assignment_entropy(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
     return calls.agg(
         r6(F.avg(special.entropy(F.col("clone_post")))).alias("mean_entropy"),
         r6(F.sum("best_ll"), 3).alias("objective"),
@@ -179,12 +181,12 @@ _GRID = "grid AS (SELECT i, ln(1e-6) + (ln(1e6) - ln(1e-6)) * i / 32.0 AS pt FRO
 def _assigned(t: Inputs, settings: FitSettings) -> DataFrame:
     """Count rows of the clone each cell is predicted to be."""
     obs = _observations(t)
-    groups = cell_model.static_groups(obs, _profile(t), settings, _baseline(t))
+    groups = durable(cell_model.static_groups(obs, _profile(t), settings, _baseline(t)))
     k = F.array_position(F.array(*[F.lit(c) for c in CLONES]), F.col("label")) - 1
     calls = t.cells.filter(F.col("label") != "NA").select(
         F.lit("run").alias("run_id"), "cell_id", k.cast("int").alias("z")
     )
-    return cell_model.assigned_rows(obs, calls, groups)
+    return cell_model.assigned_rows(obs, calls, groups, few_rows(groups))
 
 
 def _grid_round(data: DataFrame, loglik) -> DataFrame:
@@ -246,7 +248,7 @@ _MHAT2 = "greatest(total * lam_g * (pt * rdr + 1 - pt), 1e-12)"
 def purity_grid_round(t: Inputs) -> DataFrame:
     settings = FitSettings(tau_bounds=(1e-6, TAU), invphi_bounds=(1e-6, SIZE))
     obs = _observations(t)
-    groups = spot_model.spot_groups(obs, _profile(t), _baseline(t), settings)
+    groups = durable(spot_model.spot_groups(obs, _profile(t), _baseline(t), settings))
     rows = spot_model.purity_rows(obs, groups)
     lo, hi = spot_model.PURITY_RANGE
     bounds = rows.select(*spot_model.SPOT).distinct().withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})

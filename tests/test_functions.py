@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import cnp, genome, labels, likelihood, special
+from cellmosaic.operators.profile import add_masks, parse_profile
 
 
 def test_lgamma_matches_math(spark):
@@ -58,8 +59,7 @@ MASK_ROWS = ["1|1;1|1;1|1"] * 3 + ["1|1;2|0;2|0"] * 3 + ["1|1;3|1;3|1"] * 2 + ["
 
 def test_mask_truth_table(spark):
     df = spark.createDataFrame(list(enumerate(MASK_ROWS)), "g int, cnp string")
-    m = cnp.masks(cnp.parse_a(F.col("cnp")), cnp.parse_b(F.col("cnp")))
-    rows = df.select("g", *[c.alias(n) for n, c in m.items()]).orderBy("g").collect()
+    rows = add_masks(parse_profile(df)).orderBy("g").collect()
     expect = {
         "imbalanced": {3, 4, 5, 6, 7}, "aneuploid": {6, 7}, "neutral": {0, 1, 2, 8, 9},
         "clonal_loh": {3, 4, 5}, "subclonal": set(), "clonal_imbalanced": {3, 4, 5, 6, 7},
@@ -70,8 +70,7 @@ def test_mask_truth_table(spark):
 
 def test_masks_of_subclones_and_small_profiles(spark):
     df = spark.createDataFrame([("1|1;1|0;1|1",), ("1|1;0|2;0|2",), ("1|1;2|0",), ("1|1",)], "cnp string")
-    m = cnp.masks(cnp.parse_a(F.col("cnp")), cnp.parse_b(F.col("cnp")))
-    r = df.select(*[c.alias(n) for n, c in m.items()]).collect()
+    r = add_masks(parse_profile(df.coalesce(1))).collect()
     assert r[0].subclonal and r[0].subclonal_loh and not r[0].clonal_loh and not r[0].clonal_imbalanced
     assert r[1].clonal_loh and not r[1].subclonal
     assert not r[2].subclonal and r[2].clonal_imbalanced

@@ -154,7 +154,7 @@ def test_em_iterations_need_no_exchange(spark):
     params = spark.createDataFrame(
         cell_model.with_dispersion(groups, table, FitSettings(fit_mode="allele")).toPandas())
     clones = spark.createDataFrame([("r1", k, 0.0) for k in range(3)], "run_id string, k int, log_pi double")
-    calls = cell_model.posteriors(obs, params.withColumn("k", F.col("k").cast("int")), clones)
+    calls = cell_model.posteriors(obs, params.withColumn("k", F.col("k").cast("int")), clones, small=True)
     calls.collect()
     plan = calls._jdf.queryExecution().executedPlan().toString()
     above = plan.split("InMemoryTableScan")[0] if "InMemoryTableScan" in plan else plan
