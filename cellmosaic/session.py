@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder; survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` with a table in the shared folder.
+
+    It survives lost executors, is read by column, and its size is known to the
+    optimizer, which the size of a checkpointed plan is not.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/cellmosaic-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
