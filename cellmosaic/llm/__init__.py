@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the package imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions travel to the executors by value: the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmosaic.llm import mixing, oracles
+from cellmosaic.llm import jaccard_join, mixing, oracles
 from cellmosaic.llm.common import read_table
 
 
@@ -14,5 +14,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_source_mix": op1_source_mix}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_source_mix": op1_source_mix,
+    "op9_jaccard_join": op9_jaccard_join,
+}
 ORACLES = {"op1_source_mix": oracles.SOURCE_MIX}

@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmosaic.llm import mixing
+from cellmosaic.llm import jaccard_join, mixing
 from cellmosaic.llm.common import read_table, work_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents."""
+    return jaccard_join.one_of_each_group(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix_sources", mix_sources)]
+STAGES: list[tuple[str, Stage]] = [
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+]
 
 # toxicity, components and encoded ids are beyond SQL; tests compare stages with brute force
 ORACLE_SQL = None
