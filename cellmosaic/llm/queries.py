@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmosaic.llm import jaccard_join, mixing, oracles
+from cellmosaic.llm import jaccard_join, mixing, oracles, toxicity
 from cellmosaic.llm.common import read_table
 
 
@@ -14,12 +14,17 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op7_toxicity": op7_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES = {"op1_source_mix": oracles.SOURCE_MIX}

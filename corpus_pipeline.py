@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmosaic.llm import jaccard_join, mixing
+from cellmosaic.llm import jaccard_join, mixing, toxicity
 from cellmosaic.llm.common import read_table, work_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents."""
     return jaccard_join.one_of_each_group(docs)
@@ -23,6 +28,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("drop_toxic", drop_toxic),
     ("near_duplicates", near_duplicates),
     ("mix_sources", mix_sources),
 ]
