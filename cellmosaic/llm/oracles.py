@@ -51,3 +51,31 @@ SELECT c.doc_id, c.size, c.source_size, c.target,
        ((c.whole + CASE WHEN c.extra OR p.doc_id IS NOT NULL THEN 1 ELSE 0 END) * c.size)::BIGINT AS taken
 FROM cut2 c LEFT JOIN pick2 p ON c.source IS NOT DISTINCT FROM p.source AND c.doc_id = p.doc_id
 """
+
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+windows AS (
+  SELECT item_id, least(len(w), 13) AS size, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 13 + 1, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS win
+  FROM (SELECT d.doc_id, d.w, s.size, unnest(range(1, len(d.w) - s.size + 2)) AS i
+        FROM docs d, sizes s WHERE len(d.w) >= s.size)),
+found AS (SELECT r.doc_id, r.i, r.size, w.item_id FROM runs r JOIN windows w ON r.size = w.size AND r.win = w.win),
+words AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(l.n_items, 0)::BIGINT AS n_items, sha256(coalesce(l.items, '')) AS items_sha256,
+       coalesce(h.n_hit > 0 AND 20 * h.n_hit >= len(d.w), false) AS contaminated
+FROM docs d LEFT JOIN words h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellmosaic.llm import jaccard_join, mixing, oracles, toxicity
+from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, toxicity
 from cellmosaic.llm.common import read_table
 
 
@@ -18,6 +19,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +34,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
 }
-ORACLES = {"op1_source_mix": oracles.SOURCE_MIX}
+ORACLES = {
+    "op1_source_mix": oracles.SOURCE_MIX,
+    "op8_decontamination": oracles.DECONTAMINATION,
+}
