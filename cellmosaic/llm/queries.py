@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, toxicity
+from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, range_coder, toxicity
 from cellmosaic.llm.common import read_table
 
 
@@ -15,6 +15,17 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_vocabulary() -> str:
+    """Where the public tokenizer file lies; the same path on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.tokenize(read_table(spark, sf_dir, "documents"), token_vocabulary())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,6 +44,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op5_token_ids": op5_token_ids,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
