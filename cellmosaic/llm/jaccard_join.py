@@ -96,7 +96,7 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def _profile(k: int):
-    """Documents as (kind 0: id, text hash, set id, size); counts as (kind 1: token, count)."""
+    """Documents as (kind 0: id, text hash, set id, size, parity map); counts as (kind 1: token, count)."""
 
     def flush(chunks: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(chunks), return_counts=True)
@@ -104,15 +104,17 @@ def _profile(k: int):
         none = pa.nulls(len(tokens), pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array(np.ones(len(tokens), np.int32)), pa.array(tokens.view(np.int64)), none, none,
-             pa.array(counts.astype(np.int64))], ["kind", "a", "th", "rid", "n"])
+             pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.binary())],
+            ["kind", "a", "th", "rid", "n", "bits"])
 
     def run(batches):
         words, chunks, held = _Words(), [], 0
         for batch in batches:
-            rids, sizes = [], []
+            rids, sizes, bits = [], [], []
             for tokens in token_sets(batch.column("text"), words, k):
                 rids.append(None if tokens is None else set_id(tokens))
                 sizes.append(0 if tokens is None else len(tokens))
+                bits.append(None if tokens is None else parity_map(tokens).tobytes())
                 if tokens is not None:
                     chunks.append(tokens)
                     held += len(tokens)
@@ -121,7 +123,8 @@ def _profile(k: int):
                     chunks, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(rids), np.int32)), batch.column("doc_id"), batch.column("th"),
-                 pa.array(rids, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "a", "th", "rid", "n"])
+                 pa.array(rids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+                ["kind", "a", "th", "rid", "n", "bits"])
         if chunks:
             yield flush(chunks)
 
@@ -195,9 +198,36 @@ def _postings(k: int, num: int, den: int, tracked):
     return run
 
 
+def _shared_runs(batches):
+    """Distinct rows of the keys that more than one set has; rows come sorted by key and set."""
+    key = rid = None  # of the last row
+    pending = False  # that row is its key's first and has not been given out
+    for batch in batches:
+        k, r = batch.column("key").to_numpy(), batch.column("rid").to_numpy()
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+        if len(k) and key is not None:
+            new[0] = k[0] != key or r[0] != rid
+        k, r = k[new], r[new]
+        if not len(k):
+            continue
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        sizes = np.diff(np.concatenate([[0], cuts, [len(k)]]))
+        shared = sizes > 1
+        goes_on = key is not None and k[0] == key
+        shared[0] |= goes_on
+        keep = np.repeat(shared, sizes)
+        out_k, out_r = k[keep], r[keep]
+        if goes_on and pending:
+            out_k, out_r = np.append(out_k, key), np.append(out_r, rid)
+        pending = not shared[-1]
+        key, rid = k[-1], r[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_r)], ["key", "rid"])
+
+
 def parity_map(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens per bit; 4 bits a token or more, a power of two, 1024 at least."""
-    width = max(1024, 1 << (4 * len(tokens) - 1).bit_length())
+    """Parity of the tokens per bit; 2 bits a token or more, a power of two, 512 at least."""
+    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
     odd = np.bincount((mix64(tokens) % U64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
@@ -209,7 +239,7 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _stored_sets(k: int):
+def _token_lists(k: int):
     def run(batches):
         words = _Words()
         for batch in batches:
@@ -220,9 +250,8 @@ def _stored_sets(k: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([parity_map(s).tobytes() for s in sets], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
-                ["rid", "n", "bits", "tokens"])
+                ["rid", "n", "tokens"])
 
     return run
 
@@ -302,26 +331,35 @@ def _block_pairs(num: int, den: int, forest: bool):
 
 def _pairs(members: DataFrame, labels: DataFrame | None, sets: DataFrame, num, den) -> DataFrame:
     """Distinct pairs of sets that may link, from the blocks of all keys."""
-    own = sets.select("rid", "n", "bits")
     if labels is None:
-        own = own.withColumn("label", F.col("rid"))
+        members = members.withColumn("label", F.col("rid"))
     else:
-        own = own.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn(
-            "label", F.coalesce("component", "rid")).drop("component")
+        named = labels.select(F.col("node").alias("rid"), "component")
+        members = members.join(named, "rid", "left").withColumn("label", F.coalesce("component", "rid"))
+        mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        members = members.join(mixed.filter("lo <> hi").select("key"), "key")
     blocks = F.ceil(F.col("members") / BLOCK)
     mine = F.pmod(F.xxhash64("rid"), blocks)
     rows = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).select(
-        "rid", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")).alias("block"))
-    rows = rows.join(own, "rid").select("block", "rid", "n", "label", "bits")
+        "rid", "label", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")).alias("block"))
+    rows = rows.join(sets.select("rid", "n", "bits"), "rid").select("block", "rid", "n", "label", "bits")
     rows = rows.repartition("block").sortWithinPartitions("block")
     return rows.mapInArrow(_block_pairs(num, den, labels is None), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    side = sets.select("rid", "n", "tokens")
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs with linked, from the shingles of the texts that stand for the sets."""
+    pairs = durable(pairs)
+    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    places = sets.join(ends, "rid").select("th", "doc").distinct()
+    read = join_dim(texts, places, ["th", "doc"], ["text"]).select("text").mapInArrow(
+        _token_lists(k), "rid long, n long, tokens array<long>")
+    side = durable(read)
     both = pairs.join(side.toDF("a", "na", "ta"), "a").join(side.toDF("b", "nb", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", (den * shared >= num * (F.col("na") + F.col("nb") - shared)).alias("linked"))
+    linked = den * shared >= num * (F.col("na") + F.col("nb") - shared)
+    # a repeated row may have listed its set twice
+    return durable(both.select("a", "b", linked.alias("linked")).distinct())
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -329,10 +367,16 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").withColumn("th", F.xxhash64("text"))
     path = work_path(spark, "sets")
-    texts.mapInArrow(_profile(k), "kind int, a long, th long, rid long, n long").write.partitionBy(
-        "kind").parquet(path)
-    profile = spark.read.schema("a long, th long, rid long, n long, kind int").parquet(path)
-    rows = profile.filter("kind = 0").select(F.col("a").alias("doc_id"), "th", "rid", "n")
+    texts.mapInArrow(
+        _profile(k), "kind int, a long, th long, rid long, n long, bits binary"
+    ).write.partitionBy("kind").parquet(path)
+    profile = spark.read.schema("a long, th long, rid long, n long, bits binary, kind int").parquet(path)
+    rows = profile.filter("kind = 0").select(F.col("a").alias("doc_id"), "th", "rid", "n", "bits")
+    texts = texts.withColumn("doc", F.coalesce("doc_id", F.lit(-1))).select("th", "doc", "text")
+    place = F.struct("th", F.coalesce("doc_id", F.lit(-1)).alias("doc"), "n", "bits")
+    # one row per set: where its text is, and the least id that has it
+    sets = rows.filter("rid IS NOT NULL").groupBy("rid").agg(F.min(place).alias("at"), F.min("doc_id").alias("least"))
+    sets = durable(sets.select("rid", "least", "at.*"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     least = max(TRACKED_LEAST, -(-total // TRACKED_TOKENS))
     often = profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -341,34 +385,26 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     by = np.argsort(known)
     tracked = spark.sparkContext.broadcast((known[by], often.column("n").to_numpy()[by]))
 
-    postings = durable(
-        texts.select("text").mapInArrow(_postings(k, num, den, tracked), "key long, rid long"))
-    shared = postings.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo <> hi")
-    members = durable(postings.join(shared.select("key"), "key", "left_semi").distinct())
+    postings = texts.select("text").mapInArrow(_postings(k, num, den, tracked), "key long, rid long")
+    postings = postings.repartition("key").sortWithinPartitions("key", "rid")
+    members = durable(postings.mapInArrow(_shared_runs, "key long, rid long"))
     lists = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"),
         F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
     once = lists.groupBy("members", "s", "s2").agg(F.min("key").alias("key")).select("key", "members")
     members = durable(members.join(once, "key"))
-    wanted = members.select("rid").distinct().join(
-        rows.groupBy("rid").agg(F.min("th").alias("th")), "rid").select("th").distinct()
-    sets = join_dim(texts.select("text", "th"), wanted, ["th"], ["text"]).select("text").mapInArrow(
-        _stored_sets(k), "rid long, n long, bits binary, tokens array<long>")
-    sets = durable(sets.dropDuplicates(["rid"]))
-
-    first = durable(_verified(_pairs(members, None, sets, num, den), sets, num, den))
+    first = _verified(_pairs(members, None, sets, num, den), sets, texts, k, num, den)
     links = first.filter("linked").select("a", "b")
     labels = durable(connected_components(links))
     more = _pairs(members, labels, sets, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(more, sets, num, den).filter("linked").select("a", "b")
+    second = _verified(more, sets, texts, k, num, den).filter("linked").select("a", "b")
     # the stars of the first round stand for its links
     stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = durable(connected_components(stars.unionByName(second)))
 
-    groups = rows.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("doc_id").alias("least")).join(
+    groups = durable(sets.select("rid", "least").join(
         labels.select(F.col("node").alias("rid"), "component"), "rid", "left"
-    ).withColumn("component", F.coalesce("component", "rid"))
-    groups = durable(groups)
+    ).withColumn("component", F.coalesce("component", "rid")))
     names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     named = groups.join(names, "component").select("rid", "component_id")
     return rows.join(named, "rid", "left").select(

@@ -79,3 +79,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
        coalesce(h.n_hit > 0 AND 20 * h.n_hit >= len(d.w), false) AS contaminated
 FROM docs d LEFT JOIN words h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
+
+WARC_REVISITS = r"""
+WITH raw AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT page_id, payload_bytes,
+         translate(upper(to_base(('0x' || hex[1:10])::BIGINT, 32, 8) || to_base(('0x' || hex[11:20])::BIGINT, 32, 8)
+                         || to_base(('0x' || hex[21:30])::BIGINT, 32, 8) || to_base(('0x' || hex[31:40])::BIGINT, 32, 8)),
+                   '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM raw),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM digests)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM kept
+"""

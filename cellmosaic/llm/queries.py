@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, range_coder, toxicity
+from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, range_coder, toxicity, warc
 from cellmosaic.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(read_table(spark, sf_dir, "pages"))
+
+
 def token_vocabulary() -> str:
     """Where the public tokenizer file lies; the same path on all machines."""
     import public_tokenizers
@@ -44,6 +48,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_warc_revisits": op2_warc_revisits,
     "op5_token_ids": op5_token_ids,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
@@ -51,5 +56,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_source_mix": oracles.SOURCE_MIX,
+    "op2_warc_revisits": oracles.WARC_REVISITS,
     "op8_decontamination": oracles.DECONTAMINATION,
 }
