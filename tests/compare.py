@@ -32,7 +32,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples of text, columns by name."""
 
     def text(v) -> str:
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, float):
             return repr(v)
@@ -53,6 +53,10 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
+    got, want = got.copy(), want.copy()
+    for c in got.columns:  # whole numbers with nulls come as Int64 or as float64
+        if {str(got[c].dtype), str(want[c].dtype)} in ({"Int64", "float64"}, {"Int64", "int64"}):
+            got[c], want[c] = got[c].astype("Int64"), want[c].astype("Int64")
     a, b = canonical(got), canonical(want)
     if a != b:
         bad = [(x, y) for x, y in zip(a, b) if x != y]
