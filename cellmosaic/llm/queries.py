@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, range_coder, toxicity, warc
+from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, range_coder, secrets, toxicity, warc
 from cellmosaic.llm.common import read_table
 
 
@@ -30,6 +30,15 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_coder.tokenize(read_table(spark, sf_dir, "documents"), token_vocabulary())
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_text(F.concat("base", "linked")).alias("spans"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,6 +59,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_revisits": op2_warc_revisits,
     "op5_token_ids": op5_token_ids,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
