@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     part = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20))
     if total > FIT_ROWS:
         known = known.filter(part < F.lit(int((1 << 20) * FIT_ROWS / total)))
-    rows = durable(docs.select("doc_id", "text").join(known, "doc_id"))
+    rows = durable(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # FIT_ROWS bounds it
     train = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) > 0
     lexicon = learn_lexicon(rows.filter(train))
     if rows.select("label").distinct().count() < 2:
