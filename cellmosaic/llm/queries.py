@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import decontaminate, jaccard_join, mixing, oracles, quality, range_coder, secrets, toxicity, warc
+from cellmosaic.llm import ann, decontaminate, jaccard_join, mixing, oracles, quality, range_coder, secrets, toxicity, warc
 from cellmosaic.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read_table(spark, sf_dir, "pages"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_every(read_table(spark, sf_dir, "embeddings"), 100)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_token_ids": op5_token_ids,
     "op6_secrets": op6_secrets,
