@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import ann, decontaminate, jaccard_join, mixing, oracles, quality, range_coder, secrets, toxicity, warc
+from cellmosaic.llm import ann, decontaminate, jaccard_join, licenses, mixing, oracles, quality, range_coder, secrets, toxicity, warc
 from cellmosaic.llm.common import read_table
 
 
@@ -63,6 +63,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["family"] != "unknown")
+    return found.select(
+        "doc_id", "n_paragraphs", F.size(sure).cast("bigint").alias("n_confirmed"),
+        (F.size("found") - F.size(sure)).cast("bigint").alias("n_unknown"),
+        F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("families"), "score")
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_revisits": op2_warc_revisits,
@@ -73,6 +82,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_licenses": op10_licenses,
 }
 ORACLES = {
     "op1_source_mix": oracles.SOURCE_MIX,
