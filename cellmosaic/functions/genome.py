@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def chrom_core(chrom: Column) -> Column:
     text = chrom.cast("string")
-    return F.when(F.lower(text).startswith("chr"), F.substring(text, 4, 1 << 20)).otherwise(text)
+    return F.when(F.lower(text).startswith("chr"), F.substr(text, F.lit(4))).otherwise(text)
 
 
 def chrom_rank(chrom: Column) -> Column:

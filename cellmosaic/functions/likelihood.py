@@ -65,3 +65,8 @@ def purity_baf(baf: str, rdr: str, theta: str) -> str:
 def purity_mean(total: str, base: str, rdr: str, theta: str) -> str:
     """Expected depth of the same mixture."""
     return f"({total} * {base} * ({theta} * {rdr} + (1D - {theta})))"
+
+
+def undefined(counts: str) -> str:
+    """Stands in for an undefined log-probability: 0 where it does not count, else an error."""
+    return f"IF({counts}, CAST(raise_error('undefined log-probability') AS DOUBLE), 0D)"

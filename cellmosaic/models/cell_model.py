@@ -29,7 +29,7 @@ from cellmosaic.models.common import (
     prepare_observations,
 )
 from cellmosaic.operators import depth
-from cellmosaic.operators.joins import few_rows, is_small, join_dim
+from cellmosaic.operators.joins import few_bytes, is_small, join_dim
 from cellmosaic.session import durable
 
 ASSAY = ["run_id", "assay"]
@@ -104,8 +104,8 @@ def with_loglik(rows: DataFrame) -> DataFrame:
     total = f"nb_const + nb_offset + {likelihood.nb_data_term('x', 'mu', 'inv_phi')}"
     staged = rows.withColumn("mu", F.expr(likelihood.nb_mean("total * props")))
     return staged.withColumn("ll", F.expr(
-        f"coalesce({allele}, 0D) * CAST(use_allele AND n > 0 AS INT)"
-        f" + coalesce({total}, 0D) * CAST(use_total AS INT)"
+        f"coalesce({allele}, {likelihood.undefined('use_allele AND n > 0')}) * CAST(use_allele AND n > 0 AS INT)"
+        f" + coalesce({total}, {likelihood.undefined('use_total')}) * CAST(use_total AS INT)"
     ))
 
 
@@ -288,7 +288,7 @@ def _fit_loop(
     spark = obs.sparkSession
     groups = durable(static_groups(obs, profile, settings, lam))
     check_informative(groups, settings)
-    small = few_rows(groups)
+    small = few_bytes(groups)
     clones = clone_sets(groups)
     tau: list[dict] = []
     phi: list[dict] = []

@@ -19,7 +19,7 @@ from cellmosaic.models.common import (
     partition_count,
     prepare_observations,
 )
-from cellmosaic.operators.joins import few_rows
+from cellmosaic.operators.joins import few_bytes
 from cellmosaic.session import durable
 
 ASSAY = ["run_id", "assay"]
@@ -43,8 +43,8 @@ def with_mixed_loglik(rows: DataFrame, theta: str, settings: FitSettings, name:
     allele = f"bb_const + {likelihood.bb_offset(tau, '_p')} + {likelihood.bb_data_term('b', 'n', tau, '_p')}"
     total = f"nb_const + {likelihood.nb_offset(size)} + {likelihood.nb_data_term('x', '_mu', size)}"
     return staged.withColumn(name, F.expr(
-        f"coalesce({allele}, 0D) * CAST(use_allele AND n > 0 AS INT)"
-        f" + coalesce({total}, 0D) * CAST(use_total AS INT)"
+        f"coalesce({allele}, {likelihood.undefined('use_allele AND n > 0')}) * CAST(use_allele AND n > 0 AS INT)"
+        f" + coalesce({total}, {likelihood.undefined('use_total')}) * CAST(use_total AS INT)"
     ))
 
 
@@ -61,7 +61,7 @@ def purity_rows(obs: DataFrame, groups: DataFrame) -> DataFrame:
     """Counts on clonal informative groups; all tumour clones agree there, so clone 1."""
     clonal = groups.filter((F.col("k") == 1) & ~F.col("subclonal") & (F.col("use_allele") | F.col("use_total")))
     side = clonal.select(*GROUP, "baf", "rdr", "lambda", "use_allele", "use_total")
-    return cell_model.attach_groups(obs, side, GROUP, few_rows(side))
+    return cell_model.attach_groups(obs, side, GROUP, few_bytes(side))
 
 
 def purity_scores(rows: DataFrame, bounds: DataFrame, settings: FitSettings) -> DataFrame:
@@ -93,7 +93,7 @@ def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) ->
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
     tagged = groups.join(F.broadcast(mixture), [*RUN, "k"])
     side = tagged.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total", "log_pi")
-    rows = cell_model.attach_groups(obs.join(theta, SPOT), side, GROUP, few_rows(groups))
+    rows = cell_model.attach_groups(obs.join(theta, SPOT), side, GROUP, few_bytes(groups))
     scored = with_mixed_loglik(rows, "theta", settings, "ll")
     sums = scored.groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
     return cell_posteriors(sums)

@@ -18,19 +18,24 @@ def _over(by: Sequence[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
 
 
-def region_axis(regions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def region_axis(regions: DataFrame, by: Sequence[str] = (), bins: DataFrame | None = None) -> DataFrame:
     """Whitelist regions with their offset when laid end to end in genome order.
 
     ``regions``: ``(.., chrom, region_no, wl_start, wl_end)``; ``region_no`` is the
-    order inside the chromosome.
+    order inside the chromosome. With ``bins`` only chromosomes that have bins are on
+    the axis. ``is_inner`` marks an end that is drawn as a boundary: all but the last of
+    a chromosome, and that of a first region that begins after 0.
     """
+    if bins is not None:
+        regions = regions.join(bins.select(*by, "chrom").distinct(), [*by, "chrom"], "left_semi")
     order = _over(by).orderBy(chrom_rank(F.col("chrom")), "region_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     length = F.col("wl_end") - F.col("wl_start")
-    later = F.lead("region_no").over(Window.partitionBy(*by, "chrom").orderBy("region_no"))
+    inside = Window.partitionBy(*by, "chrom").orderBy("region_no")
+    late_first = F.lag("region_no").over(inside).isNull() & (F.col("wl_start") != 0)
     return regions.withColumns({
         "offset": F.coalesce(F.sum(length).over(before), F.lit(0)),
-        "is_inner": later.isNotNull(),
+        "is_inner": F.lead("region_no").over(inside).isNotNull() | late_first,
     })
 
 

@@ -11,6 +11,7 @@ from cellmosaic.session import durable
 
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 250_000
+ROW_OVERHEAD = 64  # bytes of a row in a broadcast hash table besides its values
 SALTS = 8
 
 
@@ -27,9 +28,15 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Size check by counting, for a stored table whose estimate is loose."""
-    return df.limit(limit + 1).count() <= limit
+def few_bytes(df: DataFrame, rows: int = BROADCAST_ROWS, limit: int = BROADCAST_BYTES) -> bool:
+    """Size check of a stored table, whose files are smaller than its rows in memory.
+
+    The widths of all values are summed as text, strings and arrays at full length.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return False
+    width = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + ROW_OVERHEAD)
+    return (df.agg(width).first()[0] or 0) <= limit
 
 
 def join_dim(
@@ -45,8 +52,8 @@ def join_dim(
 
     ``dim`` is broadcast only when its size is proven. ``bound`` may name the source
     table that ``dim`` was derived from without adding rows: its estimate is that of
-    a scan, while the estimate of a join result is loose. Without it a ``dim`` whose
-    estimate is too large is written out and counted. Beyond the limit the key is
+    a scan, while the estimate of a join result is loose. Without it ``dim`` is written
+    out and its rows and their widths are summed, unless its estimate is small. Beyond the limit the key is
     salted: a hot key is spread over ``salts`` tasks by a hash of ``salt_by``
     (columns of ``fact``), and each row of ``dim`` is repeated once per salt.
     """
@@ -54,7 +61,7 @@ def join_dim(
     small = is_small(bound if bound is not None else dim)
     if not small and bound is None:
         dim = durable(dim)
-        small = few_rows(dim)
+        small = few_bytes(dim)
     if small:
         return fact.join(F.broadcast(dim), on, how)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))

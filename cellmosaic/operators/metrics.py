@@ -250,7 +250,8 @@ def posterior_stats(df: DataFrame, label: str, value: str = "max_posterior") ->
     medians = ordering.exact_quantiles(
         df.select(F.col(label).alias("label"), value), value, {"post_median": 0.5}, ["label"]
     )
-    return basic.join(medians, "label", "left")
+    medians = medians.withColumnRenamed("label", "_label")
+    return basic.join(medians, F.col("label").eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def clone_fractions(df: DataFrame, label: str, clones: Sequence[str]) -> DataFrame:
@@ -259,7 +260,7 @@ def clone_fractions(df: DataFrame, label: str, clones: Sequence[str]) -> DataFra
     counts = df.groupBy(F.col(label).alias("clone")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     wanted = total.select("total", names)
-    joined = wanted.join(F.broadcast(counts) if len(clones) < 10_000 else counts, "clone", "left")
+    joined = wanted.join(counts, "clone", "left")
     return joined.select(
         "clone", F.coalesce("n", F.lit(0)).alias("n"),
         ratio(F.coalesce("n", F.lit(0)), F.col("total")).alias("fraction"),

@@ -19,13 +19,20 @@ from cellmosaic.session import durable
 BUCKETS = 64
 
 
+def _same_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join with one row per group; NULL keys form groups of their own."""
+    side = groups.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    return df.join(side, same).drop(*[f"_g_{c}" for c in by])
+
+
 def _with_bucket(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
     cut = F.percentile_approx(value, probs, 20 * buckets).alias("_cuts")
     cuts = (df.groupBy(*by) if by else df.groupBy(F.lit(1).alias("_all"))).agg(cut)
     index = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))
     if by:
-        joined = df.join(cuts, list(by))
+        joined = _same_group(df, cuts, by)
     else:
         # a single row, so a broadcast of fixed size
         joined = df.withColumn("_all", F.lit(1)).join(F.broadcast(cuts), ["_all"]).drop("_all")
@@ -111,7 +118,7 @@ def exact_quantiles(
     )
     ranked = running_totals(counted, value, {"_upto": "_n"}, by, stored=True)
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranked = ranked.join(sizes, by) if by else ranked.join(F.broadcast(sizes))
+    ranked = _same_group(ranked, sizes, by) if by else ranked.join(F.broadcast(sizes))
     aggregates = []
     for name, prob in probs.items():
         at = (F.col("_size") - 1) * F.lit(prob)

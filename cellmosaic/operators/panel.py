@@ -60,7 +60,7 @@ def resolve_solutions(panel: DataFrame, files: DataFrame, pattern: str = "*sol{S
     def escaped(text: str) -> Column:
         return F.lit("".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in text))
 
-    regex = F.concat(F.lit("^"), escaped(head), F.col("SOLID"), escaped(tail), F.lit("$"))
+    regex = F.concat(F.lit("^"), escaped(head), F.lit("\\Q"), F.col("SOLID"), F.lit("\\E"), escaped(tail), F.lit("$"))
     name = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
     found = panel.filter(~fixed).join(
         files.withColumnRenamed("dir", "PATH_TO_SOLDIR"), "PATH_TO_SOLDIR"

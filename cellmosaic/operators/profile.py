@@ -117,7 +117,7 @@ def restrict_masks(groups: DataFrame, keep: str | None, by: Sequence[str] = ())
     ok = F.when(F.col("_any"), F.col("_hit")).otherwise(
         F.raise_error(F.lit("no profile row matches the whitelist")).cast("boolean")
     )
-    names = [m for m in cnp.MASKS if m in groups.columns and m not in ("neutral", "cnp")]
+    names = [m for m in cnp.MASKS if m in groups.columns and dict(groups.dtypes)[m] == "boolean"]
     return tagged.withColumns({m: F.col(m) & ok for m in names}).drop("_hit", "_any")
 
 

@@ -16,7 +16,12 @@ from cellmosaic.functions import labels
 from cellmosaic.operators.joins import join_dim
 from cellmosaic.session import durable
 
-MAX_HALVINGS = 24
+
+
+def _named(spots: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``spots``; a NULL replicate, run or assay fails the query when it runs."""
+    checks = {c: F.coalesce(c, F.raise_error(F.lit(f"spot without {c}")).cast(spots.schema[c].dataType)) for c in by}
+    return spots.withColumns(checks) if checks else spots
 
 
 def _places(spots: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
@@ -38,7 +43,7 @@ def _cell_sizes(places: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
     area = (F.max("x") - F.min("x") + 1.0) * (F.max("y") - F.min("y") + 1.0)
     start = F.sqrt(area * F.lit(float(keep)) / F.count(F.lit(1)))
     sizes = durable(places.groupBy(*by).agg(extent.cast("double").alias("extent"), start.alias("size")))
-    for _ in range(MAX_HALVINGS):
+    while True:  # positions are distinct, so some width parts them
         tagged = places.join(F.broadcast(sizes), list(by))
         crowd = tagged.groupBy(*by, F.floor(F.col("x") / F.col("size")), F.floor(F.col("y") / F.col("size")))
         busiest = crowd.agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("n"))
@@ -86,6 +91,7 @@ def nearest_neighbours(spots: DataFrame, n: int, by: Sequence[str] = ("rep_id",)
     cell small, so dense spots never meet all their neighbours' neighbours.
     """
     by, keep = list(by), n + 1
+    spots = _named(spots, by)
     places = durable(_places(spots, by, keep))
     pending = places.join(F.broadcast(_cell_sizes(places, by, keep)), by).drop("ids")
     done: DataFrame | None = None

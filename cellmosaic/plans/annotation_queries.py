@@ -40,10 +40,10 @@ def cnp_profile(t: Inputs) -> DataFrame:
 
 
 @query("""SELECT group_id, cnp, imbalanced AND state IN (2, 4) AS imbalanced,
-  aneuploid AND state IN (2, 4) AS aneuploid, state IN (2, 4) AS subclonal FROM clusters""")
+  aneuploid AND state IN (2, 4) AS aneuploid, state IN (2, 4) AS subclonal, false AS neutral FROM clusters""")
 def cnp_keep_rows(t: Inputs) -> DataFrame:
     kept = profile.restrict_masks(t.clusters.drop("cnp"), " 1|1;2|1;1|1 ,1|1;2|2;3|1,")
-    return profile.profile_table(kept).select("group_id", "cnp", "imbalanced", "aneuploid", "subclonal")
+    return profile.profile_table(kept).select("group_id", "cnp", "imbalanced", "aneuploid", "subclonal", "neutral")
 
 
 @query("SELECT chrom, bool_or(s.k >= 1 AND s.cn_b > s.cn_a) AS has_mirror FROM segments g JOIN states s USING (state) GROUP BY chrom")
@@ -93,7 +93,10 @@ def solution_override(t: Inputs) -> DataFrame:
         "cluster", F.lit("S1").alias("sample"), F.lit("1|1").alias("cn_normal"), picked.alias("cn_clone1"),
         (1.0 - 0.1 * (F.col("cluster") + 1)).alias("u_normal"), (0.1 * (F.col("cluster") + 1)).alias("u_clone1"),
     )
-    new, _ = profile.override_solution(old, rows.unionByName(rows.withColumn("sample", F.lit("S2"))))
+    # another sample follows in the file; its name is smaller and its copy numbers differ
+    other = rows.withColumns({"sample": F.lit("R9"), "cn_clone1": F.lit("9|9"), "u_clone1": F.lit(0.9)})
+    both = rows.withColumn("row_no", F.lit(1)).unionByName(other.withColumn("row_no", F.lit(2)))
+    new, _ = profile.override_solution(old, both)
     return new.select("seg_id", "cnp", r6(F.col("u_clone1")).alias("u_clone1"))
 
 

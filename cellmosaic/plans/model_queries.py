@@ -11,7 +11,7 @@ from cellmosaic.functions import labels, likelihood, special
 from cellmosaic.models import cell_model, common, solver, spot_model
 from cellmosaic.models.common import FitSettings
 from cellmosaic.operators import metrics
-from cellmosaic.operators.joins import few_rows
+from cellmosaic.operators.joins import few_bytes
 from cellmosaic.plans.inputs import CLONES, Inputs
 from cellmosaic.plans.registry import query, r6
 from cellmosaic.session import durable
@@ -130,7 +130,7 @@ _LL = f"""ll AS (SELECT cell_id, k, sum(CASE WHEN imbalanced AND n > 0 THEN {_bb
 def posterior_fixed_params(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_bytes(params))
     return calls.select(
         "cell_id", *[r6(common.posterior_of(k)).alias(c) for k, c in enumerate(CLONES)],
         r6(F.col("max_posterior")).alias("max_posterior"),
@@ -157,8 +157,8 @@ def spot_posterior_fixed(t: Inputs) -> DataFrame:
 def loglik_by_state(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
-    out = cell_model.loglik_by_state(obs, params, calls, few_rows(params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_bytes(params))
+    out = cell_model.loglik_by_state(obs, params, calls, few_bytes(params))
     return out.select("clone", "cn_a", "cn_b", r6(F.col("ll"), 3).alias("ll"), "n_groups")
 
 
@@ -167,7 +167,7 @@ def loglik_by_state(t: Inputs) -> DataFrame:
 def assignment_entropy(t: Inputs) -> DataFrame:
     settings = FitSettings()
     obs, params = _fixed(t, settings)
-    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_rows(params))
+    calls = cell_model.posteriors(obs, params, _uniform(t, params), few_bytes(params))
     return calls.agg(
         r6(F.avg(special.entropy(F.col("clone_post")))).alias("mean_entropy"),
         r6(F.sum("best_ll"), 3).alias("objective"),
@@ -186,7 +186,7 @@ def _assigned(t: Inputs, settings: FitSettings) -> DataFrame:
     calls = t.cells.filter(F.col("label") != "NA").select(
         F.lit("run").alias("run_id"), "cell_id", k.cast("int").alias("z")
     )
-    return cell_model.assigned_rows(obs, calls, groups, few_rows(groups))
+    return cell_model.assigned_rows(obs, calls, groups, few_bytes(groups))
 
 
 def _grid_round(data: DataFrame, loglik) -> DataFrame:

@@ -214,14 +214,11 @@ def kmeans_labels(t: Inputs) -> DataFrame:
     return clusters.join(F.broadcast(votes.select("cluster", "label")), "cluster")
 
 
-@query("""c AS (SELECT cell_id, cell_id * 5 % 7 AS cluster, ref_tumor FROM typed WHERE cell_id % 3 <> 0 OR ref_tumor),
+@query("""c AS (SELECT cell_id, cell_id * 5 % 7 AS cluster, ref_tumor FROM typed ),
   v AS (SELECT cluster, count(CASE WHEN ref_tumor THEN 1 END) AS n_tumor, count(CASE WHEN NOT ref_tumor THEN 1 END) AS n_normal, min(cell_id) AS first_cell FROM c GROUP BY 1)
   SELECT cluster, n_tumor, n_normal, first_cell, CASE WHEN n_normal >= n_tumor THEN 'normal' ELSE 'tumor' || row_number() OVER (PARTITION BY n_normal >= n_tumor ORDER BY first_cell) END AS label FROM v""")
 def majority_vote(t: Inputs) -> DataFrame:
-    from cellmosaic.functions.labels import is_tumor
-
-    some = t.cells.filter((F.col("cell_id") % 3 != 0) | is_tumor(F.col("cell_type")))
-    return clustering.majority_vote(some.withColumn("cluster", F.col("cell_id") * 5 % 7), "cluster", "cell_type")
+    return clustering.majority_vote(t.cells.withColumn("cluster", F.col("cell_id") * 5 % 7), "cluster", "cell_type")
 
 
 @query()
@@ -287,7 +284,7 @@ def pending_runs(t: Inputs) -> DataFrame:
     return panel.pending_runs(runs, finished).select("run_id")
 
 
-@query(_PANEL + """, a AS (SELECT DISTINCT n, assay FROM (SELECT l_suppkey AS n, CASE WHEN l_linenumber % 2 = 0 THEN 'gex' ELSE 'atac' END AS assay FROM lineitem) WHERE n % 5 <> 0 OR assay = 'atac'),
+@query(_PANEL + """, a AS (SELECT DISTINCT n, assay FROM (SELECT l_suppkey AS n, CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 5 <> 0 THEN 'gex' ELSE 'atac' END AS assay FROM lineitem)),
   s AS (SELECT n, string_agg(assay, '+' ORDER BY assay DESC) AS assay_types FROM a GROUP BY n)
   SELECT p.sample AS run_id, coalesce(assay_types, '') AS assay_types, CASE platform WHEN 'spatial' THEN coalesce(assay_types LIKE '%gex%', false)
     WHEN 'multiome' THEN coalesce(assay_types = 'gex+atac', false) ELSE assay_types IS NOT NULL END AS is_valid FROM p LEFT JOIN s USING (n)""")
@@ -296,9 +293,9 @@ def assay_check(t: Inputs) -> DataFrame:
     n = F.col("l_suppkey")
     lines = t.raw("lineitem").select(
         n, F.concat(F.lit("S"), n.cast("string")).alias("run_id"),
-        F.when(F.col("l_linenumber") % 2 == 0, "gex").otherwise("atac").alias("assay"),
+        F.when((F.col("l_linenumber") % 2 == 0) & (n % 5 != 0), "gex").otherwise("atac").alias("assay"),
     )
-    found = lines.filter((n % 5 != 0) | (F.col("assay") == "atac")).select("run_id", "assay").distinct()
+    found = lines.select("run_id", "assay").distinct()
     return panel.check_assays(found, runs).select("run_id", "assay_types", "is_valid")
 
 

@@ -121,8 +121,8 @@ def join_count_boxes(t: Inputs) -> DataFrame:
 
 
 _AXIS = """wl AS (SELECT chrom, chrom_no, len, unnest([0, 1]) AS region_no FROM (SELECT chrom, chrom_no, max(end_bp) AS len FROM bins GROUP BY ALL)),
-  regions AS (SELECT chrom, chrom_no, region_no, CASE WHEN region_no = 0 THEN 150000 ELSE len // 2 END AS wl_start,
-     CASE WHEN region_no = 0 THEN len // 2 - 150000 ELSE len END AS wl_end FROM wl),
+  regions AS (SELECT chrom, chrom_no, region_no, CASE WHEN region_no = 0 THEN chrom_no % 3 * 150000 ELSE len // 2 END AS wl_start,
+     CASE WHEN region_no = 0 THEN len // 2 - 150000 ELSE len END AS wl_end FROM wl WHERE region_no = 0 OR chrom_no <> 4),
   axis AS (SELECT *, CAST(coalesce(sum(wl_end - wl_start) OVER (ORDER BY chrom_no, region_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM regions),
   placed AS (SELECT b.bin_id, b.chrom, b.start_bp, b.end_bp, a.region_no, a.wl_start, a.wl_end, greatest(b.start_bp, a.wl_start) - a.wl_start + a."offset" AS axis_from,
      least(b.end_bp, a.wl_end) - a.wl_start + a."offset" AS axis_to FROM kept b JOIN axis a ON a.chrom = b.chrom AND b.start_bp < a.wl_end AND b.end_bp > a.wl_start)
@@ -130,17 +130,22 @@ _AXIS = """wl AS (SELECT chrom, chrom_no, len, unnest([0, 1]) AS region_no FROM
 
 
 def _axis(t: Inputs) -> DataFrame:
-    """Two regions per chromosome with a stretch left out before and between them."""
-    sizes = t.bins.groupBy("chrom").agg(F.max("end_bp").alias("len"))
+    """Two regions per chromosome with a stretch left out between them and before some of them.
+
+    chr4 has one region. Chromosome copies without bins ("chr01", ..) must not shift the axis.
+    """
+    number = F.substring("chrom", 4, 9).cast("bigint")
+    sizes = t.bins.groupBy("chrom").agg(F.max("end_bp").alias("len")).withColumn("first", number % 3 * 150_000)
+    sizes = sizes.unionByName(sizes.withColumn("chrom", F.replace("chrom", F.lit("chr"), F.lit("chr0"))))
     half = F.expr("len div 2")
     regions = sizes.select("chrom", F.explode(F.array(
-        F.struct(F.lit(0).alias("region_no"), F.lit(150_000).cast("bigint").alias("wl_start"), (half - 150_000).alias("wl_end")),
+        F.struct(F.lit(0).alias("region_no"), F.col("first").alias("wl_start"), (half - 150_000).alias("wl_end")),
         F.struct(F.lit(1).alias("region_no"), half.alias("wl_start"), F.col("len").alias("wl_end")),
-    )).alias("_r")).select("chrom", "_r.*")
-    return geometry.region_axis(regions)
+    )).alias("_r")).select("chrom", "_r.*").filter("region_no = 0 OR chrom NOT IN ('chr4', 'chr04')")
+    return geometry.region_axis(regions, bins=t.bins)
 
 
-@query(_AXIS + 'SELECT chrom, CAST(region_no AS INTEGER) AS region_no, wl_start, wl_end, "offset", region_no = 0 AS is_inner FROM axis')
+@query(_AXIS + 'SELECT chrom, CAST(region_no AS INTEGER) AS region_no, wl_start, wl_end, "offset", (region_no = 0 AND chrom_no <> 4) OR (region_no = 0 AND wl_start <> 0) AS is_inner FROM axis')
 def genome_axis(t: Inputs) -> DataFrame:
     return _axis(t).select("chrom", "region_no", "wl_start", "wl_end", "offset", "is_inner")
 

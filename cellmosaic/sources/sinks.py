@@ -53,7 +53,6 @@ def write_key_values(spark: SparkSession, values: dict[str, str], path: str) ->
     write_tsv(spark.createDataFrame(sorted(values.items()), "key string, value string"), path)
 
 
-def read_key_values(spark: SparkSession, path: str) -> dict[str, str]:
-    """Run metadata; a handful of rows."""
-    rows = spark.read.csv(path, sep="\t", header=True).limit(1000).collect()
-    return {r["key"]: r["value"] for r in rows}
+def read_key_values(spark: SparkSession, path: str) -> DataFrame:
+    """Run metadata as rows ``(key, value)``."""
+    return spark.read.csv(path, sep="\t", header=True).select("key", "value")

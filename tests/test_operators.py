@@ -37,7 +37,7 @@ def test_salted_join_equals_broadcast_join(spark, monkeypatch):
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, name string")
     small = sorted(map(tuple, joins.join_dim(fact, dim, ["k"], ["v"], "left").collect()), key=str)
     monkeypatch.setattr(joins, "is_small", lambda *a, **k: False)
-    monkeypatch.setattr(joins, "few_rows", lambda *a, **k: False)
+    monkeypatch.setattr(joins, "few_bytes", lambda *a, **k: False)
     large = sorted(map(tuple, joins.join_dim(fact, dim, ["k"], ["v"], "left").collect()), key=str)
     assert small == large and len(large) == 1000
 

@@ -110,6 +110,9 @@ def test_sinks_round_trip(spark, tmp_path):
     got = {r.run_id: r.log_likelihood for r in sinks.read_loglik(spark, str(tmp_path / "params"), runs).collect()}
     assert got == {"r1": -5.0, "r2": None}
     sinks.write_key_values(spark, {"assay_types": "gex"}, str(tmp_path / "meta"))
-    assert sinks.read_key_values(spark, str(tmp_path / "meta")) == {"assay_types": "gex"}
+    assert [tuple(r) for r in sinks.read_key_values(spark, str(tmp_path / "meta")).collect()] == [("assay_types", "gex")]
+    many = {f"key{i:04d}": str(i) for i in range(1001)}
+    sinks.write_key_values(spark, many, str(tmp_path / "many"))
+    assert {r.key: r.value for r in sinks.read_key_values(spark, str(tmp_path / "many")).collect()} == many
     sinks.write_summary(spark.createDataFrame([(1.0, 0.5)], "JC_a double, f1 double"), str(tmp_path / "summary"))
     assert tables.read_tsv(spark, str(tmp_path / "summary")).columns == ["f1", "JC_a"]
