@@ -32,12 +32,3 @@ def chrom_rank(chrom: Column) -> Column:
 def midpoint(start: Column, end: Column) -> Column:
     """Truncated integer midpoint of non-negative coordinates."""
     return F.floor((start + end) / 2).cast("bigint")
-
-
-def contains(start: Column, end: Column, pos: Column) -> Column:
-    """Half-open containment [start, end)."""
-    return (pos >= start) & (pos < end)
-
-
-def overlaps(start: Column, end: Column, lo: Column, hi: Column) -> Column:
-    return (start < hi) & (end > lo)

@@ -87,12 +87,3 @@ def report_column_order(label: Column) -> Column:
 
 def clone_name(k: Column) -> Column:
     return F.when(k == 0, F.lit(NORMAL)).otherwise(F.concat(F.lit("clone"), k.cast("string")))
-
-
-def color_index(label: Column, palette: int) -> Column:
-    """Slot of a clone label: cloneN takes N-1. Other labels take a hash slot."""
-    number = F.regexp_extract(label, r"^clone(\d+)", 1)
-    slot = F.when(number != "", number.cast("int") - 1).otherwise(
-        F.pmod(F.xxhash64(label), F.lit(palette)).cast("int")
-    )
-    return F.pmod(slot, F.lit(palette))

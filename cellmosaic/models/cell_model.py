@@ -223,11 +223,6 @@ def mixture_weights(calls: DataFrame, clones: list[tuple[str, int]]) -> dict[tup
     }
 
 
-def reference_from_types(cells: DataFrame, flag: str = "is_reference") -> DataFrame:
-    """Reference cells given by cell type; runs without any are left out."""
-    return cells.filter(F.col(flag).isNotNull()).select(*CELL, F.col(flag).alias("is_reference"))
-
-
 def estimate_reference(obs: DataFrame, profile: DataFrame, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
     """Reference cells and reference clone from an allele-only fit.
 

@@ -89,18 +89,6 @@ def baf(b: Column, n: Column) -> Column:
     return special.ratio(b, n)
 
 
-def pseudobulk_ratios(
-    sums: DataFrame, baseline: DataFrame, keys: Sequence[str] = (), log2: bool = True
-) -> DataFrame:
-    """Pseudobulk BAF and (log2) RDR; ``sums`` from :func:`pseudobulk_counts`."""
-    joined = sums.join(baseline, [*keys, "group_id"], "left")
-    expected = F.when(F.col("lambda") > 0, F.col("total") * F.col("lambda"))
-    return joined.withColumns({
-        "baf": baf(F.col("b"), F.col("a") + F.col("b")),
-        "rdr": rdr(F.col("x"), expected, log2),
-    })
-
-
 def cell_ratios(counts: DataFrame, log2: bool = False) -> DataFrame:
     """Per-cell BAF and RDR; here a zero RDR stays zero under ``log2``.
 
