@@ -10,6 +10,7 @@ from cellmosaic.operators import annotate, cells, depth, grouping, profile
 from cellmosaic.operators.joins import join_dim
 from cellmosaic.plans.inputs import BAF_CLIP, Inputs
 from cellmosaic.plans.registry import query, r6
+from cellmosaic.sources import tables
 
 
 @query("""SELECT g.seg_id, s.k, s.clone, s.cn_a, s.cn_b, s.cn_a + s.cn_b AS cn_c,
@@ -366,3 +367,17 @@ def cell_zscores(t: Inputs) -> DataFrame:
     return _group(scored).select(
         "cell_id", "group_id", r6(F.col("baf_z"), 5).alias("baf_z"), r6(F.col("rdr")).alias("log2rdr")
     )
+
+
+@query("SELECT bin_id, cell_id, CAST(sum(x) AS BIGINT) AS x, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM lines GROUP BY bin_id, cell_id")
+def aligned_counts(t: Inputs) -> DataFrame:
+    def coo(name: str) -> DataFrame:
+        return t.lines.select("bin_id", "cell_id", F.col(name).alias("value"))
+
+    return tables.align_counts(coo("x"), coo("a"), coo("b"))
+
+
+@query("SELECT bin_id, cell_id, CAST(sum(x) AS BIGINT) AS x FROM lines WHERE bin_id NOT IN (SELECT bin_id FROM kept) GROUP BY bin_id, cell_id")
+def stray_counts(t: Inputs) -> DataFrame:
+    """Counts in bins that no segment covers; all cells are known."""
+    return tables.stray_rows(t.counts, t.kept_bins, t.cells).select("bin_id", "cell_id", "x")

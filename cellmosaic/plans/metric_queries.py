@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import labels
-from cellmosaic.operators import cutoffs, metrics
+from cellmosaic.operators import cutoffs, metrics, ordering
 from cellmosaic.operators.panel import metric_bars
 from cellmosaic.plans.inputs import CLONES, Inputs
 from cellmosaic.plans.registry import query, r6
@@ -255,3 +255,15 @@ def metric_bar_rows(t: Inputs) -> DataFrame:
 def refined_labels(t: Inputs) -> DataFrame:
     out = t.cells.select(cutoffs.refine_by_reference(F.col(PRED), F.col(REF)).alias("refined"))
     return out.groupBy("refined").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""g AS (SELECT CASE WHEN c_custkey % 4 <> 3 THEN c_mktsegment END AS kind, c_acctbal AS v FROM customer)
+  SELECT kind, count(*) AS n, round(quantile_cont(v, 0.5), 6) + 0.0 AS median FROM g GROUP BY kind""")
+def medians_with_null_group(t: Inputs) -> DataFrame:
+    """A NULL key is a group of its own."""
+    kind = F.when(F.col("c_custkey") % 4 != 3, F.col("c_mktsegment"))
+    rows = t.raw("customer").select(kind.alias("kind"), F.col("c_acctbal").alias("v"))
+    sizes = rows.groupBy(F.col("kind").alias("_kind")).agg(F.count(F.lit(1)).alias("n"))
+    medians = ordering.exact_quantiles(rows, "v", {"median": 0.5}, ["kind"])
+    joined = medians.join(sizes, F.col("kind").eqNullSafe(F.col("_kind")))
+    return joined.select("kind", "n", r6(F.col("median")).alias("median"))
