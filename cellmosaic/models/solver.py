@@ -82,6 +82,17 @@ def _vertex(r: dict) -> float:
     return r["best"] + r["step"] * (left - right) / (2 * (left - 2 * mid + right))
 
 
+def first_grid(
+    data: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], points: int
+) -> DataFrame:
+    """Scores ``(.., i, at, ll)`` of log-spaced points; the same for all keys, so no join is needed."""
+    lo, hi = math.log(bounds[0]), math.log(bounds[1])
+    first = [(i, lo + (hi - lo) * i / (points - 1)) for i in range(points)]
+    literal = F.expr("explode(array(" + ", ".join(f"struct({i} AS i, {at!r}D AS at)" for i, at in first) + "))")
+    rows = data.withColumn("_g", literal).withColumns({"i": F.col("_g.i"), "at": F.col("_g.at")}).drop("_g")
+    return score(rows.withColumn("_value", F.exp("at"))).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
+
+
 def maximise(
     data: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], rounds: int, points: int
 ) -> list[dict]:
@@ -93,11 +104,7 @@ def maximise(
     keys = list(keys)
     spark = data.sparkSession
     lo, hi = math.log(bounds[0]), math.log(bounds[1])
-    # the first grid is the same for all keys, so the keys need not be known yet
-    first = [(i, lo + (hi - lo) * i / (points - 1)) for i in range(points)]
-    literal = F.expr("explode(array(" + ", ".join(f"struct({i} AS i, {at!r}D AS at)" for i, at in first) + "))")
-    rows = data.withColumn("_g", literal).withColumns({"i": F.col("_g.i"), "at": F.col("_g.at")}).drop("_g")
-    scores = score(rows.withColumn("_value", F.exp("at"))).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
+    scores = first_grid(data, keys, score, bounds, points)
     current = [r.asDict() for r in best_point(scores, keys).collect()]
     if not current:
         return []

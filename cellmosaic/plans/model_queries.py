@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,10 +188,8 @@ def _assigned(t: Inputs, settings: FitSettings) -> DataFrame:
 
 
 def _grid_round(data: DataFrame, loglik) -> DataFrame:
-    keys = ["run_id", "assay", "state"]
-    ends = {"lo": F.lit(math.log(1e-6)), "hi": F.lit(math.log(1e6))}
-    bounds = data.select(*keys).distinct().withColumns(ends)
-    return solver.evaluate_grid(data, bounds, keys, loglik, True, 33)
+    """The first round of the fit's own search."""
+    return solver.first_grid(data, ["run_id", "assay", "state"], loglik, (1e-6, 1e6), 33)
 
 
 _ASSIGNED = """, mine AS (SELECT f.* FROM full_obs f JOIN cells c USING (cell_id) WHERE f.clone = c.label)"""
