@@ -30,12 +30,17 @@ WINDOW = 13
 SHINGLE = 5
 SHARE = 20  # contaminated: SHARE * n_hit >= n_words
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 
 
 def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
+def term_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(ANY_CASE)), F.lit(0)).cast("bigint")
+
+
 def shingles(size: int) -> Column:
     """Hashes of the runs of ``size`` entries of the column ``words``."""
     parts = ", ".join(f"get(words, i + {j})" for j in range(size))
@@ -93,11 +98,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     found = found.select("row", "pos", F.explode("windows").alias("w")).select(
         "row", (F.col("pos") - F.col("w.at")).alias("start"), "w.words", "w.items").filter("start >= 0")
     candidates = durable(found.groupBy("row").agg(F.collect_set(F.struct("start", "words", "items")).alias("found")))
-    texts = join_dim(docs.select("row", "text"), candidates, ["row"], ["text"]).select(
-        "row", terms(F.col("text")).alias("words"), "found")
-    held = texts.select("row", F.expr("""
-        filter(found, f -> f.start + size(f.words) <= size(words)
-                           AND slice(words, f.start + 1, size(f.words)) = f.words)""").alias("found"))
+    texts = join_dim(docs.select("row", "text"), candidates, ["row"], ["text"])
+    # the array of one binds the words once; as a column of their own they would be split anew per candidate
+    held = texts.select("row", F.transform(
+        F.array(F.struct(terms(F.col("text")).alias("words"), "found")),
+        lambda x: F.filter(x["found"], lambda f: (f["start"] + F.size(f["words"]) <= F.size(x["words"])) & (
+            F.slice(x["words"], f["start"] + 1, F.size(f["words"])) == f["words"])))[0].alias("found"))
     return held.filter("size(found) > 0").select(
         "row",
         F.expr("size(array_distinct(flatten(transform(found, f -> sequence(f.start, f.start + size(f.words) - 1)))))")
@@ -115,8 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """Per row: doc_id, n_words, n_hit, n_items, items, contaminated."""
     rows = with_row(docs.select("doc_id", "text"))
     found = durable(hits(rows, items, window, shingle))
-    words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(TERM)), F.lit(0)).cast("bigint")
-    out = join_dim(rows.select("row", "doc_id", words.alias("n_words")), found, ["row"], ["doc_id"], "left")
+    out = join_dim(rows.select("row", "doc_id", term_count(F.col("text")).alias("n_words")), found, ["row"], ["doc_id"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -128,7 +133,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
     """The rows of ``docs`` that are not contaminated, with their own columns."""
     packed = with_row(docs.select("doc_id", "text", F.struct(*docs.columns).alias("own")))
     found = hits(packed.select("row", "doc_id", "text"), items, window, shingle)
-    words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(TERM)), F.lit(0))
-    out = join_dim(packed.withColumn("n_words", words), found.select("row", "n_hit"), ["row"], ["doc_id"], "left")
+    out = join_dim(packed.withColumn("n_words", term_count(F.col("text"))), found.select("row", "n_hit"), ["row"], ["doc_id"], "left")
     dirty = F.coalesce(SHARE * F.col("n_hit") >= F.col("n_words"), F.lit(False))
     return out.filter(~dirty).select("own.*")
