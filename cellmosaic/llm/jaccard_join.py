@@ -3,11 +3,12 @@
 Tokens are the distinct k-word shingles of a document, as 64-bit hashes. Two documents
 link when ``den * |x & y| >= num * |x | y|``. Equal sets are folded into one set first.
 
-Candidates. Tokens have one order: untracked ones by hash, then tracked ones (met often)
+Candidates. Tokens have one order: untracked ones by hash, then tracked ones (met again)
 by count. Sets that link share at least l tokens in their first ``n - ceil(t n) + l``.
-Tracked tokens are dealt into m classes, and l is m + 1: either a shared token is
-untracked, or two shared ones fall into one class. So an untracked token of the extended
-prefix is a key alone, tracked tokens are keys in pairs of one class. m follows the size
+Tokens counted ``COMBINED`` times or more are frequent; they are dealt into m classes,
+and l is m + 1: either a shared token is rare, or two shared ones fall into one class. So
+a rare token of the extended prefix is a key alone, frequent ones are keys in pairs of
+one class. m follows the size
 level of a set, which keeps the pairs linear in the prefix; a set is listed under its
 own level and the next, and linked sets are at most one level apart.
 Whether a token is tracked and where it stands decides the speed, never the result.
@@ -41,8 +42,9 @@ from cellmosaic.session import durable
 
 WORDS = 3
 NUM, DEN = 90, 100
-TRACKED_LEAST = 64  # tokens met in fewer documents are never tracked
-TRACKED_TOKENS = 1_000_000  # bound of the broadcast table: total tokens / this is the least count
+TRACKED_TOKENS = 1_000_000  # bound of the broadcast table: the tokens counted most often
+TRACKED_COUNTS = 4096  # counts from here on are told apart by the bound alone
+COMBINED = 32  # tokens counted as often are keys in pairs only
 COUNT_CHUNK = 4_000_000  # tokens counted at once in a task
 BLOCK = 1024  # sets of a key that meet in one block
 CACHE_WORDS = 200_000
@@ -142,13 +144,13 @@ def classes_of(level: int, num: int, den: int) -> int:
 
 
 def prefix_keys(tokens: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set. ``rank`` is 0 for an untracked token, else grows with its count."""
+    """The keys of a set. ``rank`` is 0 for an untracked token, else its count."""
     n = len(tokens)
     if n * (den - num) < num:  # no other set can link with one so small
         return np.empty(0, U64)
     order = np.lexsort((tokens, rank))
     tokens, rank = tokens[order], rank[order]
-    rare = int(np.searchsorted(rank, 0, "right"))
+    rare = int(np.searchsorted(rank, COMBINED))
     plain = n + num * -n // den + 1  # n - ceil(t n) + 1
     level = level_of(n, num, den)
     keys, longest = [], 0
@@ -177,16 +179,18 @@ def _postings(k: int, num: int, den: int, tracked):
     def run(batches):
         words = _Words()
         known, rank = tracked.value
+        likely = np.zeros(1 << 22, bool)  # by low bits: most tokens are not tracked
+        likely[known & U64(len(likely) - 1)] = True
         for batch in batches:
             keys, rids = [], []
             for tokens in token_sets(batch.column("text"), words, k):
                 if tokens is None:
                     continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    ranks = np.where(known[at] == tokens, rank[at], 0)
-                else:
-                    ranks = np.zeros(len(tokens), np.int64)
+                ranks = np.zeros(len(tokens), np.int64)
+                some = np.flatnonzero(likely[tokens & U64(len(likely) - 1)])
+                if len(some):
+                    at = np.minimum(np.searchsorted(known, tokens[some]), len(known) - 1)
+                    ranks[some] = np.where(known[at] == tokens[some], rank[at], 0)
                 found = prefix_keys(tokens, ranks, num, den)
                 keys.append(found)
                 rids.append(np.full(len(found), set_id(tokens), np.int64))
@@ -226,8 +230,8 @@ def _shared_runs(batches):
 
 
 def parity_map(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens per bit; 2 bits a token or more, a power of two, 512 at least."""
-    width = max(512, 1 << (2 * len(tokens) - 1).bit_length())
+    """Parity of the tokens per bit; half a bit a token or more, a power of two, 512 at least."""
+    width = max(512, 1 << (len(tokens) // 2).bit_length())
     odd = np.bincount((mix64(tokens) % U64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(U64)
 
@@ -362,6 +366,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num:
     return durable(both.select("a", "b", linked.alias("linked")).distinct())
 
 
+def _least_tracked(counts: DataFrame, total: int) -> int:
+    """The least count for which no more than TRACKED_TOKENS tokens are tracked."""
+    by_count = counts.groupBy(F.least("n", F.lit(TRACKED_COUNTS)).alias("n")).count().orderBy(F.desc("n")).collect()
+    held, least = 0, max(TRACKED_COUNTS, -(-total // TRACKED_TOKENS))  # counts sum to total at most
+    for r in by_count:
+        held += r["count"]
+        if held > TRACKED_TOKENS:
+            break
+        least = r["n"]
+    return least
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     spark = docs.sparkSession
@@ -377,10 +393,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
     # one row per set: where its text is, and the least id that has it
     sets = rows.filter("rid IS NOT NULL").groupBy("rid").agg(F.min(place).alias("at"), F.min("doc_id").alias("least"))
     sets = durable(sets.select("rid", "least", "at.*"))
+    counts = durable(profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    least = max(TRACKED_LEAST, -(-total // TRACKED_TOKENS))
-    often = profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    often = often.toArrow()  # at most TRACKED_TOKENS rows: their counts sum to no more than total
+    often = counts.filter(F.col("n") >= _least_tracked(counts, total))
+    often = often.toArrow()  # TRACKED_TOKENS rows at most
     known = often.column("a").to_numpy().view(U64)
     by = np.argsort(known)
     tracked = spark.sparkContext.broadcast((known[by], often.column("n").to_numpy()[by]))

@@ -106,7 +106,7 @@ def near_copies(rng, base, n, edits):
 
 
 def test_join_finds_all_links(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TRACKED_LEAST", 5)  # so that pairs of tokens are keys
+    monkeypatch.setattr(jaccard_join, "COMBINED", 5)  # so that pairs of tokens are keys
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # and that groups are split into blocks
     rng = np.random.default_rng(2)
     rows = list(ODD)
@@ -136,7 +136,7 @@ def test_linked_sets_share_a_key():
             if 10 * len(np.intersect1d(x, y)) < 9 * len(np.union1d(x, y)):
                 continue
             rank = lambda t: np.where((t >> np.uint64(7)) % np.uint64(100) < share_tracked * 100,
-                                      1 + (t >> np.uint64(20)).astype(np.int64) % 50, 0)
+                                      2 + (t >> np.uint64(20)).astype(np.int64) % 60, 0)
             keys = [jaccard_join.prefix_keys(t, rank(t), 90, 100) for t in (x, y)]
             assert len(np.intersect1d(*keys)), (n, share_tracked)
 
