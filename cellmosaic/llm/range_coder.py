@@ -352,11 +352,12 @@ class _Encoder:
     The tokenizer drops white space and lowers case before it splits, so a text's ids are
     those of its words one after the other. It splits letters from signs: a new word of
     letters and a run of signs behind them goes to the library's model in these two
-    pieces, any other word goes through the whole library. Texts with the beginning of a
-    special token go whole.
+    pieces, any other word goes through the whole library; so does one with a number sign
+    (² ³ ¹ ¼ ½ ¾), which Python counts as a word character and the tokenizer as a number.
+    Texts with the beginning of a special token go whole.
     """
 
-    _PIECES = re.compile("([^\\W\\d_]*)([!-&(-/:-@\\[-`{-~]*)")
+    _PIECES = re.compile("([^\\W\\d_²³¹¼½¾]*)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -222,6 +222,17 @@ def test_token_files_match_the_library(spark):
     assert range_coder.tokenize(empty(spark), path).count() == 0
 
 
+def test_words_of_any_latin_character_match_the_library():
+    pytest.importorskip("tokenizers")
+    encoder = range_coder._Encoder(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    for c in map(chr, range(0x21, 0x250)):
+        for word in (c, c + c, f"a{c}", f"{c}a", f"a{c}b", f"é{c}", f"{c}É", f"1{c}", f"{c}1", f".{c}", f"a{c}.", f"km{c},"):
+            library = encoder.tokenizer.encode(word, add_special_tokens=False).ids
+            assert encoder.ids(word.encode()).tolist() == library, word
+    library = encoder.tokenizer.encode("Über 10 km² x½y", add_special_tokens=False).ids
+    assert encoder.ids("Über 10 km² x½y".encode()).tolist() == library
+
+
 # WARC
 
 
