@@ -9,6 +9,12 @@ licence paragraph: of its ``RIVALS`` likeliest families that with the best fitti
 template is confirmed if enough of the template's word pairs stand in the paragraph,
 otherwise the paragraph counts as unknown.
 
+Notices are often wrapped over several lines, with or without comment signs. Lines that
+neither a sentence end nor a line without words parts are therefore also searched
+together: wherever enough of a template's word pairs stand across a line end, these words
+are a licence paragraph too if their probability is at least 0.5. Of overlapping
+paragraphs that with the best fitting template is kept.
+
 The fit takes the templates with variations of them (dropped words, words before) and
 paragraphs without a licence word from about ``NONE_DOCS`` documents, at most about
 ``NONE_ROWS`` of them, chosen by hashes: bounds that hold whatever the input.
@@ -136,6 +142,7 @@ PLAIN = (
 FAMILIES = ("none", *TEMPLATES)
 
 _PIECE = re.compile(r"(?P<word>[^\W_]+(?:\.\d+)*)|(?P<end>\n+|[.!?]+(?=\s|$))")
+_STOP = re.compile(r"[.!?]\s")
 _CUE = r"(?i)licen[sc]|copyright|spdx|rights|gnu|creative commons|public domain|permission|redistribut"
 
 
@@ -211,6 +218,71 @@ def likeness(words: list[str], templates: list[set]) -> float:
     return max((len(own & t) / len(t) for t in templates), default=0.0)
 
 
+class _Wrapped:
+    """Notices across line ends, by the word pairs of all templates."""
+
+    def __init__(self, templates: dict[str, list[set]]):
+        self.templates = [(family, t) for family, notices in templates.items() for t in notices]
+        self.of_pair: dict[tuple, list[int]] = {}
+        for k, (_, t) in enumerate(self.templates):
+            for pair in t:
+                self.of_pair.setdefault(pair, []).append(k)
+
+    @staticmethod
+    def runs(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Paragraphs first to last of each run of at least two lines that one line end each parts."""
+        out, first = [], 0
+        for i in range(1, len(spans) + 1):
+            if i < len(spans):
+                gap = text[spans[i - 1][1]:spans[i][0]]
+                if gap.count("\n") == 1 and not _STOP.search(gap):
+                    continue
+            if i - first > 1:
+                out.append((first, i))
+            first = i
+        return out
+
+    def find(self, words: list[str], cuts: list[int]) -> list[tuple[float, str, int, int]]:
+        """(likeness, family, first word, end) of parts that cross one of the line ends ``cuts``."""
+        hits: dict[int, list] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for k in self.of_pair.get(pair, ()):
+                hits.setdefault(k, []).append((i, pair))
+        out = []
+        for k, at in hits.items():
+            family, template = self.templates[k]
+            if len({pair for _, pair in at}) < LEAST_SHARE * len(template):
+                continue
+            inside, left, shortest = {}, 0, []
+            for right, (_, pair) in enumerate(at):
+                inside[pair] = inside.get(pair, 0) + 1
+                while len(inside) >= LEAST_SHARE * len(template):  # the last drop ends the shortest part
+                    gone = at[left][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                        if len(inside) < LEAST_SHARE * len(template):
+                            shortest.append((at[right][0] - at[left][0], left, right))
+                    left += 1
+            taken = np.zeros(len(at), bool)
+            for _, a, b in sorted(shortest):
+                if taken[a:b + 1].any():
+                    continue
+                own = {pair for _, pair in at[a:b + 1]}
+                # on to both sides while more of the template follows closely
+                while b + 1 < len(at) and not taken[b + 1] and at[b + 1][1] not in own and at[b + 1][0] - at[b][0] <= len(template):
+                    b += 1
+                    own.add(at[b][1])
+                while a > 0 and not taken[a - 1] and at[a - 1][1] not in own and at[a][0] - at[a - 1][0] <= len(template):
+                    a -= 1
+                    own.add(at[a][1])
+                taken[a:b + 1] = True
+                first, end = at[a][0], at[b][0] + 2
+                if any(first < cut < end for cut in cuts):
+                    out.append((len(own) / len(template), family, first, end))
+        return out
+
+
 def training_rows() -> list[tuple[int, str]]:
     """(class, paragraph) from the templates, their variations and the plain sentences."""
     rng = np.random.default_rng(3)
@@ -280,6 +352,26 @@ def _scan(model):
     def run(batches):
         weights, bias, slope, offset = model.value
         known, templates = _Tokens(), template_pairs()
+        wrapped = _Wrapped(templates)
+
+        def chances(words, ends):
+            values = logits(words, ends, known, weights, bias)
+            return values, 1 / (1 + np.exp(-np.clip(slope * _odds(values) + offset, -50, 50)))
+
+        def across(text, words, ends, spans):
+            """Rows of the parts across line ends that are likely enough."""
+            rows = []
+            for first, last in wrapped.runs(text, spans):
+                start = int(ends[first - 1]) if first else 0
+                part = words[start:ends[last - 1]]
+                for like, family, a, b in wrapped.find(part, [int(e) - start for e in ends[first:last - 1]]):
+                    chance = float(chances(part[a:b], np.array([b - a]))[1][0])
+                    if chance >= 0.5:
+                        at = [m.span() for m in _PIECE.finditer(text, spans[first][0], spans[last - 1][1]) if m.lastgroup == "word"]
+                        rows.append({"family": family, "start": at[a][0], "end": at[b - 1][1],
+                                     "probability": chance, "likeness": like})
+            return rows
+
         kind = pa.list_(pa.struct([
             ("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()),
             ("likeness", pa.float64())]))
@@ -292,8 +384,7 @@ def _scan(model):
                     best.append(0.0)
                     found.append([])
                     continue
-                values = logits(words, ends, known, weights, bias)
-                chance = 1 / (1 + np.exp(-np.clip(slope * _odds(values) + offset, -50, 50)))
+                values, chance = chances(words, ends)
                 best.append(float(chance.max()))
                 rows = []
                 wide = np.diff(ends, prepend=0) >= LEAST_WORDS
@@ -305,6 +396,14 @@ def _scan(model):
                     rows.append({
                         "family": family if like >= LEAST_SHARE else "unknown", "start": spans[i][0],
                         "end": spans[i][1], "probability": float(chance[i]), "likeness": like})
+                joined = across(text, words, ends, spans) if "\n" in text else []
+                if joined:
+                    best[-1] = max(best[-1], *(x["probability"] for x in joined))
+                    kept = []
+                    for x in sorted([*rows, *joined], key=lambda x: (-x["likeness"], x["start"] - x["end"])):
+                        if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in kept):
+                            kept.append(x)
+                    rows = sorted(kept, key=lambda x: x["start"])
                 found.append(rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(best, pa.float64()),

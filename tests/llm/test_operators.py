@@ -344,6 +344,46 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+WRAPPED = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy",
+            'of this software and associated documentation files (the "Software"), to deal',
+            "in the Software without restriction, including without limitation the rights",
+            "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+            "copies of the Software, and to permit persons to whom the Software is",
+            "furnished to do so, subject to the following conditions:"],
+    "GPL": ["This program is free software: you can redistribute it and/or modify",
+            "it under the terms of the GNU General Public License as published by",
+            "the Free Software Foundation, either version 3 of the License, or",
+            "(at your option) any later version."],
+    "LGPL": ["This library is free software; you can redistribute it and/or",
+             "modify it under the terms of the GNU Lesser General Public",
+             "License as published by the Free Software Foundation; either",
+             "version 2.1 of the License, or (at your option) any later version."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without",
+            "modification, are permitted provided that the following conditions are met:"],
+}
+
+
+def test_wrapped_notices(spark):
+    rows, want = [], {}
+    rows += [(100 + i, f"Plain words number {i}. They say this and that about topic {i % 7}.\nAnd more.") for i in range(150)]
+    for k, (family, lines) in enumerate(WRAPPED.items()):
+        shapes = ["\n".join(lines), "\r\n".join(f"# {x}" for x in lines), "/*\n" + "".join(f" * {x}\n" for x in lines) + " */\n",
+                  "\n".join(["some words", "and a list of them", *lines, "", *lines, "", "the end"]),
+                  "\n".join([*(f"item {i} of a long list" for i in range(300)), *lines])]
+        for j, text in enumerate(shapes):
+            rows.append((1000 + 10 * k + j, text))
+            want[rows[-1][0]] = [family] * (2 if j == 3 else 1)
+    rows.append((2000, "Licensed under the Apache\n\nLicense, Version 2.0"))
+    got = {r.doc_id: r for r in licenses.scan(texts_table(spark, rows)).collect()}
+    for i, families in want.items():
+        assert [x.family for x in got[i].found if x.family != "unknown"] == families, (dict(rows)[i], got[i].found)
+        for x in got[i].found:
+            assert dict(rows)[i][x.start:x.end].count("\n") or x.family == "unknown"
+    assert not any(x.family == "Apache-2.0" for x in got[2000].found)
+    assert not any(got[i].found for i in range(100, 250))
+
+
 # nearest neighbours
 
 
