@@ -7,7 +7,13 @@ copies. The rest is a fixed-size sample without replacement: each document has t
 random odds u / (1 - u), u from a hash of its id, and inclusion odds p / (1 - p) times
 the root of its size, p being the part of r after the point. Documents are taken in
 the order of random odds / inclusion odds up to the number of words that is missing.
-Up to ``FILL_ROUNDS`` single documents that fit the words still missing close the gap.
+Where the first text that overruns it ends this order, rounds go on down it until no text
+is left that fits: a round takes texts of at most half the words still missing, up to the
+first that overruns them, or the first text that fits if all are longer. What is missing
+is halved in two rounds at the latest, so that a source needs at most 2 log2(missing) + 1
+of them and then misses less than its smallest text left. At last up to ``FILL_ROUNDS``
+single documents that come nearer to the target, if only by overrunning it, are taken.
+``go_on=False`` leaves out the rounds: the rule of the SQL of op1_source_mix.
 
 The order is cut without sorting a source in one task: documents are counted in bands
 of the logarithm of their rank value, as many bands as the source needs, and only the
@@ -96,12 +102,9 @@ def _tuple(value: str = "_value") -> Column:
     return F.struct(F.col(value).alias("value"), F.col("_tie").alias("tie"), F.col("_size").alias("size"))
 
 
-def plan_mix(sized: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES) -> DataFrame:
-    """One row per source: target, whole copies, the last taken rank and the fillers."""
-    rows = durable(sized.select("_source", "source", "_size", "_tie", "_odds"))
-    targets = durable(source_targets(rows, weigh, max_copies))
-    ranked = join_dim(rows, targets, ["_source"], ["_tie"], bound=targets).withColumn("_value", _rank_value())
-    ranked = ranked.filter("_value IS NOT NULL").withColumn(
+def _cut(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per source the last whole band and the last row inside its budget, down the order of ranks."""
+    ranked = ranked.withColumn(
         "_band",
         F.floor(F.log2("_value") * F.greatest(F.lit(64), F.col("_rows") / BAND_ROWS)),
     )
@@ -121,25 +124,87 @@ def plan_mix(sized: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIE
             Window.unboundedPreceding, Window.currentRow))
     ).filter("_sum <= _budget")
     edge = edge.groupBy("_source").agg(F.max(F.struct(_tuple().alias("_last"), "_sum")).alias("_edge"))
+    return inside, edge
+
+
+_TUPLE = "struct<value:double,tie:bigint,size:bigint>"
+
+
+def _extra() -> Column:
+    """Whether a row with a rank is taken once more than the whole copies."""
+    later = F.exists("_more", lambda m: (F.col("_size") <= m["limit"]) & (_tuple() <= m["cut"])
+                     & ~F.array_contains(m["without"], _tuple()))
+    return F.coalesce(_tuple() <= F.col("_cut"), F.lit(False)) | F.array_contains(F.col("_fill"), _tuple()) | later
+
+
+def _go_on(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with rounds down the order until no text left fits its source's gap."""
+    columns = plan.columns
+    while True:
+        plan = durable(plan)
+        gap = F.col("_budget") - F.col("_taken")
+        free = join_dim(rows, plan.filter(gap >= 1), ["_source"], ["_tie"], bound=plan).withColumn("_value", _rank_value())
+        free = free.filter("_value IS NOT NULL").filter((F.col("_size") <= gap) & ~_extra())
+        # rows repeated with the same id and size are one text here
+        texts = free.groupBy("_source", "_value", "_tie", "_size").agg(
+            F.sum("_size").alias("_words"), F.first("_rows").alias("_rows"), F.first(gap).alias("_gap"))
+        texts = durable(texts)
+        limits = durable(texts.filter("_words <= _gap").groupBy("_source").agg(
+            F.when(F.min("_words") <= F.first("_gap") / 2, F.first("_gap") / 2).otherwise(F.first("_gap")).alias("_limit")))
+        if limits.isEmpty():
+            return plan
+        texts = join_dim(texts, limits, ["_source"], ["_tie"], bound=limits)
+        fit = texts.filter("_words <= _limit").select(
+            "_source", "_value", "_tie", F.col("_words").alias("_size"), F.col("_size").alias("_one"), "_rows",
+            F.col("_gap").alias("_budget"))
+        inside, edge = _cut(fit)
+        step = inside.join(edge, "_source", "left").join(limits, "_source").select(
+            "_source", "_limit", F.coalesce(F.col("_edge._last"), F.col("_below._last")).alias("_end"),
+            F.coalesce(F.col("_edge._sum"), F.col("_below._sum")).alias("_got"))
+        step = durable(step)
+        # repeated rows that only fit one by one
+        without = join_dim(texts.filter("_size <= _limit AND _words > _limit").drop("_limit"), step, ["_source"], ["_tie"], bound=step)
+        without = without.filter((F.col("_value") <= F.col("_end.value"))).groupBy("_source").agg(
+            F.collect_list(_tuple()).alias("_without"))
+        step = step.join(without, "_source", "left")
+        # the end's place in the order counts, whatever its size
+        end = F.struct(F.col("_end.value").alias("value"), F.col("_end.tie").alias("tie"), F.lit((1 << 63) - 1).alias("size"))
+        more = F.struct(
+            F.col("_limit").alias("limit"), end.alias("cut"),
+            F.coalesce("_without", F.array().cast(f"array<{_TUPLE}>")).alias("without"))
+        plan = plan.join(step, "_source", "left").withColumns({
+            "_more": F.when(F.col("_end").isNull(), F.col("_more")).otherwise(F.concat("_more", F.array(more))),
+            "_taken": F.col("_taken") + F.coalesce("_got", F.lit(0)),
+        }).select(*columns)
+
+
+def plan_mix(sized: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES, go_on: bool = True) -> DataFrame:
+    """One row per source: target, whole copies, the last taken rank, the fillers and the later rounds."""
+    rows = durable(sized.select("_source", "source", "_size", "_tie", "_odds"))
+    targets = durable(source_targets(rows, weigh, max_copies))
+    ranked = join_dim(rows, targets, ["_source"], ["_tie"], bound=targets).withColumn("_value", _rank_value())
+    inside, edge = _cut(ranked.filter("_value IS NOT NULL"))
     plan = targets.join(inside, "_source", "left").join(edge, "_source", "left").select(
         *targets.columns,
         F.coalesce(F.col("_edge._last"), F.col("_below._last")).alias("_cut"),
         F.coalesce(F.col("_edge._sum"), F.col("_below._sum"), F.lit(0)).alias("_taken"),
-        F.array().cast("array<struct<value:double,tie:bigint,size:bigint>>").alias("_fill"),
+        F.array().cast(f"array<{_TUPLE}>").alias("_fill"),
+        F.array().cast(f"array<struct<limit:double,cut:{_TUPLE},without:array<{_TUPLE}>>>").alias("_more"),
     )
+    if go_on:
+        plan = _go_on(rows, plan)
     for _ in range(FILL_ROUNDS):
         plan = durable(plan)
         gap = F.col("_budget") - F.col("_taken")
         free = join_dim(rows, plan, ["_source"], ["_tie"], bound=plan).withColumn("_value", _rank_value())
         free = free.filter("_value IS NOT NULL").filter(
-            ~F.coalesce(_tuple() <= F.col("_cut"), F.lit(False))
-            & ~F.array_contains(F.col("_fill"), _tuple()) & (F.col("_size") < 2 * gap)
+            ~_extra() & (F.col("_size") < 2 * gap)
         )
         best = free.groupBy("_source").agg(
             F.min(F.struct(F.abs(gap - F.col("_size")).alias("off"), _tuple().alias("row"))).alias("_best")
         )
         plan = plan.join(best, "_source", "left").select(
-            *targets.columns, "_cut",
+            *targets.columns, "_cut", "_more",
             (F.col("_taken") + F.coalesce(F.col("_best.row.size"), F.lit(0))).alias("_taken"),
             F.when(F.col("_best").isNull(), F.col("_fill"))
             .otherwise(F.concat("_fill", F.array("_best.row"))).alias("_fill"),
@@ -150,17 +215,15 @@ def plan_mix(sized: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIE
 def apply_plan(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with source_size, target, copies and taken; a join with one row per source."""
     out = join_dim(sized, plan, ["_source"], ["_tie"], bound=plan).withColumn("_value", _rank_value())
-    extra = F.col("_value").isNotNull() & (
-        F.coalesce(_tuple() <= F.col("_cut"), F.lit(False)) | F.array_contains(F.col("_fill"), _tuple())
-    )
+    extra = F.col("_value").isNotNull() & _extra()
     copies = (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("int")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("_size"))
 
 
-def mix(docs: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES) -> DataFrame:
+def mix(docs: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES, go_on: bool = True) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken."""
     sized = with_sizes(docs.select("doc_id", "source", "text"))
-    plan = plan_mix(sized, weigh, max_copies)
+    plan = plan_mix(sized, weigh, max_copies, go_on)
     # sizes are counted once more here rather than kept with the id: the scan is cheap
     return apply_plan(sized, plan).select(
         "doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies",

@@ -10,7 +10,8 @@ from cellmosaic.llm.common import read_table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select(
+    # the SQL's rule; the pipeline's mix goes on until nothing fits
+    return mixing.mix(read_table(spark, sf_dir, "documents"), go_on=False).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellmosaic.llm import (
     ann, decontaminate, jaccard_join, licenses, mixing, quality, range_coder, secrets, toxicity, warc,
@@ -69,6 +70,34 @@ def test_mix_reaches_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == got.copies.sum()
 
 
+@pytest.mark.parametrize("factor", [0.2, 1.15])
+def test_mix_goes_on_behind_a_huge_text(spark, factor):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(100, 700)), "s") for i in range(400)] + [(5000 + i, "w " * 60_000, "s") for i in range(3)]
+    rows += [(i % 9, "w " * (50 + i % 5), "s") for i in range(90)] + [(None, "w " * 30, "s")] * 20  # repeated rows
+    target = factor * sum(words(t) for _, t, _ in rows)
+    docs = texts_table(spark, rows + [(9000, "w " * int(2 * target), "t")])
+    sized = mixing.with_sizes(docs)
+    real = mixing.source_targets
+
+    def fixed(rows, weigh, max_copies):
+        t = real(rows, weigh, max_copies)
+        ratio = F.when(F.col("_source") == "ss", F.lit(factor)).otherwise(F.lit(1.0))
+        return t.withColumns({"target": ratio * F.col("source_size"), "_whole": F.floor(ratio), "_part": ratio - F.floor(ratio),
+                              "_budget": (ratio - F.floor(ratio)) * F.col("source_size")})
+
+    mixing.source_targets = fixed
+    try:
+        got = mixing.apply_plan(sized, mixing.plan_mix(sized)).filter("_source = 'ss'").toPandas()
+    finally:
+        mixing.source_targets = real
+    base = int(factor)
+    gap = target - got.taken.sum()
+    left = got[got.copies == base]
+    smallest = left.groupby(left._tie)["_size"].sum().min() if len(left) else 1
+    assert abs(gap) < smallest and abs(gap) < 0.01 * target
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(empty(spark)).count() == 0
     blank = texts_table(spark, [(1, None), (2, "")])
