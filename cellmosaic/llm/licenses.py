@@ -5,8 +5,8 @@ Paragraphs are the lines of a text, cut after sentences. Their features are word
 logistic regression tells licence families from the class "none", which is learned from
 paragraphs of the corpus itself. A logistic curve, fitted on rows that the regression has
 not seen, turns the odds against "none" into a probability. What is at least 0.5 is a
-licence paragraph: of its ``RIVALS`` likeliest families that with the best fitting
-template is confirmed if enough of the template's word pairs stand in the paragraph,
+licence paragraph: of all families that with the best fitting template, the likeliest
+of equals, is confirmed if enough of the template's word pairs stand in the paragraph,
 otherwise the paragraph counts as unknown.
 
 Notices are often wrapped over several lines, with or without comment signs. Lines that
@@ -45,7 +45,6 @@ NONE_ROWS = 6_000
 LEAST_WORDS = 2  # of a licence paragraph
 LEAST_SHARE = 0.6  # of a template's word pairs
 VARIATIONS = 8
-RIVALS = 3  # predicted families that are compared with their templates
 CACHE_TOKENS = 200_000
 
 # fixed values: notices as projects commonly write them, by family
@@ -390,8 +389,8 @@ def _scan(model):
                 wide = np.diff(ends, prepend=0) >= LEAST_WORDS
                 for i in np.flatnonzero((chance >= 0.5) & wide):
                     part = words[ends[i - 1] if i else 0:ends[i]]
-                    # the likeliest families; near relatives differ in a word that the template shows
-                    rivals = [FAMILIES[1 + j] for j in np.argsort(-values[i, 1:], kind="stable")[:RIVALS]]
+                    # the likeliest first; near relatives differ in a word that the template shows
+                    rivals = [FAMILIES[1 + j] for j in np.argsort(-values[i, 1:], kind="stable")]
                     like, family = max(((likeness(part, templates[f]), f) for f in rivals), key=lambda x: x[0])
                     rows.append({
                         "family": family if like >= LEAST_SHARE else "unknown", "start": spans[i][0],

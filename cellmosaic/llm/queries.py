@@ -70,7 +70,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_paragraphs", F.size(sure).cast("bigint").alias("n_confirmed"),
         (F.size("found") - F.size(sure)).cast("bigint").alias("n_unknown"),
-        F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("families"), "score")
+        F.array_join(F.array_sort(F.array_distinct(sure["family"])), ",").alias("families"), "score",
+        F.to_json("found").alias("found"))
 
 
 QUERIES = {

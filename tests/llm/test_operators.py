@@ -7,8 +7,10 @@ import base64
 import hashlib
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +375,15 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_a_family_that_is_not_predicted_is_confirmed_by_its_template():
+    bias = np.linspace(0, 1, len(licenses.FAMILIES))  # MIT, the first family, is the least likely
+    model = SimpleNamespace(value=(np.zeros((licenses.BUCKETS, len(bias)), np.float32), bias, 1.0, 0.0))
+    text = "Released under the MIT License."
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["doc_id", "text"])
+    found = next(licenses._scan(model)([batch])).column("found").to_pylist()[0]
+    assert [(x["family"], x["start"], x["end"], x["likeness"]) for x in found] == [("MIT", 0, len(text) - 1, 1.0)]
+
+
 WRAPPED = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy",
             'of this software and associated documentation files (the "Software"), to deal',

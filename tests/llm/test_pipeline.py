@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 
 import __spark_entry__ as contract
@@ -36,3 +38,14 @@ def test_stages_follow_each_other(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert last.count() == docs.count() > 0
+
+
+def test_license_query_returns_the_paragraphs(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = QUERIES["op10_licenses"](spark, FOLDER).collect()
+    for r in rows:
+        found = json.loads(r.found)
+        sure = [x["family"] for x in found if x["family"] != "unknown"]
+        assert (len(sure), len(found) - len(sure), ",".join(sorted(set(sure)))) == (r.n_confirmed, r.n_unknown, r.families)
+        assert all(0 <= x["start"] < x["end"] <= len(texts[r.doc_id]) for x in found)
+    assert any(r.n_confirmed for r in rows)
