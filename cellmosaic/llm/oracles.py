@@ -95,3 +95,65 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM kept
 """
+
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE t0 AS (SELECT i, i::BIGINT AS c FROM range(256) r(i)),
+bits AS (  -- the table of crc32, one bit a round
+  SELECT i, c, 0 AS round FROM t0
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, round + 1 FROM bits WHERE round < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE round = 8),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, text,
+         coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents),
+digits AS (
+  SELECT rid, 1 AS pos, doc_id::VARCHAR AS digits, 4294967295::BIGINT AS c FROM docs WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT rid, pos + 1, digits, xor(c >> 8, t[(xor(c, ascii(substr(digits, pos, 1))) & 255) + 1])
+  FROM digits, crc_table WHERE pos <= length(digits)),
+crc AS (SELECT rid, xor(c, 4294967295) AS crc FROM digits WHERE pos = length(digits) + 1),
+hashed AS (
+  SELECT d.rid, d.doc_id, d.lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(text)) || ':'
+           || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS seen
+  FROM docs d LEFT JOIN crc USING (rid)),
+placed AS (
+  SELECT *, coalesce('=' || lang, '-') AS tree, row_number() OVER w - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+lower_tree AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM lower_tree WHERE n > 1 GROUP BY tree, level, pos // 8),
+subroots AS (
+  SELECT tree, digest AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n
+  FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM upper_tree WHERE n > 1 GROUP BY level, pos // 8),
+root AS (SELECT digest AS root FROM upper_tree WHERE n = 1),
+nodes AS (  -- levels of the last tree follow those of a lang
+  SELECT tree, level AS step, pos, digest, (8 ** level)::BIGINT AS span, false AS last FROM lower_tree WHERE n > 1
+  UNION ALL
+  SELECT s.tree, s.height + u.level, u.pos, u.digest, (8 ** u.level)::BIGINT, true FROM subroots s, upper_tree u WHERE u.n > 1),
+own AS (
+  SELECT p.rid, n.step, string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos < m.mine) AS lefts,
+         string_agg(n.digest, '' ORDER BY n.pos) FILTER (WHERE n.pos > m.mine) AS rights
+  FROM placed p JOIN subroots s USING (tree) JOIN nodes n USING (tree),
+       LATERAL (SELECT (CASE WHEN n.last THEN s.pos ELSE p.pos END // n.span)::BIGINT AS mine) m
+  WHERE n.pos // 8 = m.mine // 8 GROUP BY p.rid, n.step),
+proofs AS (SELECT rid, string_agg(coalesce(lefts, '') || coalesce(rights, ''), '' ORDER BY step) AS proof FROM own GROUP BY rid),
+fold AS (
+  SELECT rid, 0 AS step, coalesce(seen, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(coalesce(o.lefts, '') || f.digest || coalesce(o.rights, ''))
+  FROM fold f JOIN own o ON f.rid = o.rid AND f.step = o.step),
+last_fold AS (SELECT rid, arg_max(digest, step) AS folded_root FROM fold GROUP BY rid)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256, l.folded_root, l.folded_root = r.root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN last_fold l ON l.rid = p.rid LEFT JOIN proofs q ON q.rid = p.rid, root r
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import ann, decontaminate, jaccard_join, licenses, mixing, oracles, quality, range_coder, secrets, toxicity, warc
-from cellmosaic.llm.common import read_table
+from cellmosaic.llm import ann, decontaminate, jaccard_join, licenses, merkle, mixing, oracles, quality, range_coder, secrets, toxicity, warc
+from cellmosaic.llm.common import lower_ascii, read_table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json("found").alias("found"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(
+        read_table(spark, sf_dir, "documents"), F.when(tampered, merkle.leaf_digest(text=lower_ascii(F.col("text")))))
+    rebuilt = merkle.folded(F.coalesce("seen_leaf", "leaf"), F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        rebuilt.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_revisits": op2_warc_revisits,
@@ -85,9 +95,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_licenses": op10_licenses,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES = {
     "op1_source_mix": oracles.SOURCE_MIX,
     "op2_warc_revisits": oracles.WARC_REVISITS,
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
