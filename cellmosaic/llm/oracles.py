@@ -157,3 +157,63 @@ last_fold AS (SELECT rid, arg_max(digest, step) AS folded_root FROM fold GROUP B
 SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(q.proof, '')) AS proof_sha256, l.folded_root, l.folded_root = r.root AS verified
 FROM placed p JOIN subroots s USING (tree) JOIN last_fold l ON l.rid = p.rid LEFT JOIN proofs q ON q.rid = p.rid, root r
 """
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM split, range(1, 5) r(k)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30),
+inner_parts AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase
+  FROM candidates, range(2, 4) r(j) WHERE j < k),
+held AS (SELECT lang, phrase, max(a) AS b FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN held h ON c.lang = h.lang AND c.phrase = h.phrase
+  WHERE h.b IS NULL OR 100::HUGEINT * h.b < 80::HUGEINT * c.a),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a // (x.n::HUGEINT + y.n))::BIGINT AS score
+  FROM kept c, range(1, 4) t(j), f x, f y
+  WHERE j < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+    AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+weakest AS (SELECT lang, phrase, a, unnest(arg_min({'l': l, 'r': r, 'score': score}, {'s': score, 'j': j})) FROM cuts GROUP BY lang, phrase, a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t USING (lang) WHERE rank <= 2000
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s
+  FROM split),
+sized AS (SELECT *, len(s)::BIGINT AS n FROM sets),
+tokens AS (SELECT rid, n, unnest(s) AS token FROM sized),
+counts AS (SELECT token, count(*) AS c FROM tokens GROUP BY token),
+ranked AS (  -- sets that link share one of their n - ceil(0.8 n) + 1 rarest tokens
+  SELECT rid, n, token, row_number() OVER (PARTITION BY rid ORDER BY c, token) AS place FROM tokens JOIN counts USING (token)),
+heads AS (SELECT rid, n, token FROM ranked WHERE place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.rid AS a, b.rid AS b FROM heads a JOIN heads b USING (token)
+  WHERE a.rid < b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (
+  SELECT a, b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS i
+  FROM pairs JOIN sized x ON x.rid = a JOIN sized y ON y.rid = b),
+links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rid AS a, rid AS b FROM sized
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+classes AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reach r JOIN sized d ON d.rid = r.b GROUP BY r.a)
+SELECT s.doc_id, s.n AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM sized s JOIN classes c USING (rid)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmosaic.llm import ann, decontaminate, jaccard_join, licenses, merkle, mixing, oracles, quality, range_coder, secrets, toxicity, warc
+from cellmosaic.llm import ann, decontaminate, jaccard_join, licenses, merkle, minhash, mixing, oracles, phrases, quality, range_coder, secrets, toxicity, warc
 from cellmosaic.llm.common import lower_ascii, read_table
 
 
@@ -74,6 +74,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json("found").alias("found"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     found = merkle.manifest(
@@ -84,6 +88,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         rebuilt.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_revisits": op2_warc_revisits,
@@ -95,11 +103,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_licenses": op10_licenses,
+    "op11_minhash": op11_minhash,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrases": op13_phrases,
 }
 ORACLES = {
     "op1_source_mix": oracles.SOURCE_MIX,
     "op2_warc_revisits": oracles.WARC_REVISITS,
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op11_minhash": oracles.NEAR_DUPLICATES,
     "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
+    "op13_phrases": oracles.PHRASES,
 }
