@@ -15,8 +15,8 @@ Large groups cost no more than their size: first each set is compared with the s
 alone, verified with the most alike, and what is linked becomes one component. Then only
 keys that still hold several components are taken up, in blocks of bounded size, and pairs
 of one component are left out; a component that fills blocks of its own is not compared with
-itself. One round verifies a spanning forest of the pairs that pass, the last one every
-passing pair whose ends are still in different components.
+itself. The sets that pass with a set of another component meet once more with their tokens, block by
+block, and are verified there. No pair leaves a block but a forest of its links.
 
 Null texts and texts without a word have no set and link with nothing. Rows repeated with one
 id are each returned; a null id takes part and never names a component unless all ids of it are null.
@@ -44,7 +44,9 @@ BANDS, BAND_ROWS = 32, 5
 HASHES = 256
 BATCH = 32
 MISS = 1e-6
-BLOCK = 1024
+BLOCK = 1024  # sets of a block
+BLOCK_TOKENS = 2_000_000  # and their tokens
+BITS_AT_ONCE = 1 << 16
 TOKENS_AT_ONCE = 512
 U32 = np.uint32
 _RANDOM = np.random.default_rng(20240607)
@@ -157,43 +159,59 @@ def _compare(num: int, den: int):
     return run
 
 
-def passing_pairs(rid, n, label, sig, num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one block that pass all batches and whose labels differ.
+def in_window(n: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
+    """Index of the later sets, in order of size, that are small enough to link with set ``i``."""
+    return np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, "right")))
 
-    ``forest``: only as many as join the sets that such pairs connect, the most alike first.
-    """
+
+def involved(n: np.ndarray, label: np.ndarray, sig: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Index of the sets of one block that pass all batches with a set of another label."""
     limits = least_matches(num, den)
     order = np.argsort(n, kind="stable")
-    n, own, sig, rid = n[order], label[order].copy(), sig[order], rid[order]
+    n, label, sig = n[order], label[order], sig[order]
+    hit = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        others = in_window(n, i, num, den)
+        others = others[label[others] != label[i]]
+        if len(others):
+            at, _ = equal_bytes(sig[i], sig[others], limits)
+            hit[others[at]] = True
+            hit[i] |= len(at) > 0
+    return order[hit]
+
+
+def linked_forest(label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links of one block that join its labels, by the exact intersections of the sets."""
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    n, own = n[order], label[order].copy()
+    rows = np.repeat(np.arange(len(n)), n)
+    _, ids, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = counts > 1  # the others are in no intersection
+    rows, ids = rows[shared[ids]], (np.cumsum(shared) - 1)[ids[shared[ids]]]
+    common = np.zeros((len(n), len(n)), np.int32)
+    for first in range(0, int(shared.sum()), BITS_AT_ONCE):
+        some = (ids >= first) & (ids < first + BITS_AT_ONCE)
+        width = min(BITS_AT_ONCE, int(shared.sum()) - first)
+        flags = np.zeros((len(n), -(-width // 64) * 64), np.uint8)
+        flags[rows[some], ids[some] - first] = 1
+        bits = np.packbits(flags, axis=1).view(U64)
+        for i in range(len(n) - 1):
+            others = in_window(n, i, num, den)
+            common[i, others] += np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int32)
     out = []
     for i in range(len(n) - 1):
-        others = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, "right")))
-        others = others[own[others] != own[i]]
-        if not len(others):
-            continue
-        at, equal = equal_bytes(sig[i], sig[others], limits)
-        for j in others[at[np.argsort(-equal, kind="stable")]]:
-            if not forest:
-                out.append((rid[i], rid[j]))
-            elif own[j] != own[i]:
-                out.append((rid[i], rid[j]))
+        others = in_window(n, i, num, den)
+        inter = common[i, others].astype(np.int64)
+        for j in others[den * inter >= num * (n[i] + n[others] - inter)]:
+            if own[j] != own[i]:
+                out.append((int(order[i]), int(order[j])))
                 own[own == own[j]] = own[i]
     return out
 
 
-def _block_pairs(num: int, den: int, forest: bool):
-    """Rows come sorted by block; a block may go on in the next batch."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        sig = _matrix(rows.column("sig"))
-        block, rid, n, label = (rows.column(c).to_numpy() for c in ("block", "rid", "n", "label"))
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        found = []
-        for lo, hi in zip([0, *cuts], [*cuts, len(block)]):
-            if hi - lo > 1:
-                found += passing_pairs(rid[lo:hi], n[lo:hi], label[lo:hi], sig[lo:hi], num, den, forest)
-        ends = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+def _per_block(work):
+    """``work`` on the rows of each block; rows come sorted by block, which may go on in the next batch."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # the rows so far of the last block
@@ -205,16 +223,43 @@ def _block_pairs(num: int, den: int, forest: bool):
             before = np.flatnonzero(block != block[-1])
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut or (held and open_block != block[-1]):
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield _each(pa.Table.from_batches([*held, batch.slice(0, cut)]), work)
                 held = []
             held.append(batch.slice(cut))
             open_block = block[-1]
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield _each(pa.Table.from_batches(held), work)
 
     return run
 
 
+def _each(rows: pa.Table, work) -> pa.RecordBatch:
+    block = rows.column("block").to_numpy()
+    cuts = np.flatnonzero(np.diff(block)) + 1
+    found = [work(rows.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, len(block)]) if hi - lo > 1]
+    ends = np.concatenate(found or [np.empty((0, 2), np.int64)])
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def _involved(num: int, den: int):
+    def work(rows: pa.Table) -> np.ndarray:
+        n, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
+        at = involved(n, label, _matrix(rows.column("sig")), num, den)
+        return np.stack([rows.column("block").to_numpy()[at], rows.column("rid").to_numpy()[at]], axis=1)
+
+    return _per_block(work)
+
+
+def _links(num: int, den: int):
+    def work(rows: pa.Table) -> np.ndarray:
+        sets = [s.values.to_numpy() for s in rows.column("tokens")]
+        found = linked_forest(rows.column("label").to_numpy(), sets, num, den)
+        ends = rows.column("rid").to_numpy()[np.array(found, np.int64).reshape(-1, 2)]
+        return np.stack([ends.min(axis=1), ends.max(axis=1)], axis=1)
+
+    return _per_block(work)
+
+
 def _token_lists(k: int):
     def run(batches):
         words = _Words()
@@ -228,39 +273,48 @@ def _token_lists(k: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``pairs`` with ``linked``, by the full sets of the texts that stand for them."""
-    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    places = sets.join(ends, "rid").select("th", "doc").distinct()
+def _token_table(ends: DataFrame, sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rid, n, tokens) of the sets in ``ends``, from one text each."""
+    places = sets.join(ends, "rid", "left_semi").select("th", "doc").distinct()
     read = join_dim(texts, places, ["th", "doc"], ["text"]).select("text").mapInArrow(
         _token_lists(k), "rid long, n long, tokens array<long>")
-    side = durable(read.dropDuplicates(["rid"]))  # a repeated row may have listed its set twice
+    return durable(read.dropDuplicates(["rid"]))  # a repeated row may have listed its set twice
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The ``pairs`` that link by their full sets."""
+    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    side = _token_table(ends, sets, texts, k)
     # the smaller end is the hub of a star: its tokens meet the others' there
     both = pairs.join(side.toDF("b", "nb", "tb"), "b").join(side.toDF("a", "na", "ta"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return durable(both.select("a", "b", (den * shared >= num * (F.col("na") + F.col("nb") - shared)).alias("linked")))
+    return durable(both.filter(den * shared >= num * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
 
 
 def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(block, rid, label): the sets of keys that hold several components.
 
-    Keys that list the same sets are taken once. A key of more than ``BLOCK`` sets is cut: a component with
+    Keys that list the same sets are taken once. A key of more than a block is cut: a component with
     as many members there has blocks of its own, the others share blocks; each two blocks meet
     unless they are of one component.
     """
     named = labels.select(F.col("node").alias("rid"), "component")
     labelled = members.join(named, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
     lists = labelled.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min("label").alias("lo"), F.max("label").alias("hi"),
         F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"),
         F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-    once = lists.filter("lo <> hi").groupBy("size", "s", "s2").agg(F.min("key").alias("key")).select("key", "size")
-    mixed = durable(labelled.join(once, "key").select("key", "rid", "label", "size"))
-    short = mixed.filter(F.col("size") <= BLOCK).select(F.col("key").alias("block"), "rid", "label")
-    long = mixed.filter(F.col("size") > BLOCK)
-    counts = long.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("unit", F.when(F.col("c") >= BLOCK, F.col("label")))  # null: the shared blocks
-    sizes = counts.groupBy("key", "unit").agg(F.ceil(F.sum("c") / BLOCK).alias("q"))
+    # the load of a key or a part of it, in blocks
+    load = lambda size, tokens: F.ceil(F.greatest(size / BLOCK, tokens / BLOCK_TOKENS))
+    once = lists.filter("lo <> hi").groupBy("size", "tokens", "s", "s2").agg(F.min("key").alias("key")).select(
+        "key", load(F.col("size"), F.col("tokens")).alias("load"))
+    mixed = durable(labelled.join(once, "key").select("key", "rid", "n", "label", "load"))
+    short = mixed.filter("load <= 1").select(F.col("key").alias("block"), "rid", "label")
+    long = mixed.filter("load > 1")
+    counts = long.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    whole = load(F.col("c"), F.col("t")) > 1
+    counts = counts.withColumn("unit", F.when(whole, F.col("label")))  # null: the shared blocks
+    sizes = counts.groupBy("key", "unit").agg(load(F.sum("c"), F.sum("t")).alias("q"))
     units = durable(counts.join(sizes.withColumnRenamed("unit", "u"), "key").filter(F.col("unit").eqNullSafe(F.col("u")))
                     .select("key", "label", "unit", "q"))
     parts = units.select("key", "unit", "q").distinct().select("key", "unit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).alias("i"))
@@ -275,10 +329,18 @@ def _blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     return short.unionByName(cut)
 
 
-def _candidates(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    rows = _blocks(members, labels).join(sets.select("rid", "n", "sig"), "rid")
-    rows = rows.select("block", "rid", "n", "label", "sig").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_block_pairs(num, den, forest), "a long, b long").distinct()
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
+def _block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links that join components, from the blocks of all keys that hold several."""
+    blocks = durable(_blocks(members, labels))
+    rows = blocks.join(sets.select("rid", "n", "sig"), "rid").select("block", "rid", "n", "label", "sig")
+    hits = durable(_by_block(rows).mapInArrow(_involved(num, den), "a long, b long").toDF("block", "rid"))
+    tokens = _token_table(hits.select("rid").distinct(), sets, texts, k)
+    rows = blocks.join(hits, ["block", "rid"]).join(tokens, "rid").select("block", "rid", "label", "tokens")
+    return durable(_by_block(rows).mapInArrow(_links(num, den), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -292,7 +354,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
         F.min(F.struct("th", doc.alias("doc"))).alias("at"), F.min("doc_id").alias("least"),
         F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"),
     ).select("rid", "least", "at.*", "n", "sig", "keys"))
-    postings = sets.select(F.explode("keys").alias("key"), "rid")
+    postings = sets.select(F.explode("keys").alias("key"), "rid", "n")
     heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rid").alias("head")).filter("size > 1")
     members = durable(postings.join(heads.select("key", "head"), "key"))
 
@@ -301,17 +363,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     compared = pairs.join(side.toDF("b", "nb", "sb"), "b").join(side.toDF("a", "na", "sa"), "a").mapInArrow(
         _compare(num, den), "a long, b long, equal long")
     best = compared.groupBy("b").agg(F.max_by("a", F.struct("equal", "a")).alias("a")).select("a", "b")
-    known = _confirmed(durable(best), sets, texts, k, num, den)
-    links = known.filter("linked").select("a", "b")
+    links = _confirmed(durable(best), sets, texts, k, num, den)
     labels = durable(connected_components(links))
-    for forest in (True, False):
-        found = _candidates(members.drop("head"), labels, sets, num, den, forest)
-        found = durable(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        checked = _confirmed(found, sets, texts, k, num, den)
-        known = known.unionByName(checked)
-        # the stars of earlier rounds stand for their links
-        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = durable(connected_components(stars.unionByName(checked.filter("linked").select("a", "b"))))
+    more = _block_links(members.drop("head"), labels, sets, texts, k, num, den)
+    # the stars of the first components stand for their links
+    stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = durable(connected_components(stars.unionByName(more)))
 
     grouped = sets.select("rid", "least").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
     grouped = durable(grouped.withColumn("component", F.coalesce("component", "rid")))

@@ -299,7 +299,35 @@ def test_minima_estimate_similarity():
         rng.shuffle(pool)
         diffs.append((minhash.minima(a) == minhash.minima(b)).mean() - 0.8)
     assert abs(np.mean(diffs)) < 0.01 and np.std(diffs) < 0.04
-    blocks = minhash._block_pairs(80, 100, True)
-    sig = (minhash.minima(pool[:500]) & 255).astype(np.uint8).tobytes()
-    rows = pa.RecordBatch.from_pydict({"block": [1, 1, 2, 2], "rid": [5, 6, 7, 8], "n": [500] * 4, "label": [5, 6, 7, 7], "sig": [sig] * 4})
-    assert [p for b in blocks(iter([rows.slice(0, 1), rows.slice(1, 2), rows.slice(3)])) for p in zip(*b.to_pydict().values())] == [(5, 6)]
+
+
+def test_blocks_go_on_over_batches():
+    rng = np.random.default_rng(2)
+    same = rng.integers(0, 2**63, 50, dtype=np.int64)
+    other = rng.integers(0, 2**63, 50, dtype=np.int64)
+    close = np.concatenate([same[:46], other[:4]])
+    sets = [same, close, other, same, close, other]
+    rows = pa.RecordBatch.from_pydict({"block": [1, 1, 1, 2, 2, 3], "rid": [5, 6, 7, 8, 9, 4], "label": [5, 6, 7, 8, 8, 4], "tokens": [s.tolist() for s in sets]})
+    for cuts in ([0, 6], [0, 1, 2, 6], [0, 3, 5, 6], [0, 2, 4, 6]):
+        parts = iter([rows.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])])
+        assert [p for b in minhash._links(80, 100)(parts) for p in zip(*b.to_pydict().values())] == [(5, 6)]
+
+
+def test_exact_links_of_a_block(monkeypatch):
+    monkeypatch.setattr(minhash, "BITS_AT_ONCE", 64)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300, dtype=np.int64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 290 - 3 * (i % 20), replace=False), rng.integers(0, 2**63, i % 25, dtype=np.int64)])) for i in range(60)]
+    found = minhash.linked_forest(np.arange(60), sets, 80, 100)
+    own = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter):
+                own = [min(own[i], own[j]) if c in (own[i], own[j]) else c for c in own]
+    got = list(range(60))
+    for i, j in found:
+        inter = len(np.intersect1d(sets[i], sets[j]))
+        assert 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter)
+        got = [min(got[i], got[j]) if c in (got[i], got[j]) else c for c in got]
+    assert got == own and len(found) == 60 - len(set(own))
