@@ -22,6 +22,7 @@ Other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,7 +159,7 @@ def _count(step: int, shards: int, longest: int, usable):
     """Counts of the phrases that are active in this step, per chunk of texts."""
 
     def run(batches):
-        table, chunk = usable.value, _Chunk()
+        table, chunk = np.frombuffer(zlib.decompress(usable.value), np.uint8), _Chunk()
         for batch in batches:
             for lang, raw in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text"))):
                 if not raw:
@@ -205,7 +206,7 @@ def frequent_phrases(
     state: DataFrame | None = None
     step = latest = 0  # the last step in which a phrase may become active
     while step < latest + shards:
-        table = spark.sparkContext.broadcast(usable)
+        table = spark.sparkContext.broadcast(zlib.compress(usable.tobytes(), 1))
         counted = texts.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(
             _count(step, shards, longest, table), _ROWS).withColumn("old", F.lit(0).cast("bigint"))
         if state is not None:
@@ -225,7 +226,7 @@ def frequent_phrases(
         usable[new] = step
         if len(new):
             latest = step
-        table.unpersist()
+        table.destroy()  # the step is written
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
