@@ -46,6 +46,12 @@ def nb_data_term(x: str, mu: str, size: str) -> str:
     )
 
 
+def nb_mean_term(size: str, log_size: str) -> str:
+    """The part of a row ``x, mu, log_mu`` that the mean has in, given ``size`` and its logarithm."""
+    log_total = f"ln({size} + mu)"
+    return f"({size} * ({log_size} - {log_total}) + x * (log_mu - {log_total}))"
+
+
 def nb_mean(expected: str) -> str:
     return f"greatest({expected}, {EPS})"
 

@@ -1,16 +1,17 @@
 """Hard-EM clone typing of single cells.
 
 A driver loop over cached counts. What changes between iterations are a few
-parameters per run and modality; they travel as a small table, and each iteration's
+parameters per run and modality; they are small tables keyed by run, and each iteration's
 plan is ``cached counts x parameters`` with no chain from earlier iterations. All
-runs of a panel are fitted at once: ``run_id`` is part of every key.
+runs of a panel are fitted at once: ``run_id`` is part of every key. A run that has
+settled leaves both steps; the driver sees no more than the number of runs left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import likelihood
@@ -22,9 +23,10 @@ from cellmosaic.models.common import (
     Fit,
     FitSettings,
     cell_posteriors,
-    em_clones,
     clone_sets,
+    em_clones,
     mixture_table,
+    parameter_rows,
     posterior_of,
     prepare_observations,
 )
@@ -33,6 +35,8 @@ from cellmosaic.operators.joins import few_bytes, is_small, join_dim
 from cellmosaic.session import durable
 
 ASSAY = ["run_id", "assay"]
+STATE = [*ASSAY, "state"]
+DISPERSION = "run_id string, assay string, state string, tau double, inv_phi double"
 Observer = Callable[[int, DataFrame], None]
 
 
@@ -60,7 +64,17 @@ def static_groups(
     covered = F.coalesce(covered, F.lit(False))
     allele = F.col(settings.allele_mask) if settings.uses_allele else F.lit(False)
     total = F.col(settings.total_mask) & covered if settings.uses_total else F.lit(False)
-    return table.withColumns({"use_allele": allele, "use_total": total, "covered": covered})
+    return with_scored(table.withColumns({"use_allele": allele, "use_total": total, "covered": covered}))
+
+
+def with_scored(groups: DataFrame) -> DataFrame:
+    """Add ``scored``: the groups that the E-step needs to read.
+
+    Groups that neither likelihood uses are left out, unless a run has no others: its cells still
+    get the scores of the mixture.
+    """
+    uses = F.col("use_allele") | F.col("use_total")
+    return groups.withColumn("scored", uses | ~F.bool_or(uses).over(Window.partitionBy(*RUN)))
 
 
 def check_informative(groups: DataFrame, settings: FitSettings) -> None:
@@ -83,7 +97,7 @@ def with_dispersion(groups: DataFrame, dispersion: DataFrame, settings: FitSetti
     """
     state = F.lit("*") if settings.share_dispersion else F.concat_ws("|", "cn_a", "cn_b")
     keyed = groups.withColumn("state", state)
-    joined = keyed.join(F.broadcast(dispersion), [*ASSAY, "state"], "left")
+    joined = keyed.join(dispersion, [*ASSAY, "state"], "left")
     tau = F.coalesce("tau", F.lit(settings.tau_bounds[1]))
     size = F.coalesce("inv_phi", F.lit(settings.invphi_bounds[1]))
     filled = joined.withColumns({"tau": tau, "inv_phi": size})
@@ -125,7 +139,7 @@ def loglik_sums(obs: DataFrame, params: DataFrame, mixture: DataFrame, small: bo
         *GROUP, "k", "baf", "props", "tau", "inv_phi", "bb_offset", "nb_offset",
         "use_allele", "use_total", "log_pi",
     ]
-    tagged = params.join(F.broadcast(mixture), [*RUN, "k"])
+    tagged = params.filter("scored").join(mixture, [*RUN, "k"])
     rows = attach_groups(obs, tagged.select(*wanted), GROUP, small)
     return with_loglik(rows).groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
 
@@ -160,67 +174,66 @@ def tau_score(rows: DataFrame) -> DataFrame:
 
 
 def invphi_statistics(rows: DataFrame, settings: FitSettings) -> DataFrame:
+    """Depth and its mean for the assigned clone: ``(run, assay, state, cell, x, mu, log_mu)``."""
     kept = rows.filter(F.col("covered"))
     if settings.share_dispersion:
         kept = kept.filter(F.col(settings.total_mask))
     state = F.lit("*") if settings.share_dispersion else F.concat_ws("|", "cn_a", "cn_b")
-    mean = F.expr(likelihood.nb_mean("total * props"))
-    return kept.select(*ASSAY, state.alias("state"), "x", mean.alias("mu"))
+    staged = kept.withColumn("mu", F.expr(likelihood.nb_mean("total * props")))
+    return staged.select(*ASSAY, state.alias("state"), "cell_id", "x", "mu", F.ln("mu").alias("log_mu"))
 
 
-def invphi_score(rows: DataFrame) -> DataFrame:
-    core = f"{likelihood.nb_offset('_value')} + {likelihood.nb_data_term('x', 'mu', '_value')}"
-    return rows.withColumn("_ll", F.expr(core))
+def tau_rounds(stats: DataFrame, bounds: tuple[float, float], points: int) -> solver.Round:
+    return solver.statistics_round(stats, STATE, tau_score, bounds, points)
 
 
-def _dispersion_table(spark, tau: list[dict], phi: list[dict]) -> DataFrame:
-    merged: dict[tuple, list] = {}
-    for at, rows in ((0, tau), (1, phi)):
-        for r in rows:
-            merged.setdefault((r["run_id"], r["assay"], r["state"]), [None, None])[at] = r["value"]
-    data = [(*key, *values) for key, values in merged.items()]
-    return spark.createDataFrame(
-        data, "run_id string, assay string, state string, tau double, inv_phi double"
-    )
+def invphi_rounds(
+    stats: DataFrame, bounds: tuple[float, float], points: int, small: bool | None = None
+) -> solver.Round:
+    """The log-gamma part needs how often each depth occurs; the rest is summed over the rows."""
+    counted = stats.groupBy(*STATE, "x").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    gamma = f"cnt * ({likelihood.lgamma('x + _value')} + {likelihood.nb_offset('_value')})"
+    depths = solver.statistics_round(
+        counted, STATE, lambda df: df.withColumn("_ll", F.expr(gamma)), bounds, points)
+
+    def attach(rows: DataFrame, side: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(side), STATE) if small else join_dim(rows, side, STATE, ["cell_id"])
+
+    means = solver.row_round(stats, STATE, likelihood.nb_mean_term, bounds, points, attach)
+    return solver.added(depths, means, STATE)
 
 
 def m_step(
-    obs: DataFrame, calls: DataFrame, groups: DataFrame, settings: FitSettings,
-    previous: tuple[list[dict], list[dict]], small: bool | None = None,
-) -> tuple[list[dict], list[dict]]:
-    """Dispersions of the assigned clones; a parameter not updated keeps its value."""
-    tau, phi = previous
+    obs: DataFrame, calls: DataFrame, groups: DataFrame, settings: FitSettings, previous: DataFrame,
+    small: bool | None = None,
+) -> DataFrame:
+    """Dispersions ``(run_id, assay, state, tau, inv_phi)`` of the assigned clones.
+
+    A parameter that is not updated keeps its value.
+    """
     rows = assigned_rows(obs, calls, groups, small)
+    found = {c: previous.select(*STATE, c).filter(F.col(c).isNotNull()) for c in ("tau", "inv_phi")}
     if settings.uses_allele and settings.update_tau:
         stats = tau_statistics(rows, settings).persist()
-        tau = solver.maximise(
-            stats, [*ASSAY, "state"], tau_score, settings.tau_bounds,
-            settings.grid_rounds, settings.grid_points,
-        )
+        rounds = tau_rounds(stats, settings.tau_bounds, settings.grid_points)
+        best = solver.maximise(rounds, STATE, settings.tau_bounds, settings.grid_rounds)
+        found["tau"] = best.select(*STATE, F.col("value").alias("tau"))
         stats.unpersist()
     if settings.uses_total and settings.update_invphi:
         stats = invphi_statistics(rows, settings).persist()
-        phi = solver.maximise(
-            stats, [*ASSAY, "state"], invphi_score, settings.invphi_bounds,
-            settings.grid_rounds, settings.grid_points,
-        )
+        rounds = invphi_rounds(stats, settings.invphi_bounds, settings.grid_points, small)
+        best = solver.maximise(rounds, STATE, settings.invphi_bounds, settings.grid_rounds)
+        found["inv_phi"] = best.select(*STATE, F.col("value").alias("inv_phi"))
         stats.unpersist()
-    return tau, phi
+    return found["tau"].join(found["inv_phi"], STATE, "full")
 
 
-def mixture_weights(calls: DataFrame, clones: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """Share of cells per clone, uniform for a run without cells."""
-    rows = calls.groupBy(*RUN, "z").agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = {(r["run_id"], r["z"]): r["n"] for r in rows}
-    totals: dict[str, list[int]] = {}
-    for run, k in clones:
-        entry = totals.setdefault(run, [0, 0])
-        entry[0] += sizes.get((run, k), 0)
-        entry[1] += 1
-    return {
-        (run, k): sizes.get((run, k), 0) / totals[run][0] if totals[run][0] else 1.0 / totals[run][1]
-        for run, k in clones
-    }
+def mixture_weights(calls: DataFrame, clones: DataFrame) -> DataFrame:
+    """Share of cells per clone ``(run_id, k, pi)`` of the runs that have cells."""
+    sizes = calls.groupBy(*RUN, F.col("z").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*RUN))
+    shares = clones.join(sizes, [*RUN, "k"], "left").withColumn("_total", total).filter("_total > 0")
+    return shares.select(*RUN, "k", (F.coalesce("n", F.lit(0)) / F.col("_total")).alias("pi"))
 
 
 def estimate_reference(obs: DataFrame, profile: DataFrame, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
@@ -237,12 +250,13 @@ def estimate_reference(obs: DataFrame, profile: DataFrame, settings: FitSettings
         fit = _fit_loop(obs, profile, sub, None)
         ranked = fit.annotations.groupBy(*RUN, "z").agg(F.count(F.lit(1)).alias("n"))
         major = ranked.groupBy(*RUN).agg(F.max_by("z", F.struct(F.col("n"), -F.col("z"))).alias("ref_k"))
-        joined = fit.annotations.join(F.broadcast(major), RUN)
+        major = durable(major)
+        joined = join_dim(fit.annotations, major, RUN, ["cell_id"])
         cells = joined.select(
             *CELL, (F.col("z") == F.col("ref_k")).alias("is_reference"),
             F.lit(None).cast("double").alias("tumor_post"), "label", "max_posterior",
         )
-        return durable(cells), durable(major)
+        return durable(cells), major
     two = {c: F.slice(c, 1, 2) for c in ("cn_a", "cn_b")}
     sub = settings.with_(fit_mode="allele", allele_mask="clonal_imbalanced")
     fit = _fit_loop(obs, profile.withColumns(two), sub, None)
@@ -264,16 +278,24 @@ def baseline(obs: DataFrame, profile: DataFrame, reference: DataFrame, ref_clone
     if not settings.no_normal:
         return durable(depth.baseline_diploid(counts, "is_reference", ASSAY))
     at = F.col("ref_k") + 1
-    copies = profile.join(F.broadcast(ref_clone), RUN).select(
+    copies = profile.join(ref_clone, RUN).select(
         *RUN, "group_id", (F.element_at("cn_a", at) + F.element_at("cn_b", at)).alias("cn_ref")
     )
     per_assay = obs.select(*ASSAY).distinct().join(copies, RUN)
     return durable(depth.baseline_corrected(counts, per_assay, "is_reference", ASSAY))
 
 
-def _merge(old: list[dict], new: list[dict], active: set[str]) -> list[dict]:
+def _merged(old: DataFrame, new: DataFrame, active: DataFrame | None) -> DataFrame:
     """New values for the active runs, old ones for the runs that have settled."""
-    return [r for r in old if r["run_id"] not in active] + new
+    if active is None:
+        return durable(new)
+    return durable(new.unionByName(old.join(active, RUN, "left_anti").select(new.columns)))
+
+
+def _of_runs(df: DataFrame, runs: DataFrame | None, small: bool) -> DataFrame:
+    if runs is None:
+        return df
+    return df.join(F.broadcast(runs) if small else runs, RUN, "left_semi")
 
 
 def _fit_loop(
@@ -283,59 +305,90 @@ def _fit_loop(
     spark = obs.sparkSession
     groups = durable(static_groups(obs, profile, settings, lam))
     check_informative(groups, settings)
-    small = few_bytes(groups)
-    clones = clone_sets(groups)
-    tau: list[dict] = []
-    phi: list[dict] = []
-    weights: dict | None = None
-
-    def e_step() -> tuple[DataFrame, dict[str, float]]:
-        table = with_dispersion(groups, _dispersion_table(spark, tau, phi), settings)
-        calls = posteriors(obs, table, mixture_table(spark, clones, weights), small).persist()
-        rows = calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")).collect()
-        return calls, {r["run_id"]: r["ll"] for r in rows}
-
-    calls, score = e_step()
-    trace: list[dict] = []
-    last: dict[str, float] = {}
-    active = set(score)
+    small = few_bytes(groups)  # proves the keyed tables small too, they have no more rows
+    clones = durable(clone_sets(groups))
+    dispersion = spark.createDataFrame([], DISPERSION)
+    weights: DataFrame | None = None
+    active: DataFrame | None = None  # all runs
+    finished: list[DataFrame] = []
+    trace: list[DataFrame] = []
+
+    def e_step(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        table = with_dispersion(groups, dispersion, settings)
+        calls = posteriors(rows, table, mixture_table(clones, weights), small).persist()
+        return calls, durable(calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")))
+
+    calls, score = e_step(obs)
+    cached, last = calls, None
     for t in range(1, settings.niters):
         if observer:
             observer(t, calls)
-        some = len(active) < len(score)
-        live = F.col("run_id").isin(sorted(active))
-        rows, called = (obs.filter(live), calls.filter(live)) if some else (obs, calls)
+        live = _of_runs(obs, active, small)
         if settings.update_pi:
-            fresh = mixture_weights(called, [c for c in clones if c[0] in active])
-            weights = {**(weights or mixture_weights(calls, clones)), **fresh}
-        new_tau, new_phi = m_step(rows, called, groups, settings, (tau, phi), small)
-        tau, phi = _merge(tau, new_tau, active), _merge(phi, new_phi, active)
-        after, score = e_step()
-        calls.unpersist()
-        calls = after
-        trace.extend({"iter": t, "run_id": r, "ll": v} for r, v in score.items() if r in active)
-        if last:
-            moved = {r: abs(v - last[r]) / (abs(last[r]) + 1e-10) for r, v in score.items()}
-            active = {r for r in active if moved[r] >= settings.tol}
-        if not active:
-            break
+            shares = mixture_weights(calls, clones)
+            weights = _merged(shares if weights is None else weights, shares, None if weights is None else active)
+        dispersion = _merged(dispersion, m_step(live, calls, groups, settings, dispersion, small), active)
+        calls, score = e_step(live)
+        cached.unpersist()
+        cached = calls
+        trace.append(score.select(F.lit(t).alias("iter"), *RUN, "ll"))
+        if last is not None:
+            moved = F.abs(F.col("ll") - F.col("_before")) / (F.abs(F.col("_before")) + 1e-10)
+            tagged = durable(score.join(last.withColumnRenamed("ll", "_before"), RUN).select(
+                *RUN, "ll", (moved < settings.tol).alias("settled")))
+            left = tagged.filter("NOT settled")
+            if left.isEmpty():
+                break
+            if not tagged.filter("settled").isEmpty():
+                finished.append(durable(_of_runs(calls, tagged.filter("settled").select(*RUN), small)))
+                active = left.select(*RUN)
+                calls = _of_runs(calls, active, small)
+                score = left.select(*RUN, "ll")
         last = score
-    return Fit(calls, _parameters(spark, groups, tau, phi, trace), groups, trace)
+    finished.append(durable(calls))
+    cached.unpersist()
+    annotations = _union(finished)
+    history = _union(trace) if trace else score.select(F.lit(0).alias("iter"), *RUN, "ll")
+    return Fit(annotations, parameters(groups, dispersion, mixture_table(clones, weights), history), groups, history)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _parameters(spark, groups: DataFrame, tau: list[dict], phi: list[dict], trace: list[dict]) -> DataFrame:
+def parameters(groups: DataFrame, dispersion: DataFrame, mixture: DataFrame, history: DataFrame) -> DataFrame:
     """Fitted parameters as one long table."""
-    schema = "run_id string, assay string, name string, group_id bigint, state string, value double"
-    final = {r["run_id"]: r["ll"] for r in trace}
-    rows = [(run, None, "log_likelihood", None, None, ll) for run, ll in final.items()]
-    rows += [(r["run_id"], r["assay"], "tau", None, r["state"], r["value"]) for r in tau]
-    rows += [(r["run_id"], r["assay"], "inv_phi", None, r["state"], r["value"]) for r in phi]
-    small = spark.createDataFrame(rows, schema)
-    lam = groups.select(
-        "run_id", "assay", F.lit("lambda").alias("name"), F.col("group_id").cast("bigint").alias("group_id"),
-        F.lit(None).cast("string").alias("state"), F.col("lambda").alias("value"),
-    ).filter("value IS NOT NULL").distinct()
-    return small.unionByName(lam)
+    final = history.groupBy(*RUN).agg(F.max_by("ll", "iter").alias("ll"))
+    lam = groups.select(*GROUP, "lambda").distinct()
+    return _union([
+        parameter_rows(final, "log_likelihood", "ll"), parameter_rows(dispersion, "tau", "tau"),
+        parameter_rows(dispersion, "inv_phi", "inv_phi"), parameter_rows(mixture, "pi", F.exp("log_pi")),
+        parameter_rows(lam, "lambda", "lambda"),
+    ])
+
+
+def score_cells(
+    counts: DataFrame, profile: DataFrame, params: DataFrame, settings: FitSettings, partitions: int | None = None
+) -> DataFrame:
+    """Posteriors and labels of cells under saved parameters, without a fit.
+
+    ``params`` is the table of a fit, read back; ``counts`` may hold cells that the fit has not seen.
+    """
+    obs = prepare_observations(counts, partitions)
+
+    def named(name: str, *keys: str, value: str) -> DataFrame:
+        return params.filter(F.col("name") == name).select(*keys, F.col("value").alias(value))
+
+    lam = named("lambda", *GROUP, value="lambda") if settings.uses_total else None
+    groups = durable(static_groups(obs, profile, settings, lam))
+    dispersion = named("tau", *STATE, value="tau").join(named("inv_phi", *STATE, value="inv_phi"), STATE, "full")
+    mixture = mixture_table(clone_sets(groups), named("pi", *RUN, "k", value="pi"))
+    calls = durable(posteriors(obs, with_dispersion(groups, dispersion, settings), mixture, few_bytes(groups)))
+    obs.unpersist()
+    return calls
 
 
 def fit_cells(
@@ -364,6 +417,7 @@ def fit_cells(
         lam = baseline(obs, profile, cells, ref_clone, settings)
     fit = _fit_loop(obs, profile, settings, lam, observer)
     fit.reference = cells
+    obs.unpersist()  # the results are written tables
     return fit
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import labels, likelihood, special
@@ -56,15 +55,15 @@ class Fit:
 
     ``annotations``: one row per cell with ``clone_post`` (array over the EM clones),
     ``max_posterior``, ``label`` and, for spots, ``tumor_purity``.
-    ``params``: long table ``(run_id, assay, name, group_id, k, state, value)``.
-    ``trace``: objective per iteration and run.
+    ``params``: long table ``(run_id, assay, name, group_id, cell_id, k, state, value)``.
+    ``trace``: objective ``(iter, run_id, ll)`` of the runs that an iteration fitted.
     ``reference``: cells with ``is_reference``, where a depth baseline was needed.
     """
 
     annotations: DataFrame
     params: DataFrame
     groups: DataFrame
-    trace: list[dict] = field(default_factory=list)
+    trace: DataFrame | None = None
     reference: DataFrame | None = None
 
 
@@ -79,8 +78,6 @@ def prepare_observations(counts: DataFrame, partitions: int | None = None) -> Da
     partitioned by cell and cached, so the per-cell sums of every iteration need no
     exchange. A lost block is recomputed from the checkpoint below the cache.
     """
-    from pyspark.sql import Window
-
     from cellmosaic.session import durable
 
     spark = counts.sparkSession
@@ -147,17 +144,32 @@ def wide_annotations(fit: Fit, clones: Sequence[str], label: str = "label") -> D
     )
 
 
-def clone_sets(groups: DataFrame) -> list[tuple[str, int]]:
-    """The EM clones of every run; a few rows."""
-    return [(r["run_id"], r["k"]) for r in groups.select(*RUN, "k").distinct().collect()]
+def clone_sets(groups: DataFrame) -> DataFrame:
+    """The EM clones ``(run_id, k)`` of every run."""
+    return groups.select(*RUN, "k").distinct()
+
+
+def mixture_table(clones: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``log_pi`` per run and clone from ``(run_id, k, pi)``; uniform for runs without weights."""
+    even = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*RUN))
+    if weights is None:
+        return clones.withColumn("log_pi", F.ln(even))
+    known = clones.withColumn("_even", even).join(weights, [*RUN, "k"], "left")
+    return known.select(*RUN, "k", F.ln(F.greatest(F.coalesce("pi", "_even"), F.lit(1e-30))).alias("log_pi"))
+
+
+PARAMETERS = {
+    "run_id": "string", "assay": "string", "name": "string", "group_id": "bigint", "cell_id": "bigint", "k": "int",
+    "state": "string", "value": "double",
+}
 
 
-def mixture_table(spark, clones: Sequence[tuple[str, int]], weights: dict[tuple[str, int], float] | None) -> DataFrame:
-    """``log_pi`` per run and clone; uniform without weights."""
-    sizes: dict[str, int] = {}
-    for run, _ in clones:
-        sizes[run] = sizes.get(run, 0) + 1
-    rows = [
-        (run, k, math.log(max(weights[run, k] if weights else 1.0 / sizes[run], 1e-30))) for run, k in clones
+def parameter_rows(df: DataFrame, name: str, value: Column | str) -> DataFrame:
+    """Rows of the long parameter table; keys that ``df`` does not have are NULL."""
+    keys = [
+        (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+        for c, kind in PARAMETERS.items() if c not in ("name", "value")
     ]
-    return spark.createDataFrame(rows, "run_id string, k int, log_pi double")
+    at = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*keys, F.lit(name).alias("name"), at.cast("double").alias("value")).filter("value IS NOT NULL")
+    return rows.select(*PARAMETERS)

@@ -3,7 +3,7 @@
 Each round evaluates a grid for every key in one distributed aggregate and then
 narrows each key's interval around its best point; a parabola through the last
 three points ends the search. Grids are even in log scale for dispersions and even
-for purities.
+for purities. Bounds and results are tables with one row per key, whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmosaic.session import durable
+
 Score = Callable[[DataFrame], DataFrame]
+Round = Callable[[DataFrame | None], DataFrame]
 
 
 def grid_rows(lo: Column, hi: Column, points: int) -> Column:
@@ -75,50 +78,81 @@ def vertex(best: Column, step: Column, left: Column, mid: Column, right: Column)
     return F.when(bend < 0, moved).otherwise(best)
 
 
-def _vertex(r: dict) -> float:
-    left, mid, right = r["left"], r["ll"], r["right"]
-    if left is None or right is None or not left - 2 * mid + right < 0:
-        return r["best"]
-    return r["best"] + r["step"] * (left - right) / (2 * (left - 2 * mid + right))
+def first_points(bounds: tuple[float, float], points: int) -> list[float]:
+    """The points of the first round on the log scale; the same for all keys, so no join is needed."""
+    lo, hi = math.log(bounds[0]), math.log(bounds[1])
+    return [lo + (hi - lo) * i / (points - 1) for i in range(points)]
 
 
-def first_grid(
-    data: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], points: int
-) -> DataFrame:
-    """Scores ``(.., i, at, ll)`` of log-spaced points; the same for all keys, so no join is needed."""
-    lo, hi = math.log(bounds[0]), math.log(bounds[1])
-    first = [(i, lo + (hi - lo) * i / (points - 1)) for i in range(points)]
-    literal = F.expr("explode(array(" + ", ".join(f"struct({i} AS i, {at!r}D AS at)" for i, at in first) + "))")
-    rows = data.withColumn("_g", literal).withColumns({"i": F.col("_g.i"), "at": F.col("_g.at")}).drop("_g")
-    return score(rows.withColumn("_value", F.exp("at"))).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
+def _with_points(data: DataFrame, at: Sequence[float]) -> DataFrame:
+    literal = F.expr("explode(array(" + ", ".join(f"struct({i} AS i, {v!r}D AS at)" for i, v in enumerate(at)) + "))")
+    return data.withColumn("_g", literal).withColumns({"i": F.col("_g.i"), "at": F.col("_g.at")}).drop("_g")
+
 
+def statistics_round(
+    stats: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], points: int
+) -> Round:
+    """Rounds ``(.., i, at, ll)`` over a table of counted statistics, a row per grid point."""
 
-def maximise(
-    data: DataFrame, keys: Sequence[str], score: Score, bounds: tuple[float, float], rounds: int, points: int
-) -> list[dict]:
-    """Best parameter per key, as rows with the keys, ``value`` and ``ll``.
+    def scores(ends: DataFrame | None) -> DataFrame:
+        if ends is not None:
+            return evaluate_grid(stats, ends, keys, score, True, points)
+        rows = _with_points(stats, first_points(bounds, points)).withColumn("_value", F.exp("at"))
+        return score(rows).groupBy(*keys, "i", "at").agg(F.sum("_ll").alias("ll"))
 
-    Only one row per key reaches the driver. ``data`` is read once per round, so the
-    caller keeps it cached; a key without data gives no row.
+    return scores
+
+
+def row_round(
+    rows: DataFrame, keys: Sequence[str], term: Callable[[str, str], str], bounds: tuple[float, float], points: int,
+    attach: Callable[[DataFrame, DataFrame], DataFrame],
+) -> Round:
+    """Rounds over the rows themselves, which are not repeated: one sum per grid point in one aggregate.
+
+    ``term`` is the SQL text of a row's part at a value, given texts for the value and its logarithm;
+    ``attach`` joins rows with one row per key.
+    """
+
+    def scores(ends: DataFrame | None) -> DataFrame:
+        if ends is None:
+            literal = first_points(bounds, points)
+            values = [(f"{math.exp(v)!r}D", f"{v!r}D") for v in literal]
+            placed, at = rows, F.array(*[F.lit(v) for v in literal])
+        else:
+            grid = F.transform(grid_rows(F.col("lo"), F.col("hi"), points), lambda g: g["at"])
+            side = ends.select(*keys, grid.alias("_log")).withColumn("_at", F.transform("_log", lambda v: F.exp(v)))
+            placed = attach(rows, side)
+            values = [(f"_at[{i}]", f"_log[{i}]") for i in range(points)]
+            at = F.any_value("_log")
+        sums = F.array(*[F.sum(F.expr(term(*v))) for v in values])
+        wide = placed.groupBy(*keys).agg(sums.alias("_sums"), at.alias("_points"))
+        return wide.select(*keys, F.posexplode(F.arrays_zip("_points", "_sums")).alias("i", "_p")).select(
+            *keys, "i", F.col("_p._points").alias("at"), F.col("_p._sums").alias("ll"))
+
+    return scores
+
+
+def added(first: Round, second: Round, keys: Sequence[str]) -> Round:
+    """Rounds of the sum of two likelihood parts over the same keys."""
+
+    def scores(ends: DataFrame | None) -> DataFrame:
+        both = first(ends).unionByName(second(ends))
+        return both.groupBy(*keys, "i").agg(F.any_value("at").alias("at"), F.sum("ll").alias("ll"))
+
+    return scores
+
+
+def maximise(scores: Round, keys: Sequence[str], bounds: tuple[float, float], rounds: int) -> DataFrame:
+    """Best parameter per key: ``(.., value, ll)``; a key without data gives no row.
+
+    The rounds' small tables are written, so a round is evaluated once.
     """
     keys = list(keys)
-    spark = data.sparkSession
-    lo, hi = math.log(bounds[0]), math.log(bounds[1])
-    scores = first_grid(data, keys, score, bounds, points)
-    current = [r.asDict() for r in best_point(scores, keys).collect()]
-    if not current:
-        return []
-    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["lo double", "hi double"])
+    lo, hi = F.lit(math.log(bounds[0])), F.lit(math.log(bounds[1]))
+    found = durable(best_point(scores(None), keys))
     for _ in range(rounds - 1):
-        ends = [
-            (*[r[k] for k in keys], max(lo, r["best"] - r["step"]), min(hi, r["best"] + r["step"]))
-            for r in current
-        ]
-        table = spark.createDataFrame(ends, schema)
-        scores = evaluate_grid(data, F.broadcast(table), keys, score, True, points)
-        current = [r.asDict() for r in best_point(scores, keys).collect()]
-    return [
-        {**{k: r[k] for k in keys}, "value": math.exp(min(max(_vertex(r), lo), hi)), "ll": r["ll"]}
-        for r in current
-    ]
+        best, step = F.col("best"), F.col("step")
+        ends = found.select(*keys, F.greatest(lo, best - step).alias("lo"), F.least(hi, best + step).alias("hi"))
+        found = durable(best_point(scores(ends), keys))
+    peak = vertex(*[F.col(c) for c in ("best", "step", "left", "ll", "right")])
+    return found.select(*keys, F.exp(F.greatest(lo, F.least(hi, peak))).alias("value"), "ll")

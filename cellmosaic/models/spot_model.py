@@ -16,6 +16,7 @@ from cellmosaic.models.common import (
     cell_posteriors,
     clone_sets,
     mixture_table,
+    parameter_rows,
     partition_count,
     prepare_observations,
 )
@@ -54,7 +55,7 @@ def spot_groups(obs: DataFrame, profile: DataFrame, lam: DataFrame, settings: Fi
     Depth ratios are per clone, so leaving out normal does not change them.
     """
     table = cell_model.static_groups(obs, profile, settings, lam, drop_normal=True)
-    return table.withColumn("use_allele", F.col("use_allele") & F.col("covered"))
+    return cell_model.with_scored(table.withColumn("use_allele", F.col("use_allele") & F.col("covered")))
 
 
 def purity_rows(obs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) ->
 
 
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
-    tagged = groups.join(F.broadcast(mixture), [*RUN, "k"])
+    tagged = groups.filter("scored").join(mixture, [*RUN, "k"])
     side = tagged.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total", "log_pi")
     rows = cell_model.attach_groups(obs.join(theta, SPOT), side, GROUP, few_bytes(groups))
     scored = with_mixed_loglik(rows, "theta", settings, "ll")
@@ -119,30 +120,37 @@ def fit_spots(
     cell_model.check_informative(groups, settings)
     theta = durable(estimate_purity(obs, groups, settings))
     theta = theta.repartition(partition_count(spark, partitions), *CELL).persist()
-    clones = clone_sets(groups)
-    weights: dict | None = None
-    trace: list[dict] = []
+    clones = durable(clone_sets(groups))
+    weights: DataFrame | None = None
+    trace: list[DataFrame] = []
 
-    def e_step() -> tuple[DataFrame, dict[str, float]]:
-        calls = spot_posteriors(obs, groups, theta, mixture_table(spark, clones, weights), settings).persist()
-        rows = calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")).collect()
-        return calls, {r["run_id"]: r["ll"] for r in rows}
+    def e_step() -> tuple[DataFrame, DataFrame]:
+        calls = spot_posteriors(obs, groups, theta, mixture_table(clones, weights), settings).persist()
+        return calls, durable(calls.groupBy(*RUN).agg(F.sum("best_ll").alias("ll")))
 
     calls, score = e_step()
     # only the mixture can change; with it fixed the first E-step is already final
-    trace.extend({"iter": 1, "run_id": r, "ll": v} for r, v in score.items())
+    trace.append(score.select(F.lit(1).alias("iter"), *RUN, "ll"))
     last = score
     for t in range(2, settings.niters if settings.update_pi else 2):
-        weights = cell_model.mixture_weights(calls, clones)
+        weights = durable(cell_model.mixture_weights(calls, clones))
         after, score = e_step()
         calls.unpersist()
         calls = after
-        trace.extend({"iter": t, "run_id": r, "ll": v} for r, v in score.items())
-        if max(abs(v - last[r]) / (abs(last[r]) + 1e-10) for r, v in score.items()) < settings.tol:
+        trace.append(score.select(F.lit(t).alias("iter"), *RUN, "ll"))
+        moved = F.abs(F.col("ll") - F.col("_before")) / (F.abs(F.col("_before")) + 1e-10)
+        if score.join(last.withColumnRenamed("ll", "_before"), RUN).filter(moved >= settings.tol).isEmpty():
             break
         last = score
     # the purity that is reported is that of the first modality
     rank = F.array_position(F.array(*[F.lit(a) for a in settings.assays]), F.col("assay"))
     first = theta.groupBy(*CELL).agg(F.min_by("theta", rank).alias("tumor_purity"))
-    params = cell_model._parameters(spark, groups, [], [], trace)
-    return Fit(calls.join(first, CELL), params, groups, trace, cells)
+    annotations = durable(calls.join(first, CELL))
+    history = cell_model._union(trace)
+    bounds = groups.select(*ASSAY).distinct().withColumns({
+        "state": F.lit("*"), "tau": F.lit(settings.tau_bounds[1]), "inv_phi": F.lit(settings.invphi_bounds[1])})
+    params = cell_model.parameters(groups, bounds, mixture_table(clones, weights), history).unionByName(
+        parameter_rows(durable(theta), "theta", "theta"))
+    for cached in (calls, theta, obs):
+        cached.unpersist()
+    return Fit(annotations, params, groups, history, cells)

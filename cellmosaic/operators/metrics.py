@@ -224,11 +224,12 @@ def purity_agreement(df: DataFrame, truth: str, value: str) -> DataFrame:
     return basic.join(F.broadcast(spearman))
 
 
-def init_normal(df: DataFrame, is_normal: str, ref: str) -> DataFrame:
-    """How well a set of presumed normal cells matches the reference."""
+def init_normal(df: DataFrame, is_normal: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
+    """How well a set of presumed normal cells matches the reference, per ``by``."""
     known = ~labels.is_na(F.col(ref))
     called, truth = F.col(is_normal), ~labels.is_tumor(F.col(ref))
-    counts = df.filter(known).agg(
+    rows = df.filter(known)
+    counts = (rows.groupBy(*by) if by else rows).agg(
         F.count_if(called & truth).alias("tp"), F.count_if(called & ~truth).alias("fp"),
         F.count_if(~called & truth).alias("fn"), F.count_if(~called & ~truth).alias("tn"),
     )

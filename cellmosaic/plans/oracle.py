@@ -1,7 +1,7 @@
 """SQL prelude of the oracle queries: the input mapping of ``inputs.py`` restated."""
 
 PRELUDE = """
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'gex' ELSE 'atac' END AS assay,
          l_partkey AS bin_id, o_custkey AS cell_id, CAST(l_quantity AS BIGINT) AS x,
          CAST(CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE 0 END AS BIGINT) AS a,

@@ -49,6 +49,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, what: str = "table") -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``."""
+    return f"{checkpoint_root(spark)}/cellmosaic-{what}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a table in the shared folder.
 
@@ -56,6 +61,6 @@ def durable(df: DataFrame) -> DataFrame:
     optimizer, which the size of a checkpointed plan is not.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/cellmosaic-{uuid.uuid4().hex}"
+    path = work_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

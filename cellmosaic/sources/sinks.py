@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmosaic.models.common import PARAMETERS, posterior_of
 from cellmosaic.operators.panel import metric_columns
 
 
@@ -28,8 +29,15 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_labeling(calls: DataFrame, path: str, iteration: int) -> None:
-    """Labels of one iteration as a partition of the labelling trace."""
-    columns = [c for c in ("run_id", "cell_id", "label", "max_posterior", "tumor_purity") if c in calls.columns]
+    """Labels of one iteration as a partition of the labelling trace.
+
+    ``tumor_post`` is one minus the posterior of normal, NULL where normal is not among the clones.
+    """
+    if "clone_post" in calls.columns:
+        calls = calls.withColumn("tumor_post", 1.0 - posterior_of(0))
+    columns = [
+        c for c in ("run_id", "cell_id", "label", "max_posterior", "tumor_post", "tumor_purity") if c in calls.columns
+    ]
     calls.select(*columns).write.mode("overwrite").parquet(f"{path}/iter={iteration}")
 
 
@@ -43,6 +51,12 @@ def write_summary(summary: DataFrame, path: str) -> None:
     write_tsv(summary.select(*[f"`{c}`" for c in metric_columns(summary.columns)]), path)
 
 
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """The long parameter table of a fit, saved by :func:`write_table`."""
+    schema = ", ".join(f"{c} {kind}" for c, kind in PARAMETERS.items())
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_loglik(spark: SparkSession, params_path: str, runs: DataFrame) -> DataFrame:
     """Final log-likelihood per run, NULL for a run without saved parameters."""
     saved = spark.read.parquet(params_path).filter(F.col("name") == "log_likelihood")
