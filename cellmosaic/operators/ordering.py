@@ -3,8 +3,9 @@
 A plain window without partition keys puts all rows in one task. Here rows first
 fall into value buckets whose bounds come from approximate quantiles. Totals per
 bucket give the offset of each bucket, and a window inside the bucket does the
-rest. The result is exact whatever the quality of the bounds: they only decide how
-even the tasks are.
+rest. A value that many rows share is a bucket's last one; its rows are cut once more, by
+ranges of the column that breaks their tie. The result is exact whatever the quality of
+the bounds: they only decide how even the tasks are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from cellmosaic.session import durable
 
@@ -26,7 +28,10 @@ def _same_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFram
     return df.join(side, same).drop(*[f"_g_{c}" for c in by])
 
 
-def _with_bucket(df: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
+def _with_bucket(
+    df: DataFrame, by: Sequence[str], value: str, buckets: int, tie: str | None = None
+) -> DataFrame:
+    """Add ``_bucket`` and, inside the value that ends a bucket, ``_part`` by ranges of ``tie``."""
     probs = [i / buckets for i in range(1, buckets)]
     cut = F.percentile_approx(value, probs, 20 * buckets).alias("_cuts")
     cuts = (df.groupBy(*by) if by else df.groupBy(F.lit(1).alias("_all"))).agg(cut)
@@ -36,7 +41,19 @@ def _with_bucket(df: DataFrame, by: Sequence[str], value: str, buckets: int) ->
     else:
         # a single row, so a broadcast of fixed size
         joined = df.withColumn("_all", F.lit(1)).join(F.broadcast(cuts), ["_all"]).drop("_all")
-    return joined.withColumn("_bucket", F.when(F.col(value).isNull(), -1).otherwise(index)).drop("_cuts")
+    # a value that fills several quantiles is the largest of its bucket
+    shared = F.size(F.filter("_cuts", lambda c: c == F.col(value))) > 1
+    tagged = joined.withColumns({
+        "_bucket": F.when(F.col(value).isNull(), -1).otherwise(index), "_shared": F.coalesce(shared, F.lit(False)),
+    }).drop("_cuts")
+    if tie is None:
+        return tagged.withColumn("_part", F.lit(0)).drop("_shared")
+    common = tagged.filter("_shared").groupBy(*by, "_bucket").agg(F.percentile_approx(tie, probs, 20 * buckets).alias("_ties"))
+    side = durable(common.withColumnsRenamed({c: f"_g_{c}" for c in [*by, "_bucket"]}))
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in [*by, "_bucket"]]
+    parted = tagged.join(side, same, "left")
+    part = F.when(F.col("_shared"), 1 + F.size(F.filter("_ties", lambda c: c < F.col(tie)))).otherwise(0)
+    return parted.withColumn("_part", part).drop("_ties", "_shared", *[f"_g_{c}" for c in [*by, "_bucket"]])
 
 
 def running_totals(
@@ -58,11 +75,12 @@ def running_totals(
     """
     by, prefix, ties = list(by), list(prefix), list(ties)
     df = df if stored else durable(df)
-    tagged = _with_bucket(df, by, value, buckets)
-    group = [*by, *prefix, "_bucket"]
+    numeric = bool(ties) and isinstance(df.schema[ties[0]].dataType, NumericType)
+    tagged = _with_bucket(df, by, value, buckets, ties[0] if numeric and not prefix else None)
+    group = [*by, *prefix, "_bucket", "_part"]
     totals = tagged.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(
-        *prefix, "_bucket"
+        *prefix, "_bucket", "_part"
     ).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(c).alias(f"_k_{c}") for c in group],

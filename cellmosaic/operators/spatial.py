@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import labels
 from cellmosaic.operators.joins import join_dim
+from cellmosaic.operators.ordering import row_numbers
 from cellmosaic.session import durable
 
-
+RUN = 16  # positions of a run, at least
+FANOUT = 8  # boxes of the next level
 
 def _named(spots: DataFrame, by: Sequence[str]) -> DataFrame:
     """``spots``; a NULL replicate, run or assay fails the query when it runs."""
@@ -37,76 +39,117 @@ def _places(spots: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
     return few.groupBy(*by, "x", "y").agg(F.array_sort(F.collect_list("cell_id")).alias("ids"))
 
 
-def _cell_sizes(places: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
-    """Per replicate the first grid width: from mean density, halved while crowded."""
-    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    area = (F.max("x") - F.min("x") + 1.0) * (F.max("y") - F.min("y") + 1.0)
-    start = F.sqrt(area * F.lit(float(keep)) / F.count(F.lit(1)))
-    sizes = durable(places.groupBy(*by).agg(extent.cast("double").alias("extent"), start.alias("size")))
-    while True:  # positions are distinct, so some width parts them
-        tagged = places.join(F.broadcast(sizes), list(by))
-        crowd = tagged.groupBy(*by, F.floor(F.col("x") / F.col("size")), F.floor(F.col("y") / F.col("size")))
-        busiest = crowd.agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("n"))
-        crowded = busiest.filter(F.col("n") > 4 * keep).select(*by, F.lit(True).alias("_crowded"))
-        shrunk = durable(sizes.join(crowded, list(by), "left"))
-        sizes = shrunk.withColumn(
-            "size", F.when(F.col("_crowded"), F.col("size") / 2).otherwise(F.col("size"))
-        ).drop("_crowded")
-        if not shrunk.filter("_crowded").take(1):
-            break
-    return sizes
-
-
-def _search(pending: DataFrame, places: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
-    """Nearest ids among the 3 x 3 grid cells around each pending position."""
-    side = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    grid = places.join(pending.select(*by, "size").distinct(), list(by)).select(
-        *by, F.col("x").alias("px"), F.col("y").alias("py"), "ids",
-        F.floor(F.col("x") / F.col("size")).alias("cx"), F.floor(F.col("y") / F.col("size")).alias("cy"),
-    )
-    around = (
-        pending.withColumn("_dx", F.explode(side)).withColumn("_dy", F.explode(side))
-        .withColumn("cx", F.floor(F.col("x") / F.col("size")) + F.col("_dx"))
-        .withColumn("cy", F.floor(F.col("y") / F.col("size")) + F.col("_dy"))
-        .drop("_dx", "_dy")
-    )
+def _interleaved(value: Column) -> Column:
+    """The low 31 bits of a BIGINT spread to the even bits."""
+    steps = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+    masks = F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(m).cast("bigint").alias("mask")) for s, m in steps])
+    spread = lambda v, s: v.bitwiseOR(F.call_function("shiftleft", v, s["shift"])).bitwiseAND(s["mask"])
+    return F.aggregate(masks, value, spread)
+
+
+def _placed(places: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
+    """``places`` numbered along a Z-order curve and cut into runs of equal numbers of positions."""
+    far = (1 << 31) - 1
+    box = places.groupBy(*by).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.greatest(
+        F.max("x") - F.min("x"), F.max("y") - F.min("y")).cast("double").alias("_span"))
+    joined = join_dim(places, box, by, ["x", "y"]) if by else places.crossJoin(F.broadcast(box))
+
+    def cell(c: str) -> Column:
+        share = (F.col(c) - F.col(f"_{c}")).cast("double") / F.col("_span")
+        return F.when(F.col("_span") > 0, F.floor(share * far)).otherwise(0).cast("bigint")
+
+    coded = joined.withColumns({"_u": cell("x"), "_v": cell("y")})
+    code = _interleaved(F.col("_u")).bitwiseOR(F.shiftleft(_interleaved(F.col("_v")), 1)).alias("_code")
+    coded = coded.select(*by, "x", "y", "ids", code)
+    numbered = row_numbers(coded, "_code", "_rn", by, ties=["x", "y"])
+    run = F.floor((F.col("_rn") - 1) / max(RUN, 2 * keep)).cast("bigint")
+    return durable(numbered.select(*by, "x", "y", "ids", "_rn", run.alias("node")))
+
+
+def _merged_boxes(rows: DataFrame, by: Sequence[str], node: Column, x0: str, x1: str, y0: str, y1: str, n: Column) -> DataFrame:
+    return rows.groupBy(*by, node.alias("node")).agg(
+        F.min(x0).alias("x0"), F.max(x1).alias("x1"), F.min(y0).alias("y0"), F.max(y1).alias("y1"), F.sum(n).alias("size"))
+
+
+def _levels(placed: DataFrame, by: Sequence[str]) -> list[DataFrame]:
+    """Bounding boxes of the runs, of ``FANOUT`` neighbouring runs and so on, the top ones last."""
+    levels = [durable(_merged_boxes(placed, by, F.col("node"), "x", "x", "y", "y", F.lit(1)))]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last >= FANOUT:
+        last //= FANOUT
+        node = F.floor(F.col("node") / FANOUT).cast("bigint")
+        levels.append(durable(_merged_boxes(levels[-1], by, node, "x0", "x1", "y0", "y1", F.col("size"))))
+    return levels
+
+
+def _in_reach(rows: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
+    """Boxes that may hold one of the nearest: no farther than the far corner of a box that holds enough."""
+    def near(v: str) -> Column:
+        return F.greatest(F.col(f"{v}0") - F.col(v), F.col(v) - F.col(f"{v}1"), F.lit(0))
+
+    def far(v: str) -> Column:
+        return F.greatest(F.col(v) - F.col(f"{v}0"), F.col(f"{v}1") - F.col(v))
+
+    least = (near("x") * near("x") + near("y") * near("y")).cast("double")
+    most = (far("x") * far("x") + far("y") * far("y")).cast("double")
+    seen = F.min(F.when(F.col("size") >= keep, most)).over(Window.partitionBy(*by, "_rn"))
+    return rows.withColumn("reach", F.least("reach", seen)).filter(least <= F.coalesce("reach", F.lit(float("inf"))))
+
+
+def _candidate_runs(placed: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
+    """``(.., _rn, x, y, node)``: the runs that may hold a nearest neighbour of a position.
+
+    The reach of a position starts as the distance to the last of ``keep`` in its own run and
+    shrinks on the way down the levels, so that a lone position beside a dense blob reads the
+    border of the blob alone.
+    """
+    here = placed.select(*by, "node", "_rn", "x", "y")
+    other = placed.select(*by, "node", F.col("x").alias("px"), F.col("y").alias("py"))
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    found = around.join(grid, [*by, "cx", "cy"]).select(
-        *by, "x", "y", "size", "extent", (dx * dx + dy * dy).alias("dist2"), F.explode("ids").alias("id")
-    )
-    w = Window.partitionBy(*by, "x", "y").orderBy("dist2", "id")
-    best = found.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
-    return best.groupBy(*by, "x", "y").agg(
-        F.first("size").alias("size"), F.first("extent").alias("extent"),
-        F.array_sort(F.collect_list(F.struct("dist2", "id"))).alias("near"),
-    )
+    own = here.join(other, [*by, "node"]).groupBy(*by, "_rn", "x", "y").agg(
+        F.get(F.array_sort(F.collect_list((dx * dx + dy * dy).cast("double"))), F.lit(keep - 1)).alias("reach"))
+    levels = _levels(placed, by)
+    top = levels[-1]
+    rows = (join_dim_many(own, top, by) if by else own.crossJoin(F.broadcast(top)))
+    rows = _in_reach(rows, by, keep)
+    for level in reversed(levels[:-1]):
+        parent = F.floor(F.col("node") / FANOUT).cast("bigint").alias("parent")
+        below = level.select(*by, parent, "node", "x0", "x1", "y0", "y1", "size")
+        rows = rows.select(*by, "_rn", "x", "y", "reach", F.col("node").alias("parent"))
+        rows = _in_reach(join_dim_many(rows, below, [*by, "parent"]), by, keep)
+    return rows.select(*by, "_rn", "x", "y", "node")
+
+
+def join_dim_many(rows: DataFrame, boxes: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` with all of the few boxes of their key, which travel as one array."""
+    on = list(on)
+    values = [c for c in boxes.columns if c not in on]
+    packed = boxes.groupBy(*on).agg(F.collect_list(F.struct(*values)).alias("_boxes"))
+    return join_dim(rows, packed, on, ["_rn"]).select(*rows.columns, F.explode("_boxes").alias("_b")).select(
+        *rows.columns, *[F.col(f"_b.{c}").alias(c) for c in values])
 
 
 def nearest_neighbours(spots: DataFrame, n: int, by: Sequence[str] = ("rep_id",)) -> DataFrame:
     """The n nearest other spots of every spot, ties by id.
 
-    Grid search that widens: a position is done once its farthest hit is nearer than
-    the grid width, because everything that near lies inside the searched block. The
-    rest goes on with a grid of twice the width. The first width keeps the busiest
-    cell small, so dense spots never meet all their neighbours' neighbours.
+    Positions are cut into runs along a Z-order curve, with a tree of bounding boxes above them.
+    Runs hold equal numbers of positions, whatever the density, and a position reads only
+    the runs that the boxes leave. Spots without coordinates have no neighbours.
     """
     by, keep = list(by), n + 1
     spots = _named(spots, by)
-    places = durable(_places(spots, by, keep))
-    pending = places.join(F.broadcast(_cell_sizes(places, by, keep)), by).drop("ids")
-    done: DataFrame | None = None
-    while True:
-        tested = durable(_search(pending, places, by, keep))
-        last = F.get("near", F.lit(keep - 1))["dist2"]
-        enough = (last < F.col("size") * F.col("size")) | (F.col("size") > F.col("extent"))
-        enough = F.coalesce(enough, F.lit(False))
-        ready = tested.filter(enough).select(*by, "x", "y", "near")
-        done = ready if done is None else done.unionByName(ready)
-        open_rows = tested.filter(~enough)
-        if not open_rows.take(1):
-            break
-        pending = open_rows.select(*by, "x", "y", "extent", (F.col("size") * 2).alias("size"))
-    joined = join_dim(spots.select(*by, "cell_id", "x", "y"), done, [*by, "x", "y"], ["cell_id"])
+    known = spots.filter("x IS NOT NULL AND y IS NOT NULL")
+    placed = _placed(_places(known, by, keep), by, keep)
+    inside = placed.select(*by, "node", F.col("x").alias("px"), F.col("y").alias("py"), "ids")
+    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    found = _candidate_runs(placed, by, keep).join(inside, [*by, "node"]).select(
+        *by, "_rn", "x", "y", (dx * dx + dy * dy).alias("dist2"), F.explode("ids").alias("id"))
+    w = Window.partitionBy(*by, "_rn").orderBy("dist2", "id")
+    best = found.withColumn("_no", F.row_number().over(w)).filter(F.col("_no") <= keep)
+    done = durable(best.groupBy(*by, "_rn").agg(
+        F.first("x").alias("x"), F.first("y").alias("y"),
+        F.array_sort(F.collect_list(F.struct("dist2", "id"))).alias("near")).drop("_rn"))
+    joined = join_dim(known.select(*by, "cell_id", "x", "y"), done, [*by, "x", "y"], ["cell_id"])
     others = F.slice(F.filter("near", lambda c: c["id"] != F.col("cell_id")), 1, n)
     edges = joined.select(*by, F.col("cell_id").alias("src"), others.alias("near"))
     return edges.select(*by, "src", F.size("near").alias("_deg"), F.explode("near").alias("_e")).select(

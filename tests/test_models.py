@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellmosaic.models import cell_model, common, spot_model
+from cellmosaic.models import cell_model, common, solver, spot_model
 from cellmosaic.models.common import FitSettings
 from cellmosaic.operators.profile import add_masks, parse_profile
 
@@ -159,3 +159,117 @@ def test_em_iterations_need_no_exchange(spark):
     plan = calls._jdf.queryExecution().executedPlan().toString()
     above = plan.split("InMemoryTableScan")[0] if "InMemoryTableScan" in plan else plan
     assert "Exchange hashpartitioning" not in above
+
+
+STATS = "run_id string, assay string, state string, cell_id bigint, x double, mu double, log_mu double"
+
+
+def depth_rows(spark, rows=400, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.negative_binomial(4, 0.1, rows)
+    mu = rng.uniform(20, 60, rows)
+    state = [["1|1", "2|1", "2|0"][i % 3] for i in range(rows)]
+    data = [("r1", "gex", state[i], i, float(x[i]), float(mu[i]), math.log(mu[i])) for i in range(rows)]
+    return spark.createDataFrame(data, STATS), x, mu, np.array(state)
+
+
+def plain_nb(x, mu, size):
+    return (lgamma(x + size) - lgamma(size) + size * np.log(size / (size + mu)) + x * np.log(mu / (size + mu))).sum()
+
+
+def test_depth_search_matches_direct_sums(spark):
+    stats, x, mu, state = depth_rows(spark)
+    bounds = (1e-6, 1e6)
+    rounds = cell_model.invphi_rounds(stats, bounds, 33)
+    got = {(r.state, r.i): r for r in rounds(None).collect()}
+    points = solver.first_points(bounds, 33)
+    assert len(got) == 3 * 33
+    for name in ("1|1", "2|1", "2|0"):
+        own = state == name
+        for i in (0, 10, 16, 20, 32):
+            assert got[name, i].at == pytest.approx(points[i])
+            assert got[name, i].ll == pytest.approx(plain_nb(x[own], mu[own], math.exp(points[i])), rel=1e-9, abs=1e-4)
+    best = {r.state: r.value for r in solver.maximise(rounds, cell_model.STATE, bounds, 3).collect()}
+    for name, value in best.items():
+        own = state == name
+        grid = np.exp(np.linspace(math.log(value) - 0.3, math.log(value) + 0.3, 61))
+        assert plain_nb(x[own], mu[own], value) >= max(plain_nb(x[own], mu[own], g) for g in grid) - 1e-6
+
+
+def leaves_below_generate(plan: str) -> list[str]:
+    """The first relation under each Generate that no Aggregate comes before."""
+    lines, out = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "Generate" in line:
+            for below in lines[i + 1:]:
+                if "Aggregate" in below:
+                    break
+                if "Relation" in below or "LogicalRDD" in below:
+                    out.append(below)
+                    break
+    return out
+
+
+def test_depth_rows_are_not_repeated_for_a_grid(spark):
+    stats, *_ = depth_rows(spark, 12)
+    rounds = cell_model.invphi_rounds(stats, (1e-6, 1e6), 33, small=True)
+    ends = spark.createDataFrame([("r1", "gex", "1|1", 0.0, 1.0)], "run_id string, assay string, state string, lo double, hi double")
+    for scores in (rounds(None), rounds(ends)):
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan
+        assert not [leaf for leaf in leaves_below_generate(plan) if "log_mu" in leaf]
+
+
+def test_runs_settle_on_their_own(spark):
+    """Runs that need different numbers of iterations agree with fits of their own."""
+    settings = FitSettings(share_dispersion=False, update_pi=True, niters=12)
+    tables = [frames(spark, *simulate(seed=s, cells=24, depth=d)[3:], f"r{s}") for s, d in ((1, 200), (2, 3000), (3, 60))]
+    counts, profile = tables[0]
+    for c, p in tables[1:]:
+        counts, profile = counts.unionByName(c), profile.unionByName(p)
+    ref = counts.select("run_id", "cell_id").distinct().withColumn("is_reference", F.col("cell_id") % 3 == 0)
+    both = cell_model.fit_cells(counts, profile, settings, ref, partitions=4)
+    last = {r.run_id: r.t for r in both.trace.groupBy("run_id").agg(F.max("iter").alias("t")).collect()}
+    pick = ["cell_id", "label", F.round("max_posterior", 6).alias("p")]
+    for run, (c, p) in zip(("r1", "r2", "r3"), tables):
+        alone = cell_model.fit_cells(c, p, settings, ref.filter(F.col("run_id") == run), partitions=4)
+        assert sorted(map(tuple, both.annotations.filter(F.col("run_id") == run).select(*pick).collect())) == sorted(
+            map(tuple, alone.annotations.select(*pick).collect()))
+        assert alone.trace.agg(F.max("iter")).first()[0] == last[run]
+        key = lambda r: (r.name, r.assay, r.group_id, r.k, r.state)
+        mine = {key(r): r.value for r in both.params.filter(F.col("run_id") == run).collect()}
+        assert mine == {key(r): pytest.approx(r.value, rel=1e-6) for r in alone.params.collect()}
+        assert {k[0] for k in mine} == {"log_likelihood", "tau", "inv_phi", "pi", "lambda"}
+    assert len(set(last.values())) > 1
+
+
+def test_saved_parameters_score_new_cells(spark, tmp_path):
+    from cellmosaic.sources import sinks
+
+    a, b, truth, x, na, nb = simulate(seed=5, cells=60)
+    counts, profile = frames(spark, x, na, nb)
+    seen = F.col("cell_id") < 40
+    ref = counts.filter(seen).select("run_id", "cell_id").distinct().withColumn("is_reference", F.col("cell_id") % 3 == 0)
+    fit = cell_model.fit_cells(counts.filter(seen), profile, FitSettings(), ref, partitions=4)
+    sinks.write_table(fit.params, str(tmp_path / "params"), ["name"])
+    params = sinks.read_parameters(spark, str(tmp_path / "params"))
+    calls = cell_model.score_cells(counts, profile, params, FitSettings(), partitions=4)
+    got = {r.cell_id: (r.label, r.p) for r in calls.select("cell_id", "label", F.round("max_posterior", 9).alias("p")).collect()}
+    for r in fit.annotations.select("cell_id", "label", F.round("max_posterior", 9).alias("p")).collect():
+        assert got[r.cell_id] == (r.label, pytest.approx(r.p, abs=1e-8))
+    value = {p.name: p.value for p in fit.params.filter("name in ('tau', 'inv_phi')").collect()}
+    lam = x[:, :40][:, truth[:40] == 0].sum(1) / x[:, :40][:, truth[:40] == 0].sum()
+    scores = numpy_scores(a, b, x, na, nb, lam, value["tau"], value["inv_phi"])
+    names = np.array(["normal", "clone1", "clone2"])
+    assert [got[i][0] for i in range(60)] == list(names[scores.argmax(1)])
+
+
+def test_groups_without_a_mask_are_not_scored(spark):
+    _, _, _, x, na, nb = simulate(cells=6)
+    counts, profile = frames(spark, x, na, nb)
+    obs = common.prepare_observations(counts, 4)
+    groups = cell_model.static_groups(obs, profile, FitSettings(fit_mode="allele"), None)
+    kept = {r.group_id for r in groups.filter("scored").select("group_id").distinct().collect()}
+    assert kept == {r.group_id for r in profile.filter("imbalanced").collect()} and len(kept) < len(PROFILES)
+    flat = cell_model.static_groups(obs, profile.withColumn("imbalanced", F.lit(False)), FitSettings(fit_mode="allele"), None)
+    assert flat.filter("NOT scored").isEmpty()

@@ -186,3 +186,55 @@ def test_panel_columns_and_solution_pattern(spark):
     assert panel.metric_columns(["JC_b", "f1", "n_clone2", "purity_x", "n_clone1"]) == [
         "f1", "n_clone1", "n_clone2", "purity_x", "JC_b"]
     assert panel.prediction_column(["x_label-refined", "a_label", "b_label"]) == "a_label"
+
+
+def plain_neighbours(points, n):
+    """(src, dst) of the n nearest others by (distance, id)."""
+    out = set()
+    for i, x, y in points:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in points if j != i)
+        out |= {(i, j) for _, j in near[:n]}
+    return out
+
+
+def test_neighbours_of_a_blob_with_outliers(spark):
+    """Lone spots read the border of a dense blob alone; all results are exact."""
+    rng = np.random.default_rng(6)
+    blob = np.unique(rng.normal(0, 30, (2500, 2)).round(3), axis=0)
+    far = np.array([[1e6, 1e6], [-4e5, 3.0], [200.0, 0.0], [0.0, 260.0], [150.0, 151.0], [-900.0, -900.0], [1e6, 1e6 + 1]])
+    stacked = np.repeat(blob[:1], 40, axis=0)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.concatenate([blob, far, stacked]))]
+    df = spark.createDataFrame([("r", *p) for p in points], "rep_id string, cell_id bigint, x double, y double")
+    lost = spark.createDataFrame([("r", 9999, None, 1.0)], df.schema)
+    got = {(r.src, r.dst) for r in spatial.nearest_neighbours(df.unionByName(lost), 5).collect()}
+    assert got == plain_neighbours(points, 5)
+    placed = spatial._placed(spatial._places(df, ["rep_id"], 6), ["rep_id"], 6)
+    runs = spatial._candidate_runs(placed, ["rep_id"], 6)
+    per = runs.groupBy("_rn", "x", "y").count().collect()
+    assert max(r["count"] for r in per) <= 40  # of about 160
+    assert sum(r["count"] for r in per) <= 9 * len(per)
+
+
+def test_neighbours_of_few_and_stacked_spots(spark):
+    points = [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 5, 5)]
+    df = spark.createDataFrame([("a", *p) for p in points] + [("b", 7, 1, 1)], "rep_id string, cell_id bigint, x bigint, y bigint")
+    got = {(r.src, r.dst) for r in spatial.nearest_neighbours(df, 3).collect()}
+    assert got == plain_neighbours(points, 3)
+    assert spatial.nearest_neighbours(df.filter("false"), 3).collect() == []
+
+
+def test_order_with_heavy_ties_fills_many_tasks(spark):
+    """95 % of the values are equal; ranks stay exact and no group holds much of them."""
+    rng = np.random.default_rng(9)
+    rows = [("g", 0.25 if i % 20 else float(rng.integers(0, 5)) / 4, int(i)) for i in rng.permutation(8000)]
+    rows += [(None, 1.0, 1), (None, None, 2), (None, 1.0, 3)]
+    df = spark.createDataFrame(rows, "rep string, v double, cell_id bigint")
+    got = ordering.row_numbers(df, "v", "rn", ["rep"], ties=["cell_id"]).collect()
+    want = {}
+    for rep in ("g", None):
+        mine = sorted((v is not None, v or 0, i) for r, v, i in rows if r == rep)
+        want |= {(rep, i): n for n, (_, _, i) in enumerate(mine, 1)}
+    assert {(r.rep, r.cell_id): r.rn for r in got} == want
+    tagged = ordering._with_bucket(df, ["rep"], "v", ordering.BUCKETS, "cell_id")
+    sizes = [r["count"] for r in tagged.groupBy("rep", "_bucket", "_part").count().collect()]
+    assert max(sizes) <= 0.05 * len(rows) and len(sizes) > 40
