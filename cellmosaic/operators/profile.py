@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellmosaic.functions import cnp
 from cellmosaic.functions.genome import chrom_rank
 from cellmosaic.functions.labels import clone_name
-from cellmosaic.operators.joins import unique_or_fail
+from cellmosaic.operators.joins import join_dim, unique_or_fail
 
 DIPLOID = "1|1"
 
@@ -46,8 +46,9 @@ def override_solution(
 ) -> tuple[DataFrame, list[str]]:
     """Replace all clone columns by those of a solution table, matched on cluster.
 
-    Returns the segments and the clone names in the order of the solution. Clusters
-    that the solution lacks become diploid with zero proportion.
+    Of several samples the first in the file (``row_no``) counts, per ``by``. Returns the
+    segments and the clone names in the order of the solution. Clusters that the
+    solution lacks become diploid with zero proportion; ``cnp`` and ``props`` are built anew.
     """
     cn, u = clone_columns(solution, "cn_"), clone_columns(solution, "u_")
     clones = [c[len("cn_"):] for c in cn]
@@ -64,7 +65,11 @@ def override_solution(
         **{c: F.coalesce(F.col(c), F.lit(0.0)) for c in u},
         **{c: F.coalesce(F.col(c), F.lit(DIPLOID)) for c in cn},
     })
-    return join_clones(filled, clones), clones
+    named = join_clones(filled, clones)
+    if u:
+        props = clone_proportions(named, clones, by)
+        named = join_dim(named, props, list(by), ["cluster"]) if by else named.crossJoin(F.broadcast(props))
+    return named, clones
 
 
 def parse_profile(segments: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from cellmosaic.session import durable
 
 RUN = 16  # positions of a run, at least
 FANOUT = 8  # boxes of the next level
+READERS = 4096  # spots that read one part of a salted spot
 
 def _named(spots: DataFrame, by: Sequence[str]) -> DataFrame:
     """``spots``; a NULL replicate, run or assay fails the query when it runs."""
@@ -177,6 +178,32 @@ def reachable(spots: DataFrame, edges: DataFrame, max_k: int, by: Sequence[str]
     return known
 
 
+def replicate_report(spots: DataFrame, annotations: DataFrame, by: Sequence[str] = ("rep_id",)) -> DataFrame:
+    """Spots and annotated spots per replicate, and whether all spots are annotated."""
+    by = list(by)
+    present = annotations.select(*by, "cell_id").distinct().withColumn("_hit", F.lit(1))
+    joined = spots.select(*by, "cell_id").join(present, [*by, "cell_id"], "left")
+    counts = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n_spots"), F.count("_hit").alias("n_annotated"))
+    return counts.withColumn("complete", F.col("n_spots") == F.col("n_annotated"))
+
+
+def slices(
+    spots: DataFrame, annotations: DataFrame, ref_label: str | None, order: str = "cell_id", by: Sequence[str] = ("rep_id",)
+) -> DataFrame:
+    """Annotated spots of every replicate in the order of its spots, numbered from 0.
+
+    Takes the columns of ``annotations``; a missing reference label becomes ``Unknown``.
+    """
+    by = list(by)
+    columns = [c for c in annotations.columns if c not in (*by, "cell_id", "x", "y")]
+    held = join_dim(spots.select(*by, "cell_id", "x", "y", *([order] if order != "cell_id" else [])),
+                    annotations.select(*by, "cell_id", *columns), [*by, "cell_id"], ["cell_id"])
+    numbered = row_numbers(held, order, "_no", by, ties=[] if order == "cell_id" else ["cell_id"])
+    if ref_label is not None:
+        numbered = numbered.withColumn(ref_label, F.coalesce(ref_label, F.lit("Unknown")))
+    return numbered.withColumn("spot_no", F.col("_no") - 1).select(*by, "spot_no", "cell_id", "x", "y", *columns)
+
+
 def smoothing_radius(
     reach: DataFrame, totals: DataFrame, max_k: int, min_umi: int, min_snp_umi: int,
     by: Sequence[str] = ("rep_id",),
@@ -217,20 +244,23 @@ def pool_counts(
 ) -> DataFrame:
     """Replace the counts of spots with radius > 0 by sums over their neighbourhood.
 
-    The few groups of a cell travel as one array, so the join key is unique on that
-    side and a much-referenced spot can be salted.
+    Counts stay in long rows. A spot that many others read is salted by how many do: its readers are
+    dealt over parts of about ``READERS``, and only its own rows are repeated, once per part.
     """
     by = list(by)
     chosen = join_dim(
         reach, radius.filter("k > 0").withColumnRenamed("cell_id", "src"), [*by, "src"], ["dst"]
-    ).filter(F.col("hop") <= F.col("k"))
-    rows = F.collect_list(F.struct("group_id", "x", "a", "b")).alias("_rows")
-    nested = counts.groupBy(*by, F.col("cell_id").alias("dst")).agg(rows)
-    gathered = join_dim(chosen, nested, [*by, "dst"], ["src"]).select(
-        *by, F.col("src").alias("cell_id"), F.explode("_rows").alias("_c")
-    )
-    pooled = gathered.groupBy(*by, "cell_id", F.col("_c.group_id").alias("group_id")).agg(
-        *[F.sum(f"_c.{c}").alias(c) for c in ("x", "a", "b")]
+    ).filter(F.col("hop") <= F.col("k")).select(*by, "src", "dst")
+    degree = chosen.groupBy(*by, "dst").agg(F.ceil(F.count(F.lit(1)) / READERS).cast("int").alias("_parts"))
+    busy = durable(degree.filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    readers = join_dim(chosen, busy, [*by, "dst"], ["src"], how="left").withColumn("_part", F.pmod(F.xxhash64("src"), parts).cast("int"))
+    own = counts.select(*by, F.col("cell_id").alias("dst"), "group_id", "x", "a", "b")
+    read = join_dim(own, busy, [*by, "dst"], ["group_id"], how="left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    gathered = readers.drop("_parts").join(read.drop("_parts"), [*by, "dst", "_part"])
+    pooled = gathered.groupBy(*by, F.col("src").alias("cell_id"), "group_id").agg(
+        *[F.sum(c).alias(c) for c in ("x", "a", "b")]
     )
     moved = radius.filter("k > 0").select(*by, "cell_id")
     kept = counts.join(moved, [*by, "cell_id"], "left_anti").select(*pooled.columns)

@@ -10,7 +10,8 @@ from cellmosaic.operators import annotate, cells, depth, grouping, profile
 from cellmosaic.operators.joins import join_dim
 from cellmosaic.plans.inputs import BAF_CLIP, Inputs
 from cellmosaic.plans.registry import query, r6
-from cellmosaic.sources import tables
+from cellmosaic.session import work_folder
+from cellmosaic.sources import sinks, tables
 
 
 @query("""SELECT g.seg_id, s.k, s.clone, s.cn_a, s.cn_b, s.cn_a + s.cn_b AS cn_c,
@@ -83,22 +84,28 @@ def phased_alleles(t: Inputs) -> DataFrame:
 
 
 @query("""SELECT g.seg_id, CASE g.s % 4 WHEN 0 THEN '1|1;2|1' WHEN 1 THEN '1|1;1|0' WHEN 2 THEN '1|1;3|1' ELSE '1|1;1|1' END AS cnp,
-  CASE WHEN g.s % 4 = 3 THEN 0.0::DOUBLE ELSE round(0.1 * (1 + g.s % 4), 6) END AS u_clone1 FROM segments g""")
+  CASE WHEN g.s % 4 = 3 THEN 0.0::DOUBLE ELSE round(0.1 * (1 + g.s % 4), 6) END AS u_clone1,
+  (SELECT arg_min(CASE s % 4 WHEN 0 THEN '0.5;0.1' WHEN 1 THEN '0.25;0.2' WHEN 2 THEN '0.125;0.3' ELSE '0.0;0.0' END, chrom_no * 1000000 + s) FROM segments) AS props
+  FROM segments g""")
 def solution_override(t: Inputs) -> DataFrame:
+    """The first sample of a solution file, in the order of its lines."""
     # clusters 0..2 have a solution row, cluster 3 falls back to diploid
     old = t.segments.join(t.segment_rows.select("seg_id", (F.col("s") % 4).alias("cluster")), "seg_id")
     old = old.withColumns({"cn_normal": F.lit("1|1"), "u_normal": F.lit(1.0)}).drop("cn_a", "cn_b")
-    present = t.segment_rows.select((F.col("s") % 4).alias("cluster")).distinct().filter("cluster < 3")
-    picked = F.element_at(F.array(F.lit("2|1"), F.lit("1|0"), F.lit("3|1")), F.col("cluster").cast("int") + 1)
+    present = t.segment_rows.select((F.col("s") % 4).alias("CLUSTER")).distinct().filter("CLUSTER < 3")
+    picked = F.element_at(F.array(F.lit("2|1"), F.lit("1|0"), F.lit("3|1")), F.col("CLUSTER").cast("int") + 1)
+    share = F.element_at(F.array(F.lit("0.1"), F.lit("0.2"), F.lit("0.3")), F.col("CLUSTER").cast("int") + 1)
     rows = present.select(
-        "cluster", F.lit("S1").alias("sample"), F.lit("1|1").alias("cn_normal"), picked.alias("cn_clone1"),
-        (1.0 - 0.1 * (F.col("cluster") + 1)).alias("u_normal"), (0.1 * (F.col("cluster") + 1)).alias("u_clone1"),
+        "CLUSTER", F.lit("S1").alias("SAMPLE"), F.lit("1|1").alias("cn_normal"), picked.alias("cn_clone1"),
+        (0.5 / F.pow(F.lit(2.0), F.col("CLUSTER"))).cast("string").alias("u_normal"), share.alias("u_clone1"),
     )
     # another sample follows in the file; its name is smaller and its copy numbers differ
-    other = rows.withColumns({"sample": F.lit("R9"), "cn_clone1": F.lit("9|9"), "u_clone1": F.lit(0.9)})
-    both = rows.withColumn("row_no", F.lit(1)).unionByName(other.withColumn("row_no", F.lit(2)))
-    new, _ = profile.override_solution(old, both)
-    return new.select("seg_id", "cnp", r6(F.col("u_clone1")).alias("u_clone1"))
+    other = rows.withColumns({"SAMPLE": F.lit("R9"), "cn_clone1": F.lit("9|9"), "u_clone1": F.lit("0.9")})
+    lines = rows.withColumn("_first", F.lit(1)).unionByName(other.withColumn("_first", F.lit(2)))
+    path = work_folder(t.spark, "solution")
+    sinks.write_tsv(lines.coalesce(1).sortWithinPartitions("_first", "CLUSTER").drop("_first"), path)
+    new, _ = profile.override_solution(old, tables.read_solution(t.spark, path))
+    return new.select("seg_id", "cnp", r6(F.col("u_clone1")).alias("u_clone1"), "props")
 
 
 @query("SELECT seg_id, 'S0' AS sample FROM segment_rows WHERE seg_id % 2 = (SELECT arg_min(seg_id, chrom_no * 1000000 + s) % 2 FROM segment_rows)")

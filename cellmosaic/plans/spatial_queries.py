@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmosaic.operators import geometry, reports, spatial
+from cellmosaic.operators import geometry, grouping, reports, spatial
 from cellmosaic.operators.cutoffs import best_run
 from cellmosaic.operators.joins import join_dim
 from cellmosaic.plans.inputs import BAF_CLIP, Inputs
@@ -89,6 +89,83 @@ def join_count(t: Inputs) -> DataFrame:
     return out.withColumn("zscore", r6(F.col("zscore")))
 
 
+_BY_ASSAY = """assays AS (SELECT unnest(['gex', 'atac']) AS assay),
+  assay_spots AS (SELECT a.assay, c.* FROM cells c, assays a),
+  assay_sums AS (SELECT p.assay, c.rep_id, p.cell_id, i.group_id, CAST(sum(p.x) AS BIGINT) AS x, CAST(sum(p.a) AS BIGINT) AS a, CAST(sum(p.b) AS BIGINT) AS b
+    FROM phased p JOIN state_ids i USING (state) JOIN cells c USING (cell_id) GROUP BY 1, 2, 3, 4),
+"""
+
+
+def _assay_spots(t: Inputs) -> DataFrame:
+    return t.cells.withColumn("assay", F.explode(F.array(F.lit("gex"), F.lit("atac"))))
+
+
+def _assay_counts(t: Inputs) -> DataFrame:
+    """Counts per modality; a spot may have none in one of them."""
+    sums = grouping.sum_counts(t.lines, t.cluster_bins, ["assay", "cell_id"], bound=t.bins)
+    reps = t.cells.select("cell_id", "rep_id")
+    return join_dim(sums, reps, ["cell_id"], ["group_id"], bound=t.raw("customer"))
+
+
+BY_ASSAY = ("assay", "rep_id")
+
+
+@query(_EDGES + ", " + _BY_ASSAY + """tagged AS (SELECT * FROM assay_spots WHERE label <> 'NA' OR assay = 'gex'),
+  e AS (SELECT s.assay, e.rep_id, e.w, s.label AS ls, d.label AS ld FROM edges e JOIN tagged s ON s.cell_id = e.src
+    JOIN tagged d ON d.cell_id = e.dst AND d.assay = s.assay),
+  tot AS (SELECT assay, rep_id, sum(w) AS s0, sum(w * w) AS s2 FROM e GROUP BY 1, 2),
+  j AS (SELECT assay, rep_id, ls AS label, 0.5 * sum(w) AS joins FROM e WHERE ls = ld GROUP BY 1, 2, 3),
+  p AS (SELECT assay, rep_id, label, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY assay, rep_id) AS p FROM tagged GROUP BY 1, 2, 3)
+  SELECT assay, rep_id, label, n, round((coalesce(joins, 0) - 0.5 * s0 * p * p) / sqrt(0.5 * s2 * p * p * (1 - p * p)), 6) + 0.0 AS zscore
+  FROM p LEFT JOIN j USING (assay, rep_id, label) JOIN tot USING (assay, rep_id) WHERE label <> 'normal'""")
+def join_count_by_assay(t: Inputs) -> DataFrame:
+    """Join counts keyed by modality and replicate; the atac labels leave out the unlabelled spots."""
+    spots = _assay_spots(t)
+    edges = spatial.nearest_neighbours(spots, NEIGHBOURS, BY_ASSAY)
+    tagged = spots.filter((F.col("label") != "NA") | (F.col("assay") == "gex"))
+    out = spatial.join_count_zscores(tagged, edges, "label", BY_ASSAY)
+    return out.withColumn("zscore", r6(F.col("zscore")))
+
+
+@query(_REACH + ", " + _BY_ASSAY + f"""whole AS (SELECT assay, rep_id FROM (SELECT a.assay, c.rep_id, count(*) AS n FROM cells c, assays a GROUP BY 1, 2)
+    JOIN (SELECT assay, rep_id, count(DISTINCT cell_id) AS m FROM assay_sums GROUP BY 1, 2) USING (assay, rep_id) WHERE n = m),
+  totals AS (SELECT assay, cell_id, sum(x) AS umi, sum(a + b) AS snp FROM assay_sums GROUP BY 1, 2),
+  sums AS (SELECT w.assay, r.rep_id, r.src, sum(CASE WHEN hop <= 0 THEN umi ELSE 0 END) AS u0, sum(CASE WHEN hop <= 0 THEN snp ELSE 0 END) AS s0,
+     sum(CASE WHEN hop <= 1 THEN umi ELSE 0 END) AS u1, sum(CASE WHEN hop <= 1 THEN snp ELSE 0 END) AS s1
+     FROM reach r JOIN whole w USING (rep_id) JOIN totals t ON t.cell_id = r.dst AND t.assay = w.assay GROUP BY 1, 2, 3),
+  radius AS (SELECT assay, rep_id, src AS cell_id, CASE WHEN u0 >= {MIN_UMI // 2} AND s0 >= {MIN_SNP // 2} THEN 0
+     WHEN u1 >= {MIN_UMI // 2} AND s1 >= {MIN_SNP // 2} THEN 1 ELSE 2 END AS k FROM sums)
+  SELECT d.assay, r.src AS cell_id, c.group_id, CAST(sum(c.x) AS BIGINT) AS x, CAST(sum(c.a) AS BIGINT) AS a, CAST(sum(c.b) AS BIGINT) AS b
+  FROM reach r JOIN radius d ON d.cell_id = r.src AND r.hop <= d.k JOIN assay_sums c ON c.cell_id = r.dst AND c.assay = d.assay GROUP BY 1, 2, 3
+  UNION ALL SELECT s.assay, s.cell_id, s.group_id, s.x, s.a, s.b FROM assay_sums s ANTI JOIN whole w ON w.assay = s.assay AND w.rep_id = s.rep_id""")
+def smoothed_by_assay(t: Inputs) -> DataFrame:
+    """Smoothing per modality and replicate; replicates with a spot without counts keep theirs."""
+    counts = _assay_counts(t)
+    spots = _assay_spots(t).select("assay", "rep_id", "cell_id", "x", "y")
+    edges = spatial.nearest_neighbours(spots, NEIGHBOURS, BY_ASSAY)
+    out, _ = spatial.smooth(counts, spots, edges, MAX_K, MIN_UMI // 2, MIN_SNP // 2, BY_ASSAY)
+    return out.select("assay", "cell_id", F.col("group_id").cast("bigint").alias("group_id"), "x", "a", "b")
+
+
+@query("""called AS (SELECT rep_id, cell_id, label, nullif(cell_type, 'Unknown') AS cell_type
+    FROM cells WHERE label <> 'NA' OR rep_id = 'R1')
+  SELECT c.rep_id, row_number() OVER (PARTITION BY c.rep_id ORDER BY s.y, s.x, s.cell_id) - 1 AS spot_no, c.cell_id, s.x, s.y, c.label,
+         coalesce(c.cell_type, 'Unknown') AS cell_type FROM called c JOIN cells s USING (cell_id)""")
+def tissue_slices(t: Inputs) -> DataFrame:
+    """Annotated spots per replicate in the order of the lattice, unknown reference labels named."""
+    kind = F.nullif("cell_type", F.lit("Unknown"))
+    called = t.cells.filter("label <> 'NA' OR rep_id = 'R1'").select("rep_id", "cell_id", "label", kind.alias("cell_type"))
+    spots = t.spots.withColumn("place", F.col("y") * 1000 + F.col("x"))
+    return spatial.slices(spots, called, "cell_type", "place")
+
+
+@query("""called AS (SELECT rep_id, cell_id FROM cells WHERE label <> 'NA' OR rep_id = 'R1')
+  SELECT rep_id, count(*) AS n_spots, count(a.cell_id) AS n_annotated, count(*) = count(a.cell_id) AS complete
+  FROM cells c LEFT JOIN called a USING (rep_id, cell_id) GROUP BY rep_id""")
+def slice_report(t: Inputs) -> DataFrame:
+    return spatial.replicate_report(t.spots, t.cells.filter("label <> 'NA' OR rep_id = 'R1'"))
+
+
 def _jc(t: Inputs) -> DataFrame:
     n = F.col("s_suppkey")
     none = F.lit(None).cast("double")

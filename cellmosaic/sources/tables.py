@@ -69,13 +69,24 @@ def read_segments(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     return join_clones(df, clones), clones
 
 
+def _with_row_number(df: DataFrame) -> DataFrame:
+    """``df`` of a file scan with ``row_no``, the place of a row in its file, as a sortable pair.
+
+    Blocks of a file are told by where they start; within a block rows keep their order.
+    """
+    return df.withColumn("row_no", F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def read_solution(spark: SparkSession, path: str) -> DataFrame:
-    return _require(_canonical(read_tsv(spark, path)), ["cluster"], "solution")
+    """Solution rows with ``row_no``, the order of the file."""
+    return _require(_canonical(_with_row_number(read_tsv(spark, path))), ["cluster"], "solution")
 
 
 def read_solutions(spark: SparkSession, pattern: str) -> DataFrame:
     """All solution files of a glob in one scan, with file path and tag."""
     df = spark.read.csv(pattern, sep="\t", header=True).withColumn("path", F.col("_metadata.file_path"))
+    df = _with_row_number(df)
     return _canonical(df).withColumn("tag", solution_tag(F.col("path")))
 
 
