@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmosaic.llm.common import U64, connected_components, mix64, utf8_values, work_path
@@ -380,6 +380,11 @@ def _least_tracked(counts: DataFrame, total: int) -> int:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    return _classes(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per row: doc_id, th (hash of the text), n_shingles, component_id and component (null without a set)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").withColumn("th", F.xxhash64("text"))
     path = work_path(spark, "sets")
@@ -422,18 +427,30 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int
         labels.select(F.col("node").alias("rid"), "component"), "rid", "left"
     ).withColumn("component", F.coalesce("component", "rid")))
     names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(names, "component").select("rid", "component_id")
+    named = groups.join(names, "component").select("rid", "component", "component_id")
     return rows.join(named, "rid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "th", "component", F.col("n").alias("n_shingles"),
         F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The document with the smallest id of each component; a repeated id stays once.
+    """One row of each component: that of the smallest id, of the smallest text hash among its texts.
 
-    Rows with a null id stay.
+    Rows are told by id and text, so rows that repeat an id with another text are judged on their own. Of rows with
+    equal id and text one stays, the first by a hash of all columns. Rows without a word are linked with
+    nothing, so each id of them stays; rows with a null id stay.
     """
-    parts = jaccard_components(docs, k, num, den)
-    kept = parts.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    parts = _classes(docs.filter("doc_id IS NOT NULL"), k, num, den)
+    place = F.struct("doc_id", "th")
+    alone = parts.filter("component IS NULL").select("doc_id", "th")
+    first = parts.filter("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("at")).select("at.*")
+    copies = parts.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = alone.unionByName(first).distinct().join(copies, ["doc_id", "th"]).toDF("_id", "_th", "_copies")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"),
+        F.xxhash64("text").alias("_th"))
+    named = join_dim(rows.filter("_id IS NOT NULL"), kept, ["_id", "_th"], ["_id"])
+    once = named.filter("_copies = 1")
+    order = Window.partitionBy("_id", "_th").orderBy(F.xxhash64("_row"))
+    repeated = named.filter("_copies > 1").withColumn("_no", F.row_number().over(order)).filter("_no = 1")
+    return once.select("_row.*").unionByName(repeated.select("_row.*")).unionByName(docs.filter("doc_id IS NULL"))
