@@ -233,6 +233,8 @@ def mix(docs: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES, go_
 
 def mixed_documents(docs: DataFrame, weigh=cyclic_weights, max_copies: int = MAX_COPIES) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    sized = with_sizes(docs)
+    # a row travels packed, so that its columns cannot meet those of the plan
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    sized = with_sizes(packed)
     chosen = apply_plan(sized, plan_mix(sized, weigh, max_copies)).filter("copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
