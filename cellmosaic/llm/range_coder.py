@@ -183,15 +183,12 @@ def _histories(ids: np.ndarray):
     confidence the number of right guesses in a row there, ``_SURE`` - 1 at most.
     """
     n, length = ids.shape
-    last = np.zeros_like(ids)
-    last[:, 1:] = ids[:, :-1]
-    before = np.zeros_like(ids)
-    before[:, 2:] = ids[:, :-2]
     guesses = [np.zeros((n, length), np.int32) for _ in range(2)]
     sures = [np.zeros((n, length), np.uint8) for _ in range(2)]
     at = np.arange(length)
     for lane in range(n):
-        for k, slots in enumerate(_contexts(last[lane], before[lane])):
+        past = np.concatenate([[0, 0], ids[lane]])[:length + 1]
+        for k, slots in enumerate(_contexts(past[1:], past[:-1])):
             slots = slots.astype(np.uint16)
             order = np.argsort(slots, kind="stable")
             followed, slot = ids[lane][order], slots[order]
@@ -303,11 +300,11 @@ def pack_section(part: int, number: int, doc_ids: list[int | None], counts: list
     docs += np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u4").tobytes()
     length = min(BLOCK, max(1, len(ids)))
     n = -(-len(ids) // length)
-    rows = np.zeros(n * length, np.int64)
+    rows = np.zeros(n * length, ids.dtype)
     rows[:len(ids)] = ids
     coded = []
     for lane in range(0, n, LANES):
-        coded += encode_blocks(rows.reshape(n, length)[lane:lane + LANES], vocabulary)
+        coded += encode_blocks(rows.reshape(n, length)[lane:lane + LANES].astype(np.int64), vocabulary)
     sums = [zlib.crc32(ids[i * length:(i + 1) * length].astype("<u4").tobytes()) for i in range(n)]
     table = struct.pack("<qqi", len(ids), n, length)
     table += np.array([len(b) for b in coded], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
@@ -415,7 +412,8 @@ def _sections(path: str, end_id: int, vocabulary: int):
         doc_ids, counts, parts, held, number = [], [], [], 0, 0
 
         def section():
-            ids = np.concatenate(parts).astype(np.int64)
+            ids = np.concatenate(parts)
+            parts.clear()
             data = pack_section(part, number, doc_ids, counts, ids, vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["section"])
 
