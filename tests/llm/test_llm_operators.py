@@ -68,8 +68,16 @@ def test_mix_reaches_targets(spark):
     again = mixing.mix(docs.repartition(7)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
-    mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns and mixed.count() == got.copies.sum()
+    clash = docs.withColumns({"copies": F.lit(77), "target": F.lit("t"), "weight": F.lit(5), "source_size": F.col("doc_id"), "_value": F.lit(1.5)})
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns
+    want = {}
+    for doc_id, copies in got[got.copies > 0][["doc_id", "copies"]].itertuples(index=False):
+        want[doc_id] = want.get(doc_id, 0) + copies
+    rows_out = mixed.collect()
+    assert len(rows_out) == got.copies.sum()
+    assert {(r.copies, r.target, r.weight, r._value) for r in rows_out} == {(77, "t", 5, 1.5)}
+    assert all(r.source_size == r.doc_id for r in rows_out)
 
 
 @pytest.mark.parametrize("factor", [0.2, 1.15])
@@ -153,6 +161,18 @@ def test_join_finds_all_links(spark, monkeypatch):
     assert set(ids) - {None} == want and len(ids) == len(want) + 1
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_row_of_each_group_is_judged_by_id_and_text(spark, turn):
+    """An id repeated with another text keeps that text; the order of rows does not matter."""
+    a, b = "the same words in this order here", "something else that no other row says"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, None), (7, None), (7, ""), (8, a + " more"), (None, a), (9, b.upper())]
+    docs = texts_table(spark, rows[::turn]).coalesce(1)
+    kept = jaccard_join.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (5, b), (7, None), (7, ""), (8, a + " more"), (None, a)], key=repr)
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
