@@ -1,19 +1,20 @@
 """Phrase collocations by dynamic itemset counting.
 
-Texts are dealt into shards, and the shards are scanned in a cycle. A step counts one
+Texts are turned once into word codes, dealt into shards, and the shards are scanned in a cycle. A step counts one
 shard for phrases of all lengths at once. A phrase of several words becomes active as soon
 as both phrases of one word less, its first and its last part, have reached the threshold in
-the shards counted so far; the next step is the first that counts it, and after one full cycle its
-count is exact and it is counted no more. Words are active from the first step on. Scans end
+the shards counted so far; the next step is the first that counts it, and after one full cycle it has been
+counted everywhere and is counted no more. Words are active from the first step on. Scans end
 when the last active phrase has completed its cycle: a few cycles in all, where a
 level-wise search needs one complete scan a length before the next length starts.
 
-A step knows the active phrases from a table of fixed size: per slot of a phrase's hash the
-step after a phrase of that slot reached the threshold. A shared slot makes a phrase active too early; then it is counted
-for a cycle from that step on, so the counts stay exact, and the first step is a
-function of the phrase alone, the same in every task and every repeated one. Counts are
-merged by the phrases' texts in the shared folder after each step. What is complete below the threshold
-is dropped there. Within a task equal phrases are told by 64-bit hashes.
+Steps work on hashes: words by 32 bits, phrases by 64. A step knows the active phrases from a table of fixed
+size: per slot of a phrase's hash the step after a phrase of that slot reached the threshold. Shared hashes and slots only
+make counts too high or phrases active too early; the first step stays a
+function of the phrase's hash, the same in every task and every repeated one. So the cycles find every
+phrase that reaches the threshold and perhaps some that do not. A last scan counts those by their texts, which makes the
+counts exact, and drops the others. Counts are merged in the shared folder after each step, what is complete
+below the threshold is dropped there.
 
 Nulls: a null text has no words, a null ``lang`` counts as ``und``. Texts are read whole,
 very long ones in slices. Repeated rows count as often as they occur. An empty table has no phrases.
@@ -37,18 +38,21 @@ from cellmosaic.session import durable
 
 LEAST = 30  # occurrences of a phrase
 LONGEST = 4  # words of a phrase
-SHARDS = 4
+SHARDS = 3
 SLOTS = 1 << 24  # bytes of the table of active phrases
 TOP = 2000  # phrases reported per lang
 INSIDE, WHOLE = 80, 100  # a phrase goes if a longer one has such a share of its occurrences
 UNKNOWN = "und"
 NEVER = 255
-CHUNK = 1_500_000  # words counted at once in a task
+CHUNK = 2_000_000  # words counted at once in a task
+NAMED_CHUNK = 1_000_000
+CACHE_WORDS = 300_000
 SLICE = 1 << 20  # bytes of a text split at once
 _BREAK = b"\xff"  # never a byte of UTF-8
 _FIXED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], U64)
-_ROWS = "lang string, phrase string, words int, key long, first int, n long"
+_COUNTS = "words int, key long, first int, n long"
+_NAMED = "lang string, phrase string, words int, n long"
 
 
 def _slices(raw: bytes) -> Iterator[list[bytes]]:
@@ -64,124 +68,180 @@ def _slices(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+class _Codes(dict):
+    """Word -> 32-bit code of a lang, never 0; 0 ends a piece. Started anew when it is full."""
+
+    def __init__(self, lang: bytes):
+        super().__init__({_BREAK: 0})
+        self.seed = xxhash.xxh64_intdigest(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = (xxhash.xxh64_intdigest(word, self.seed) & 0xFFFFFFFE) | 1
+        return code
+
+
+def _windows(codes, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, reach) of consecutive parts of one text.
+
+    A part begins with the last words of the one before; ``reach`` is how many words a phrase from a position
+    must have so that it has not been inside the part before.
+    """
+    tail = np.empty(0, np.uint32)
+    for new in codes:
+        whole = np.concatenate([tail, new])
+        reach = np.ones(len(whole), np.int8)
+        reach[:len(tail)] = np.arange(len(tail) + 1, 1, -1)
+        yield whole, reach
+        tail = whole[-(longest - 1):] if longest > 1 else tail
+
+
 class _Chunk:
-    """Word ids of texts in a row; id 0 ends a piece or a text."""
+    """Codes of texts in a row, 0 behind each."""
 
     def __init__(self):
-        self.ids: dict[bytes, dict[bytes, int]] = {}
-        self.words: list[bytes] = [b""]
-        self.langs: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
         self.parts: list[np.ndarray] = []
         self.reach: list[np.ndarray] = []
         self.size = 0
 
-    def dictionary(self, lang: bytes):
-        seed = xxhash.xxh64_intdigest(lang)
-        words, langs, hashes = self.words, self.langs, self.hashes
-
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = i = len(words)
-                words.append(word)
-                langs.append(lang)
-                hashes.append(xxhash.xxh64_intdigest(word, seed))
-                return i
-
-        found = self.ids.get(lang)
-        if found is None:
-            found = self.ids[lang] = Ids({_BREAK: 0})
-        return found
-
-    def add(self, ids: np.ndarray, tail: int) -> None:
-        """Phrases of ``ids`` but for those inside the first ``tail`` words, which have been counted."""
-        reach = np.ones(len(ids) + 1, np.int8)  # words that a phrase must have from here
-        reach[:tail] = np.arange(tail + 1, 1, -1)
-        self.parts.append(np.append(ids, np.int32(0)))
-        self.reach.append(reach)
-        self.size += len(ids) + 1
-
-    def rows(self, step: int, shards: int, longest: int, usable: np.ndarray) -> pa.RecordBatch:
-        ids = np.concatenate(self.parts)
+    def add(self, codes: np.ndarray, reach: np.ndarray) -> None:
+        self.parts += [codes, np.zeros(1, np.uint32)]
+        self.reach += [reach, np.ones(1, np.int8)]
+        self.size += len(codes) + 1
+
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, keys, whether a phrase starts there) for each length."""
+        codes = np.concatenate(self.parts)
         reach = np.concatenate(self.reach)
-        h = np.array(self.hashes, U64)[ids]
-        mask = U64(len(usable) - 1)
-        out: list[tuple] = []
-        key, good = h, ids > 0
-        if step < shards:  # all words are active for the first cycle
-            at = np.flatnonzero(good & (reach == 1))
-            out.append((1, at, key[at], np.zeros(len(at), np.int32)))
+        h = mix64(codes.astype(U64) + U64(1))
+        key, good = h, codes > 0
+        yield 1, key, good & (reach == 1)
         for length in range(2, longest + 1):
             if len(key) < 2:
-                break
-            since = usable[(key & mask).astype(np.int64)]
-            both = np.maximum(since[:-1], since[1:]).astype(np.int32)
+                return
             good = good[:-1] & good[1:]
             with np.errstate(over="ignore"):
                 key = mix64(key[:-1] * _STEPS[0] + h[length - 1:] * _STEPS[1] + U64(length))
-            at = np.flatnonzero(good & (reach[:len(good)] <= length) & (both <= step) & (step < both + shards))
-            out.append((length, at, key[at], both[at]))
-        return self._batch(ids, out, step < shards)
-
-    def _batch(self, ids: np.ndarray, found: list[tuple], totals: bool) -> pa.RecordBatch:
-        langs, phrases, lengths, keys, firsts, counts = [], [], [], [], [], []
-        words, own_lang = self.words, self.langs
-        for length, at, key, first in found:
-            unique, where, n = np.unique(key, return_index=True, return_counts=True)
-            columns = [ids[at[where] + j].tolist() for j in range(length)]
-            if length == 1:
-                phrases += [words[i] for i in columns[0]]
-            else:
-                phrases += [b" ".join([words[i] for i in row]) for row in zip(*columns)]
-            langs += [own_lang[i] for i in columns[0]]
-            lengths.append(np.full(len(unique), length, np.int32))
-            keys.append(unique.view(np.int64))
-            firsts.append(first[where])
-            counts.append(n.astype(np.int64))
-            if totals and length == 1:  # words of each lang, as a phrase of none
-                per: dict[bytes, int] = {}
-                for i, c in zip(columns[0], n.tolist()):
-                    per[own_lang[i]] = per.get(own_lang[i], 0) + c
-                langs += list(per)
-                phrases += [b""] * len(per)
-                lengths.append(np.zeros(len(per), np.int32))
-                keys.append(np.zeros(len(per), np.int64))
-                firsts.append(np.zeros(len(per), np.int32))
-                counts.append(np.array(list(per.values()), np.int64))
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-             join(lengths, np.int32), join(keys, np.int64), join(firsts, np.int32), join(counts, np.int64)],
-            ["lang", "phrase", "words", "key", "first", "n"])
+            yield length, key, good & (reach[:len(good)] <= length)
+
+
+def _encode(longest: int):
+    """Texts as arrays of codes, windows of long ones a row each."""
+
+    def run(batches):
+        langs: dict[bytes, _Codes] = {}
+        for batch in batches:
+            rows, needs, shards = [], [], []
+            for lang, raw, shard in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text")), batch.column("shard").to_pylist()):
+                if not raw:
+                    continue
+                ids = langs.get(lang)
+                if ids is None or len(ids) > CACHE_WORDS:
+                    ids = langs[lang] = _Codes(lang)
+                if len(langs) > 64:
+                    langs = {lang: ids}
+                codes = (np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)) for words in _slices(raw))
+                for whole, reach in _windows(codes, longest):
+                    rows.append(whole)
+                    needs.append(int((reach > 1).sum()))
+                    shards.append(shard)
+            if rows:
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int32))),
+                     pa.array(needs, pa.int32()), pa.array(shards, pa.int32())], ["codes", "tail", "shard"])
+
+    return run
 
 
 def _count(step: int, shards: int, longest: int, usable):
     """Counts of the phrases that are active in this step, per chunk of texts."""
 
+    def rows(chunk: _Chunk, table: np.ndarray) -> pa.RecordBatch:
+        mask = U64(len(table) - 1)
+        found, since = [], None
+        for length, key, starts in chunk.phrases(longest):
+            if length == 1:  # all words are active for the first cycle
+                at = np.flatnonzero(starts) if step < shards else np.empty(0, np.int64)
+                first = np.zeros(len(at), np.int32)
+            else:
+                both = np.maximum(since[:-1], since[1:]).astype(np.int32)
+                at = np.flatnonzero(starts & (both <= step) & (step < both + shards))
+                first = both[at]
+            since = table[(key & mask).astype(np.int64)] if length < longest else None
+            unique, where, n = np.unique(key[at], return_index=True, return_counts=True)
+            found.append((np.full(len(unique), length, np.int32), unique.view(np.int64), first[where], n.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["words", "key", "first", "n"])
+
     def run(batches):
         table, chunk = np.frombuffer(zlib.decompress(usable.value), np.uint8), _Chunk()
         for batch in batches:
-            for lang, raw in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text"))):
-                if not raw:
-                    continue
-                ids_of = chunk.dictionary(lang).__getitem__
-                tail = np.empty(0, np.int32)  # the last words before a slice begin phrases that end in it
-                for words in _slices(raw):
-                    new = np.fromiter(map(ids_of, words), np.int32, len(words))
-                    whole = np.concatenate([tail, new])
-                    chunk.add(whole, len(tail))
-                    tail = whole[-(longest - 1):] if longest > 1 else tail
+            codes, ends = _lists(batch.column("codes"))
+            for lo, hi, tail in zip(ends[:-1], ends[1:], batch.column("tail").to_pylist()):
+                reach = np.ones(hi - lo, np.int8)
+                reach[:tail] = np.arange(tail + 1, 1, -1)
+                chunk.add(codes[lo:hi], reach)
                 if chunk.size >= CHUNK:
-                    yield chunk.rows(step, shards, longest, table)
+                    yield rows(chunk, table)
                     chunk = _Chunk()
         if chunk.size:
-            yield chunk.rows(step, shards, longest, table)
+            yield rows(chunk, table)
 
     return run
 
 
-def _complete(step: int, shards: int) -> Column:
-    return F.col("first") + shards <= step + 1
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    return column.values.to_numpy().view(np.uint32), column.offsets.to_numpy()
+
+
+def _name(longest: int, wanted):
+    """Texts and counts of the phrases whose slot is wanted, per chunk of texts; words of a lang as a phrase of none."""
+
+    def rows(lang: bytes, words: list[bytes], chunk: _Chunk, table: np.ndarray) -> pa.RecordBatch:
+        mask = U64(len(table) - 1)
+        phrases, lengths, counts = [b""], [np.zeros(1, np.int32)], []
+        for length, key, starts in chunk.phrases(longest):
+            if length == 1:
+                counts.append(np.array([starts.sum()], np.int64))
+            at = np.flatnonzero(starts)
+            at = at[table[(key[at] & mask).astype(np.int64)] > 0]
+            _, where, n = np.unique(key[at], return_index=True, return_counts=True)
+            at = at[where].tolist()
+            phrases += [words[i] for i in at] if length == 1 else [b" ".join(words[i:i + length]) for i in at]
+            lengths.append(np.full(len(at), length, np.int32))
+            counts.append(n.astype(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(phrases), pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+             pa.array(np.concatenate(lengths)), pa.array(np.concatenate(counts))], ["lang", "phrase", "words", "n"])
+
+    def run(batches):
+        table = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
+        held: dict[bytes, tuple[_Codes, list[bytes], _Chunk]] = {}
+        for batch in batches:
+            for lang, raw in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text"))):
+                if not raw:
+                    continue
+                if len(held) > 64 and lang not in held:
+                    for key, (_, words, chunk) in held.items():
+                        yield rows(key, words, chunk, table)
+                    held = {}
+                ids, words, chunk = held.setdefault(lang, (_Codes(lang), [], _Chunk()))
+                tail: list[bytes] = []
+                for part in _slices(raw):
+                    text = tail + part
+                    codes = np.fromiter(map(ids.__getitem__, text), np.uint32, len(text))
+                    reach = np.ones(len(text), np.int8)
+                    reach[:len(tail)] = np.arange(len(tail) + 1, 1, -1)
+                    chunk.add(codes, reach)
+                    words += text
+                    words.append(b"")
+                    tail = text[-(longest - 1):] if longest > 1 else []
+                if chunk.size >= NAMED_CHUNK:
+                    yield rows(lang, words, chunk, table)
+                    del held[lang]
+        for lang, (_, words, chunk) in held.items():
+            yield rows(lang, words, chunk, table)
+
+    return run
 
 
 def frequent_phrases(
@@ -190,47 +250,47 @@ def frequent_phrases(
     """(lang, phrase, words, n): the exact counts of all phrases that occur ``least`` times.
 
     The row of no words holds the number of words of the lang. ``slots``, a power of two, and
-    ``shards`` decide the work alone, never the counts.
+    ``shards`` decide the work alone, never the counts. The result is a written table.
     """
     if longest * shards >= NEVER:
         raise ValueError(f"{longest} lengths times {shards} shards are more steps than {NEVER}")
     spark = docs.sparkSession
-    path = work_path(spark, "shards")
-    docs.select(
-        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text",
-        (F.monotonically_increasing_id() % shards).cast("int").alias("shard"),
-    ).write.partitionBy("shard").parquet(path)
-    texts = spark.read.schema("lang string, text string, shard int").parquet(path)
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), "text")
+    path = work_path(spark, "codes")
+    texts.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).mapInArrow(
+        _encode(longest), "codes array<int>, tail int, shard int").write.partitionBy("shard").parquet(path)
+    coded = spark.read.schema("codes array<int>, tail int, shard int").parquet(path)
     usable = np.full(slots, NEVER, np.uint8)
-    done: list[DataFrame] = []
+    wanted = np.zeros(slots, np.uint8)
     state: DataFrame | None = None
     step = latest = 0  # the last step in which a phrase may become active
     while step < latest + shards:
         table = spark.sparkContext.broadcast(zlib.compress(usable.tobytes(), 1))
-        counted = texts.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(
-            _count(step, shards, longest, table), _ROWS).withColumn("old", F.lit(0).cast("bigint"))
+        counted = coded.filter(F.col("shard") == step % shards).select("codes", "tail").mapInArrow(
+            _count(step, shards, longest, table), _COUNTS).withColumn("old", F.lit(0).cast("bigint"))
         if state is not None:
-            open_rows = state.filter(~_complete(step - 1, shards)).withColumn("old", F.col("n"))
-            counted = counted.unionByName(open_rows)
-        merged = counted.groupBy("lang", "phrase", "words", "key", "first").agg(F.sum("n").alias("n"), F.sum("old").alias("old"))
-        enough = (F.col("n") >= least) | (F.col("words") == 0)
-        after = durable(merged.filter(enough | ~_complete(step, shards)))
-        state = after.drop("old")
-        done.append(state.filter(_complete(step, shards)))
+            counted = counted.unionByName(state.withColumn("old", F.col("n")))
+        merged = counted.groupBy("words", "key", "first").agg(F.sum("n").alias("n"), F.sum("old").alias("old"))
+        open_rows = F.col("first") + shards > step + 1
+        after = durable(merged.filter(open_rows | (F.col("n") >= least)))
+        state = after.filter(open_rows).drop("old")
         step += 1
-        fresh = after.filter((F.col("words") > 0) & (F.col("words") < longest) & (F.col("n") >= least) & (F.col("old") < least))
-        slot = fresh.select((F.col("key").bitwiseAND(F.lit(slots - 1))).cast("int").alias("slot")).distinct()
-        found = slot.toArrow().column("slot").to_numpy()  # no more than the table has slots
-        new = found[usable[found] == NEVER]
-        usable = usable.copy()
+        slot = F.col("key").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
+        fresh = after.filter((F.col("n") >= least) & (F.col("old") < least))
+        # no more rows than the table has slots, for each length
+        found = fresh.select(slot, (F.col("words") < longest).alias("part")).distinct().toArrow()
+        at, part = found.column("slot").to_numpy(), found.column("part").to_numpy()
+        wanted[at] = 1
+        new = at[part & (usable[at] == NEVER)]
         usable[new] = step
         if len(new):
             latest = step
         table.destroy()  # the step is written
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select("lang", "phrase", "words", "n")
+    table = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
+    named = texts.mapInArrow(_name(longest, table), _NAMED).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    out = durable(named.filter((F.col("n") >= least) | ((F.col("words") == 0) & (F.col("n") > 0))))
+    table.destroy()
+    return out
 
 
 def _parts(phrase: Column, words: Column, shortest: int) -> Column:
@@ -250,7 +310,7 @@ def collocations(
     in decimals of 38 digits; the lowest score counts, on ties that of the first cut. A phrase inside a longer one
     with 80 % of its occurrences or more is left out. Order: score and a downwards, then the phrase's bytes.
     """
-    known = durable(frequent_phrases(docs, least, longest, shards, slots))
+    known = frequent_phrases(docs, least, longest, shards, slots)
     phrases = known.filter("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     held = phrases.filter("words > 2").select(
         "lang", F.explode(F.array_distinct(_parts(F.col("phrase"), F.col("words"), 2))).alias("phrase"), F.col("a").alias("b")

@@ -196,7 +196,7 @@ def test_scans_end_with_the_last_cycle(spark, monkeypatch):
     rows = [(i, "one two three four", "en", "s") for i in range(400)]
     got = {r.phrase: r.n for r in phrases.frequent_phrases(table(spark, rows), least=30).collect()}
     assert got["one two three four"] == 400
-    assert len(seen) == 7  # the words' cycle and one step more a length; 16 level by level
+    assert len(seen) == 6  # the words' cycle and one step more a length; 12 level by level
 
 
 def test_scores_beyond_64_bits(spark):
