@@ -31,9 +31,8 @@ def contingency(
 def crosstab_margins(df: DataFrame, ref: str, pred: str) -> DataFrame:
     """Counts with ``total`` margins, rows with a known reference only."""
     known = df.filter(~labels.is_na(F.col(ref)))
-    pairs = known.select(F.col(ref).alias("ref"), F.col(pred).alias("pred"))
-    cube = pairs.cube("ref", "pred").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping("ref").alias("_gr"), F.grouping("pred").alias("_gp")
+    cube = contingency(known, ref, pred).cube("ref", "pred").agg(
+        F.sum("n").alias("n"), F.grouping("ref").alias("_gr"), F.grouping("pred").alias("_gp")
     )
     return cube.select(
         F.when(F.col("_gr") == 1, "total").otherwise(F.col("ref")).alias("ref"),

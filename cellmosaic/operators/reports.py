@@ -234,13 +234,16 @@ def facet_points(cells: DataFrame, min_cells: int = 10) -> DataFrame:
 
 def facet_counts(points: DataFrame, row: str, col: str) -> DataFrame:
     """Cells per facet with row and column sums (NULL marks a sum)."""
-    cube = points.cube("group_id", F.col(row).alias("row"), F.col(col).alias("col")).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")
+    counted = points.groupBy("group_id", F.col(row).alias("row"), F.col(col).alias("col")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return cube.filter(F.col("_g") < 4).filter("_g <> 3").select(
-        "group_id",
-        F.when(F.col("_g") != 2, F.col("row")).otherwise("total").alias("row"),
-        F.when(F.col("_g") != 1, F.col("col")).otherwise("total").alias("col"), "n",
+    g, r, c = (F.col(name) for name in ("group_id", "row", "col"))
+    sums = counted.groupingSets([[g, r, c], [g, r], [g, c]], g, r, c).agg(
+        F.sum("n").alias("n"), F.grouping("row").alias("_r"), F.grouping("col").alias("_c")
+    )
+    return sums.select(
+        "group_id", F.when(F.col("_r") == 0, r).otherwise("total").alias("row"),
+        F.when(F.col("_c") == 0, c).otherwise("total").alias("col"), "n",
     )
 
 

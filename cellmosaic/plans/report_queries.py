@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmosaic.operators import clustering, panel, reports
+from cellmosaic.operators import clustering, grouping, modality, panel, profile, reports
 from cellmosaic.operators.joins import join_dim
 from cellmosaic.plans.inputs import Inputs
 from cellmosaic.plans.registry import query, r6
+from cellmosaic.session import durable
 
 ROW_CELLS = 10
 
@@ -320,3 +321,72 @@ def wide_metrics(t: Inputs) -> DataFrame:
     return panel.wide_metrics(long, ["f1", "recall"])
 
 
+
+
+_PANEL = """assay_sums AS (SELECT p.assay, p.cell_id, i.group_id, sum(p.x) AS x, sum(p.a) AS a, sum(p.b) AS b FROM phased p JOIN state_ids i USING (state) GROUP BY 1, 2, 3),
+  assay_cells AS (SELECT DISTINCT assay, cell_id FROM assay_sums),
+  assay_share AS (SELECT assay, group_id, sum(x)::DOUBLE / sum(sum(x)) OVER (PARTITION BY assay) AS share FROM assay_sums GROUP BY 1, 2),
+  panel AS (
+    SELECT e.assay, c.rep_id, c.label, e.cell_id, g.group_id, coalesce(s.x, 0) AS x, coalesce(s.b, 0) AS b, coalesce(s.a + s.b, 0) AS n,
+           sum(coalesce(s.x, 0)) OVER (PARTITION BY e.assay, e.cell_id) * h.share AS expected
+    FROM assay_cells e CROSS JOIN clusters g JOIN cells c USING (cell_id) LEFT JOIN assay_sums s USING (assay, cell_id, group_id) JOIN assay_share h USING (assay, group_id)),
+  every AS (SELECT * FROM panel UNION ALL SELECT * REPLACE ('all' AS rep_id) FROM panel)
+"""
+_KEYS = ["assay", "rep_id", "label", "group_id"]
+
+
+def _modality_rows(t: Inputs) -> DataFrame:
+    """Dense counts of both modalities with labels and the depth that all cells' shares expect."""
+    sums = durable(grouping.sum_counts(t.lines, t.cluster_bins, ["assay", "cell_id"], bound=t.bins))
+    cells = sums.select("assay", "cell_id").distinct()
+    dense = grouping.densify(sums, cells, t.clusters, assay=True)
+    depth = sums.groupBy("assay", "group_id").agg(F.sum("x").alias("_x"))
+    share = depth.select("assay", "group_id", (F.col("_x") / F.sum("_x").over(Window.partitionBy("assay"))).alias("share"))
+    total = F.sum("x").over(Window.partitionBy("assay", "cell_id"))
+    rows = join_dim(dense.withColumn("total", total), share, ["assay", "group_id"], ["cell_id"])
+    tags = t.cells.select("cell_id", "label", "rep_id")
+    joined = join_dim(rows, tags, ["cell_id"], ["group_id"], bound=t.raw("customer"))
+    return joined.withColumns({"n": F.col("a") + F.col("b"), "expected": F.col("total") * F.col("share")})
+
+
+@query(_PANEL + """, b_ends AS (SELECT assay, rep_id, label, group_id, min(b) AS lo, max(b) AS hi FROM every WHERE n > 0 GROUP BY ALL),
+  h AS (
+    SELECT assay, rep_id, label, group_id, CASE WHEN n > 3 THEN 'baf_deep' ELSE 'baf_shallow' END AS measure, least(b * 50 // n, 49)::INTEGER AS bin FROM every WHERE n > 0
+    UNION ALL SELECT assay, rep_id, label, group_id, 'b_count', CASE WHEN hi > lo THEN least((b - lo) * 50 // (hi - lo), 49)::INTEGER ELSE 25 END
+      FROM every JOIN b_ends USING (assay, rep_id, label, group_id) WHERE n > 0
+    UNION ALL SELECT assay, rep_id, label, group_id, 'rdr', least(floor(greatest(0.0::DOUBLE, least(5.0::DOUBLE, x / expected)) * 10.0::DOUBLE), 49)::INTEGER FROM every WHERE expected > 0)
+  SELECT assay, rep_id, label, group_id, measure, bin, count(*) AS n FROM h GROUP BY ALL""")
+def modality_histograms(t: Inputs) -> DataFrame:
+    return _long_id(modality.histograms(_modality_rows(t), _KEYS))
+
+
+@query(_PANEL + """SELECT assay, rep_id, label, group_id, count(*) AS n_cells, count(CASE WHEN n > 0 THEN 1 END) AS n_covered, count(CASE WHEN n > 3 THEN 1 END) AS n_deep,
+  CAST(sum(b) AS BIGINT) AS b_total, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(x) AS BIGINT) AS x_total, round(sum(b)::DOUBLE / sum(n), 6) + 0.0 AS baf,
+  round(sum(x)::DOUBLE / sum(expected), 6) + 0.0 AS rdr, round(var_pop(CASE WHEN n > 0 THEN b / n::DOUBLE END), 6) + 0.0 AS baf_variance FROM every GROUP BY ALL""")
+def modality_summary(t: Inputs) -> DataFrame:
+    out = _long_id(modality.summary(_modality_rows(t), _KEYS))
+    return out.withColumns({c: r6(F.col(c)) for c in ("baf", "rdr", "baf_variance")})
+
+
+_LOST = _PANEL + """, lost AS (
+  SELECT p.assay, p.rep_id, p.label, p.cell_id, sum(p.b) AS b, sum(p.n) AS n FROM panel p JOIN clones c ON c.group_id = p.group_id AND c.clone = p.label
+  WHERE c.k >= 1 AND c.cn_b = 0 AND c.cn_a > 0 GROUP BY ALL)
+"""
+
+
+def _lost(t: Inputs) -> DataFrame:
+    loh = profile.loh_rows(t.clones_long).select("group_id", "clone")
+    return modality.lost_heterozygosity(_modality_rows(t), loh, ["assay", "rep_id", "label"])
+
+
+@query(_LOST + """SELECT assay, rep_id, label, count(*) AS n_cells, count(CASE WHEN n > 0 THEN 1 END) AS n_covered, median(b)::DOUBLE AS b_median, median(n)::DOUBLE AS n_median,
+  round(median(CASE WHEN n > 0 THEN b / n::DOUBLE END), 6) + 0.0 AS baf_median FROM lost GROUP BY ALL""")
+def modality_loh(t: Inputs) -> DataFrame:
+    out = modality.loh_summary(_lost(t), ["assay", "rep_id", "label"])
+    return out.withColumn("baf_median", r6(F.col("baf_median")))
+
+
+@query(_LOST + """SELECT assay, rep_id, label, least(b * 50 // n, 49)::INTEGER AS bin, count(*) AS n FROM (
+    SELECT * FROM lost UNION ALL SELECT * REPLACE ('all' AS rep_id) FROM lost) WHERE n > 0 GROUP BY ALL""")
+def modality_loh_histogram(t: Inputs) -> DataFrame:
+    return modality.loh_histogram(_lost(t), ["assay", "rep_id", "label"])
