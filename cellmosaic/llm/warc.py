@@ -9,7 +9,8 @@ and writes deduplicated archives of what it has read.
 
 Files are written by Spark's text sink, a record per row; the line separator is the
 empty line that ends a record. They are read as binary rows and cut by Content-Length.
-The number of files follows the bytes to write, about ``FILE_BYTES`` each.
+Records are written where their row is read, so payloads are not shuffled for it; a file takes as
+many of them as make about ``FILE_BYTES`` at the mean size of all.
 
 Null payloads are empty. Null urls have no target header; control characters in urls are
 percent-encoded. A record with a null id has the id "null" in its header and is read back
@@ -99,12 +100,11 @@ def record_text(rows: DataFrame) -> Column:
     )
 
 
-def write_archives(rows: DataFrame, path: str, total_bytes: int) -> None:
-    """``rows`` as from ``with_types``; ``total_bytes`` of their payloads sets the number of files."""
-    files = max(1, -(-total_bytes // FILE_BYTES))
-    # rows are dealt evenly whatever their ids; the order within a file is by id
-    dealt = rows.repartition(files, F.xxhash64("page_id", "payload_digest")).sortWithinPartitions("page_id")
-    dealt.select(record_text(rows)).write.option("lineSep", "\r\n\r\n").text(path)
+def write_archives(rows: DataFrame, path: str, total_bytes: int, n_rows: int) -> None:
+    """``rows`` as from ``with_types``; the bytes and number of all payloads set the records of a file."""
+    per_file = max(1, FILE_BYTES * n_rows // max(1, total_bytes))
+    writer = rows.select(record_text(rows)).write.option("lineSep", "\r\n\r\n")
+    writer.option("maxRecordsPerFile", min(per_file, 1 << 30)).text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
@@ -168,12 +168,17 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInArrow(_parsed(with_payload), schema)
 
 
+def _load(headers: DataFrame) -> tuple[int, int]:
+    """Bytes of all payloads and their number."""
+    row = headers.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
+    return row[0] or 0, row[1]
+
+
 def archive_pages(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Write the rows of ``pages`` (page_id, url, html) as deduplicated archives below ``path``."""
     rows = with_digest(pages)
     headers = durable(rows.select("page_id", "payload_bytes", "payload_digest"))
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
-    write_archives(with_types(rows, resolve(headers, least_bytes)), path, total)
+    write_archives(with_types(rows, resolve(headers, least_bytes)), path, *_load(headers))
 
 
 def rewrite_archives(spark: SparkSession, source: str, path: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -184,14 +189,13 @@ def rewrite_archives(spark: SparkSession, source: str, path: str, least_bytes: i
     records = read_archives(spark, source, with_payload=True)
     headers = durable(records.drop("html"))
     kept = resolve(headers.filter("record_type = 'response'"), least_bytes)
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
     fresh = with_types(records.filter("record_type = 'response'").drop("record_type", "refers_to"), kept)
     originals = headers.filter("record_type = 'response'").select("payload_digest", "payload_bytes", "page_id")
     originals = originals.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("found"))
     old = join_dim(records.filter("record_type = 'revisit'"), originals, ["payload_digest", "payload_bytes"],
                    ["page_id"], "left")
     old = old.withColumn("refers_to", F.coalesce("found", "refers_to")).drop("found")
-    write_archives(fresh.unionByName(old.select(fresh.columns)), path, total)
+    write_archives(fresh.unionByName(old.select(fresh.columns)), path, *_load(headers))
 
 
 def page_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
