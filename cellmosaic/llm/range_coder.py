@@ -5,13 +5,14 @@ follows, the place of the section (range partition, number in it), its documents
 number of ids) and its blocks. A block holds up to ``BLOCK`` ids, starts from the empty
 model, carries a crc32 of its ids, and can be read alone.
 
-Three predictions are mixed for every id. Order 2 and order 1 name the id that last
-followed the two ids before, or the one before, with a confidence; how often such a
-confidence is right is learned per block and sets their shares. The rest goes to
-order 0: counts of the block so far (ids from 1024 on in groups of 64) over a uniform
-floor. Counts and shares are renewed every few hundred ids. The shares lie behind each other in the interval of a range coder with a
-48-bit window. All blocks of a
-section advance in step, so that numpy works on a row of blocks at once.
+Orders 1 and 2 guess the id that last followed the one id before, or the two before, with
+a confidence. Whether order 2's guess is right, and if not, order 1's, is predicted from
+both confidences: what each has been worth in the block so far is mixed in the logistic
+domain, with weights learned from the mix's errors. The rest of the interval goes to order
+0: counts of the block so far and an escape, behind which ids not met yet lie by rank, as
+a tokenizer's frequent pieces have small ids. The model is renewed between segments of 32
+to 512 ids. The shares narrow the interval of a range coder with a 48-bit window. All
+blocks of a row advance in step, so that numpy works on ``LANES`` blocks at once.
 
 Spark orders the documents (range partitions by id, sorted within), writes the sections
 with its own text sink, which passes bytes through and commits on any file system, and
@@ -24,9 +25,11 @@ table gives no files and an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -44,199 +47,222 @@ BLOCK = 8_192
 LANES = 1_024
 END_ID = 1
 PARTITION_BYTES = 20 << 20  # text bytes of a range partition
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 VOCABULARY = 49_408
 
 _SLOTS = 8_192
 _SURE = 16
-_TOP = 1 << 24
-_SHARES = _TOP - (1 << 19)  # most that orders 1 and 2 get; order 0 keeps the rest
-_COUNT = 8  # weight of one seen id against the uniform floor
-_SINGLE, _GROUP_BITS = 1024, 6  # ids below are counted one by one, others in groups of 64
-_SEGMENT = 512
+_TOP_BITS, _PRIOR_BITS = 28, 24
+_TOP = 1 << _TOP_BITS
 _LOW = 1 << 32
+_SEGMENT = 512
+_TRUST = 12  # questions that the first belief in a confidence is worth
+_STRETCH = np.array([round(256 * math.log((2 * i + 1) / (8_191 - 2 * i))) for i in range(4_096)], np.int64)
+_FAR = 4 * 2_400  # no mix of two predictions lies farther out
+_SQUASH = np.array([round(65_536 / (1 + math.exp(-max(-4_096, i - _FAR) / 256))) for i in range(2 * _FAR)],
+                   np.int64).clip(64, 65_536 - 1_024)
 
 
 def _segments(length: int) -> list[tuple[int, int]]:
-    """The model is renewed at 64, 128, 256, 512 and then after every ``_SEGMENT`` ids."""
-    cuts = [0, 64, 128, 256, *range(_SEGMENT, length, _SEGMENT), length]
-    cuts = sorted({min(c, length) for c in cuts})
+    """The model is renewed after an eighth of what it has seen: 32 ids at least, ``_SEGMENT`` at most."""
+    cuts = [0]
+    while cuts[-1] < length:
+        cuts.append(min(length, cuts[-1] + min(max(32, cuts[-1] // 8), _SEGMENT)))
     return list(zip(cuts, cuts[1:]))
 
 
-def _group(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < _SINGLE, ids, _SINGLE + ((ids - _SINGLE) >> _GROUP_BITS))
-
-
 def _contexts(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     one = (last * 40503 >> 3) & (_SLOTS - 1)
     two = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 13) & (_SLOTS - 1)
     return one, two
 
 
-class _Mixer:
+class _Question:
+    """A yes-or-no question that two predictions answer, mixed in the logistic domain.
+
+    A prediction is how often the answer was yes in a state (confidences of the orders);
+    the weights of the two follow the mix's errors. Both are learned per block and renewed
+    between segments, in whole numbers, so that encoder and decoder agree on any machine.
+    """
+
+    STATES = 2 * _SURE
+
+    def __init__(self, n: int):
+        first = (np.arange(self.STATES) % _SURE * 4 + 4) * 65_536 // (5 * _SURE)
+        self.first = np.tile(first, n)
+        self.asked = np.zeros((2, n * self.STATES), np.int64)
+        self.yes = np.zeros((2, n * self.STATES), np.int64)
+        self.weights = np.full((2, n), 40_000, np.int64)
+        self.renew()
+
+    def renew(self) -> None:
+        held = ((self.yes << 16) + _TRUST * self.first) // (self.asked + _TRUST)
+        self.inputs = _STRETCH[held.clip(0, 65_535) >> 4]
+        self.terms = (self.inputs * np.repeat(self.weights, self.STATES, axis=1)) >> 16
+
+    def share(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The share of yes, of 65,536; the states are given with the block's offset."""
+        return _SQUASH[self.terms[0][one] + self.terms[1][two] + _FAR]
+
+    def learn(self, states, asked: np.ndarray, yes: np.ndarray) -> None:
+        """Answers of a segment (blocks x ids)."""
+        error = ((yes.astype(np.int64) << 16) - self.share(*states)) * asked
+        for k, state in enumerate(states):
+            pull = (self.inputs[k][state] * error).sum(axis=1) >> 18
+            self.weights[k] = (self.weights[k] + pull.clip(-8_192, 8_192)).clip(0, 1 << 17)
+            bins = self.yes.shape[1]
+            self.asked[k] += np.bincount(state[asked], minlength=bins)
+            self.yes[k] += np.bincount(state[yes & asked], minlength=bins)
+        self.renew()
+
+
+class _Model:
     """What a row of blocks has learned up to the last renewal.
 
-    ``asked`` and ``right`` count, per block, order and confidence, how often a guess
-    was asked and right; ``counts`` has the ids seen per group.
+    Order 0 is one sorted array for all blocks: ``keys`` are block and id, ``starts`` the
+    counts of all keys before. A block's counts sum to ``seen``, so it starts at its number
+    times ``seen``. Ids not met yet go by rank (``prior``): frequent pieces have small ids.
     """
 
     def __init__(self, n: int, vocabulary: int):
-        self.n, self.v = n, vocabulary
-        self.groups = int(_group(np.array([vocabulary - 1]))[0]) + 1
-        g = np.arange(self.groups + 1, dtype=np.int64)
-        self.first_id = np.where(g < _SINGLE, g, _SINGLE + ((g - _SINGLE) << _GROUP_BITS))
-        self.counts = np.zeros((n, self.groups), np.int64)
-        self.asked = np.zeros((2, n, _SURE), np.int64)
-        self.right = np.zeros((2, n, _SURE), np.int64)
-        self.seen = 0
-        self._renew()
-
-    def _renew(self) -> None:
-        self.total = self.v + _COUNT * self.seen
-        below = np.zeros((self.n, self.groups + 1), np.int64)
-        np.cumsum(self.counts, axis=1, out=below[:, 1:])
-        self.below = (below * _COUNT + self.first_id).reshape(-1)  # where each group starts
-        self.weight = np.append(self.counts, np.zeros((self.n, 1), np.int64), axis=1).reshape(-1) * _COUNT
-        self.rate = (((self.right * 2 + 1) << 15) // (self.asked + 8)).clip(16, 65_500)
+        self.n, self.v, self.seen = n, vocabulary, 0
+        prior = np.concatenate([[0], np.cumsum((1 << 30) // (np.arange(vocabulary, dtype=np.int64) + 512))])
+        self.prior = prior * (1 << _PRIOR_BITS) // prior[-1]
+        self.keys = self.counts = self.starts = np.zeros(0, np.int64)
+        self.new = np.ones(n, np.int64)  # weight of ids not met yet
+        self.second, self.first = _Question(n), _Question(n)
+
+    def shares(self, lanes: np.ndarray, guesses, sures):
+        """Shares of the guesses of orders 1 and 2; states and masks that ``learn`` takes."""
+        base, same, held2 = lanes * _Question.STATES, guesses[0] == guesses[1], sures[1] > 0
+        held1 = (sures[0] > 0) & ~(same & held2)
+        two = base + sures[1], base + sures[0] + _SURE * same
+        one = base + sures[0] + _SURE * held2, base + sures[1]
+        w2 = (self.second.share(*two) * held2) << (_TOP_BITS - 16)
+        w1 = ((_TOP - w2) >> 16) * (self.first.share(*one) * held1)
+        return w1, w2, (one, two, held1, held2)
+
+    def spans(self, lanes: np.ndarray, ids: np.ndarray, rest: np.ndarray):
+        """Start and size of ids in order 0's share, and which of them are new."""
+        below, own = np.full(ids.shape, self.seen), self.new[lanes] + np.zeros_like(ids)
+        total, unmet = self.seen + own, np.ones(ids.shape, bool)
+        if self.seen:
+            key = lanes * self.v + ids
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            unmet = self.keys[at] != key
+            below = np.where(unmet, below, self.starts[at] - lanes * self.seen)
+            own = np.where(unmet, own, self.counts[at])
+        start = below * rest // total
+        return start, (below + own) * rest // total - start, unmet
+
+    def find(self, lanes: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        """The ids whose spans hold the values (0 for new ones), and the spans."""
+        new = self.new[lanes]
+        total = new + self.seen
+        inside = ((value + 1) * total - 1) // rest
+        unmet = inside >= self.seen
+        ids, below, own = np.zeros_like(value), np.full_like(value, self.seen), new
+        if self.seen:
+            at = np.searchsorted(self.starts, lanes * self.seen + np.minimum(inside, self.seen - 1), "right") - 1
+            ids = np.where(unmet, 0, self.keys[at] - lanes * self.v)
+            below = np.where(unmet, below, self.starts[at] - lanes * self.seen)
+            own = np.where(unmet, own, self.counts[at])
+        start = below * rest // total
+        return ids, start, (below + own) * rest // total - start, unmet
 
     def learn(self, ids: np.ndarray, guesses, sures) -> None:
         """Take in the ids of a segment (blocks x ids) and renew the model."""
         lanes = np.arange(self.n)[:, None]
-        self.counts += np.bincount(
-            (lanes * self.groups + _group(ids)).reshape(-1), minlength=self.n * self.groups
-        ).reshape(self.n, self.groups)
-        hit2 = ids == guesses[1]
-        open1 = ~hit2 & (guesses[0] != guesses[1])  # order 1 counts where order 2 is wrong
-        for k, (asked, hit) in enumerate(((open1, ids == guesses[0]), (np.ones_like(hit2), hit2))):
-            at = lanes * _SURE + sures[k]
-            shape, bins = (self.n, _SURE), self.n * _SURE
-            self.asked[k] += np.bincount(at[asked], minlength=bins).reshape(shape)
-            self.right[k] += np.bincount(at[asked & hit], minlength=bins).reshape(shape)
+        _, _, (one, two, held1, held2) = self.shares(lanes, guesses, sures)
+        is2 = held2 & (ids == guesses[1])
+        self.second.learn(two, held2, is2)
+        self.first.learn(one, held1 & ~is2, held1 & (ids == guesses[0]))
+        keys, counts = np.unique(lanes * self.v + ids, return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.keys):
+            fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        self.counts[at[~fresh]] += counts[~fresh]
+        self.keys = np.insert(self.keys, at[fresh], keys[fresh])
+        self.counts = np.insert(self.counts, at[fresh], counts[fresh])
+        self.starts = np.cumsum(self.counts) - self.counts
         self.seen += ids.shape[1]
-        self._renew()
-
-    def shares(self, lanes: np.ndarray, guesses, sures):
-        """Shares of orders 1, 2 and 0."""
-        p1, p2 = (self.rate[k].reshape(-1)[lanes * _SURE + sures[k]] for k in range(2))
-        w2 = (p2 * _SHARES) >> 16
-        w1 = np.where(guesses[0] == guesses[1], 0, ((_SHARES - w2) * p1) >> 16)
-        return w1, w2, _TOP - w1 - w2
-
-    def plain(self, lanes: np.ndarray, ids: np.ndarray, rest: np.ndarray):
-        """Start and size of ids in order 0's share."""
-        group = _group(ids)
-        at = lanes * (self.groups + 1) + group
-        return self._plain(at, ids - np.where(ids < _SINGLE, ids, self.first_id[group]), group, rest)
-
-    def _plain(self, at, inner, group, rest):
-        weight = self.weight[at]
-        here = self.below[at] + ((inner * weight) >> _GROUP_BITS) + inner
-        single = np.where(group < _SINGLE, weight, ((inner + 1) * weight >> _GROUP_BITS) - (inner * weight >> _GROUP_BITS))
-        start = here * rest // self.total
-        return start, (here + single + 1) * rest // self.total - start
-
-    def span(self, lanes, ids, guesses, shares):
-        """Start and size of ids: order 2's guess comes first, then order 1's, then all ids."""
-        w1, w2, rest = shares
-        start, size = self.plain(lanes, ids, rest)
-        is2 = ids == guesses[1]
-        is1 = ids == guesses[0]
-        start = np.where(is2, 0, np.where(is1, w2, start + w1 + w2))
-        return start, np.where(is2, w2, np.where(is1, w1, size))
-
-    def find(self, lanes, value, guesses, shares):
-        """The ids whose spans hold the values, with start and size."""
-        w1, w2, rest = shares
-        held = w1 + w2
-        ids = np.where(value < w2, guesses[1], guesses[0])
-        start = np.where(value < w2, 0, w2)
-        size = np.where(value < w2, w2, w1)
-        miss = np.flatnonzero(value >= held)
-        if len(miss):
-            rest, lane = rest[miss], lanes[miss]
-            q = ((value[miss] - held[miss] + 1) * self.total - 1) // rest
-            wide = self.total + 1  # blocks lie one behind the other in the sorted starts
-            at = np.searchsorted(self.sorted_starts(wide), lane * wide + q, "right") - 1
-            group = at - lane * (self.groups + 1)
-            left = q - self.below[at]
-            inner = (((left + 1) << _GROUP_BITS) - 1) // (self.weight[at] + (1 << _GROUP_BITS))
-            inner = np.where(group < _SINGLE, 0, inner)
-            ids[miss] = self.first_id[group] + inner
-            at0, size0 = self._plain(at, inner, group, rest)
-            start[miss] = at0 + held[miss]
-            size[miss] = size0
-        return ids, start, size
-
-    def sorted_starts(self, wide: int) -> np.ndarray:
-        if getattr(self, "_sorted_for", None) != self.seen:
-            rows = np.minimum(self.below.reshape(self.n, -1), wide - 1)
-            self._starts = (rows + np.arange(self.n)[:, None] * wide).reshape(-1)
-            self._sorted_for = self.seen
-        return self._starts
+        self.new = np.bincount(self.keys // self.v, minlength=self.n) + 1
 
 
 def _histories(ids: np.ndarray):
     """Guesses and confidences of orders 1 and 2 for every id of known blocks.
 
-    A guess is the id that last followed the same context slot in the block, its
-    confidence the number of right guesses in a row there, ``_SURE`` - 1 at most.
+    A guess is the id that last followed the same context slot in the block; its
+    confidence is 0 for a fresh slot, else one more than the right guesses in a row there,
+    ``_SURE`` - 1 at most.
     """
     n, length = ids.shape
-    guesses = [np.zeros((n, length), np.int32) for _ in range(2)]
+    guesses = [np.zeros((n, length), ids.dtype) for _ in range(2)]
     sures = [np.zeros((n, length), np.uint8) for _ in range(2)]
     at = np.arange(length)
     for lane in range(n):
-        past = np.concatenate([[0, 0], ids[lane]])[:length + 1]
+        past = np.concatenate([[0, 0], ids[lane].astype(np.int64)])[:length + 1]
         for k, slots in enumerate(_contexts(past[1:], past[:-1])):
             slots = slots.astype(np.uint16)
             order = np.argsort(slots, kind="stable")
             followed, slot = ids[lane][order], slots[order]
             fresh = np.ones(length, bool)
             fresh[1:] = slot[1:] != slot[:-1]
-            guess = np.zeros(length, np.int64)
+            guess = np.zeros_like(followed)
             guess[1:] = followed[:-1]
-            guess[fresh] = 0
-            start = np.maximum.accumulate(np.where(fresh, at, 0))
-            missed = np.maximum.accumulate(np.where(guess == followed, -1, at))
-            run = np.zeros(length, np.int64)
-            run[1:] = at[1:] - 1 - np.maximum(missed[:-1], start[1:] - 1)
-            run[fresh] = 0
-            guesses[k][lane][order] = guess
-            sures[k][lane][order] = np.minimum(run, _SURE - 1)
+            missed = np.maximum.accumulate(np.where((guess == followed) & ~fresh, -1, at))
+            sure = np.zeros(length, np.int64)
+            sure[1:] = at[1:] - missed[:-1]
+            guesses[k][lane][order] = np.where(fresh, 0, guess)
+            sures[k][lane][order] = np.where(fresh, 0, np.minimum(sure, _SURE - 1))
     return guesses, sures
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int = VOCABULARY) -> list[bytes]:
-    """``ids`` is blocks x ids (int64, below ``vocabulary``); the coded bytes of each block."""
+    """``ids`` is blocks x ids (whole numbers below ``vocabulary``); the coded bytes of each block."""
     n, length = ids.shape
-    model = _Mixer(n, vocabulary)
+    model = _Model(n, vocabulary)
     guesses, sures = _histories(ids)
     low, size = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
-    out = np.zeros((n, 2 * length + 3), np.uint32)
+    out = np.zeros((n, 4 * length + 4), np.uint32)  # pages that no word reaches take no memory
     flat, place = out.reshape(-1), np.arange(n, dtype=np.int64) * out.shape[1]
-    first = place.copy()
+    begin = place.copy()
+
+    def narrow(at, start, span, bits):
+        unit = size[at] >> bits
+        lo, wide, to = low[at] + unit * start, unit * span, place[at]
+        for _ in range(2):
+            thin = wide < _LOW
+            flat[to] = lo >> 32  # a place that is not passed is written again
+            to = to + thin
+            lo = np.where(thin, (lo & (_LOW - 1)) << 16, lo)
+            wide = np.where(thin, wide << 16, wide)
+        low[at], size[at], place[at] = lo, wide, to
+
     lanes = np.arange(n, dtype=np.int64)[:, None]
+    everywhere = slice(None)
     for lo, hi in _segments(length):
-        now = ids[:, lo:hi]
-        g, c = [x[:, lo:hi].astype(np.int64) for x in guesses], [x[:, lo:hi] for x in sures]
-        starts, spans = model.span(lanes, now, g, model.shares(lanes, g, c))
-        starts, spans = np.ascontiguousarray(starts.T), np.ascontiguousarray(spans.T)
-        for start, span in zip(starts, spans):
-            unit = size >> 24
-            low += unit * start
-            size = unit * span
-            for _ in range(2):
-                thin = size < _LOW
-                flat[place] = low >> 32  # a place that is not passed is written again
-                place += thin
-                low = np.where(thin, (low & (_LOW - 1)) << 16, low)
-                size = np.where(thin, size << 16, size)
+        now = ids[:, lo:hi].astype(np.int64)
+        g, c = ([x[:, lo:hi].astype(np.int64) for x in y] for y in (guesses, sures))
+        w1, w2, (_, _, held1, held2) = model.shares(lanes, g, c)
+        start, span, unmet = model.spans(lanes, now, _TOP - w1 - w2)
+        is2, is1 = held2 & (now == g[1]), held1 & (now == g[0])
+        start = np.where(is2, 0, np.where(is1, w2, start + w1 + w2)).T.copy()
+        span = np.where(is2, w2, np.where(is1, w1, span)).T.copy()
+        unmet = (unmet & ~is2 & ~is1).T.copy()
+        first = model.prior[now].T.copy()
+        wide = model.prior[now + 1].T - first
+        for t in range(hi - lo):
+            narrow(everywhere, start[t], span[t], _TOP_BITS)
+            new = np.flatnonzero(unmet[t])
+            if len(new):
+                narrow(new, first[t][new], wide[t][new], _PRIOR_BITS)
         model.learn(now, g, c)
     for shift in (32, 16, 0):
         flat[place] = low >> shift if shift == 32 else (low >> shift) & 0xFFFF
         place += 1
-    used = place - first
+    used = place - begin
     return [_carried(out[i, :used[i]]) for i in range(n)]
 
 
@@ -250,45 +276,61 @@ def _carried(words: np.ndarray) -> bytes:
 def decode_blocks(blocks: list[bytes], length: int, vocabulary: int = VOCABULARY) -> np.ndarray:
     """blocks x ids; every block is read to ``length`` ids."""
     n = len(blocks)
-    model = _Mixer(n, vocabulary)
+    model = _Model(n, vocabulary)
     sizes = np.array([len(b) // 2 for b in blocks], np.int64)
     words = np.frombuffer(b"".join(blocks) + bytes(16), ">u2").astype(np.int64)
     place = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     code = (words[place] << 32) | (words[place + 1] << 16) | words[place + 2]
     place += 3
-    size = np.full(n, 1 << 48, np.int64)
-    end = len(words) - 1
+    size, end = np.full(n, 1 << 48, np.int64), len(words) - 1
+
+    def narrow(at, start, span, unit):
+        here, wide, to = code[at] - unit * start, unit * span, place[at]
+        for _ in range(2):
+            thin = wide < _LOW
+            here = np.where(thin, (here << 16) | words[np.minimum(to, end)], here)
+            wide = np.where(thin, wide << 16, wide)
+            to = to + thin
+        code[at], size[at], place[at] = here, wide, to
+
     lanes = np.arange(n, dtype=np.int64)
+    everywhere = slice(None)
     # guess and confidence of a slot in one number
     tables = [np.zeros(n * _SLOTS, np.uint32) for _ in range(2)]
     last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    ids = np.zeros((n, length), np.int64)
+    ids = np.zeros((n, length), np.uint16 if vocabulary <= 1 << 16 else np.uint32)
     for lo, hi in _segments(length):
-        past_g = [np.empty((hi - lo, n), np.int64) for _ in range(2)]
-        past_c = [np.empty((hi - lo, n), np.int64) for _ in range(2)]
-        past = np.empty((hi - lo, n), np.int64)
+        past = np.empty((5, hi - lo, n), np.int64)
         for t in range(hi - lo):
             slots = [lanes * _SLOTS + x for x in _contexts(last, before)]
             held = [table[x].astype(np.int64) for table, x in zip(tables, slots)]
             g, c = [x >> 4 for x in held], [x & 15 for x in held]
-            shares = model.shares(lanes, g, c)
-            unit = size >> 24
-            now, start, span = model.find(lanes, np.minimum(code // unit, _TOP - 1), g, shares)
-            code -= unit * start
-            size = unit * span
-            for _ in range(2):
-                thin = size < _LOW
-                code = np.where(thin, (code << 16) | words[np.minimum(place, end)], code)
-                size = np.where(thin, size << 16, size)
-                place += thin
+            w1, w2, _ = model.shares(lanes, g, c)
+            unit, both = size >> _TOP_BITS, w1 + w2
+            value = np.minimum(code // unit, _TOP - 1)
+            is2 = value < w2
+            now = np.where(is2, g[1], g[0])
+            start, span = np.where(is2, 0, w2), np.where(is2, w2, w1)
+            miss = np.flatnonzero(value >= both)
+            held = both[miss]
+            now[miss], first, span[miss], unmet = model.find(miss, value[miss] - held, _TOP - held)
+            start[miss] = first + held
+            narrow(everywhere, start, span, unit)
+            new = miss[unmet]
+            if len(new):
+                unit = size[new] >> _PRIOR_BITS
+                value = np.minimum(code[new] // unit, (1 << _PRIOR_BITS) - 1)
+                found = np.minimum(np.searchsorted(model.prior, value, "right") - 1, vocabulary - 1)
+                narrow(new, model.prior[found], model.prior[found + 1] - model.prior[found], unit)
+                now[new] = found
             for k in range(2):
-                right = now == g[k]
-                tables[k][slots[k]] = (now << 4) | np.where(right, np.minimum(c[k] + 1, _SURE - 1), 0)
-                past_g[k][t], past_c[k][t] = g[k], c[k]
-            past[t] = now
+                right = (now == g[k]) & (c[k] > 0)
+                tables[k][slots[k]] = (now << 4) | np.where(right, np.minimum(c[k] + 1, _SURE - 1), 1)
+            past[:, t] = now, *g, *c
             before, last = last, now
-        ids[:, lo:hi] = past.T
-        model.learn(ids[:, lo:hi], [x.T for x in past_g], [x.T for x in past_c])
+        now, g1, g2, c1, c2 = past.transpose(0, 2, 1)
+        ids[:, lo:hi] = now
+        model.learn(now, (g1, g2), (c1, c2))
     return ids
 
 
@@ -304,7 +346,7 @@ def pack_section(part: int, number: int, doc_ids: list[int | None], counts: list
     rows[:len(ids)] = ids
     coded = []
     for lane in range(0, n, LANES):
-        coded += encode_blocks(rows.reshape(n, length)[lane:lane + LANES].astype(np.int64), vocabulary)
+        coded += encode_blocks(rows.reshape(n, length)[lane:lane + LANES], vocabulary)
     sums = [zlib.crc32(ids[i * length:(i + 1) * length].astype("<u4").tobytes()) for i in range(n)]
     table = struct.pack("<qqi", len(ids), n, length)
     table += np.array([len(b) for b in coded], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
@@ -406,9 +448,20 @@ class _Encoder:
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint16)
 
 
+def _encoder(path: str) -> _Encoder:
+    """The process's encoder: one Python worker runs many tasks, and a new encoder knows no word.
+
+    It hangs on the interpreter, as functions sent by value bring new globals for each task.
+    """
+    kept = sys.__dict__.setdefault("_cellmosaic_encoders", {})
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
+
+
 def _sections(path: str, end_id: int, vocabulary: int):
     def run(batches):
-        encoder, part = _Encoder(path), TaskContext.get().partitionId()
+        encoder, part = _encoder(path), TaskContext.get().partitionId()
         doc_ids, counts, parts, held, number = [], [], [], 0, 0
 
         def section():

@@ -6,8 +6,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import math
+import re
 import zlib
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -247,6 +248,27 @@ def test_coder_round_trip():
     assert len(coded[2]) < 300  # repeated ids cost little
 
 
+def test_coder_beats_adaptive_order_0():
+    """Bits per id against the ideal code length of adaptive counts with an escape (a block alone)."""
+    rng = np.random.default_rng(5)
+    zipf = 1 / np.arange(2, 20_002)
+    follows = rng.choice(20_000, (20_000, 3), p=zipf / zipf.sum())
+    ids = rng.choice(20_000, (4, 8192), p=zipf / zipf.sum())
+    for t in range(1, 8192):  # three ids of ten go with the one before
+        tied = rng.random(4) < 0.3
+        ids[tied, t] = follows[ids[tied, t - 1], rng.integers(0, 3, tied.sum())]
+    plain = 0.0
+    for row in ids.tolist():
+        counts, seen = {}, 0
+        for i in row:
+            own, total = counts.get(i, 0), seen + len(counts) + 1
+            plain -= math.log2(own / total if own else (len(counts) + 1) / total / 49_408)
+            counts[i], seen = own + 1, seen + 1
+    coded = range_coder.encode_blocks(ids)
+    assert (range_coder.decode_blocks(coded, 8192) == ids).all()
+    assert 8 * sum(map(len, coded)) < 0.99 * plain
+
+
 def test_damage_is_found():
     data = bytearray(range_coder.pack_section(0, 0, [1, None], [3, 2], np.array([5, 6, 1, 9, 1]), 100))
     _, _, doc_ids, counts, ids = next(range_coder.unpack_sections(bytes(data) + b"\n", 100))
