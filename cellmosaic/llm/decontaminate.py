@@ -8,8 +8,9 @@ each window's first one is joined with the shingles of the documents. Windows wi
 token that no document has are out. A match must leave room for the window before and
 behind it (positions, length); what is left is verified word by word against the text.
 
-Three scans of the documents: counts, prefix join, verification. Texts are shuffled only
-if the candidates of all documents are too large to broadcast by a checked size.
+Two scans of the documents: one writes where tokens of the benchmark stand, from which
+counts and prefix join are read; the other verifies. Texts are shuffled only if the
+candidates of all documents are too large to broadcast by a checked size.
 
 Null texts have no words. Texts without words hit nothing and are clean. Rows are judged
 one by one, repeated ids too. Items with a null id count for hits and are not listed;
@@ -68,17 +69,19 @@ def _doc_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return out
 
 
-def prefix_tokens(docs: DataFrame, windows: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
-    """Per window its rarest token: token, at (its place in the window), words, items."""
+def window_tokens(windows: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
+    """Every token of every window: words, items, at (the token's place), token."""
     parts = None
     for size in sizes:
         fits = windows.filter(F.least(F.size("words"), F.lit(shingle)) == size)
         part = fits.select("words", "items", F.posexplode(shingles(size)).alias("at", "token"))
         parts = part if parts is None else parts.unionByName(part)
-    parts = durable(parts)
-    known = parts.select("token").distinct()
-    counts = join_dim(_doc_shingles(docs, sizes).select("row", "token"), known, ["token"], ["row"], bound=parts)
-    counts = durable(counts.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    return durable(parts)
+
+
+def prefix_tokens(parts: DataFrame, places: DataFrame) -> DataFrame:
+    """Per window its rarest token in ``places``: token, at, words, items."""
+    counts = durable(places.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     counted = parts.join(counts, "token", "left").groupBy("words").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("rare"),
         F.first("items").alias("items"))
@@ -92,9 +95,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     if not sizes:
         return docs.select("row").filter("false").withColumns(
             {"n_hit": F.lit(0).cast("bigint"), "items": F.array().cast("array<string>")})
-    prefix = prefix_tokens(docs, windows, sizes, shingle)
+    parts = window_tokens(windows, sizes, shingle)
+    places = durable(join_dim(
+        _doc_shingles(docs, sizes), parts.select("token").distinct(), ["token"], ["row"], bound=parts))
+    prefix = prefix_tokens(parts, places)
     tokens = prefix.groupBy("token").agg(F.collect_list(F.struct("at", "words", "items")).alias("windows"))
-    found = join_dim(_doc_shingles(docs, sizes), tokens, ["token"], ["row"], bound=prefix)
+    found = join_dim(places, tokens, ["token"], ["row"], bound=prefix)
     found = found.select("row", "pos", F.explode("windows").alias("w")).select(
         "row", (F.col("pos") - F.col("w.at")).alias("start"), "w.words", "w.items").filter("start >= 0")
     candidates = durable(found.groupBy("row").agg(F.collect_set(F.struct("start", "words", "items")).alias("found")))

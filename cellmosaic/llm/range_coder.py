@@ -44,7 +44,7 @@ from cellmosaic.session import durable
 
 MAGIC = b"CMX1"
 BLOCK = 8_192
-LANES = 1_024
+LANES = 512
 END_ID = 1
 PARTITION_BYTES = 20 << 20  # text bytes of a range partition
 CACHE_WORDS = 200_000

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import math
 import re
 import zlib
