@@ -45,6 +45,7 @@ from cellmosaic.session import durable
 MAGIC = b"CMX1"
 BLOCK = 8_192
 LANES = 512
+LEAST_BLOCK, LEAST_LANES = 1_024, 64
 END_ID = 1
 PARTITION_BYTES = 20 << 20  # text bytes of a range partition
 CACHE_WORDS = 200_000
@@ -340,7 +341,8 @@ def pack_section(part: int, number: int, doc_ids: list[int | None], counts: list
     docs = struct.pack("<iiq", part, number, len(doc_ids))
     docs += np.array([i is None for i in doc_ids], np.uint8).tobytes()
     docs += np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(counts, "<u4").tobytes()
-    length = min(BLOCK, max(1, len(ids)))
+    # a short section has shorter blocks, so that its steps still serve some of them at once
+    length = max(1, min(BLOCK, len(ids), max(LEAST_BLOCK, len(ids) // LEAST_LANES)))
     n = -(-len(ids) // length)
     rows = np.zeros(n * length, ids.dtype)
     rows[:len(ids)] = ids
