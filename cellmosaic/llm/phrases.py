@@ -12,8 +12,9 @@ Steps work on hashes: words by 32 bits, phrases by 64. A step knows the active p
 size: per slot of a phrase's hash the step after a phrase of that slot reached the threshold. Shared hashes and slots only
 make counts too high or phrases active too early; the first step stays a
 function of the phrase's hash, the same in every task and every repeated one. So the cycles find every
-phrase that reaches the threshold and perhaps some that do not. A last scan counts those by their texts, which makes the
-counts exact, and drops the others. Counts are merged in the shared folder after each step, what is complete
+phrase that reaches the threshold and perhaps some that do not. A last scan looks those up by two slots of their hash, counts
+them by numbers that tell all words of a chunk apart and merges by text, which makes the counts exact, and drops
+the others. Counts are merged in the shared folder after each step, what is complete
 below the threshold is dropped there.
 
 Nulls: a null text has no words, a null ``lang`` counts as ``und``. Texts are read whole,
@@ -40,6 +41,7 @@ LEAST = 30  # occurrences of a phrase
 LONGEST = 4  # words of a phrase
 SHARDS = 3
 SLOTS = 1 << 24  # bytes of the table of active phrases
+SECOND = 40  # bits below a hash's second slot
 TOP = 2000  # phrases reported per lang
 INSIDE, WHOLE = 80, 100  # a phrase goes if a longer one has such a share of its occurrences
 UNKNOWN = "und"
@@ -95,6 +97,33 @@ def _windows(codes, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         tail = whole[-(longest - 1):] if longest > 1 else tail
 
 
+class _Numbers(dict):
+    """Word -> its number among the words seen, without any clash; 0 ends a piece. Keeps the words' codes."""
+
+    def __init__(self, lang: bytes):
+        super().__init__({_BREAK: 0})
+        self.of = _Codes(lang).__missing__
+        self.codes = [0]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.codes)
+        self.codes.append(self.of(word))
+        return number
+
+
+def _distinct(numbers: np.ndarray, at: np.ndarray, length: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``at`` of the first, count) of each different row of ``length`` numbers below ``limit`` from ``at`` on."""
+    bits = max(1, int(limit - 1).bit_length())
+    packed, used = numbers[at].astype(U64), bits
+    for i in range(1, length):
+        if used + bits > 64:
+            packed = np.unique(packed, return_inverse=True)[1].astype(U64)
+            used = max(1, len(at).bit_length())
+        packed, used = (packed << U64(bits)) | numbers[at + i].astype(U64), used + bits
+    _, where, n = np.unique(packed, return_index=True, return_counts=True)
+    return where, n
+
+
 class _Chunk:
     """Codes of texts in a row, 0 behind each."""
 
@@ -194,17 +223,19 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _name(longest: int, wanted):
-    """Texts and counts of the phrases whose slot is wanted, per chunk of texts; words of a lang as a phrase of none."""
+    """Texts and counts of the phrases whose slots are wanted, per chunk of texts; words of a lang as a phrase of none."""
 
-    def rows(lang: bytes, words: list[bytes], chunk: _Chunk, table: np.ndarray) -> pa.RecordBatch:
-        mask = U64(len(table) - 1)
+    def rows(lang: bytes, ids: _Numbers, words: list[bytes], chunk: _Chunk, tables: np.ndarray) -> pa.RecordBatch:
+        mask, numbers = U64(tables.shape[1] - 1), np.concatenate(chunk.parts)
+        chunk.parts = [np.array(ids.codes, np.uint32)[numbers]]
         phrases, lengths, counts = [b""], [np.zeros(1, np.int32)], []
         for length, key, starts in chunk.phrases(longest):
             if length == 1:
                 counts.append(np.array([starts.sum()], np.int64))
             at = np.flatnonzero(starts)
-            at = at[table[(key[at] & mask).astype(np.int64)] > 0]
-            _, where, n = np.unique(key[at], return_index=True, return_counts=True)
+            at = at[tables[0, (key[at] & mask).astype(np.int64)] > 0]
+            at = at[tables[1, ((key[at] >> U64(SECOND)) & mask).astype(np.int64)] > 0]
+            where, n = _distinct(numbers, at, length, len(ids.codes))
             at = at[where].tolist()
             phrases += [words[i] for i in at] if length == 1 else [b" ".join(words[i:i + length]) for i in at]
             lengths.append(np.full(len(at), length, np.int32))
@@ -214,32 +245,32 @@ def _name(longest: int, wanted):
              pa.array(np.concatenate(lengths)), pa.array(np.concatenate(counts))], ["lang", "phrase", "words", "n"])
 
     def run(batches):
-        table = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
-        held: dict[bytes, tuple[_Codes, list[bytes], _Chunk]] = {}
+        tables = np.frombuffer(zlib.decompress(wanted.value), np.uint8).reshape(2, -1)
+        held: dict[bytes, tuple[_Numbers, list[bytes], _Chunk]] = {}
         for batch in batches:
             for lang, raw in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text"))):
                 if not raw:
                     continue
                 if len(held) > 64 and lang not in held:
-                    for key, (_, words, chunk) in held.items():
-                        yield rows(key, words, chunk, table)
+                    for key, parts in held.items():
+                        yield rows(key, *parts, tables)
                     held = {}
-                ids, words, chunk = held.setdefault(lang, (_Codes(lang), [], _Chunk()))
+                ids, words, chunk = held.setdefault(lang, (_Numbers(lang), [], _Chunk()))
                 tail: list[bytes] = []
                 for part in _slices(raw):
                     text = tail + part
-                    codes = np.fromiter(map(ids.__getitem__, text), np.uint32, len(text))
+                    at = np.fromiter(map(ids.__getitem__, text), np.int32, len(text))
                     reach = np.ones(len(text), np.int8)
                     reach[:len(tail)] = np.arange(len(tail) + 1, 1, -1)
-                    chunk.add(codes, reach)
+                    chunk.add(at, reach)
                     words += text
                     words.append(b"")
                     tail = text[-(longest - 1):] if longest > 1 else []
                 if chunk.size >= NAMED_CHUNK:
-                    yield rows(lang, words, chunk, table)
+                    yield rows(lang, ids, words, chunk, tables)
                     del held[lang]
-        for lang, (_, words, chunk) in held.items():
-            yield rows(lang, words, chunk, table)
+        for lang, parts in held.items():
+            yield rows(lang, *parts, tables)
 
     return run
 
@@ -261,7 +292,7 @@ def frequent_phrases(
         _encode(longest), "codes array<int>, tail int, shard int").write.partitionBy("shard").parquet(path)
     coded = spark.read.schema("codes array<int>, tail int, shard int").parquet(path)
     usable = np.full(slots, NEVER, np.uint8)
-    wanted = np.zeros(slots, np.uint8)
+    wanted = np.zeros((2, slots), np.uint8)
     state: DataFrame | None = None
     step = latest = 0  # the last step in which a phrase may become active
     while step < latest + shards:
@@ -276,11 +307,13 @@ def frequent_phrases(
         state = after.filter(open_rows).drop("old")
         step += 1
         slot = F.col("key").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
+        second = F.shiftrightunsigned("key", SECOND).bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
         fresh = after.filter((F.col("n") >= least) & (F.col("old") < least))
         # no more rows than the table has slots, for each length
         found = fresh.select(slot, (F.col("words") < longest).alias("part")).distinct().toArrow()
         at, part = found.column("slot").to_numpy(), found.column("part").to_numpy()
-        wanted[at] = 1
+        wanted[0, at] = 1
+        wanted[1, fresh.select(second).distinct().toArrow().column("slot").to_numpy()] = 1
         new = at[part & (usable[at] == NEVER)]
         usable[new] = step
         if len(new):

@@ -199,6 +199,35 @@ def test_scans_end_with_the_last_cycle(spark, monkeypatch):
     assert len(seen) == 6  # the words' cycle and one step more a length; 12 level by level
 
 
+def clash(lang):
+    """Two words whose 32-bit codes are equal in a lang."""
+    codes, seen = phrases._Codes(lang.encode()), {}
+    for i in range(10**6):
+        word = f"x{i}"
+        other = seen.setdefault(codes.__missing__(word.encode()), word)
+        if other != word:
+            return other, word
+
+
+def test_words_with_one_code_are_counted_apart(spark):
+    one, two = clash("en")
+    rows = [(i, f"big {one} end" if i % 3 else f"big {two} end", "en", "s") for i in range(99)]
+    got = {r.phrase: r.n for r in phrases.frequent_phrases(table(spark, rows).coalesce(1), least=30).collect()}
+    assert got == {"": 297, "big": 99, "end": 99} | {
+        p.format(w): n for w, n in ((one, 66), (two, 33)) for p in ("{}", "big {}", "{} end", "big {} end")}
+
+
+@pytest.mark.parametrize("limit", [5, 1 << 17, 1 << 30])
+def test_phrases_of_a_chunk_are_told_apart(limit):
+    rng = np.random.default_rng(1)
+    numbers = rng.choice(np.array([1, 2, 3, limit - 1], np.int32), 500)
+    at = np.arange(0, 496)
+    for length in (1, 2, 3, 4):
+        where, n = phrases._distinct(numbers, at, length, limit)
+        want = Counter(tuple(numbers[i:i + length].tolist()) for i in at)
+        assert {tuple(numbers[i:i + length].tolist()): c for i, c in zip(at[where], n)} == want
+
+
 def test_scores_beyond_64_bits(spark):
     row = spark.sql("SELECT CAST((CAST(9000000000000000 AS DECIMAL(38,0)) * 2000000) div (CAST(9000000000000000 AS DECIMAL(38,0)) + 9000000000000001) AS BIGINT) AS s").first()
     assert row.s == 999999
