@@ -25,6 +25,7 @@ Other columns are ignored whatever their names.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ class _Numbers(dict):
     def __init__(self, lang: bytes):
         super().__init__({_BREAK: 0})
         self.of = _Codes(lang).__missing__
-        self.codes = [0]
+        self.codes = array("I", [0])
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.codes)
@@ -225,9 +226,9 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 def _name(longest: int, wanted):
     """Texts and counts of the phrases whose slots are wanted, per chunk of texts; words of a lang as a phrase of none."""
 
-    def rows(lang: bytes, ids: _Numbers, words: list[bytes], chunk: _Chunk, tables: np.ndarray) -> pa.RecordBatch:
-        mask, numbers = U64(tables.shape[1] - 1), np.concatenate(chunk.parts)
-        chunk.parts = [np.array(ids.codes, np.uint32)[numbers]]
+    def rows(lang: bytes, ids: _Numbers, chunk: _Chunk, tables: np.ndarray) -> pa.RecordBatch:
+        mask, numbers, names = U64(tables.shape[1] - 1), np.concatenate(chunk.parts), list(ids)
+        chunk.parts = [np.frombuffer(ids.codes, np.uint32)[numbers]]
         phrases, lengths, counts = [b""], [np.zeros(1, np.int32)], []
         for length, key, starts in chunk.phrases(longest):
             if length == 1:
@@ -235,10 +236,10 @@ def _name(longest: int, wanted):
             at = np.flatnonzero(starts)
             at = at[tables[0, (key[at] & mask).astype(np.int64)] > 0]
             at = at[tables[1, ((key[at] >> U64(SECOND)) & mask).astype(np.int64)] > 0]
-            where, n = _distinct(numbers, at, length, len(ids.codes))
-            at = at[where].tolist()
-            phrases += [words[i] for i in at] if length == 1 else [b" ".join(words[i:i + length]) for i in at]
-            lengths.append(np.full(len(at), length, np.int32))
+            where, n = _distinct(numbers, at, length, len(names))
+            found = numbers[at[where][:, None] + np.arange(length)].tolist()
+            phrases += [b" ".join([names[i] for i in row]) for row in found]
+            lengths.append(np.full(len(found), length, np.int32))
             counts.append(n.astype(np.int64))
         return pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(phrases), pa.binary()).cast(pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
@@ -246,31 +247,24 @@ def _name(longest: int, wanted):
 
     def run(batches):
         tables = np.frombuffer(zlib.decompress(wanted.value), np.uint8).reshape(2, -1)
-        held: dict[bytes, tuple[_Numbers, list[bytes], _Chunk]] = {}
+        held: dict[bytes, tuple[_Numbers, _Chunk]] = {}
         for batch in batches:
             for lang, raw in zip(utf8_values(batch.column("lang")), utf8_values(batch.column("text"))):
                 if not raw:
                     continue
                 if len(held) > 64 and lang not in held:
-                    for key, parts in held.items():
-                        yield rows(key, *parts, tables)
+                    for key, (ids, chunk) in held.items():
+                        yield rows(key, ids, chunk, tables)
                     held = {}
-                ids, words, chunk = held.setdefault(lang, (_Numbers(lang), [], _Chunk()))
-                tail: list[bytes] = []
-                for part in _slices(raw):
-                    text = tail + part
-                    at = np.fromiter(map(ids.__getitem__, text), np.int32, len(text))
-                    reach = np.ones(len(text), np.int8)
-                    reach[:len(tail)] = np.arange(len(tail) + 1, 1, -1)
-                    chunk.add(at, reach)
-                    words += text
-                    words.append(b"")
-                    tail = text[-(longest - 1):] if longest > 1 else []
+                ids, chunk = held.setdefault(lang, (_Numbers(lang), _Chunk()))
+                numbers = (np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)) for words in _slices(raw))
+                for part, reach in _windows(numbers, longest):
+                    chunk.add(part, reach)
                 if chunk.size >= NAMED_CHUNK:
-                    yield rows(lang, ids, words, chunk, tables)
+                    yield rows(lang, ids, chunk, tables)
                     del held[lang]
-        for lang, parts in held.items():
-            yield rows(lang, *parts, tables)
+        for lang, (ids, chunk) in held.items():
+            yield rows(lang, ids, chunk, tables)
 
     return run
 
