@@ -119,7 +119,7 @@ def fit_spots(
     groups = durable(spot_groups(obs, profile, lam, settings))
     cell_model.check_informative(groups, settings)
     theta = durable(estimate_purity(obs, groups, settings))
-    theta = theta.repartition(partition_count(spark, partitions), *CELL).persist()
+    theta = theta.repartition(partition_count(spark, partitions, obs.count()), *CELL).persist()
     clones = durable(clone_sets(groups))
     weights: DataFrame | None = None
     trace: list[DataFrame] = []

@@ -270,3 +270,8 @@ def test_groups_without_a_mask_are_not_scored(spark):
     assert kept == {r.group_id for r in profile.filter("imbalanced").collect()} and len(kept) < len(PROFILES)
     flat = cell_model.static_groups(obs, profile.withColumn("imbalanced", F.lit(False)), FitSettings(fit_mode="allele"), None)
     assert flat.filter("NOT scored").isEmpty()
+
+
+def test_partitions_grow_with_the_count_rows(spark):
+    assert common.partition_count(spark, None, 1_000_000) == 20
+    assert common.partition_count(spark, None, 10) == 4 and common.partition_count(spark, 3, 1_000_000) == 3
