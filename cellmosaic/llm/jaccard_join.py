@@ -16,9 +16,10 @@ Whether a token is tracked and where it stands decides the speed, never the resu
 Keys that list the same sets are kept once. Sets under a key meet in blocks of bounded
 size: the bits in which two folded parity maps differ bound the symmetric difference from
 below, which is an exact filter. A first round verifies a spanning forest of the pairs
-that pass, a second one every passing pair whose ends the first left in different
-components. So a group of g near copies costs about g verified pairs, and no link
-between components is lost.
+that pass in a block. The next ones do so again among the sets of these forests, for passing pairs
+that were not verified yet and whose ends are still in different components; the last round verifies all
+such pairs. Blocks that are left with the same sets are kept once. So a group of g near copies costs
+about g verified pairs, and no link between components is lost.
 
 Null texts and texts without a word have no set and link with nothing. Rows repeated
 with one id are each returned; a null id takes part and never names a component unless
@@ -45,6 +46,7 @@ NUM, DEN = 90, 100
 TRACKED_TOKENS = 1_000_000  # bound of the broadcast table: the tokens counted most often
 TRACKED_COUNTS = 4096  # counts from here on are told apart by the bound alone
 COMBINED = 32  # tokens counted as often are keys in pairs only
+FORESTS = 3  # rounds of spanning forests before all pairs are verified
 COUNT_CHUNK = 4_000_000  # tokens counted at once in a task
 BLOCK = 1024  # sets of a key that meet in one block
 CACHE_WORDS = 200_000
@@ -260,13 +262,14 @@ def _token_lists(k: int):
     return run
 
 
-def passing_pairs(rid, n, label, bits, num: int, den: int, forest: bool):
+def passing_pairs(rid, n, label, bits, num: int, den: int, forest: bool, tried=None):
     """Index pairs of one block whose parity maps allow a link and whose labels differ.
 
-    ``forest``: only as many as join the sets that such pairs connect.
+    ``forest``: only as many as join the sets that such pairs connect. ``tried``: per set None or
+    the ids that it was verified with.
     """
     order = np.argsort(n, kind="stable")
-    n, own = n[order], label[order].copy()
+    n, own, rid = n[order], label[order].copy(), rid[order]
     maps = [bits[i] for i in order]
     widths = np.array([len(b) for b in maps])
     folded = {int(w): np.stack([fold(b, int(w)) for b in maps if len(b) >= w]) for w in np.unique(widths)}
@@ -276,6 +279,8 @@ def passing_pairs(rid, n, label, bits, num: int, den: int, forest: bool):
         end = int(np.searchsorted(n, n[i] * den // num, "right"))
         others = np.arange(i + 1, end)
         others = others[own[others] != own[i]]
+        if tried is not None and tried[order[i]] is not None:
+            others = others[~np.isin(rid[others], tried[order[i]])]
         if not len(others):
             continue
         w = int(widths[i])
@@ -290,7 +295,7 @@ def passing_pairs(rid, n, label, bits, num: int, den: int, forest: bool):
             if own[j] != own[i]:
                 out.append((i, int(j)))
                 own[own == own[j]] = own[i]
-    return [(rid[order[i]], rid[order[j]]) for i, j in out]
+    return [(rid[i], rid[j]) for i, j in out]
 
 
 def _block_pairs(num: int, den: int, forest: bool):
@@ -298,19 +303,21 @@ def _block_pairs(num: int, den: int, forest: bool):
 
     def pairs(rows: pa.Table):
         maps = [np.frombuffer(b, U64) for b in rows.column("bits").to_pylist()]
+        tried = rows.column("tried").to_pylist()
         at = {c: rows.column(c).to_numpy() for c in ("block", "rid", "n", "label")}
         cuts = np.flatnonzero(np.diff(at["block"])) + 1
         found = []
         for lo, hi in zip([0, *cuts], [*cuts, len(maps)]):
             if hi - lo > 1:
-                found += passing_pairs(at["rid"][lo:hi], at["n"][lo:hi], at["label"][lo:hi],
-                                       maps[lo:hi], num, den, forest)
+                found += [(at["block"][lo], *p) for p in passing_pairs(
+                    at["rid"][lo:hi], at["n"][lo:hi], at["label"][lo:hi], maps[lo:hi], num, den, forest, tried[lo:hi])]
         return found
 
     def as_batch(found):
-        a = np.array([min(p) for p in found], np.int64)
-        b = np.array([max(p) for p in found], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        block = np.array([p[0] for p in found], np.int64)
+        a = np.array([min(p[1:]) for p in found], np.int64)
+        b = np.array([max(p[1:]) for p in found], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(a), pa.array(b)], ["block", "a", "b"])
 
     def run(batches):
         held: list[pa.Table] = []
@@ -333,27 +340,44 @@ def _block_pairs(num: int, den: int, forest: bool):
     return run
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, sets: DataFrame, num, den) -> DataFrame:
-    """Distinct pairs of sets that may link, from the blocks of all keys."""
-    if labels is None:
-        members = members.withColumn("label", F.col("rid"))
-    else:
-        named = labels.select(F.col("node").alias("rid"), "component")
-        members = members.join(named, "rid", "left").withColumn("label", F.coalesce("component", "rid"))
-        mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        members = members.join(mixed.filter("lo <> hi").select("key"), "key")
+def _met(rows: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(block, a, b) from rows (block, rid, label, tried)."""
+    rows = rows.join(sets.select("rid", "n", "bits"), "rid").select("block", "rid", "n", "label", "bits", "tried")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(_block_pairs(num, den, forest), "block long, a long, b long")
+
+
+def _first_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """A spanning forest of the pairs that may link, for each block of all keys."""
     blocks = F.ceil(F.col("members") / BLOCK)
     mine = F.pmod(F.xxhash64("rid"), blocks)
     rows = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).select(
-        "rid", "label", F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")).alias("block"))
-    rows = rows.join(sets.select("rid", "n", "bits"), "rid").select("block", "rid", "n", "label", "bits")
-    rows = rows.repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(_block_pairs(num, den, labels is None), "a long, b long").distinct()
+        "rid", F.col("rid").alias("label"), F.lit(None).cast("array<bigint>").alias("tried"),
+        F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")).alias("block"))
+    return _met(rows, sets, num, den, True)
+
+
+def _lists(members: DataFrame, by: str, *more) -> DataFrame:
+    """Per key how many sets it lists, and two sums that tell which."""
+    return members.groupBy(by).agg(
+        F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"),
+        F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s2"), *more)
+
+
+def _more_pairs(near: DataFrame, labels: DataFrame, failed: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Distinct pairs that may link, join components and have not failed; ``near``: (block, rid) of the first forests."""
+    named = labels.select(F.col("node").alias("rid"), "component")
+    rows = near.join(named, "rid", "left").withColumn("label", F.coalesce("component", "rid")).drop("component")
+    mixed = _lists(rows, "block", F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    once = mixed.groupBy("members", "s", "s2").agg(F.min("block").alias("block")).select("block")
+    both = failed.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+    tried = both.groupBy(F.col("x.a").alias("rid")).agg(F.collect_set("x.b").alias("tried"))
+    rows = rows.join(once, "block").join(tried, "rid", "left")
+    return _met(rows, sets, num, den, forest).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs with linked, from the shingles of the texts that stand for the sets."""
-    pairs = durable(pairs)
+    """The pairs, a written table, with linked, from the shingles of the texts that stand for the sets."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     places = sets.join(ends, "rid").select("th", "doc").distinct()
     read = join_dim(texts, places, ["th", "doc"], ["text"]).select("text").mapInArrow(
@@ -409,19 +433,22 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     postings = texts.select("text").mapInArrow(_postings(k, num, den, tracked), "key long, rid long")
     postings = postings.repartition("key").sortWithinPartitions("key", "rid")
     members = durable(postings.mapInArrow(_shared_runs, "key long, rid long"))
-    lists = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("s"),
-        F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-    once = lists.groupBy("members", "s", "s2").agg(F.min("key").alias("key")).select("key", "members")
+    once = _lists(members, "key").groupBy("members", "s", "s2").agg(F.min("key").alias("key")).select("key", "members")
     members = durable(members.join(once, "key"))
-    first = _verified(_pairs(members, None, sets, num, den), sets, texts, k, num, den)
-    links = first.filter("linked").select("a", "b")
-    labels = durable(connected_components(links))
-    more = _pairs(members, labels, sets, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verified(more, sets, texts, k, num, den).filter("linked").select("a", "b")
-    # the stars of the first round stand for its links
-    stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = durable(connected_components(stars.unionByName(second)))
+    pairs = durable(_first_pairs(members, sets, num, den))
+    near = durable(pairs.select("block", F.explode(F.array("a", "b")).alias("rid")).distinct())
+    done = _verified(durable(pairs.select("a", "b").distinct()), sets, texts, k, num, den)
+    labels = durable(connected_components(done.filter("linked").select("a", "b")))
+    failed = done.filter("NOT linked").select("a", "b")
+    for forest in [True] * (FORESTS - 1) + [False]:
+        pairs = durable(_more_pairs(near, labels, failed, sets, num, den, forest))
+        if pairs.isEmpty():
+            break
+        done = _verified(pairs, sets, texts, k, num, den)
+        # the stars of the components stand for the links so far
+        stars = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = durable(connected_components(stars.unionByName(done.filter("linked").select("a", "b"))))
+        failed = failed.unionByName(done.filter("NOT linked").select("a", "b"))
 
     groups = durable(sets.select("rid", "least").join(
         labels.select(F.col("node").alias("rid"), "component"), "rid", "left"

@@ -173,6 +173,26 @@ def test_one_row_of_each_group_is_judged_by_id_and_text(spark, turn):
         [(1, a), (5, b), (7, None), (7, ""), (8, a + " more"), (None, a)], key=repr)
 
 
+def test_a_split_group_is_joined_by_few_pairs(spark, monkeypatch):
+    """Where the first round leaves a group in two parts, the next verify no pair for every two of their sets."""
+    g, base = 24, [f"b{i}" for i in range(240)]
+    rows = [(i, " ".join([*base[:9 * i + 1], f"e{i}", *base[9 * i + 2:]])) for i in range(g)]
+    sets = jaccard_join.token_sets(pa.array([t for _, t in rows]), jaccard_join._Words(), 3)
+    left = {jaccard_join.set_id(s) for s in list(sets)[:g // 2]}
+    verified, seen = jaccard_join._verified, []
+
+    def split_at_first(pairs, *rest):
+        done = verified(pairs, *rest)
+        seen.append(done.count())
+        across = F.col("a").isin(left) != F.col("b").isin(left)
+        return done if len(seen) > 1 else done.withColumn("linked", F.col("linked") & ~across)
+
+    monkeypatch.setattr(jaccard_join, "_verified", split_at_first)
+    got = jaccard_join.jaccard_components(texts_table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+    assert len(seen) > 1 and sum(seen[1:]) < 2 * g
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
