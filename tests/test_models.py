@@ -275,3 +275,24 @@ def test_groups_without_a_mask_are_not_scored(spark):
 def test_partitions_grow_with_the_count_rows(spark):
     assert common.partition_count(spark, None, 1_000_000) == 20
     assert common.partition_count(spark, None, 10) == 4 and common.partition_count(spark, 3, 1_000_000) == 3
+
+
+def test_both_dispersions_are_searched_in_the_same_rounds(spark, monkeypatch):
+    _, _, truth, x, na, nb = simulate(cells=12)
+    counts, profile = frames(spark, x, na, nb)
+    obs = common.prepare_observations(counts, 4)
+    lam = spark.createDataFrame([("r1", "gex", g, 1.0 / len(PROFILES)) for g in range(len(PROFILES))],
+                                "run_id string, assay string, group_id int, lambda double")
+    settings = FitSettings(tau_bounds=(1e-3, 1e3))
+    groups = cell_model.durable(cell_model.static_groups(obs, profile, settings, lam))
+    calls = spark.createDataFrame([("r1", n, int(k)) for n, k in enumerate(truth)], "run_id string, cell_id bigint, z int")
+    none = spark.createDataFrame([], cell_model.DISPERSION)
+    written, plain = [], solver.durable
+    monkeypatch.setattr(solver, "durable", lambda df: written.append(df) or plain(df))
+    both = cell_model.m_step(obs, calls, groups, settings, none, small=True).collect()
+    assert len(written) == settings.grid_rounds
+    alone = [cell_model.m_step(obs, calls, groups, settings.with_(**{off: False}), none, small=True).collect()
+             for off in ("update_invphi", "update_tau")]
+    assert [(r.state, r.tau, r.inv_phi) for r in both] == [
+        ("*", pytest.approx(alone[0][0].tau), pytest.approx(alone[1][0].inv_phi))]
+    assert both[0].tau <= 1e3
