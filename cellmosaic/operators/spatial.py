@@ -20,6 +20,15 @@ from cellmosaic.session import durable
 RUN = 16  # positions of a run, at least
 FANOUT = 8  # boxes of the next level
 READERS = 4096  # spots that read one part of a salted spot
+PART_READS = 50_000  # readings of a run in a partition, so that a task's memory does not grow with the input
+PART_PLACES = 10_000  # positions or spots in a partition, likewise
+READ_SALTS = 4  # parts of the positions that read one run
+
+
+def _spread(df: DataFrame, part: int) -> int:
+    """Partitions of about ``part`` rows of ``df``, at least as many as a shuffle has."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // part))
+
 
 def _named(spots: DataFrame, by: Sequence[str]) -> DataFrame:
     """``spots``; a NULL replicate, run or assay fails the query when it runs."""
@@ -109,27 +118,58 @@ def _candidate_runs(placed: DataFrame, by: Sequence[str], keep: int) -> DataFram
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     own = here.join(other, [*by, "node"]).groupBy(*by, "_rn", "x", "y").agg(
         F.get(F.array_sort(F.collect_list((dx * dx + dy * dy).cast("double"))), F.lit(keep - 1)).alias("reach"))
-    levels = _levels(placed, by)
+    levels, spread = _levels(placed, by), _spread(placed, PART_PLACES)
     top = levels[-1]
-    rows = (join_dim_many(own, top, by) if by else own.crossJoin(F.broadcast(top)))
+    rows = (join_dim_many(own, top, by, spread) if by else own.crossJoin(F.broadcast(top)))
     rows = _in_reach(rows, by, keep)
     for level in reversed(levels[:-1]):
         parent = F.floor(F.col("node") / FANOUT).cast("bigint").alias("parent")
         below = level.select(*by, parent, "node", "x0", "x1", "y0", "y1", "size")
         rows = rows.select(*by, "_rn", "x", "y", "reach", F.col("node").alias("parent"))
-        rows = _in_reach(join_dim_many(rows, below, [*by, "parent"]), by, keep)
-    return rows.select(*by, "_rn", "x", "y", "node")
+        rows = _in_reach(join_dim_many(rows, below, [*by, "parent"], spread, by), by, keep)
+    return durable(rows.select(*by, "_rn", "x", "y", "node"))
 
 
-def join_dim_many(rows: DataFrame, boxes: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``rows`` with all of the few boxes of their key, which travel as one array."""
+def join_dim_many(
+    rows: DataFrame, boxes: DataFrame, on: Sequence[str], spread: int, by: Sequence[str] | None = None
+) -> DataFrame:
+    """``rows`` with all of the few boxes of their key, which travel as one array.
+
+    The rows of a position come together in ``spread`` partitions before the arrays are unfolded.
+    """
     on = list(on)
     values = [c for c in boxes.columns if c not in on]
     packed = boxes.groupBy(*on).agg(F.collect_list(F.struct(*values)).alias("_boxes"))
-    return join_dim(rows, packed, on, ["_rn"]).select(*rows.columns, F.explode("_boxes").alias("_b")).select(
+    held = join_dim(rows, packed, on, ["_rn"]).repartition(spread, *(on if by is None else by), "_rn")
+    return held.select(*rows.columns, F.explode("_boxes").alias("_b")).select(
         *rows.columns, *[F.col(f"_b.{c}").alias(c) for c in values])
 
 
+def _nearest_of_runs(placed: DataFrame, reads: DataFrame, by: Sequence[str], keep: int) -> DataFrame:
+    """``(.., x, y, near)``: the ``keep`` nearest ``(dist2, id)`` of every position, out of the runs that it reads.
+
+    A run travels as one array and each reading keeps its nearest alone, so that no row per candidate is
+    made or sorted. Readings lie in partitions of about ``PART_READS``, whatever the number of spots.
+    """
+    spread = _spread(reads, PART_READS)
+    inside = placed.groupBy(*by, "node").agg(F.collect_list(F.struct(F.col("x").alias("px"), F.col("y").alias("py"), "ids")).alias("_run"))
+
+    def of_place(p: Column) -> Column:
+        dx, dy = F.col("x") - p["px"], F.col("y") - p["py"]
+        return F.transform(p["ids"], lambda i: F.struct((dx * dx + dy * dy).alias("dist2"), i.alias("id")))
+
+    def first(found: Column) -> Column:
+        return F.slice(F.array_sort(found), 1, keep)
+
+    salt = F.pmod(F.col("_rn"), F.lit(READ_SALTS)).cast("int").alias("_salt")
+    dealt = reads.select(*by, "_rn", "x", "y", "node", salt).repartition(spread, *by, "node", "_salt")
+    held = inside.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(READ_SALTS - 1)))).repartition(spread, *by, "node", "_salt")
+    read = dealt.join(held, [*by, "node", "_salt"]).select(
+        *by, "_rn", "x", "y", first(F.flatten(F.transform("_run", of_place))).alias("_best"))
+    return read.repartition(spread, *by, "_rn").groupBy(*by, "_rn").agg(
+        F.first("x").alias("x"), F.first("y").alias("y"), first(F.flatten(F.collect_list("_best"))).alias("near")).drop("_rn")
+
+
 def nearest_neighbours(spots: DataFrame, n: int, by: Sequence[str] = ("rep_id",)) -> DataFrame:
     """The n nearest other spots of every spot, ties by id.
 
@@ -141,15 +181,7 @@ def nearest_neighbours(spots: DataFrame, n: int, by: Sequence[str] = ("rep_id",)
     spots = _named(spots, by)
     known = spots.filter("x IS NOT NULL AND y IS NOT NULL")
     placed = _placed(_places(known, by, keep), by, keep)
-    inside = placed.select(*by, "node", F.col("x").alias("px"), F.col("y").alias("py"), "ids")
-    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    found = _candidate_runs(placed, by, keep).join(inside, [*by, "node"]).select(
-        *by, "_rn", "x", "y", (dx * dx + dy * dy).alias("dist2"), F.explode("ids").alias("id"))
-    w = Window.partitionBy(*by, "_rn").orderBy("dist2", "id")
-    best = found.withColumn("_no", F.row_number().over(w)).filter(F.col("_no") <= keep)
-    done = durable(best.groupBy(*by, "_rn").agg(
-        F.first("x").alias("x"), F.first("y").alias("y"),
-        F.array_sort(F.collect_list(F.struct("dist2", "id"))).alias("near")).drop("_rn"))
+    done = durable(_nearest_of_runs(placed, _candidate_runs(placed, by, keep), by, keep))
     joined = join_dim(known.select(*by, "cell_id", "x", "y"), done, [*by, "x", "y"], ["cell_id"])
     others = F.slice(F.filter("near", lambda c: c["id"] != F.col("cell_id")), 1, n)
     edges = joined.select(*by, F.col("cell_id").alias("src"), others.alias("near"))
@@ -167,12 +199,13 @@ def reachable(spots: DataFrame, edges: DataFrame, max_k: int, by: Sequence[str]
     by = list(by)
     nearby = edges.groupBy(*by, F.col("src").alias("dst")).agg(F.collect_list("dst").alias("_next"))
     known = spots.select(*by, F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0).alias("hop"))
+    spread = _spread(spots, PART_PLACES)
     for hop in range(1, max_k + 1):
         frontier = known.filter(F.col("hop") == hop - 1)
         step = join_dim(frontier, nearby, [*by, "dst"], ["src"], bound=edges).select(
             *by, "src", F.explode("_next").alias("dst"), F.lit(hop).alias("hop")
         )
-        known = known.unionByName(step).groupBy(*by, "src", "dst").agg(F.min("hop").alias("hop"))
+        known = known.unionByName(step).repartition(spread, *by, "src").groupBy(*by, "src", "dst").agg(F.min("hop").alias("hop"))
         if hop < max_k:
             known = durable(known)
     return known

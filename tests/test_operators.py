@@ -238,3 +238,24 @@ def test_order_with_heavy_ties_fills_many_tasks(spark):
     tagged = ordering._with_bucket(df, ["rep"], "v", ordering.BUCKETS, "cell_id")
     sizes = [r["count"] for r in tagged.groupBy("rep", "_bucket", "_part").count().collect()]
     assert max(sizes) <= 0.05 * len(rows) and len(sizes) > 40
+
+
+def test_partitions_of_the_neighbour_search_grow_with_the_spots(spark, monkeypatch):
+    from cellmosaic.operators import spatial
+
+    monkeypatch.setattr(spatial, "PART_PLACES", 8)
+    monkeypatch.setattr(spatial, "PART_READS", 16)
+    rows = [("r", i, i % 10, i // 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "rep_id string, cell_id bigint, x bigint, y bigint")
+    edges = spatial.nearest_neighbours(df, 4)
+    pairs = spatial.reachable(df, edges, 1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 13" in plan.split("RepartitionByExpression")[1].splitlines()[0]
+    want = {}
+    for _, i, x, y in rows:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for _, j, u, v in rows if j != i)[:4]
+        want[i] = {j for _, j in near}
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    assert got == want
