@@ -259,3 +259,14 @@ def test_partitions_of_the_neighbour_search_grow_with_the_spots(spark, monkeypat
     for r in edges.collect():
         got.setdefault(r.src, set()).add(r.dst)
     assert got == want
+
+
+def test_partitions_of_dense_counts_grow_with_the_cells(spark, monkeypatch):
+    from cellmosaic.operators import grouping
+
+    monkeypatch.setattr(grouping, "PART_CELLS", 4)
+    sums = spark.createDataFrame([(i, i % 3, 1, 2, 3) for i in range(40)], "cell_id bigint, group_id int, x bigint, a bigint, b bigint")
+    groups = spark.createDataFrame([(g,) for g in range(3)], "group_id int")
+    dense = grouping.densify(sums, sums.select("cell_id"), groups, n_cells=40)
+    assert dense.rdd.getNumPartitions() == 10
+    assert dense.count() == 120 and dense.agg({"x": "sum"}).first()[0] == 40
