@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmosaic.functions import likelihood
-from cellmosaic.models import cell_model, solver
+from cellmosaic.models import cell_model
 from cellmosaic.models.common import (
     CELL,
     GROUP,
@@ -59,42 +59,50 @@ def spot_groups(obs: DataFrame, profile: DataFrame, lam: DataFrame, settings: Fi
 
 
 def purity_rows(obs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Counts on clonal informative groups; all tumour clones agree there, so clone 1."""
+    """Every spot with its counts on clonal informative groups as the list ``_rows``.
+
+    All tumour clones agree on these groups, so clone 1. The counts are partitioned by cell, so the list
+    (no longer than the number of groups) needs no exchange.
+    """
     clonal = groups.filter((F.col("k") == 1) & ~F.col("subclonal") & (F.col("use_allele") | F.col("use_total")))
     side = clonal.select(*GROUP, "baf", "rdr", "lambda", "use_allele", "use_total")
-    return cell_model.attach_groups(obs, side, GROUP, few_bytes(side))
+    rows = obs.join(F.broadcast(side) if few_bytes(side) else side, GROUP, "left")
+    known = F.col("use_allele").isNotNull() & F.col("n").isNotNull()
+    listed = F.collect_list(F.when(known, F.struct(*likelihood.PURITY_ROW)))
+    return rows.groupBy(*SPOT).agg(listed.alias("_rows"))
 
 
-def purity_scores(rows: DataFrame, bounds: DataFrame, settings: FitSettings) -> DataFrame:
-    """One grid round: summed log-likelihood per spot and grid point."""
+def _searched(rows: DataFrame, settings: FitSettings, rounds: int) -> DataFrame:
+    search = likelihood.purity_grids(
+        SPOT, settings.tau_bounds[1], settings.invphi_bounds[1], PURITY_RANGE, PURITY_POINTS, rounds)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in SPOT) + ", _sums array<double>, theta double"
+    return rows.mapInArrow(search, schema)
 
-    def score(df: DataFrame) -> DataFrame:
-        return with_mixed_loglik(df, "_value", settings, "_ll")
 
-    return solver.evaluate_grid(rows, bounds, SPOT, score, False, PURITY_POINTS)
+def purity_scores(rows: DataFrame, settings: FitSettings) -> DataFrame:
+    """The first grid round: summed log-likelihood ``ll`` per informed spot and grid point ``i``."""
+    return _searched(rows, settings, 1).select(*SPOT, F.posexplode("_sums").alias("i", "ll"))
 
 
 def estimate_purity(obs: DataFrame, groups: DataFrame, settings: FitSettings) -> DataFrame:
     """Purity of every spot by grid search, 0.5 where no clonal group informs it.
 
-    Rows, bounds and scores are all partitioned by spot, so the rounds need no
-    exchange and run as one job.
+    A task takes a few hundred spots at a time through all rounds, so its memory does not depend on
+    the number of spots.
     """
-    rows = purity_rows(obs, groups)
-    spots = obs.select(*SPOT).distinct()
-    lo, hi = PURITY_RANGE
-    bounds = rows.select(*SPOT).distinct().withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
-    for _ in range(PURITY_ROUNDS):
-        bounds = solver.narrow(purity_scores(rows, bounds, settings), bounds, SPOT)
-    peak = solver.vertex(*[F.col(c) for c in ("best", "step", "left", "ll", "right")])
-    found = bounds.select(*SPOT, F.greatest(F.lit(lo), F.least(F.lit(hi), peak)).alias("theta"))
-    return spots.join(found, SPOT, "left").withColumn("theta", F.coalesce("theta", F.lit(0.5)))
+    found = _searched(purity_rows(obs, groups), settings, PURITY_ROUNDS)
+    return found.select(*SPOT, F.coalesce("theta", F.lit(0.5)).alias("theta"))
 
 
 def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture: DataFrame, settings: FitSettings) -> DataFrame:
+    """E-step. The purities of a cell are joined as one row, by the key that the counts are partitioned by."""
     tagged = groups.filter("scored").join(mixture, [*RUN, "k"])
     side = tagged.select(*GROUP, "k", "baf", "rdr", "lambda", "use_allele", "use_total", "log_pi")
-    rows = cell_model.attach_groups(obs.join(theta, SPOT), side, GROUP, few_bytes(groups))
+    listed = F.map_from_entries(F.collect_list(F.struct("assay", "theta"))).alias("_thetas")
+    purities = theta.groupBy(*CELL).agg(listed)
+    mixed = obs.join(purities, CELL).withColumn("theta", F.element_at("_thetas", F.col("assay"))).drop("_thetas")
+    rows = cell_model.attach_groups(mixed, side, GROUP, few_bytes(groups))
     scored = with_mixed_loglik(rows, "theta", settings, "ll")
     sums = scored.groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
     return cell_posteriors(sums)

@@ -296,3 +296,32 @@ def test_both_dispersions_are_searched_in_the_same_rounds(spark, monkeypatch):
     assert [(r.state, r.tau, r.inv_phi) for r in both] == [
         ("*", pytest.approx(alone[0][0].tau), pytest.approx(alone[1][0].inv_phi))]
     assert both[0].tau <= 1e3
+
+
+def test_purity_search_reads_the_counts_once_and_repeats_none(spark):
+    _, _, _, x, na, nb = simulate(cells=12)
+    counts, profile = frames(spark, x, na, nb)
+    obs = common.prepare_observations(counts, 4)
+    lam = spark.createDataFrame([("r1", "gex", g, 1.0 / len(PROFILES)) for g in range(len(PROFILES))],
+                                "run_id string, assay string, group_id int, lambda double")
+    settings = FitSettings(tau_bounds=(1e-6, 50.0), invphi_bounds=(1e-6, 30.0))
+    groups = cell_model.durable(spot_model.spot_groups(obs, profile, lam, settings))
+    theta = spot_model.estimate_purity(obs, groups, settings)
+    assert theta._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    assert "Generate" not in theta._jdf.queryExecution().optimizedPlan().toString()
+    # the search against direct sums on a fine grid
+    side = groups.filter("k = 1 AND NOT subclonal AND (use_allele OR use_total)")
+    rows = obs.join(side.select(*common.GROUP, "baf", "rdr", "lambda", "use_allele", "use_total"), common.GROUP).toPandas()
+
+    def objective(own, t):
+        depth = own.rdr * t + 1 - t
+        p, mu = np.clip((own.baf * own.rdr * t + 0.5 * (1 - t)) / depth, 1e-12, 1 - 1e-12), own.total * own["lambda"] * depth
+        allele = lgamma(own.b + 50 * p) + lgamma(own.n - own.b + 50 * (1 - p)) - lgamma(50 * p) - lgamma(50 * (1 - p))
+        total = own.x * np.log(mu) - (own.x + 30.0) * np.log(30.0 + mu)
+        return (allele * (own.use_allele & (own.n > 0)) + total * own.use_total).sum()
+
+    for r in theta.collect():
+        own = rows[rows.cell_id == r.cell_id]
+        assert objective(own, r.theta) >= max(objective(own, t) for t in np.linspace(1e-4, 1 - 1e-4, 101)) - 1e-3
+    nothing = spot_model.estimate_purity(obs, groups.withColumn("subclonal", F.lit(True)), settings)
+    assert {r.theta for r in nothing.collect()} == {0.5}
