@@ -30,23 +30,16 @@ PURITY_ROUNDS = 3
 PURITY_POINTS = 33
 
 
-def with_mixed_loglik(rows: DataFrame, theta: str, settings: FitSettings, name: str) -> DataFrame:
-    """Add the log-likelihood of a row under the purity column ``theta``.
+def mixed_rows(rows: DataFrame, theta: str, settings: FitSettings) -> DataFrame:
+    """Add the columns of :data:`likelihood.ROW` under the purity column ``theta``.
 
-    Dispersions stay at their upper bounds in this model. See
-    :func:`cell_model.with_loglik` for the form of the switches.
+    Dispersions stay at their upper bounds in this model.
     """
-    tau, size = f"{settings.tau_bounds[1]!r}D", f"{settings.invphi_bounds[1]!r}D"
-    staged = rows.withColumns({
-        "_p": F.expr(likelihood.purity_baf("baf", "rdr", theta)),
-        "_mu": F.expr(likelihood.nb_mean(likelihood.purity_mean("total", "lambda", "rdr", theta))),
+    return rows.withColumns({
+        "p": F.expr(likelihood.purity_baf("baf", "rdr", theta)), "tau": F.lit(settings.tau_bounds[1]),
+        "mu": F.expr(likelihood.nb_mean(likelihood.purity_mean("total", "lambda", "rdr", theta))),
+        "size": F.lit(settings.invphi_bounds[1]), "at_allele": F.col("bb_const"), "at_total": F.col("nb_const"),
     })
-    allele = f"bb_const + {likelihood.bb_offset(tau, '_p')} + {likelihood.bb_data_term('b', 'n', tau, '_p')}"
-    total = f"nb_const + {likelihood.nb_offset(size)} + {likelihood.nb_data_term('x', '_mu', size)}"
-    return staged.withColumn(name, F.expr(
-        f"coalesce({allele}, {likelihood.undefined('use_allele AND n > 0')}) * CAST(use_allele AND n > 0 AS INT)"
-        f" + coalesce({total}, {likelihood.undefined('use_total')}) * CAST(use_total AS INT)"
-    ))
 
 
 def spot_groups(obs: DataFrame, profile: DataFrame, lam: DataFrame, settings: FitSettings) -> DataFrame:
@@ -103,9 +96,7 @@ def spot_posteriors(obs: DataFrame, groups: DataFrame, theta: DataFrame, mixture
     purities = theta.groupBy(*CELL).agg(listed)
     mixed = obs.join(purities, CELL).withColumn("theta", F.element_at("_thetas", F.col("assay"))).drop("_thetas")
     rows = cell_model.attach_groups(mixed, side, GROUP, few_bytes(groups))
-    scored = with_mixed_loglik(rows, "theta", settings, "ll")
-    sums = scored.groupBy(*CELL, "k").agg((F.sum("ll") + F.any_value("log_pi")).alias("ll"))
-    return cell_posteriors(sums)
+    return cell_posteriors(mixed_rows(rows, "theta", settings), False)
 
 
 def fit_spots(

@@ -325,3 +325,29 @@ def test_purity_search_reads_the_counts_once_and_repeats_none(spark):
         assert objective(own, r.theta) >= max(objective(own, t) for t in np.linspace(1e-4, 1 - 1e-4, 101)) - 1e-3
     nothing = spot_model.estimate_purity(obs, groups.withColumn("subclonal", F.lit(True)), settings)
     assert {r.theta for r in nothing.collect()} == {0.5}
+
+
+def test_scores_of_a_cell_are_summed_from_its_list_of_rows(spark):
+    """The E-step holds no likelihood as SQL text, which the JVM does not compile, and fails where one is undefined."""
+    _, _, _, x, na, nb = simulate(cells=12)
+    counts, profile = frames(spark, x, na, nb)
+    obs = common.prepare_observations(counts, 4)
+    settings = FitSettings(fit_mode="allele")
+    groups = cell_model.static_groups(obs, profile, settings, None)
+    table = spark.createDataFrame([("r1", "gex", "*", 50.0, 30.0)], cell_model.DISPERSION)
+    params = cell_model.durable(cell_model.with_dispersion(groups, table, settings))
+    clones = spark.createDataFrame([("r1", k, -float(k)) for k in range(3)], "run_id string, k int, log_pi double")
+    calls = cell_model.posteriors(obs, params, clones, small=True)
+    above = calls._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("InMemoryRelation")[0]
+    assert "LOG" not in above.upper().replace("LOG_PI", "")
+    rows = obs.join(params.filter("scored"), common.GROUP).toPandas()
+    head, tail = 50.0 * rows.baf, 50.0 * (1 - rows.baf)
+    term = (lgamma(rows.n + 1) - lgamma(rows.b + 1) - lgamma(rows.n - rows.b + 1) + lgamma(rows.b + head) + lgamma(50.0)
+            + lgamma(rows.n - rows.b + tail) - lgamma(rows.n + 50.0) - lgamma(head) - lgamma(tail))
+    want = (term * (rows.use_allele & (rows.n > 0))).groupby([rows.cell_id, rows.k]).sum().unstack() - np.arange(3)
+    for r in calls.collect():
+        own = want.loc[r.cell_id].to_numpy()
+        assert r.ks == [0, 1, 2] and r.z == own.argmax() and r.best_ll == pytest.approx(own.max())
+        assert r.clone_post == pytest.approx(np.exp(own - own.max()) / np.exp(own - own.max()).sum())
+    with pytest.raises(Exception, match="undefined log-probability"):
+        cell_model.posteriors(obs.withColumn("b", -F.col("n") - 1e6), params, clones, small=True).collect()
