@@ -270,3 +270,18 @@ def test_partitions_of_dense_counts_grow_with_the_cells(spark, monkeypatch):
     dense = grouping.densify(sums, sums.select("cell_id"), groups, n_cells=40)
     assert dense.rdd.getNumPartitions() == 10
     assert dense.count() == 120 and dense.agg({"x": "sum"}).first()[0] == 40
+
+
+def test_the_join_of_raw_lines_spreads_with_their_number(spark, monkeypatch):
+    from cellmosaic.plans import inputs
+
+    def sums(t):
+        return sorted(map(tuple, t.lines.groupBy("assay", "cell_id").sum("x", "a", "b").collect()))
+
+    plain = sums(inputs.Inputs(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(inputs, "LINE_ROWS", 600)
+    spread = inputs.Inputs(spark, "/root/testdata/sf0.001")
+    parts = -(-spread.raw("lineitem").count() // 600)
+    plan = spread.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert parts > 4 and "RepartitionByExpression [l_orderkey" in plan and plan.count(f", {parts}") == 2
+    assert sums(spread) == plain
