@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,15 @@ def test_exact_quantiles_match_numpy(spark):
         assert got[g] == pytest.approx(tuple(np.percentile(mine, [25, 50])))
 
 
+def test_order_is_exact_if_its_bounds_come_out_differently_each_time(spark, monkeypatch):
+    df = spark.range(0, 20_000, 1, 8).selectExpr("id % 3 AS g", "CAST(pmod(xxhash64(id), 5000) AS DOUBLE) AS v")
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    draw = F.udf(lambda v: sorted(random.SystemRandom().choices(v, k=40)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda value, probs, accuracy: draw(F.collect_list(value)))
+    got = {r.g: r.m for r in ordering.exact_quantiles(df, "v", {"m": 0.5}, ["g"]).collect()}
+    assert got == want
+
+
 def test_auc_by_pairs(spark):
     rng = np.random.default_rng(5)
     truth, score = rng.random(300) < 0.3, rng.integers(0, 20, 300) / 20.0
