@@ -9,8 +9,11 @@ token that no document has are out. A match must leave room for the window befor
 behind it (positions, length); what is left is verified word by word against the text.
 
 Two scans of the documents: one writes where tokens of the benchmark stand, from which
-counts and prefix join are read; the other verifies. Texts are shuffled only if the
-candidates of all documents are too large to broadcast by a checked size.
+counts and prefix join are read; the other verifies. Candidates hold places and hashes of
+windows, whose words they meet when the text is at hand: nothing that is broadcast holds
+words or items once per document. Texts with candidates are shuffled if the candidates
+of all documents are too large to broadcast by a checked size, other texts only if even
+the keys of those texts are.
 
 Null texts have no words. Texts without words hit nothing and are clean. Rows are judged
 one by one, repeated ids too. Items with a null id count for hits and are not listed;
@@ -99,23 +102,31 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     places = durable(join_dim(
         _doc_shingles(docs, sizes), parts.select("token").distinct(), ["token"], ["row"], bound=parts))
     prefix = prefix_tokens(parts, places)
-    tokens = prefix.groupBy("token").agg(F.collect_list(F.struct("at", "words", "items")).alias("windows"))
-    found = join_dim(places, tokens, ["token"], ["row"], bound=prefix)
+    named = prefix.withColumns({"wid": F.xxhash64("words"), "n": F.size("words")})
+    tokens = named.groupBy("token").agg(F.collect_list(F.struct("at", "wid", "n")).alias("windows"))
+    found = join_dim(places, tokens, ["token"], ["row"], bound=prefix, stored=True)
     found = found.select("row", "pos", F.explode("windows").alias("w")).select(
-        "row", (F.col("pos") - F.col("w.at")).alias("start"), "w.words", "w.items").filter("start >= 0")
-    candidates = durable(found.groupBy("row").agg(F.collect_set(F.struct("start", "words", "items")).alias("found")))
-    texts = join_dim(docs.select("row", "text"), candidates, ["row"], ["text"])
+        "row", (F.col("pos") - F.col("w.at")).alias("start"), "w.wid", "w.n").filter("start >= 0")
+    candidates = durable(found.groupBy("row").agg(F.collect_set(F.struct("start", "wid", "n")).alias("found")))
+    # the row is a hash of the text too, so a salt by the text would not spread it
+    texts = join_dim(docs.select("row", "text"), candidates, ["row"], ["text"], salts=1, stored=True)
     # the array of one binds the words once; as a column of their own they would be split anew per candidate
-    held = texts.select("row", F.transform(
+    cut = texts.select("row", F.explode(F.transform(
         F.array(F.struct(terms(F.col("text")).alias("words"), "found")),
-        lambda x: F.filter(x["found"], lambda f: (f["start"] + F.size(f["words"]) <= F.size(x["words"])) & (
-            F.slice(x["words"], f["start"] + 1, F.size(f["words"])) == f["words"])))[0].alias("found"))
-    return held.filter("size(found) > 0").select(
+        lambda x: F.transform(x["found"], lambda f: F.struct(
+            f["start"].alias("start"), f["wid"].alias("wid"),
+            F.slice(x["words"], f["start"] + 1, f["n"]).alias("here"))))[0]).alias("f")).select("row", "f.*")
+    # windows whose hashes are equal are told apart by their words
+    held = join_dim(cut, named.select("wid", "words", "items"), ["wid"], ["row"], bound=prefix, stored=True)
+    return held.filter("here = words").groupBy("row").agg(
+        F.collect_set(F.struct("start", F.size("words").alias("n"))).alias("spans"),
+        F.collect_set("items").alias("items"),
+    ).select(
         "row",
-        F.expr("size(array_distinct(flatten(transform(found, f -> sequence(f.start, f.start + size(f.words) - 1)))))")
+        F.expr("size(array_distinct(flatten(transform(spans, f -> sequence(f.start, f.start + f.n - 1)))))")
         .cast("bigint").alias("n_hit"),
-        F.expr("array_sort(array_distinct(flatten(found.items)))").alias("items"),
-    ).dropDuplicates(["row"])
+        F.expr("array_sort(array_distinct(flatten(items)))").alias("items"),
+    )
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -127,7 +138,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     """Per row: doc_id, n_words, n_hit, n_items, items, contaminated."""
     rows = with_row(docs.select("doc_id", "text"))
     found = durable(hits(rows, items, window, shingle))
-    out = join_dim(rows.select("row", "doc_id", term_count(F.col("text")).alias("n_words")), found, ["row"], ["doc_id"], "left")
+    out = join_dim(
+        rows.select("row", "doc_id", term_count(F.col("text")).alias("n_words")), found, ["row"], ["doc_id"], "left",
+        salts=1, stored=True)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

@@ -251,6 +251,17 @@ def test_contamination_matches_brute_force(spark):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
+def test_what_grows_with_the_documents_holds_no_words_in_a_join(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = texts_table(spark, [(i, f"x {passage} y") for i in range(8)])
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    dims, plain = [], decontaminate.join_dim
+    monkeypatch.setattr(decontaminate, "join_dim", lambda fact, dim, *a, **k: dims.append(dim) or plain(fact, dim, *a, **k))
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in got) == [(i, 60, ["1"]) for i in range(8)]
+    assert not [d.columns for d in dims if "row" in d.columns and "words" in d.schema.simpleString()]
+
+
 # token ids
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellmosaic.operators import (
     annotate, cells, cutoffs, grouping, joins, metrics, ordering, panel, profile, reports, spatial,
 )
+from cellmosaic.session import durable
 
 
 def test_latest_segment_wins_and_gaps_drop(spark):
@@ -44,6 +45,16 @@ def test_salted_join_equals_broadcast_join(spark, monkeypatch):
     assert small == large and len(large) == 1000
 
 
+def test_a_stored_table_with_small_files_and_wide_rows_is_not_broadcast(spark):
+    fact = spark.range(4000).withColumnRenamed("id", "k")
+    wide = durable(spark.range(0, 4000, 2).select(F.col("id").alias("k"), F.expr("repeat('wide row ', 4000)").alias("w")))
+    assert joins.is_small(wide) and not joins.few_bytes(wide)
+    out = joins.join_dim(fact, wide, ["k"], ["k"], stored=True).select("k", F.length("w").alias("n"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("rightHint=(strategy=broadcast)") == 1  # of the keys alone
+    assert sorted(map(tuple, out.collect())) == [(k, 36_000) for k in range(0, 4000, 2)]
+
+
 def greedy(rows, min_snp, max_len):
     out, seg, start, acc, i = {}, None, 0, 0, -1
     for b, s, lo, hi, n in rows:
