@@ -151,7 +151,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
     packed = with_row(docs.select("doc_id", "text", F.struct(*docs.columns).alias("own")))
-    found = hits(packed.select("row", "doc_id", "text"), items, window, shingle)
-    out = join_dim(packed.withColumn("n_words", term_count(F.col("text"))), found.select("row", "n_hit"), ["row"], ["doc_id"], "left")
+    found = durable(hits(packed.select("row", "doc_id", "text"), items, window, shingle).select("row", "n_hit"))
+    out = join_dim(
+        packed.withColumn("n_words", term_count(F.col("text"))), found, ["row"], ["doc_id"], "left", salts=1, stored=True)
     dirty = F.coalesce(SHARE * F.col("n_hit") >= F.col("n_words"), F.lit(False))
     return out.filter(~dirty).select("own.*")
