@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellmosaic.functions import likelihood
 from cellmosaic.models import cell_model, common, solver, spot_model
 from cellmosaic.models.common import FitSettings
 from cellmosaic.operators.profile import add_masks, parse_profile
@@ -220,6 +221,29 @@ def test_depth_rows_are_not_repeated_for_a_grid(spark):
         assert not [leaf for leaf in leaves_below_generate(plan) if "log_mu" in leaf]
 
 
+def test_allele_terms_are_counted_apart_and_sum_to_the_pairs(spark):
+    pairs = [(b, n, p) for n in range(41) for b in range(n + 1) for p in (0.25, 0.5)]
+    stats = spark.createDataFrame([("r1", "gex", "*", float(b), float(n), p, float(1 + (b * n) % 3)) for b, n, p in pairs],
+                                  "run_id string, assay string, state string, b double, n double, p double, cnt double")
+    assert cell_model.tau_parts(stats).count() <= 4 * 41 + 41 < len(pairs)  # b and n - b by fraction, and n
+    got = {r.i: (r.at, r.ll) for r in cell_model.tau_rounds(stats, (1e-3, 1e3), 9)(None).collect()}
+    for at, ll in got.values():
+        s, g = math.exp(at), math.lgamma
+        want = sum((1 + (b * n) % 3) * (
+            g(b + s * p) - g(s * p) + g(n - b + s * (1 - p)) - g(s * (1 - p)) - g(n + s) + g(s)) for b, n, p in pairs)
+        assert ll == pytest.approx(want, rel=1e-8)
+    assert len(got) == 9
+
+
+def test_constants_of_count_rows_match_their_sql(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 0), (1, 3, 4, 9), (2, 250, 0, 4000), (3, 0, 7, 1)], "cell_id bigint, a bigint, b bigint, x bigint")
+    rows = rows.withColumns({"run_id": F.lit("r1"), "assay": F.lit("gex"), "group_id": F.lit(0)})
+    obs = common.prepare_observations(rows, 2)
+    sides = [F.expr(likelihood.bb_constant("b", "n")), F.expr(likelihood.nb_constant("x"))]
+    for r in obs.select("bb_const", "nb_const", sides[0].alias("bb"), sides[1].alias("nb")).collect():
+        assert (r.bb_const, r.nb_const) == (pytest.approx(r.bb, abs=1e-9), pytest.approx(r.nb, abs=1e-9))
+
+
 def test_runs_of_a_panel_agree_with_fits_of_their_own(spark):
     """Labels, parameters and the number of iterations of each run."""
     settings = FitSettings(share_dispersion=False, update_pi=True, niters=8, tol=1e-10, grid_rounds=2, grid_points=17)
